@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import fallback_id
-from .merge import merge_by_id, union_all
+from .merge import merged_titles, union_all
 
 
 def org_projects(df: DataFrame, org: str = "orgURI") -> DataFrame:
@@ -113,7 +113,7 @@ def northern_projects(src1: DataFrame, src2: DataFrame, allowed: DataFrame,
                     label_col="Country")
     s1 = s1.withColumn("vatID", fallback_id("vatID", "orgURI"))
     s2 = s2.withColumn("vatID", fallback_id("vatID", "orgURI"))
-    merged, _ = merge_by_id(s1, s2)
+    merged = merged_titles(s1, s2)
     info = (union_all(s1, s2, cols=["vatID", "country", "orgName"])
             .groupBy("vatID")
             .agg(F.coalesce(F.min("country"), F.lit("")).alias("Country"),

@@ -68,27 +68,42 @@ def region_budget(a: DataFrame, b: DataFrame, region: str = "country") -> DataFr
             .orderBy(F.desc("totalBudget"), F.desc("numberProjects")))
 
 
+def merged_titles(a: DataFrame, b: DataFrame, id_col: str = "vatID",
+                  title: str = "title") -> DataFrame:
+    """E9 merge step: distinct ``(id, lower(title))`` over both sources."""
+    qa = a.select(F.col(id_col), F.lower(title).alias("ProjectTitle"))
+    qb = b.select(F.col(id_col), F.lower(title).alias("ProjectTitle"))
+    return qa.unionByName(qb).distinct()
+
+
 def merge_by_id(a: DataFrame, b: DataFrame, id_col: str = "vatID",
-                title: str = "title") -> tuple[DataFrame, DataFrame]:
+                title: str = "title") -> DataFrame:
     """What source ``b`` adds to ``a`` per organisation id.
 
-    merged      = distinct (id, lower(title)) over both sources
-    countBase   = rows of ``a`` per id (not distinct - as the reference, so
-                  duplicate rows in ``a`` understate the gain)
-    countMerge  = merged rows per id
-    newProjects = countMerge - countBase, kept when > 0
-    Returns ``(merged, gains)``.  Both counts are aggregates keyed by id, so
-    the join is 1:1 and a hot id never fans out.
+    merged       = distinct (id, lower(title)) over both sources
+    countByBase  = rows of ``a`` per id (not distinct - as the reference, so
+                   duplicate rows in ``a`` understate the gain)
+    countByMerge = merged rows per id
+    newProjects  = countByMerge - countByBase, kept when > 0
+
+    The reference counts twice and joins the counts on the id.  Here every
+    row is tagged with whether it came from ``a``; one aggregation per
+    (id, title) keeps both the distinct merged row and the number of ``a``
+    rows behind it, a second per id sums them.  The inner join of the
+    reference becomes ``countByBase > 0`` (ids ``a`` does not have) and a
+    non-NULL id.  Both aggregations combine map-side, so a hot id is one row
+    per map task, never a fan-out.
     """
-    qa = a.select(F.col(id_col), F.lower(title).alias("ProjectTitle"))
-    qb = b.select(F.col(id_col), F.lower(title).alias("ProjectTitle"))
-    merged = qa.unionByName(qb).distinct()
-    base = qa.groupBy(id_col).agg(F.count(F.lit(1)).alias("countByBase"))
-    mcount = merged.groupBy(id_col).agg(F.count(F.lit(1)).alias("countByMerge"))
-    gains = (base.join(mcount, id_col)
-             .withColumn("newProjects", F.col("countByMerge") - F.col("countByBase"))
-             .filter(F.col("newProjects") > 0))
-    return merged, gains
+    ta = a.select(F.col(id_col), F.lower(title).alias("ProjectTitle"), F.lit(1).alias("_a"))
+    tb = b.select(F.col(id_col), F.lower(title).alias("ProjectTitle"), F.lit(0).alias("_a"))
+    per_title = (ta.unionByName(tb).filter(F.col(id_col).isNotNull())
+                 .groupBy(id_col, "ProjectTitle").agg(F.sum("_a").alias("_na")))
+    per_id = per_title.groupBy(id_col).agg(
+        F.sum("_na").cast("bigint").alias("countByBase"),
+        F.count(F.lit(1)).alias("countByMerge"))
+    return (per_id.filter(F.col("countByBase") > 0)
+            .withColumn("newProjects", F.col("countByMerge") - F.col("countByBase"))
+            .filter(F.col("newProjects") > 0))
 
 
 def total(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -27,11 +27,11 @@ from .metrics import to_long
 
 
 @dataclass(frozen=True)
-class KeySet:
-    kind: str          # which key family ("clean_title", "pic", ...)
-    side: int          # bit position of the source
+class Source:
+    """One input scanned once: every (kind, key expression) it contributes."""
     df: DataFrame
-    key: Column        # key expression evaluated on ``df``
+    side: int                                  # bit position of the source
+    keys: tuple[tuple[str, Column | None], ...]  # (kind, key) pairs
 
 
 @dataclass(frozen=True)
@@ -42,18 +42,41 @@ class Count:
     null_counts: bool
 
 
-def presence(keysets: list[KeySet]) -> DataFrame:
-    """``(kind, key, mask)``: one row per distinct key of each kind."""
-    parts = [
-        ks.df.select(F.lit(ks.kind).alias("kind"), ks.key.cast("string").alias("key"),
-                     F.lit(1 << ks.side).alias("bit"))
-        for ks in keysets
-    ]
+@dataclass(frozen=True)
+class Rows:
+    """Number of input rows that produced ``kind`` (fan-in before de-duplication)."""
+    name: str
+    kind: str
+
+
+ROWS = None   # key of a row-count-only kind (every row gives one NULL key)
+
+
+def _key(key: Column | None) -> Column:
+    return F.lit(None).cast("string") if key is None else key.cast("string")
+
+
+def presence(sources: list[Source]) -> DataFrame:
+    """``(kind, key, mask, n)``: one row per distinct key of each kind.
+
+    Each source is read once: ``inline`` turns every input row into one
+    (kind, key) row per requested key family, so a report that needs five
+    distinct counts over one table still scans it a single time.
+    """
+    parts = []
+    for src in sources:
+        arr = F.array(*[F.struct(F.lit(kind).alias("kind"), _key(key).alias("key"))
+                        for kind, key in src.keys])
+        parts.append(src.df.select(F.inline(arr)).withColumn("bit", F.lit(1 << src.side)))
     u = reduce(DataFrame.unionByName, parts)
-    return u.groupBy("kind", "key").agg(F.bit_or("bit").alias("mask"))
+    return u.groupBy("kind", "key").agg(F.bit_or("bit").alias("mask"),
+                                        F.count(F.lit(1)).alias("n"))
 
 
-def count_expr(c: Count) -> Column:
+def count_expr(c: Count | Rows) -> Column:
+    if isinstance(c, Rows):
+        return F.coalesce(F.sum(F.when(F.col("kind") == F.lit(c.kind), F.col("n"))),
+                          F.lit(0)).alias(c.name)
     req = sum(1 << s for s in c.sides)
     cond = (F.col("kind") == F.lit(c.kind)) & ((F.col("mask").bitwiseAND(F.lit(req))) == F.lit(req))
     if not c.null_counts:
@@ -61,9 +84,9 @@ def count_expr(c: Count) -> Column:
     return F.count_if(cond).alias(c.name)
 
 
-def overlap_metrics(keysets: list[KeySet], counts: list[Count]) -> DataFrame:
-    """All requested distinct/overlap counts in one aggregation, long form."""
-    wide = presence(keysets).agg(*[count_expr(c) for c in counts])
+def overlap_metrics(sources: list[Source], counts: list[Count | Rows]) -> DataFrame:
+    """All requested distinct/overlap/row counts in one aggregation, long form."""
+    wide = presence(sources).agg(*[count_expr(c) for c in counts])
     return to_long(wide)
 
 
@@ -82,77 +105,143 @@ def intersected(name: str, kind: str, a: int, b: int) -> Count:
     return Count(name, kind, (a, b), True)
 
 
-def pair_count_frame(name: str, a: DataFrame, a_key: Column,
-                     b: DataFrame, b_key: Column) -> DataFrame:
-    """Rows of ``a JOIN b USING(key)`` counted, fan-out included.
+def _inline(df: DataFrame, pairs: list[tuple[str, Column]]) -> DataFrame:
+    arr = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key"))
+                    for k, c in pairs])
+    return df.select(F.inline(arr))
+
+
+def pair_counts(a: DataFrame, b: DataFrame,
+                kinds: list[tuple[str, Column, Column]]) -> DataFrame:
+    """Rows of ``a JOIN b ON key`` counted (fan-out included), per key kind.
 
-    Each side is pre-aggregated to ``(key, n)``; the join is then 1:1 per
-    key and the pair count is ``sum(n_a * n_b)``.  No pair is ever emitted,
-    so a hot key costs one row instead of ``n_a * n_b``.
+    Each side is read once and reduced to ``(kind, key, n)``; the join is
+    then 1:1 per key and the pair count is ``sum(n_a * n_b)``.  No pair is
+    ever emitted, so a hot key costs one row instead of ``n_a * n_b``.
+    NULL keys never match, as in the join.
     """
-    ca = a.groupBy(a_key.alias("k")).agg(F.count(F.lit(1)).alias("na"))
-    cb = b.groupBy(b_key.alias("k")).agg(F.count(F.lit(1)).alias("nb"))
-    j = ca.join(cb, "k")
-    return j.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).cast("bigint").alias(name))
+    ca = (_inline(a, [(n, ka) for n, ka, _ in kinds])
+          .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("na")))
+    cb = (_inline(b, [(n, kb) for n, _, kb in kinds])
+          .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("nb")))
+    j = ca.join(cb, ["kind", "key"])
+    wide = j.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == n, F.col("na") * F.col("nb"))),
+                              F.lit(0)).alias(n) for n, _, _ in kinds])
+    return to_long(wide)
+
+
+def _pairs(parts: list[tuple[DataFrame, int, Column, Column]], k: str, v: str) -> DataFrame:
+    """Distinct ``(k, v)`` pairs over several sources with the bit mask of their sources."""
+    u = reduce(DataFrame.unionByName, [
+        df.select(kc.alias(k), vc.alias(v), F.lit(1 << side).alias("bit"))
+        for df, side, kc, vc in parts])
+    return u.groupBy(k, v).agg(F.bit_or("bit").alias("m"))
 
 
-def keys_sharing(a: DataFrame, a_key: Column, a_attr: str,
-                 b: DataFrame, b_key: Column) -> DataFrame:
-    """Distinct ``a_attr`` of ``a`` rows whose key also occurs in ``b``.
+def semi_by(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``keys`` (which holds no NULL).
 
-    The reference joins then projects; a semi join gives the same set
-    without the join fan-out.
+    Written as a null-safe semi join on purpose: a plain equi-join makes
+    Catalyst infer ``col IS NOT NULL`` and push it into ``df``'s aggregate,
+    so ``df`` would no longer be identical to its other uses and its shuffle
+    could not be reused - the source would be scanned twice.
     """
-    left = a.select(a_key.alias("k"), F.col(a_attr)).distinct()
-    right = b.select(b_key.alias("k")).distinct()
-    return left.join(right, "k", "left_semi").select(a_attr).distinct()
+    k = keys.select(F.col(col).alias("_k"))
+    return df.join(k, F.col(col).eqNullSafe(F.col("_k")), "left_semi")
 
 
-def shared_title_delta(a: DataFrame, b: DataFrame, prefix: str,
-                       name: str = "cleanName", title: str = "title") -> DataFrame:
-    """E4 for one pair of registries, as metrics.
+def _not_null_and(col: str, cond: Column) -> Column:
+    """``col IS NOT NULL AND cond`` as one CASE, so Catalyst cannot split off
+    ``col IS NOT NULL`` and push it below the aggregate that produced the
+    frame (which would stop that aggregate's shuffle from being reused)."""
+    return F.when(F.col(col).isNull(), F.lit(False)).otherwise(cond)
+
+
+def _has(col: str, bits: int) -> Column:
+    return F.col(col).bitwiseAND(F.lit(bits)) != 0
 
-    shared names   = |names(a) INTERSECT names(b)| (a shared NULL counts)
-    titles_a / _b  = distinct titles of the rows whose name is shared
-                     (the reference filters with ``isin``, so NULL names
-                     never pass - a semi join has the same rule)
-    delta          = titles_a - titles_b  (may be negative; not a set difference)
+
+def names_sharing_keys(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column,
+                       name: str = "cleanName") -> DataFrame:
+    """J10 both ways: ``(side, name)`` for names of one side whose key (title)
+    also occurs on the other side.
+
+    The reference joins the two sides on the title and projects the names,
+    which fans out on popular titles.  Here both sides are reduced to
+    distinct (title, name) pairs in one pass each, a per-title source mask
+    is joined back (one row per title, so a hot title is split by AQE's skew
+    join instead of multiplied) and each pair is tested against it.
     """
-    shared = a.select(name).intersect(b.select(name))
-    ta = a.join(shared, name, "left_semi").select(title)
-    tb = b.join(shared, name, "left_semi").select(title)
-    keysets = [KeySet("name", 0, shared, F.col(name)),
-               KeySet("title_a", 0, ta, F.col(title)),
-               KeySet("title_b", 1, tb, F.col(title))]
-    p = presence(keysets)
-    wide = p.agg(
-        count_expr(distinct(f"{prefix}_shared_names", "name", 0)),
-        count_expr(distinct(f"{prefix}_titles_a", "title_a", 0)),
-        count_expr(distinct(f"{prefix}_titles_b", "title_b", 1)),
-    ).withColumn(f"{prefix}_title_delta",
-                 F.col(f"{prefix}_titles_a") - F.col(f"{prefix}_titles_b"))
-    return to_long(wide)
+    A, B = 1, 2
+    p = _pairs([(a, 0, key_a, F.col(name)), (b, 1, key_b, F.col(name))], "_t", name)
+    t = p.groupBy("_t").agg(F.bit_or("m").alias("tm"))
+    j = p.join(t, "_t").filter(F.col("_t").isNotNull())
+    side = F.explode(F.array(
+        F.when(_has("m", B) & _has("tm", A), F.lit("B")),
+        F.when(_has("m", A) & _has("tm", B), F.lit("A"))))
+    return (j.select(side.alias("side"), name)
+            .filter(F.col("side").isNotNull()).distinct())
+
+
+def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]],
+                       name: str = "cleanName", title: str = "title") -> DataFrame:
+    """E4 for several pairs of registries, as metrics.
+
+    For each ``(prefix, x, y)`` (indexes into ``frames``):
+      shared names   = |names(x) INTERSECT names(y)| (a shared NULL counts)
+      titles_a / _b  = distinct titles of x's / y's rows whose name is shared
+                       (the reference filters with ``isin``, so NULL names
+                       never pass)
+      delta          = titles_a - titles_b (may be negative; not a set difference)
+
+    Every frame is read once into distinct (name, title) pairs with a source
+    mask; per-name title counts per source decide which names are shared, and
+    the per-pair title counts are semi joins of the same reduced frame.
+    """
+    p = _pairs([(df, i, F.col(name), F.col(title)) for i, df in enumerate(frames)], name, title)
+    # titles per source per name (counts, so the distinct pairs below stay one
+    # shared stage instead of being re-derived from the sources)
+    n = p.groupBy(name).agg(*[F.count_if(_has("m", 1 << i)).alias(f"_n{i}")
+                              for i in range(len(frames))])
+    out = []
+    for prefix, x, y in pairs:
+        both = (F.col(f"_n{x}") > 0) & (F.col(f"_n{y}") > 0)
+        names = n.agg(F.count_if(both).alias(f"{prefix}_shared_names"))
+        shared = n.filter(_not_null_and(name, both))
+        t = semi_by(p, shared, name).groupBy(title).agg(F.bit_or("m").alias("tm"))
+        titles = (t.agg(F.count_if(_has("tm", 1 << x)).alias(f"{prefix}_titles_a"),
+                        F.count_if(_has("tm", 1 << y)).alias(f"{prefix}_titles_b"))
+                  .withColumn(f"{prefix}_title_delta",
+                              F.col(f"{prefix}_titles_a") - F.col(f"{prefix}_titles_b")))
+        out += [to_long(names), to_long(titles)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def gained_projects(a: DataFrame, b_subjects: DataFrame, c: DataFrame,
                     name: str = "cleanName", project: str = "projectURI") -> DataFrame:
     """E15 (JO1 stats): how many projects registry B brings for orgs A already has.
 
-    shared = names(a) JOIN (names(c) UNION names(b))   (NULL never matches)
-    gained = distinct projects of B rows whose name is in ``shared``.
-    Since every B name is in ``names(c) UNION names(b)``, a B row qualifies
-    exactly when its name is in ``names(a)``: one semi join, no set union.
+    orgs_a      = distinct names of A
+    orgs_bc     = distinct names of C UNION B
+    shared_orgs = names(a) JOIN names(c UNION b)        (NULL never matches)
+    gained      = distinct projects of B rows whose name is shared
+
+    All three sources are read once into distinct (name, project) pairs with a
+    source mask; names and projects are then counted from that frame.
     """
-    keysets = [KeySet("name", 0, a, F.col(name)),
-               KeySet("name", 1, b_subjects, F.col(name)),
-               KeySet("name", 1, c, F.col(name))]
-    names = presence(keysets).agg(
-        count_expr(distinct("orgs_a", "name", 0)),
-        count_expr(distinct("orgs_bc", "name", 1)),
-        count_expr(joined("shared_orgs", "name", 0, 1)),
-    )
-    gained_rows = b_subjects.join(a.select(name).distinct(), name, "left_semi")
-    gained = gained_rows.agg(
-        (F.count_distinct(F.col(project))
-         + F.coalesce(F.max(F.col(project).isNull().cast("int")), F.lit(0))).alias("gained_projects"))
-    return to_long(names).unionByName(to_long(gained))
+    A, B, C = 1, 2, 4
+    none = F.lit(None).cast("string")
+    p = _pairs([(a, 0, F.col(name), none), (b_subjects, 1, F.col(name), F.col(project)),
+                (c, 2, F.col(name), none)], name, project)
+    n = p.groupBy(name).agg(F.count_if(_has("m", A)).alias("na"),
+                            F.count_if(_has("m", B | C)).alias("nbc"))
+    both = _not_null_and(name, (F.col("na") > 0) & (F.col("nbc") > 0))
+    names = n.agg(F.count_if(F.col("na") > 0).alias("orgs_a"),
+                  F.count_if(F.col("nbc") > 0).alias("orgs_bc"),
+                  F.count_if(both).alias("shared_orgs"))
+    shared = n.filter(both)
+    g = (semi_by(p.filter(_has("m", B)), shared, name)
+         .agg((F.count_distinct(F.col(project))
+               + F.coalesce(F.max(F.col(project).isNull().cast("int")), F.lit(0)))
+              .alias("gained_projects")))
+    return to_long(names).unionByName(to_long(g))

@@ -22,39 +22,43 @@ def alias_members(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI")
 def alias_groups(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
     """E5: per clean name, the number of distinct URIs and the group's first URI.
 
-    ``count_distinct`` is planned as group-by(name, uri) then count, so the
-    hot-name case is two partial aggregations, never a single big set.
+    Distinct (name, uri) first (hash aggregate with map-side combine), then
+    count and min per name on the reduced pairs: a hot name that owns many
+    URIs is two partial aggregations, never one big set.
     """
-    return (orgs.filter(F.col(uri).isNotNull())
+    return (alias_members(orgs, name, uri)
             .groupBy(name)
-            .agg(F.count_distinct(uri).alias("n_uris"), F.min(uri).alias("canonicalURI")))
+            .agg(F.count(F.lit(1)).alias("n_uris"), F.min(uri).alias("canonicalURI")))
 
 
-def canonical_uri(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
-    """``(orgURI, canonicalURI)`` for every distinct non-NULL URI.
+def canonical_map(members: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
+    """E6 on distinct ``(name, uri)`` pairs: ``(uri, canonicalURI)``.
 
     A URI in a multi-URI name group is replaced by the group's smallest URI;
     a URI in several groups takes the smallest of those; a URI whose names
     are all NULL keeps itself.  (Singleton groups map a URI to itself, which
     never beats a multi-URI group's minimum, so one ``min`` covers both.)
-    Membership matching is exact - not the substring test of the reference.
+    Membership is exact - not the substring test of the reference - and
+    there is no transitive closure (the reference has none).
+
+    The group minimum is joined back null-safely and NULL names are masked
+    afterwards, and the group size (a count, which Catalyst cannot treat as
+    duplicate-insensitive) decides membership: both branches then read the
+    very same ``members`` plan, so its shuffle is reused instead of the
+    sources being scanned twice.
     """
-    members = alias_members(orgs, name, uri)
-    group_min = members.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(uri).alias("gmin"))
-    return (members.join(group_min, name, "left")
-            .groupBy(uri)
-            .agg(F.min("gmin").alias("gmin"))
-            .select(F.col(uri).alias("orgURI"),
-                    F.coalesce(F.col("gmin"), F.col(uri)).alias("canonicalURI")))
+    gmin = members.groupBy(F.col(name).alias("_g")).agg(F.min(uri).alias("_gmin"),
+                                                         F.count(F.lit(1)).alias("_size"))
+    j = members.join(gmin, F.col(name).eqNullSafe(F.col("_g")), "left")
+    in_group = F.col(name).isNotNull() & (F.col("_size") > 1)
+    per_uri = j.groupBy(uri).agg(F.min(F.when(in_group, F.col("_gmin"))).alias("_m"))
+    return per_uri.select(F.col(uri), F.coalesce(F.col("_m"), F.col(uri)).alias("canonicalURI"))
 
 
-def with_canonical(orgs: DataFrame, uri: str = "orgURI", out: str = "newOrgURI",
-                   name: str = "cleanName") -> DataFrame:
-    """Attach the canonical URI to every row (row count unchanged; NULL URI stays NULL)."""
-    cmap = canonical_uri(orgs, name, uri).withColumnRenamed("orgURI", "_u")
-    return (orgs.join(cmap, orgs[uri] == cmap["_u"], "left")
-            .withColumn(out, F.col("canonicalURI"))
-            .drop("_u", "canonicalURI"))
+def canonical_uri(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
+    """``(orgURI, canonicalURI)`` for every distinct non-NULL URI."""
+    return (canonical_map(alias_members(orgs, name, uri), name, uri)
+            .select(F.col(uri).alias("orgURI"), "canonicalURI"))
 
 
 def flag_multi_row_names(orgs: DataFrame, name: str = "cleanName",
@@ -80,20 +84,38 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
                         org_name: str = "orgName", title: str = "title") -> DataFrame:
     """Publications per resolved organisation.
 
-    Rows get their canonical URI (E6); each canonical URI gets one
+    Semantics: rows get their canonical URI (E6); each canonical URI gets one
     representative name (``min`` of its raw names, quirk a4); distinct
     (canonical URI, title) pairs are counted per representative name.
+
+    Plan: distinct (name, uri) membership feeds the canonical map (one
+    reused stage); the representative-name input is the per-(uri, title)
+    minimum name.  Per canonical URI only a count and a minimum travel,
+    never a set of names or titles.
     """
-    pre = with_canonical(orgs, uri, "newOrgURI", name)
-    names = (pre.filter(F.col("newOrgURI").isNotNull())
-             .groupBy("newOrgURI").agg(F.coalesce(F.min(org_name), F.lit("")).alias("repName")))
-    pubs = pre.select("newOrgURI", title).filter(F.col("newOrgURI").isNotNull()).distinct()
-    return (pubs.join(names, "newOrgURI")
-            .groupBy(F.col("repName").alias("orgName"))
-            .agg(F.count(F.lit(1)).alias("numberOfPublications"))
+    live = orgs.filter(F.col(uri).isNotNull())
+    cmap = canonical_map(alias_members(live, name, uri), name, uri)
+    per_uri_title = live.groupBy(uri, title).agg(F.min(org_name).alias("_n"))
+    resolved = (per_uri_title.join(cmap, uri)
+                .groupBy(F.col("canonicalURI"), F.col(title))
+                .agg(F.min("_n").alias("_n")))
+    per_org = resolved.groupBy("canonicalURI").agg(
+        F.coalesce(F.min("_n"), F.lit("")).alias("orgName"),
+        F.count(F.lit(1)).alias("_titles"))
+    return (per_org.groupBy("orgName")
+            .agg(F.sum("_titles").cast("bigint").alias("numberOfPublications"))
             .orderBy(F.desc("numberOfPublications"), F.asc("orgName")))
 
 
+def with_canonical(orgs: DataFrame, uri: str = "orgURI", out: str = "newOrgURI",
+                   name: str = "cleanName") -> DataFrame:
+    """Attach the canonical URI to every row (row count unchanged; NULL URI stays NULL)."""
+    cmap = canonical_map(alias_members(orgs, name, uri), name, uri).withColumnRenamed(uri, "_u")
+    return (orgs.join(cmap, orgs[uri] == cmap["_u"], "left")
+            .withColumn(out, F.col("canonicalURI"))
+            .drop("_u", "canonicalURI"))
+
+
 def names_over(groups: DataFrame, n: int) -> DataFrame:
     """Alias groups with more than ``n`` URIs."""
     return groups.filter(F.col("n_uris") > n)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import clean, clean_title, fallback_id, to_double, try_date
 from ..operators import enrich, merge, overlap, resolve, triples
 from ..operators.metrics import to_long
-from ..operators.overlap import KeySet, distinct, intersected, joined
+from ..operators.overlap import ROWS, Rows, Source, distinct, intersected, joined
 from ..schemas import PROJ
 from ..session import shared_dir
 from ..sources import csv as csvio
@@ -74,10 +74,8 @@ def org_budget(c: Ctx) -> DataFrame:
 def project_org_overlap(c: Ctx) -> DataFrame:
     """Q2/Q4: projects and organisations per source and their overlap."""
     a, b = c.v("proj_a"), c.v("proj_b")
-    ks = [KeySet("proj", A, a, F.col("proj")), KeySet("proj", B, b, F.col("proj")),
-          KeySet("title", A, a, clean("title")), KeySet("title", B, b, clean("title")),
-          KeySet("pic", A, a, F.col("pic")), KeySet("pic", B, b, F.col("pic"))]
-    return overlap.overlap_metrics(ks, [
+    keys = (("proj", F.col("proj")), ("title", clean("title")), ("pic", F.col("pic")))
+    return overlap.overlap_metrics([Source(a, A, keys), Source(b, B, keys)], [
         distinct("projects_a", "proj", A), distinct("projects_b", "proj", B),
         joined("shared_project_titles", "title", A, B),
         distinct("orgs_a", "pic", A), distinct("orgs_b", "pic", B),
@@ -105,7 +103,7 @@ def pubs_totals(c: Ctx) -> DataFrame:
     """Q10: distinct organisations and results."""
     r = c.v("results")
     return overlap.overlap_metrics(
-        [KeySet("org", A, r, F.col("orgURI")), KeySet("result", A, r, F.col("resultURI"))],
+        [Source(r, A, (("org", F.col("orgURI")), ("result", F.col("resultURI"))))],
         [distinct("distinct_orgs", "org", A), distinct("distinct_results", "result", A)])
 
 
@@ -121,9 +119,9 @@ def pubs_by_project_year(c: Ctx) -> DataFrame:
 
 def _title_overlap(c: Ctx, key) -> DataFrame:
     a, b, s = c.v("proj_a"), c.v("proj_b"), c.v("proj_c")
-    ks = [KeySet("t", A, a, key(F.col("title"))), KeySet("t", B, b, key(F.col("title"))),
-          KeySet("t", C, s, key(F.col("title")))]
-    return overlap.overlap_metrics(ks, [
+    keys = (("t", key(F.col("title"))),)
+    srcs = [Source(a, A, keys), Source(b, B, keys), Source(s, C, keys)]
+    return overlap.overlap_metrics(srcs, [
         distinct("titles_a", "t", A), distinct("titles_c", "t", C), distinct("titles_b", "t", B),
         joined("shared_a_c", "t", A, C), joined("shared_a_b", "t", A, B)])
 
@@ -145,10 +143,10 @@ def title_overlap_clean(c: Ctx) -> DataFrame:
 @query
 def name_intersect_3way(c: Ctx) -> DataFrame:
     """Pairwise intersections of clean names (a shared NULL counts)."""
-    ks = [KeySet("n", A, c.named("proj_a"), F.col("cleanName")),
-          KeySet("n", B, c.named("proj_b"), F.col("cleanName")),
-          KeySet("n", C, c.named("proj_c"), F.col("cleanName"))]
-    return overlap.overlap_metrics(ks, [
+    keys = (("n", F.col("cleanName")),)
+    srcs = [Source(c.named("proj_a"), A, keys), Source(c.named("proj_b"), B, keys),
+            Source(c.named("proj_c"), C, keys)]
+    return overlap.overlap_metrics(srcs, [
         intersected("shared_a_c", "n", A, C), intersected("shared_a_b", "n", A, B),
         intersected("shared_b_c", "n", B, C)])
 
@@ -157,40 +155,35 @@ def name_intersect_3way(c: Ctx) -> DataFrame:
 def shared_title_delta(c: Ctx) -> DataFrame:
     """Titles behind shared names, A-vs-B and C-vs-B."""
     a, b, s = c.named("proj_a"), c.named("proj_b"), c.named("proj_c")
-    return (overlap.shared_title_delta(a, b, "a_b")
-            .unionByName(overlap.shared_title_delta(s, b, "c_b")))
+    return overlap.shared_title_delta([a, b, s], [("a_b", 0, 1), ("c_b", 2, 1)])
 
 
 @query
 def registry_totals(c: Ctx) -> DataFrame:
     """Q11: distinct names, URIs and titles per registry, and title row counts."""
     a, b, s = c.v("proj_a"), c.v("proj_b"), c.v("proj_c")
-    ks = [KeySet("name", A, a, F.col("orgName")), KeySet("name", C, s, F.col("orgName")),
-          KeySet("uri", C, s, F.col("orgURI")), KeySet("uri", B, b, F.col("orgURI")),
-          KeySet("title", A, a, F.col("title")), KeySet("title", C, s, F.col("title")),
-          KeySet("title", B, b, F.col("title"))]
-    d = overlap.overlap_metrics(ks, [
+    srcs = [
+        Source(a, A, (("name", F.col("orgName")), ("title", F.col("title")), ("rows_a", ROWS))),
+        Source(s, C, (("name", F.col("orgName")), ("uri", F.col("orgURI")),
+                      ("title", F.col("title")), ("rows_c", ROWS))),
+        Source(b, B, (("uri", F.col("orgURI")), ("title", F.col("title")), ("rows_b", ROWS))),
+    ]
+    return overlap.overlap_metrics(srcs, [
         distinct("orgs_by_name_a", "name", A), distinct("orgs_by_name_c", "name", C),
         distinct("orgs_by_uri_c", "uri", C), distinct("orgs_by_uri_b", "uri", B),
         distinct("titles_a", "title", A), distinct("titles_c", "title", C),
-        distinct("titles_b", "title", B)])
-    rows = [to_long(df.agg(F.count(F.lit(1)).alias(n)))
-            for n, df in (("title_rows_a", a), ("title_rows_c", s), ("title_rows_b", b))]
-    for r in rows:
-        d = d.unionByName(r)
-    return d
+        distinct("titles_b", "title", B),
+        Rows("title_rows_a", "rows_a"), Rows("title_rows_c", "rows_c"),
+        Rows("title_rows_b", "rows_b")])
 
 
 @query
 def stem_overlap(c: Ctx) -> DataFrame:
     """Q14: per-source org/project counts and overlaps by legal name, tax id, title."""
     a, b = c.v("proj_a"), c.v("proj_b")
-    ks = [KeySet("org", A, a, F.col("orgURI")), KeySet("org", B, b, F.col("orgURI")),
-          KeySet("proj", A, a, F.col("projectURI")), KeySet("proj", B, b, F.col("projectURI")),
-          KeySet("legal", A, a, F.col("orgName")), KeySet("legal", B, b, F.col("orgName")),
-          KeySet("vat", A, a, F.col("vatID")), KeySet("vat", B, b, F.col("vatID")),
-          KeySet("title", A, a, F.lower("title")), KeySet("title", B, b, F.lower("title"))]
-    return overlap.overlap_metrics(ks, [
+    keys = (("org", F.col("orgURI")), ("proj", F.col("projectURI")),
+            ("legal", F.col("orgName")), ("vat", F.col("vatID")), ("title", F.lower("title")))
+    return overlap.overlap_metrics([Source(a, A, keys), Source(b, B, keys)], [
         distinct("orgs_a", "org", A), distinct("orgs_b", "org", B),
         distinct("projects_a", "proj", A), distinct("projects_b", "proj", B),
         joined("shared_legal_names", "legal", A, B), joined("shared_vat_ids", "vat", A, B),
@@ -201,19 +194,16 @@ def stem_overlap(c: Ctx) -> DataFrame:
 def title_pair_count(c: Ctx) -> DataFrame:
     """Row pairs of A JOIN B on title (fan-out included), clean and raw."""
     a, b = c.v("proj_a"), c.v("proj_b")
-    clean_pairs = overlap.pair_count_frame("title_pairs_clean", a, clean("title"), b, clean("title"))
-    raw_pairs = overlap.pair_count_frame("title_pairs_raw", a, F.col("title"), b, F.col("title"))
-    return to_long(clean_pairs).unionByName(to_long(raw_pairs))
+    return overlap.pair_counts(a, b, [
+        ("title_pairs_clean", clean("title"), clean("title")),
+        ("title_pairs_raw", F.col("title"), F.col("title"))])
 
 
 @query
 def orgs_sharing_title(c: Ctx) -> DataFrame:
     """Clean names on one side whose clean titles also occur on the other."""
     a, b = c.named("proj_a"), c.named("proj_b")
-    on_b = overlap.keys_sharing(b, clean("title"), "cleanName", a, clean("title"))
-    on_a = overlap.keys_sharing(a, clean("title"), "cleanName", b, clean("title"))
-    return (on_b.select(F.lit("B").alias("side"), "cleanName")
-            .unionByName(on_a.select(F.lit("A").alias("side"), "cleanName")))
+    return overlap.names_sharing_keys(a, b, clean("title"), clean("title"))
 
 
 @query
@@ -226,9 +216,8 @@ def gained_projects(c: Ctx) -> DataFrame:
 def vat_overlap_upper(c: Ctx) -> DataFrame:
     """Tax-id overlap, raw and upper-cased."""
     a, b = c.v("proj_a"), c.v("proj_b")
-    ks = [KeySet("raw", A, a, F.col("vatID")), KeySet("raw", B, b, F.col("vatID")),
-          KeySet("up", A, a, F.upper("vatID")), KeySet("up", B, b, F.upper("vatID"))]
-    return overlap.overlap_metrics(ks, [joined("shared_vat", "raw", A, B),
+    keys = (("raw", F.col("vatID")), ("up", F.upper("vatID")))
+    return overlap.overlap_metrics([Source(a, A, keys), Source(b, B, keys)], [joined("shared_vat", "raw", A, B),
                                         joined("shared_vat_upper", "up", A, B)])
 
 
@@ -298,7 +287,7 @@ def northern_projects(c: Ctx) -> DataFrame:
 def _gains(c: Ctx) -> DataFrame:
     a = c.v("proj_a").withColumn("vatID", fallback_id("vatID", "orgURI"))
     b = c.v("proj_b").withColumn("vatID", fallback_id("vatID", "orgURI"))
-    return merge.merge_by_id(a, b)[1]
+    return merge.merge_by_id(a, b)
 
 
 @query
