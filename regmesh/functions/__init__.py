@@ -1,0 +1 @@
+"""Column expressions (built-in Catalyst functions only, no UDFs)."""

@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: overlap, resolve, merge, enrich, triples, metrics."""

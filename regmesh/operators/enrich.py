@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import fallback_id
-from .merge import merged_titles, union_all
+from .merge import merged_titles, min_per_key, union_all
 
 
 def org_projects(df: DataFrame, org: str = "orgURI") -> DataFrame:
@@ -49,8 +49,8 @@ def projects_by_org(code_src: DataFrame, label_src: DataFrame, dim: DataFrame,
               .filter(F.col(measure).isNotNull())
               .groupBy("orgURI", measure, "countryName").count())
     # quirk l: one name per URI over both sources
-    names = (union_all(code_src, label_src, cols=["orgURI", "orgName"])
-             .groupBy("orgURI").agg(F.coalesce(F.min("orgName"), F.lit("")).alias("orgName")))
+    names = min_per_key(union_all(code_src, label_src, cols=["orgURI", "orgName"]),
+                        ["orgURI"], ["orgName"])
     return (result.join(names, "orgURI").drop("orgURI")
             .select(measure, "countryName", "count", "orgName")
             .orderBy(F.desc("count"), F.asc("orgName"), F.asc("countryName")))
@@ -114,8 +114,6 @@ def northern_projects(src1: DataFrame, src2: DataFrame, allowed: DataFrame,
     s1 = s1.withColumn("vatID", fallback_id("vatID", "orgURI"))
     s2 = s2.withColumn("vatID", fallback_id("vatID", "orgURI"))
     merged = merged_titles(s1, s2)
-    info = (union_all(s1, s2, cols=["vatID", "country", "orgName"])
-            .groupBy("vatID")
-            .agg(F.coalesce(F.min("country"), F.lit("")).alias("Country"),
-                 F.coalesce(F.min("orgName"), F.lit("")).alias("LegalName")))
+    info = min_per_key(union_all(s1, s2, cols=["vatID", "country", "orgName"]),
+                       ["vatID"], ["country", "orgName"], ["Country", "LegalName"])
     return merged.join(info, "vatID", "left").select("LegalName", "Country", "ProjectTitle")

@@ -24,39 +24,60 @@ def union_all(*frames: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def min_per_key(df: DataFrame, keys: list[str], values: list[str],
+                outs: list[str] | None = None, empty: str | None = "") -> DataFrame:
+    """Smallest value of string columns per key (A12 representative, quirk a4).
+
+    Spark cannot hash-aggregate ``min`` over strings (the buffer is not
+    fixed-width), so the aggregate is sort-based.  To keep that sort small the
+    (key, value) rows are de-duplicated first with a hash aggregate (map-side
+    combine), then hash-repartitioned on the key: that exchange is the one the
+    aggregate needs anyway, and it stops Catalyst from folding the distinct
+    into the ``min`` (which it otherwise does, ``min`` ignoring duplicates),
+    so the sort sees distinct pairs, not raw rows.  ``empty`` replaces an
+    all-NULL group (``concat_ws`` of an empty set gives ``''``).
+    """
+    outs = outs or values
+    d = df.select(*keys, *values).distinct().repartition(*keys)
+
+    def agg(v, o):
+        m = F.min(v)
+        return (F.coalesce(m, F.lit(empty)) if empty is not None else m).alias(o)
+    return d.groupBy(*keys).agg(*[agg(v, o) for v, o in zip(values, outs)])
+
+
 def representative(frames: list[DataFrame], key: str, attr: str, out: str | None = None) -> DataFrame:
     """One value of ``attr`` per ``key`` over several sources.
 
     The reference keeps element 0 of a split ``collect_set`` - arbitrary and
-    cut at separators (quirks a1-a5).  ``min`` is deterministic and equal to
-    the min over the union-distinct, so no distinct step is needed.  An
-    all-NULL group gives ``''`` like ``concat_ws`` of an empty set.
+    cut at separators (quirks a1-a5).  ``min`` is deterministic; an all-NULL
+    group gives ``''`` like ``concat_ws`` of an empty set.
     """
     u = union_all(*frames, cols=[key, attr])
-    return u.groupBy(key).agg(F.coalesce(F.min(attr), F.lit("")).alias(out or attr))
+    return min_per_key(u, [key], [attr], [out or attr])
 
 
 def org_budget(a: DataFrame, b: DataFrame) -> DataFrame:
     """Q1: budget and project count per organisation id (pic).
 
-    Reference steps: names = min name per pic over both sources; facts =
+    Reference steps: names = one name per pic over both sources; facts =
     distinct (pic, proj, budget) rows, then count(proj) and sum(budget) per
     pic; inner join on pic (so a NULL pic is dropped); sort.
 
-    Plan here: the name minimum rides along the distinct step
-    (``min`` per (pic, proj, budget), then ``min`` of those per pic is the
-    min over all names of the pic), which removes the second aggregation and
-    the join: two hash aggregations with partial combine, one sort.
+    Plan: facts are two hash aggregations with map-side combine (a hot pic
+    is split over its (proj, budget) values first, then one partial row per
+    map task); names are the distinct (pic, name) pairs' minimum; the join
+    is between two per-pic aggregates, hash-partitioned on pic already.
     """
     cols = ["pic", "orgName", "proj", "budget"]
     u = union_all(a, b, cols=cols).filter(F.col("pic").isNotNull())
-    per_row = u.groupBy("pic", "proj", "budget").agg(F.min("orgName").alias("_n"))
-    out = per_row.groupBy("pic").agg(
-        F.coalesce(F.min("_n"), F.lit("")).alias("organizationName"),
-        money_sum("budget").alias("totalBudget"),
-        F.count("proj").alias("numberProjects"),
-    )
-    return out.orderBy(F.desc("totalBudget"), F.desc("numberProjects"), F.asc("pic"))
+    facts = (u.select("pic", "proj", "budget").distinct()
+             .groupBy("pic").agg(money_sum("budget").alias("totalBudget"),
+                                 F.count("proj").alias("numberProjects")))
+    names = min_per_key(u, ["pic"], ["orgName"], ["organizationName"])
+    return (facts.join(names, "pic")
+            .select("pic", "organizationName", "totalBudget", "numberProjects")
+            .orderBy(F.desc("totalBudget"), F.desc("numberProjects"), F.asc("pic")))
 
 
 def region_budget(a: DataFrame, b: DataFrame, region: str = "country") -> DataFrame:

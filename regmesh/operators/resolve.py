@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merge import min_per_key
+
 
 def alias_members(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
     """Distinct ``(name, uri)`` membership, NULL URIs dropped (``collect_set`` skips them)."""
@@ -95,7 +97,7 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
     """
     live = orgs.filter(F.col(uri).isNotNull())
     cmap = canonical_map(alias_members(live, name, uri), name, uri)
-    per_uri_title = live.groupBy(uri, title).agg(F.min(org_name).alias("_n"))
+    per_uri_title = min_per_key(live, [uri, title], [org_name], ["_n"], empty=None)
     resolved = (per_uri_title.join(cmap, uri)
                 .groupBy(F.col("canonicalURI"), F.col(title))
                 .agg(F.min("_n").alias("_n")))

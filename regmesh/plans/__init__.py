@@ -1,0 +1 @@
+"""Report pipelines (``queries``) and their DuckDB oracle SQL (``oracle``)."""

@@ -1,0 +1 @@
+"""Sources and sinks: parquet base tables, registry fixture views, CSV I/O."""

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is batch-only: it has no ``readStream``, watermark, window,
+state or late-data handling (SURVEY 2.14), and every operator here is a
+batch ``DataFrame -> DataFrame`` function.  Nothing streaming is built,
+because the task is to rebuild what the reference does and no more.
+"""
