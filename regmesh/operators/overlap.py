@@ -219,7 +219,7 @@ def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]
 
 def gained_projects(a: DataFrame, b_subjects: DataFrame, c: DataFrame,
                     name: str = "cleanName", project: str = "projectURI") -> DataFrame:
-    """E15 (JO1 stats): how many projects registry B brings for orgs A already has.
+    """How many projects registry B brings for orgs A already has.
 
     orgs_a      = distinct names of A
     orgs_bc     = distinct names of C UNION B

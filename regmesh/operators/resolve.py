@@ -150,7 +150,7 @@ def multi_valued(df: DataFrame, key: str, attr: str, out: str) -> DataFrame:
             .filter(F.col(out) > 1))
 
 
-# --- acronym matching (JO1 stats) ------------------------------------------
+# --- acronym matching -------------------------------------------------------
 
 def _lower_acronym(df: DataFrame) -> DataFrame:
     return df.withColumn("acronym", F.lower("acronym"))
@@ -171,8 +171,8 @@ def acronym_summary(base: DataFrame) -> DataFrame:
     b = b.select("acronym", "orgURI", "projectURI", "title").distinct()
     return b.groupBy("acronym").agg(
         F.count(F.lit(1)).alias("n_matches"),
-        F.min("orgURI").alias("orgURIcordis"),
-        F.min("projectURI").alias("projectCordis"),
+        F.min("orgURI").alias("baseOrgURI"),
+        F.min("projectURI").alias("baseProjectURI"),
     )
 
 
@@ -199,7 +199,7 @@ def acronym_org_map(subjects: DataFrame, base: DataFrame) -> DataFrame:
     m = acronym_match(subjects, base)
     return (m.filter(F.col("orgURI").isNotNull())
             .groupBy("orgURI")
-            .agg(F.min("orgURIcordis").alias("_m"))
+            .agg(F.min("baseOrgURI").alias("_m"))
             .select("orgURI", F.coalesce(F.col("_m"), F.col("orgURI")).alias("newOrgURI")))
 
 

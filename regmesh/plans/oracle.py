@@ -178,12 +178,12 @@ sql("vat_overlap_upper", AB, metric_rows(
 
 _SUBJ = ("(SELECT DISTINCT lower(acronym) AS acronym, projectURI, title, orgURI, orgName, country "
          "FROM proj_b)")
-_ACR_A = ("(SELECT acronym, count(*) AS n_matches, min(orgURI) AS orgURIcordis, "
-          "min(projectURI) AS projectCordis FROM (SELECT DISTINCT lower(acronym) AS acronym, "
+_ACR_A = ("(SELECT acronym, count(*) AS n_matches, min(orgURI) AS baseOrgURI, "
+          "min(projectURI) AS baseProjectURI FROM (SELECT DISTINCT lower(acronym) AS acronym, "
           "orgURI, projectURI, title FROM proj_a WHERE acronym IS NOT NULL) d GROUP BY acronym)")
 _MATCH = f"""
 SELECT s.acronym, s.projectURI, s.title, s.orgURI, s.orgName, s.country,
-       CAST(COALESCE(m.n_matches, 0) AS BIGINT) AS n_matches, m.orgURIcordis, m.projectCordis
+       CAST(COALESCE(m.n_matches, 0) AS BIGINT) AS n_matches, m.baseOrgURI, m.baseProjectURI
 FROM {_SUBJ} s LEFT JOIN {_ACR_A} m ON s.acronym = m.acronym"""
 
 sql("acronym_match", AB, _MATCH)
@@ -193,7 +193,7 @@ SELECT s.* FROM {_SUBJ} s
 WHERE NOT EXISTS (SELECT 1 FROM proj_a a WHERE lower(a.acronym) = s.acronym)""")
 
 sql("acronym_org_map", AB, f"""
-SELECT orgURI, COALESCE(min(orgURIcordis), orgURI) AS newOrgURI
+SELECT orgURI, COALESCE(min(baseOrgURI), orgURI) AS newOrgURI
 FROM ({_MATCH}) m WHERE orgURI IS NOT NULL GROUP BY orgURI""")
 
 sql("rewrite_on_title_match", AB, f"""

@@ -1,9 +1,9 @@
 """The query registry: one callable ``(spark, sf_dir) -> DataFrame`` per report/operator.
 
-Roles of the fixture registries (SURVEY 1.2 names in brackets):
-  A = proj_a  [cordis, beneficiaries source 1, STEM source 1]
-  B = proj_b  [openaire, openaire_subjects, beneficiaries source 2, STEM source 2]
-  C = proj_c  [scholarly]
+Roles of the fixture registries:
+  A = proj_a  the base registry (first source of every two-source report)
+  B = proj_b  the second registry; also the "subjects" extract with acronyms
+  C = proj_c  the third registry (org, title)
 Each query reads whole tables through the fixture views; nothing is sampled.
 """
 

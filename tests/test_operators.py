@@ -188,7 +188,7 @@ def test_acronym_new_keeps_null(spark):
 
 def test_acronym_match_and_org_map(spark):
     subj, base = _acr(spark)
-    m = {r["projectURI"]: (r["n_matches"], r["orgURIcordis"]) for r in
+    m = {r["projectURI"]: (r["n_matches"], r["baseOrgURI"]) for r in
          resolve.acronym_match(subj, base).collect()}
     assert m == {"pb1": (2, "oa0"), "pb2": (0, None), "pb3": (0, None)}
     assert dict(rows(resolve.acronym_org_map(subj, base))) == {
