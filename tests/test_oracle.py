@@ -6,6 +6,11 @@ import __spark_entry__ as se
 from tests.conftest import SMOKE_DIR
 from tests.util import canon
 
+SPARK_TO_DUCK = {
+    "StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER",
+    "DoubleType": "DOUBLE", "DateType": "DATE", "BooleanType": "BOOLEAN",
+}
+
 QUERIES = se.queries()
 SQL = se.oracle_sql()
 
@@ -21,6 +26,9 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(SQL[name])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {f.name: SPARK_TO_DUCK[type(f.dataType).__name__] for f in df.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
     assert len(srows) == len(orows)
     assert canon(df.columns, srows) == canon(rel.columns, orows)
 
