@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -30,5 +31,15 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            path = self.path(name)
+            schema = _SCHEMAS.get(path)
+            if schema is None:            # footers are read once per process
+                schema = _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            self._cache[name] = self.spark.read.schema(schema).parquet(path)
         return self._cache[name]
+
+
+# Schema per table path.  Reading Parquet without a schema runs a footer job
+# every time a query is built; the tables are immutable inputs, so their
+# schema is resolved once and passed explicitly afterwards.
+_SCHEMAS: dict[str, StructType] = {}
