@@ -32,13 +32,17 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType,
 def write_single_csv(df: DataFrame, path: str, sort_cols: list | None = None) -> None:
     """K1/K2: one CSV part file with a header, replacing earlier output.
 
-    The sort runs *after* the exchange to one partition: sorting first and
-    then repartitioning (the reference's order) gives no order guarantee.
-    Only for final, report-sized results - everything funnels into one task.
+    With ``sort_cols`` the sort runs *after* the exchange to one partition:
+    sorting first and then repartitioning (the reference's order) gives no
+    order guarantee.  Without them an ``orderBy``-ed frame keeps its order
+    through ``coalesce(1)``, which reads the range-sorted partitions in
+    sequence (the sort itself stays parallel).  Only for final, report-sized
+    results - the write funnels into one task.
     """
-    one = df.repartition(1)
     if sort_cols:
-        one = one.sortWithinPartitions(*sort_cols)
+        one = df.repartition(1).sortWithinPartitions(*sort_cols)
+    else:
+        one = df.coalesce(1)
     one.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
