@@ -358,6 +358,13 @@ SELECT DISTINCT '{fx.G_PROJECTS}' AS g, projectURI AS s, '{fx.HAS_FIELD}' AS p,
        category AS o, 'string' AS o_type
 FROM resolved WHERE projectURI <> ''
 EXCEPT SELECT g, s, p, o, o_type FROM quads""")
+sql("annotated_graph", QC, _RESOLVED + f"""
+SELECT g, s, p, o, o_type FROM quads
+UNION ALL
+(SELECT DISTINCT '{fx.G_PROJECTS}' AS g, projectURI AS s, '{fx.HAS_FIELD}' AS p,
+        category AS o, 'string' AS o_type
+ FROM resolved WHERE projectURI <> ''
+ EXCEPT SELECT g, s, p, o, o_type FROM quads)""")
 sql("annotate_counts", QC, _RESOLVED + "\n" + metric_rows(
     ("rows_in", "(SELECT count(*) FROM resolved WHERE projectURI <> '')"),
     ("rows_out", "(SELECT count(*) FROM resolved WHERE projectURI = '')")))

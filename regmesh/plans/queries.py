@@ -399,6 +399,13 @@ def annotate_fields(c: Ctx) -> DataFrame:
     return triples.new_only(c.v("quads"), new)
 
 
+@query
+def annotated_graph(c: Ctx) -> DataFrame:
+    """The graph snapshot after the annotation (old quads + new ones)."""
+    new = triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
+    return triples.insert_triples(c.v("quads"), new)
+
+
 @query
 def annotate_counts(c: Ctx) -> DataFrame:
     """Q17: classification rows found / not found in the graph."""

@@ -130,3 +130,9 @@ def test_results_do_not_depend_on_partitioning(spark):
 
 def test_schema_round_trip_columns():
     assert [f.name for f in PROJ.fields][:3] == ["projectURI", "title", "acronym"]
+
+
+def test_shared_dir_follows_session_checkpoint_dir(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    p1, p2 = shared_dir(spark, "x"), shared_dir(spark, "x")
+    assert p1.startswith(base) and p1 != p2
