@@ -129,10 +129,12 @@ def repositories_of(orgs: DataFrame, name: str = "cleanName", source: str = "sou
     The set per name is bounded by the number of sources (not by the data),
     so ``collect_set`` is safe here.
     """
-    srcs = (orgs.filter(F.col(name).isNotNull())
-            .groupBy(name).agg(F.array_sort(F.collect_set(source)).alias("_all"))
-            .filter(F.size("_all") > 1))
     present = orgs.select(name, source).filter(F.col(name).isNotNull()).distinct()
+    # built from ``present`` (with a count, so Catalyst keeps that distinct)
+    # so both sides of the join read one reused stage
+    srcs = (present.groupBy(name)
+            .agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set(source)).alias("_all"))
+            .filter(F.col("_n") > 1))
     return (present.join(srcs, name)
             .select(name, source,
                     F.concat_ws(",", F.array_except("_all", F.array(F.col(source))))
@@ -196,10 +198,8 @@ def acronym_org_map(subjects: DataFrame, base: DataFrame) -> DataFrame:
     ``min`` over all matches replaces the reference's "last write wins" map;
     orgs without a match map to themselves.
     """
-    m = acronym_match(subjects, base)
-    return (m.filter(F.col("orgURI").isNotNull())
-            .groupBy("orgURI")
-            .agg(F.min("baseOrgURI").alias("_m"))
+    m = acronym_match(subjects, base).filter(F.col("orgURI").isNotNull())
+    return (min_per_key(m, ["orgURI"], ["baseOrgURI"], ["_m"], empty=None)
             .select("orgURI", F.coalesce(F.col("_m"), F.col("orgURI")).alias("newOrgURI")))
 
 
@@ -214,8 +214,8 @@ def rewrite_on_title_match(subjects: DataFrame, base: DataFrame, title_key) -> D
     s = _lower_acronym(subjects).distinct().withColumn("_tk", title_key(F.col("title")))
     b = (_lower_acronym(base).filter(F.col("acronym").isNotNull())
          .withColumn("_tk", title_key(F.col("title")))
-         .filter(F.col("_tk").isNotNull())
-         .groupBy("acronym", "_tk").agg(F.min("projectURI").alias("_p")))
+         .filter(F.col("_tk").isNotNull()))
+    b = min_per_key(b, ["acronym", "_tk"], ["projectURI"], ["_p"], empty=None)
     j = s.join(b, ["acronym", "_tk"], "left")
     return (j.withColumn("modify", F.when(F.col("_p").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
             .withColumn("projectURI", F.coalesce(F.col("_p"), F.col("projectURI")))
