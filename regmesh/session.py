@@ -67,3 +67,36 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the session's checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def cluster_conf(input_bytes: int, total_cores: int,
+                 partition_bytes: int = 256 << 20, shuffle_ratio: float = 0.25) -> dict[str, str]:
+    """Settings for a cluster run, sized from the input volume.
+
+    * scan splits of ``partition_bytes`` (Parquet row groups permitting);
+    * an initial shuffle partition count sized to the expected shuffle volume
+      (``shuffle_ratio`` of the input: the reports shuffle narrow projections
+      after map-side combine), never below 2x the cores; AQE then coalesces
+      small partitions and splits skewed ones;
+    * dimension broadcasts up to 64 MB by estimated/measured size, otherwise
+      a shuffle join;
+    * shuffle output kept when executors go away (external shuffle service,
+      decommissioning with block migration), so a lost executor costs task
+      retries, not stage recomputation.
+    """
+    shuffle_parts = int(min(200_000, max(2 * total_cores,
+                                         input_bytes * shuffle_ratio // partition_bytes)))
+    conf = {k: v for k, v in SCALE_CONF.items() if not k.startswith("spark.ui")}
+    conf.update({
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.shuffle.service.enabled": "true",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    })
+    return conf

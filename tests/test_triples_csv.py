@@ -136,3 +136,12 @@ def test_shared_dir_follows_session_checkpoint_dir(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     p1, p2 = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert p1.startswith(base) and p1 != p2
+
+
+def test_cluster_conf_sizes_from_input():
+    from regmesh.session import cluster_conf
+    big = cluster_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 102_400   # 25 TB shuffled in 256 MB parts
+    small = cluster_conf(1 << 30, 16)
+    assert int(small["spark.sql.shuffle.partitions"]) == 32
+    assert big["spark.sql.adaptive.enabled"] == "true"
