@@ -450,9 +450,9 @@ def category_labels(c: Ctx) -> DataFrame:
 
 @query
 def csv_roundtrip(c: Ctx) -> DataFrame:
-    """Registry A written as one header CSV and read back typed."""
+    """Registry A written as header CSV (in parallel) and read back typed."""
     path = shared_dir(c.spark, "csv-roundtrip")
-    csvio.write_single_csv(c.v("proj_a"), path)
+    csvio.write_csv(c.v("proj_a"), path)
     raw = csvio.read_csv(c.spark, path, PROJ, multiline=True)
     return raw.select(
         *[F.col(n) for n in ("projectURI", "title", "acronym", "orgURI", "orgName", "country",

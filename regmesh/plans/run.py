@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.single_file:
         csvio.write_single_csv(df, args.out)
     else:
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(args.out)
+        csvio.write_csv(df, args.out)
     return 0
 
 

@@ -46,6 +46,16 @@ def write_single_csv(df: DataFrame, path: str, sort_cols: list | None = None) ->
     one.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Parallel CSV write (one part file per partition, header in each).
+
+    The scalable counterpart of K1: a table-sized frame is written by all
+    tasks at once; an ``orderBy``-ed frame keeps its global order across the
+    part files (range-partitioned sort).
+    """
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def to_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Convert an ingested (e.g. multi-line CSV) source to Parquet once."""
     w = df.write.mode("overwrite")
