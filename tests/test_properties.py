@@ -71,3 +71,52 @@ def test_multi_row_flag_brute_force(spark, rows_):
                   for r in resolve.flag_multi_row_names(df).collect())
     want = Counter((n, s, None if n is None else counts[(n, s)] > 1) for n, s in rows_)
     assert got == want
+
+
+PAIRS = st.lists(st.tuples(NAMES, st.sampled_from(["t1", "t2", "t3", None])), max_size=10)
+
+
+@SETTINGS
+@given(PAIRS, PAIRS)
+def test_shared_title_delta_brute_force(spark, xs, ys):
+    a = spark.createDataFrame(xs, "cleanName string, title string")
+    b = spark.createDataFrame(ys, "cleanName string, title string")
+    got = {r["metric"]: r["value"]
+           for r in overlap.shared_title_delta([a, b], [("p", 0, 1)]).collect()}
+    shared = {n for n, _ in xs} & {n for n, _ in ys}
+    ta = {t for n, t in xs if n is not None and n in shared}
+    tb = {t for n, t in ys if n is not None and n in shared}
+    assert got == {"p_shared_names": len(shared), "p_titles_a": len(ta), "p_titles_b": len(tb),
+                   "p_title_delta": len(ta) - len(tb)}
+
+
+@SETTINGS
+@given(PAIRS, PAIRS)
+def test_names_sharing_keys_brute_force(spark, xs, ys):
+    a = spark.createDataFrame([(t, n) for n, t in xs], "title string, cleanName string")
+    b = spark.createDataFrame([(t, n) for n, t in ys], "title string, cleanName string")
+    got = {(r["side"], r["cleanName"])
+           for r in overlap.names_sharing_keys(a, b, F.col("title"), F.col("title")).collect()}
+    ta = {t for _, t in xs if t is not None}
+    tb = {t for _, t in ys if t is not None}
+    want = ({("B", n) for n, t in ys if t in ta} | {("A", n) for n, t in xs if t in tb})
+    assert got == want
+
+
+IDS = st.one_of(st.none(), st.sampled_from(["V1", "V2", "V3"]))
+TITLES = st.sampled_from(["Alpha", "alpha", "Beta", "gamma"])
+
+
+@SETTINGS
+@given(st.lists(st.tuples(IDS, TITLES), max_size=10), st.lists(st.tuples(IDS, TITLES), max_size=10))
+def test_merge_by_id_brute_force(spark, xs, ys):
+    from regmesh.operators import merge
+    a = spark.createDataFrame(xs, "vatID string, title string")
+    b = spark.createDataFrame(ys, "vatID string, title string")
+    got = {r["vatID"]: (r["countByBase"], r["countByMerge"], r["newProjects"])
+           for r in merge.merge_by_id(a, b).collect()}
+    base = Counter(v for v, _ in xs)
+    merged = Counter(v for v, _ in {(v, t.lower()) for v, t in xs + ys})
+    want = {v: (base[v], merged[v], merged[v] - base[v])
+            for v in base if v is not None and merged[v] - base[v] > 0}
+    assert got == want
