@@ -195,26 +195,34 @@ def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]
       delta          = titles_a - titles_b (may be negative; not a set difference)
 
     Every frame is read once into distinct (name, title) pairs with a source
-    mask; per-name title counts per source decide which names are shared, and
-    the per-pair title counts are semi joins of the same reduced frame.
+    mask; per-name title counts per source decide which names are shared in
+    which pair; one join of the pairs with those per-name flags and one
+    aggregation per title then serve every pair at once.
     """
     p = _pairs([(df, i, F.col(name), F.col(title)) for i, df in enumerate(frames)], name, title)
     # titles per source per name (counts, so the distinct pairs below stay one
     # shared stage instead of being re-derived from the sources)
     n = p.groupBy(name).agg(*[F.count_if(_has("m", 1 << i)).alias(f"_n{i}")
                               for i in range(len(frames))])
-    out = []
-    for prefix, x, y in pairs:
-        both = (F.col(f"_n{x}") > 0) & (F.col(f"_n{y}") > 0)
-        names = n.agg(F.count_if(both).alias(f"{prefix}_shared_names"))
-        shared = n.filter(_not_null_and(name, both))
-        t = semi_by(p, shared, name).groupBy(title).agg(F.bit_or("m").alias("tm"))
-        titles = (t.agg(F.count_if(_has("tm", 1 << x)).alias(f"{prefix}_titles_a"),
-                        F.count_if(_has("tm", 1 << y)).alias(f"{prefix}_titles_b"))
-                  .withColumn(f"{prefix}_title_delta",
-                              F.col(f"{prefix}_titles_a") - F.col(f"{prefix}_titles_b")))
-        out += [to_long(names), to_long(titles)]
-    return reduce(DataFrame.unionByName, out)
+
+    def both(x: int, y: int) -> Column:
+        return (F.col(f"_n{x}") > 0) & (F.col(f"_n{y}") > 0)
+
+    names = n.agg(*[F.count_if(both(x, y)).alias(f"{pf}_shared_names") for pf, x, y in pairs])
+    # one row per name with "shared in pair k" flags; NULL names never share
+    flags = n.select(F.col(name).alias("_g"),
+                     *[_not_null_and(name, both(x, y)).alias(f"_s{k}")
+                       for k, (_, x, y) in enumerate(pairs)])
+    j = p.join(flags, F.col(name).eqNullSafe(F.col("_g")))
+    t = j.groupBy(title).agg(*[F.bit_or(F.when(F.col(f"_s{k}"), F.col("m")).otherwise(F.lit(0)))
+                               .alias(f"_t{k}") for k in range(len(pairs))])
+    cols = []
+    for k, (pf, x, y) in enumerate(pairs):
+        ta = F.count_if(_has(f"_t{k}", 1 << x))
+        tb = F.count_if(_has(f"_t{k}", 1 << y))
+        cols += [ta.alias(f"{pf}_titles_a"), tb.alias(f"{pf}_titles_b"),
+                 (ta - tb).alias(f"{pf}_title_delta")]
+    return to_long(names).unionByName(to_long(t.agg(*cols)))
 
 
 def gained_projects(a: DataFrame, b_subjects: DataFrame, c: DataFrame,
