@@ -382,3 +382,4 @@ SELECT * FROM quads WHERE g IS DISTINCT FROM '{fx.G_PATENTS}'""")
 sql("list_graphs", ("quads",), "SELECT DISTINCT g FROM quads ORDER BY g LIMIT 100")
 sql("category_labels", ("classification",), "SELECT DISTINCT category FROM classification")
 sql("csv_roundtrip", ("proj_a",), "SELECT * FROM proj_a")
+SQL["report_csv"] = SQL["org_budget"]     # the written-and-read-back Q1 report

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.normalize import clean, clean_title, fallback_id, to_double, try_date
 from ..operators import enrich, merge, overlap, resolve, triples
@@ -460,3 +461,15 @@ def csv_roundtrip(c: Ctx) -> DataFrame:
         to_double("budget").alias("budget"),
         try_date("sDate").alias("sDate"), try_date("eDate").alias("eDate"),
         F.col("source"))
+
+
+@query
+def report_csv(c: Ctx) -> DataFrame:
+    """K1/K2: the Q1 report written as one sorted CSV file with a header, read back."""
+    path = shared_dir(c.spark, "report-csv")
+    csvio.write_single_csv(merge.org_budget(c.v("proj_a"), c.v("proj_b")), path)
+    schema = StructType([StructField(n, StringType(), True) for n in
+                         ("pic", "organizationName", "totalBudget", "numberProjects")])
+    raw = csvio.read_csv(c.spark, path, schema)
+    return raw.select("pic", "organizationName", to_double("totalBudget").alias("totalBudget"),
+                      F.col("numberProjects").try_cast("bigint").alias("numberProjects"))

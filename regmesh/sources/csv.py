@@ -25,10 +25,23 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType,
             .option("quote", '"')
             .option("escape", '"')
             .option("multiLine", multiline)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
             .option("mode", "PERMISSIVE")
             .csv(paths))
 
 
+def _writer(df: DataFrame):
+    """Header, RFC 4180 quoting, and values written exactly: Spark's CSV writer
+    trims leading/trailing white space by default, which would change names
+    such as ``' ORG 3 '``."""
+    return (df.write.mode("overwrite")
+            .option("header", True)
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False))
+
+
 def write_single_csv(df: DataFrame, path: str, sort_cols: list | None = None) -> None:
     """K1/K2: one CSV part file with a header, replacing earlier output.
 
@@ -43,7 +56,7 @@ def write_single_csv(df: DataFrame, path: str, sort_cols: list | None = None) ->
         one = df.repartition(1).sortWithinPartitions(*sort_cols)
     else:
         one = df.coalesce(1)
-    one.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _writer(one).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -53,7 +66,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     tasks at once; an ``orderBy``-ed frame keeps its global order across the
     part files (range-partitioned sort).
     """
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _writer(df).csv(path)
 
 
 def to_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -88,20 +88,21 @@ def test_csv_round_trip_quotes_newlines_empty(spark):
         f.write('"Acme ""Labs""",u1,"line one\nline two"\n')
         f.write('Plain,u2,\n')
         f.write('"",u3,"x, y"\n')
+        f.write(' padded ,u4, both \n')
     from regmesh.schemas import ORG_TITLE
     df = csvio.read_csv(spark, src, ORG_TITLE, multiline=True)
     got = rows(df, "orgName", "orgURI", "title")
-    # doubled quotes unescape, quoted newlines stay inside the field, and both
-    # an empty and a quoted-empty field read as NULL
-    assert got == [("Acme \"Labs\"", "u1", "line one\nline two"), ("Plain", "u2", None),
-                   (None, "u3", "x, y")]
+    # doubled quotes unescape, quoted newlines stay inside the field, white
+    # space is kept, and both an empty and a quoted-empty field read as NULL
+    assert got == [(" padded ", "u4", " both "), ("Acme \"Labs\"", "u1", "line one\nline two"),
+                   ("Plain", "u2", None), (None, "u3", "x, y")]
     out = os.path.join(path, "out")
     csvio.write_single_csv(df, out, sort_cols=["orgURI"])
     parts = [p for p in os.listdir(out) if p.endswith(".csv")]
     assert len(parts) == 1
     back = csvio.read_csv(spark, out, ORG_TITLE, multiline=True)
-    assert [r["orgURI"] for r in back.collect()] == ["u1", "u2", "u3"]     # K2: sorted in the file
-    assert rows(back, "orgURI", "title") == rows(df, "orgURI", "title")
+    assert [r["orgURI"] for r in back.collect()] == ["u1", "u2", "u3", "u4"]   # K2: sorted
+    assert rows(back) == rows(df)          # white space, quotes and newlines survive
 
 
 def test_multi_file_source_is_one_union(spark):
