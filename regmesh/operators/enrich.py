@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import fallback_id
 from .merge import merged_titles, min_per_key, union_all
+from .skew import hot_keys, salted_join
 
 
 def org_projects(df: DataFrame, org: str = "orgURI") -> DataFrame:
@@ -116,4 +117,6 @@ def northern_projects(src1: DataFrame, src2: DataFrame, allowed: DataFrame,
     merged = merged_titles(s1, s2)
     info = min_per_key(union_all(s1, s2, cols=["vatID", "country", "orgName"]),
                        ["vatID"], ["country", "orgName"], ["Country", "LegalName"])
-    return merged.join(info, "vatID", "left").select("LegalName", "Country", "ProjectTitle")
+    hot = hot_keys(merged.groupBy("vatID").agg(F.count(F.lit(1)).alias("_t")), ["vatID"], "_t")
+    return (salted_join(merged, info, ["vatID"], "left", hot)
+            .select("LegalName", "Country", "ProjectTitle"))

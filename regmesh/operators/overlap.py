@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import to_long
+from .skew import hot_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -138,18 +139,6 @@ def _pairs(parts: list[tuple[DataFrame, int, Column, Column]], k: str, v: str) -
     return u.groupBy(k, v).agg(F.bit_or("bit").alias("m"))
 
 
-def semi_by(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """Rows of ``df`` whose ``col`` is in ``keys`` (which holds no NULL).
-
-    Written as a null-safe semi join on purpose: a plain equi-join makes
-    Catalyst infer ``col IS NOT NULL`` and push it into ``df``'s aggregate,
-    so ``df`` would no longer be identical to its other uses and its shuffle
-    could not be reused - the source would be scanned twice.
-    """
-    k = keys.select(F.col(col).alias("_k"))
-    return df.join(k, F.col(col).eqNullSafe(F.col("_k")), "left_semi")
-
-
 def _not_null_and(col: str, cond: Column) -> Column:
     """``col IS NOT NULL AND cond`` as one CASE, so Catalyst cannot split off
     ``col IS NOT NULL`` and push it below the aggregate that produced the
@@ -173,9 +162,13 @@ def names_sharing_keys(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column,
     join instead of multiplied) and each pair is tested against it.
     """
     A, B = 1, 2
-    p = _pairs([(a, 0, key_a, F.col(name)), (b, 1, key_b, F.col(name))], "_t", name)
-    t = p.groupBy("_t").agg(F.bit_or("m").alias("tm"))
-    j = p.join(t, "_t").filter(F.col("_t").isNotNull())
+    # a NULL title never matches (inner join), so it is dropped for every branch alike
+    p = (_pairs([(a, 0, key_a, F.col(name)), (b, 1, key_b, F.col(name))], "_t", name)
+         .filter(F.col("_t").isNotNull()))
+    # the weight (pairs per key) is counted through the mask so the pairs
+    # stage stays identical in every branch and its shuffle is reused
+    t = p.groupBy("_t").agg(F.bit_or("m").alias("tm"), F.count_if(F.col("m") != 0).alias("_r"))
+    j = salted_join(p, t.drop("_r"), ["_t"], "inner", hot_keys(t, ["_t"], "_r"))
     side = F.explode(F.array(
         F.when(_has("m", B) & _has("tm", A), F.lit("B")),
         F.when(_has("m", A) & _has("tm", B), F.lit("A"))))
@@ -204,16 +197,16 @@ def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]
     # shared stage instead of being re-derived from the sources)
     n = p.groupBy(name).agg(*[F.count_if(_has("m", 1 << i)).alias(f"_n{i}")
                               for i in range(len(frames))])
+    weight = reduce(lambda x, y: x + y, [F.col(f"_n{i}") for i in range(len(frames))])
 
     def both(x: int, y: int) -> Column:
         return (F.col(f"_n{x}") > 0) & (F.col(f"_n{y}") > 0)
 
     names = n.agg(*[F.count_if(both(x, y)).alias(f"{pf}_shared_names") for pf, x, y in pairs])
     # one row per name with "shared in pair k" flags; NULL names never share
-    flags = n.select(F.col(name).alias("_g"),
-                     *[_not_null_and(name, both(x, y)).alias(f"_s{k}")
-                       for k, (_, x, y) in enumerate(pairs)])
-    j = p.join(flags, F.col(name).eqNullSafe(F.col("_g")))
+    flags = n.select(name, *[_not_null_and(name, both(x, y)).alias(f"_s{k}")
+                             for k, (_, x, y) in enumerate(pairs)])
+    j = salted_join(p, flags, [name], "inner", hot_keys(n, [name], weight), null_safe=True)
     t = j.groupBy(title).agg(*[F.bit_or(F.when(F.col(f"_s{k}"), F.col("m")).otherwise(F.lit(0)))
                                .alias(f"_t{k}") for k in range(len(pairs))])
     cols = []
@@ -247,8 +240,9 @@ def gained_projects(a: DataFrame, b_subjects: DataFrame, c: DataFrame,
     names = n.agg(F.count_if(F.col("na") > 0).alias("orgs_a"),
                   F.count_if(F.col("nbc") > 0).alias("orgs_bc"),
                   F.count_if(both).alias("shared_orgs"))
-    shared = n.filter(both)
-    g = (semi_by(p.filter(_has("m", B)), shared, name)
+    shared = n.filter(both).select(name)
+    g = (salted_join(p.filter(_has("m", B)), shared, [name], "left_semi",
+                     hot_keys(n, [name], F.col("na") + F.col("nbc")), null_safe=True)
          .agg((F.count_distinct(F.col(project))
                + F.coalesce(F.max(F.col(project).isNull().cast("int")), F.lit(0)))
               .alias("gained_projects")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merge import min_per_key
+from .skew import hot_keys, salted_join
 
 
 def alias_members(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
@@ -47,11 +48,12 @@ def canonical_map(members: DataFrame, name: str = "cleanName", uri: str = "orgUR
     afterwards, and the group size (a count, which Catalyst cannot treat as
     duplicate-insensitive) decides membership: both branches then read the
     very same ``members`` plan, so its shuffle is reused instead of the
-    sources being scanned twice.
+    sources being scanned twice.  The heaviest groups are salted across
+    tasks (``skew.salted_join``), so a name owning a third of all URIs does
+    not become one task.
     """
-    gmin = members.groupBy(F.col(name).alias("_g")).agg(F.min(uri).alias("_gmin"),
-                                                         F.count(F.lit(1)).alias("_size"))
-    j = members.join(gmin, F.col(name).eqNullSafe(F.col("_g")), "left")
+    gmin = members.groupBy(name).agg(F.min(uri).alias("_gmin"), F.count(F.lit(1)).alias("_size"))
+    j = salted_join(members, gmin, [name], "left", hot_keys(gmin, [name], "_size"), null_safe=True)
     in_group = F.col(name).isNotNull() & (F.col("_size") > 1)
     per_uri = j.groupBy(uri).agg(F.min(F.when(in_group, F.col("_gmin"))).alias("_m"))
     return per_uri.select(F.col(uri), F.coalesce(F.col("_m"), F.col(uri)).alias("canonicalURI"))
@@ -69,14 +71,15 @@ def flag_multi_row_names(orgs: DataFrame, name: str = "cleanName",
 
     Quirk c: rows are (org, title), so an org with two titles is flagged.
     A NULL name gives NULL, as ``isin`` does.  Aggregate + join instead of a
-    window, so a hot name is split by AQE's skew join rather than landing in
-    one window task.
+    window (a window would put a hot name in one task); the heaviest names
+    are salted across tasks in the join.
     """
     dup = (orgs.filter(F.col(name).isNotNull())
-           .groupBy(source, name).count()
-           .filter(F.col("count") > 1)
-           .select(source, name, F.lit(True).alias("_dup")))
-    j = orgs.join(dup, [source, name], "left")
+           .groupBy(source, name).agg(F.count(F.lit(1)).alias("_rows"))
+           .filter(F.col("_rows") > 1))
+    hot = hot_keys(dup, [source, name], "_rows")
+    j = salted_join(orgs, dup.select(source, name, F.lit(True).alias("_dup")), [source, name],
+                    "left", hot)
     return (j.withColumn(out, F.when(F.col(name).isNull(), F.lit(None).cast("boolean"))
                          .otherwise(F.coalesce(F.col("_dup"), F.lit(False))))
             .drop("_dup"))
@@ -98,7 +101,8 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
     live = orgs.filter(F.col(uri).isNotNull())
     cmap = canonical_map(alias_members(live, name, uri), name, uri)
     per_uri_title = min_per_key(live, [uri, title], [org_name], ["_n"], empty=None)
-    resolved = (per_uri_title.join(cmap, uri)
+    hot = hot_keys(per_uri_title.groupBy(uri).agg(F.count(F.lit(1)).alias("_t")), [uri], "_t")
+    resolved = (salted_join(per_uri_title, cmap, [uri], "inner", hot)
                 .groupBy(F.col("canonicalURI"), F.col(title))
                 .agg(F.min("_n").alias("_n")))
     per_org = resolved.groupBy("canonicalURI").agg(
@@ -188,7 +192,8 @@ def acronym_match(subjects: DataFrame, base: DataFrame) -> DataFrame:
     keep NULLs and ``n_matches = 0``.
     """
     s = _lower_acronym(subjects).distinct()
-    j = s.join(acronym_summary(base), "acronym", "left")
+    hot = hot_keys(s.groupBy("acronym").agg(F.count(F.lit(1)).alias("_r")), ["acronym"], "_r")
+    j = salted_join(s, acronym_summary(base), ["acronym"], "left", hot)
     return j.withColumn("n_matches", F.coalesce(F.col("n_matches"), F.lit(0)).cast("bigint"))
 
 
@@ -216,7 +221,9 @@ def rewrite_on_title_match(subjects: DataFrame, base: DataFrame, title_key) -> D
          .withColumn("_tk", title_key(F.col("title")))
          .filter(F.col("_tk").isNotNull()))
     b = min_per_key(b, ["acronym", "_tk"], ["projectURI"], ["_p"], empty=None)
-    j = s.join(b, ["acronym", "_tk"], "left")
+    hot = hot_keys(s.groupBy("acronym", "_tk").agg(F.count(F.lit(1)).alias("_r")),
+                   ["acronym", "_tk"], "_r")
+    j = salted_join(s, b, ["acronym", "_tk"], "left", hot)
     return (j.withColumn("modify", F.when(F.col("_p").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
             .withColumn("projectURI", F.coalesce(F.col("_p"), F.col("projectURI")))
             .drop("_tk", "_p"))
