@@ -89,3 +89,19 @@ def test_title_delta_under_skew(spark, skewed):
           .select("title").distinct().collect()}
     assert got["p_shared_names"] == len(shared)
     assert (got["p_titles_a"], got["p_titles_b"]) == (len(ta), len(tb))
+
+
+def test_salting_spreads_the_hot_name_over_tasks(spark, skewed):
+    """Rows per join task: without salting one task would get the hot third."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        flagged = resolve.flag_multi_row_names(skewed)
+        per_task = [r[1] for r in flagged.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    total = sum(per_task)
+    hot = skewed.filter(F.col("cleanName") == HOT).count()
+    assert hot / total > 0.2
+    # unsalted, the task holding the hot name would carry at least its share
+    assert max(per_task) / total < 0.75 * hot / total
