@@ -25,25 +25,36 @@ def union_all(*frames: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def min_per_key(df: DataFrame, keys: list[str], values: list[str],
-                outs: list[str] | None = None, empty: str | None = "") -> DataFrame:
+                outs: list[str] | None = None, empty: str | None = "",
+                buckets: int = 32) -> DataFrame:
     """Smallest value of string columns per key (A12 representative, quirk a4).
 
     Spark cannot hash-aggregate ``min`` over strings (the buffer is not
-    fixed-width), so the aggregate is sort-based.  To keep that sort small the
-    (key, value) rows are de-duplicated first with a hash aggregate (map-side
-    combine), then hash-repartitioned on the key: that exchange is the one the
-    aggregate needs anyway, and it stops Catalyst from folding the distinct
-    into the ``min`` (which it otherwise does, ``min`` ignoring duplicates),
-    so the sort sees distinct pairs, not raw rows.  ``empty`` replaces an
-    all-NULL group (``concat_ws`` of an empty set gives ``''``).
+    fixed-width), so the aggregate is sort-based.  To keep that sort small and
+    a hot key spread out:
+
+    1. (key, value) rows are de-duplicated with a hash aggregate (map-side
+       combine, shuffled on key and value);
+    2. the distinct pairs are hash-repartitioned on (key, bucket of the
+       value) and reduced to one minimum per bucket - a key with many
+       distinct values is spread over ``buckets`` tasks.  The repartition is
+       also what stops Catalyst from folding the distinct into the ``min``
+       (``min`` ignores duplicates, so it otherwise would, and the sort would
+       see raw rows);
+    3. the per-bucket minima (at most ``buckets`` per key) are reduced per key.
+
+    ``empty`` replaces an all-NULL group (``concat_ws`` of an empty set gives ``''``).
     """
     outs = outs or values
-    d = df.select(*keys, *values).distinct().repartition(*keys)
+    d = (df.select(*keys, *values).distinct()
+         .withColumn("_b", F.pmod(F.xxhash64(*values), F.lit(buckets)))
+         .repartition(*keys, "_b"))
+    part = d.groupBy(*keys, "_b").agg(*[F.min(v).alias(v) for v in values])
 
     def agg(v, o):
         m = F.min(v)
         return (F.coalesce(m, F.lit(empty)) if empty is not None else m).alias(o)
-    return d.groupBy(*keys).agg(*[agg(v, o) for v, o in zip(values, outs)])
+    return part.groupBy(*keys).agg(*[agg(v, o) for v, o in zip(values, outs)])
 
 
 def representative(frames: list[DataFrame], key: str, attr: str, out: str | None = None) -> DataFrame:
