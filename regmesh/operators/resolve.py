@@ -168,7 +168,9 @@ def acronym_new(subjects: DataFrame, base: DataFrame) -> DataFrame:
     NULL acronyms are kept (an anti join never matches NULL).
     """
     keys = _lower_acronym(base).select("acronym").filter(F.col("acronym").isNotNull()).distinct()
-    return _lower_acronym(subjects).distinct().join(keys, "acronym", "left_anti")
+    s = _lower_acronym(subjects).distinct()
+    hot = hot_keys(s.groupBy("acronym").agg(F.count(F.lit(1)).alias("_r")), ["acronym"], "_r")
+    return salted_join(s, keys, ["acronym"], "left_anti", hot)
 
 
 def acronym_summary(base: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, salted_join
+
 QUAD_COLS = ("g", "s", "p", "o", "o_type")
 
 
@@ -44,8 +46,14 @@ def identifier_index(quads: DataFrame, graph: str, *, type_pred: str, type_obj:
 
 
 def resolve_identifier(items: DataFrame, index: DataFrame, value_col: str) -> DataFrame:
-    """T1 for a whole table at once: attach ``projectURI`` (``''`` when absent)."""
-    j = items.join(index, items[value_col].cast("string") == index["value"], "left").drop("value")
+    """T1 for a whole table at once: attach ``projectURI`` (``''`` when absent).
+
+    The index holds one row per value; values carried by very many items are
+    salted across tasks (``skew.salted_join``).
+    """
+    it = items.withColumn("value", F.col(value_col).cast("string"))
+    hot = hot_keys(it.groupBy("value").agg(F.count(F.lit(1)).alias("_r")), ["value"], "_r")
+    j = salted_join(it, index, ["value"], "left", hot).drop("value")
     return j.withColumn("projectURI", F.coalesce(F.col("projectURI"), F.lit("")))
 
 
