@@ -158,8 +158,8 @@ def names_sharing_keys(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column,
     The reference joins the two sides on the title and projects the names,
     which fans out on popular titles.  Here both sides are reduced to
     distinct (title, name) pairs in one pass each, a per-title source mask
-    is joined back (one row per title, so a hot title is split by AQE's skew
-    join instead of multiplied) and each pair is tested against it.
+    is joined back (one row per title, never a fan-out; the heaviest titles
+    are salted across tasks) and each pair is tested against it.
     """
     A, B = 1, 2
     # a NULL title never matches (inner join), so it is dropped for every branch alike
