@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from regmesh.operators import triples
 from regmesh.schemas import PROJ
