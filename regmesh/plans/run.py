@@ -2,6 +2,7 @@
 
     spark-submit -m regmesh.plans.run org_budget --data DIR --out OUT [--single-file]
     python -m regmesh.plans.run --list
+    spark-submit -m regmesh.plans.run --all --data DIR --out OUT
 
 Without ``--single-file`` the result is written by Spark in parallel; a
 report sorted with ``orderBy`` keeps its global order across the part files
@@ -29,7 +30,16 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--single-file", action="store_true", help="one CSV part file (small reports)")
     ap.add_argument("--show", type=int, default=20, help="rows to print when --out is omitted")
     ap.add_argument("--list", action="store_true", help="list the registered queries")
+    ap.add_argument("--all", action="store_true", help="run every query into OUT/<name>/")
     args = ap.parse_args(argv)
+    if args.all:
+        if not (args.data and args.out):
+            ap.error("--all needs --data and --out")
+        spark = SparkSession.builder.appName("regmesh-all").getOrCreate()
+        ensure_checkpoint_dir(spark)
+        for name, fn in REGISTRY.items():
+            csvio.write_csv(fn(spark, args.data), f"{args.out.rstrip('/')}/{name}")
+        return 0
     if args.list or not args.query:
         for name, fn in REGISTRY.items():
             print(f"{name:26s} {(fn.__doc__ or '').strip().splitlines()[0]}")
