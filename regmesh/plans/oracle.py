@@ -186,6 +186,10 @@ SELECT s.acronym, s.projectURI, s.title, s.orgURI, s.orgName, s.country,
        CAST(COALESCE(m.n_matches, 0) AS BIGINT) AS n_matches, m.baseOrgURI, m.baseProjectURI
 FROM {_SUBJ} s LEFT JOIN {_ACR_A} m ON s.acronym = m.acronym"""
 
+sql("acronym_overlap", AB, metric_rows(
+    ("acronyms_a", dcount("acronym", "proj_a")),
+    ("acronyms_b", dcount("acronym", "proj_b")),
+    ("shared_lower_acronyms", jcount("lower(acronym)", "proj_a", "lower(acronym)", "proj_b"))))
 sql("acronym_match", AB, _MATCH)
 
 sql("acronym_new", AB, f"""

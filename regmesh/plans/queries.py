@@ -228,6 +228,16 @@ def _subjects(c: Ctx) -> DataFrame:
     return c.v("proj_b").select(*SUBJECT_COLS)
 
 
+@query
+def acronym_overlap(c: Ctx) -> DataFrame:
+    """Q8: distinct acronyms per registry and their overlap on lower(acronym)."""
+    a, b = c.v("proj_a"), _subjects(c)
+    keys = (("raw", F.col("acronym")), ("low", F.lower("acronym")))
+    return overlap.overlap_metrics([Source(a, A, keys), Source(b, B, keys)], [
+        distinct("acronyms_a", "raw", A), distinct("acronyms_b", "raw", B),
+        joined("shared_lower_acronyms", "low", A, B)])
+
+
 @query
 def acronym_match(c: Ctx) -> DataFrame:
     """Subject rows with their acronym matches in A (count + first match)."""
