@@ -145,3 +145,15 @@ def test_cluster_conf_sizes_from_input():
     small = cluster_conf(1 << 30, 16)
     assert int(small["spark.sql.shuffle.partitions"]) == 32
     assert big["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_runner_writes_a_report(spark, capsys):
+    from regmesh.plans import run
+    assert run.main(["--list"]) == 0
+    assert "org_budget" in capsys.readouterr().out
+    out = shared_dir(spark, "runner")
+    assert run.main(["region_budget", "--data", SMOKE_DIR, "--out", out, "--single-file"]) == 0
+    parts = [p for p in os.listdir(out) if p.endswith(".csv")]
+    assert len(parts) == 1
+    lines = open(os.path.join(out, parts[0])).read().splitlines()
+    assert lines[0] == "region,source,totalBudget,numberProjects" and len(lines) > 1
