@@ -186,6 +186,7 @@ def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]
                        (the reference filters with ``isin``, so NULL names
                        never pass)
       delta          = titles_a - titles_b (may be negative; not a set difference)
+      titles_only_a  = the true set difference: shared-name titles of x not in y
 
     Every frame is read once into distinct (name, title) pairs with a source
     mask; per-name title counts per source decide which names are shared in
@@ -213,8 +214,9 @@ def shared_title_delta(frames: list[DataFrame], pairs: list[tuple[str, int, int]
     for k, (pf, x, y) in enumerate(pairs):
         ta = F.count_if(_has(f"_t{k}", 1 << x))
         tb = F.count_if(_has(f"_t{k}", 1 << y))
+        only_a = F.count_if(_has(f"_t{k}", 1 << x) & ~_has(f"_t{k}", 1 << y))
         cols += [ta.alias(f"{pf}_titles_a"), tb.alias(f"{pf}_titles_b"),
-                 (ta - tb).alias(f"{pf}_title_delta")]
+                 (ta - tb).alias(f"{pf}_title_delta"), only_a.alias(f"{pf}_titles_only_a")]
     return to_long(names).unionByName(to_long(t.agg(*cols)))
 
 

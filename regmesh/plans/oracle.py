@@ -120,9 +120,11 @@ def _delta(prefix: str, a: str, b: str) -> list[tuple[str, str]]:
     shared = f"(SELECT cleanName FROM {a} INTERSECT SELECT cleanName FROM {b})"
     ta = f"(SELECT count(*) FROM (SELECT DISTINCT title FROM {a} WHERE cleanName IN {shared}) t)"
     tb = f"(SELECT count(*) FROM (SELECT DISTINCT title FROM {b} WHERE cleanName IN {shared}) t)"
+    only_a = (f"(SELECT count(*) FROM (SELECT title FROM {a} WHERE cleanName IN {shared} "
+              f"EXCEPT SELECT title FROM {b} WHERE cleanName IN {shared}) t)")
     return [(f"{prefix}_shared_names", f"(SELECT count(*) FROM {shared} s)"),
             (f"{prefix}_titles_a", ta), (f"{prefix}_titles_b", tb),
-            (f"{prefix}_title_delta", f"({ta} - {tb})")]
+            (f"{prefix}_title_delta", f"({ta} - {tb})"), (f"{prefix}_titles_only_a", only_a)]
 
 
 sql("shared_title_delta", ABC, metric_rows(*_delta("a_b", _NA, _NB), *_delta("c_b", _NC, _NB)))

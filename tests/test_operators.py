@@ -76,7 +76,8 @@ def test_shared_title_delta_can_be_negative(spark):
                               "cleanName string, title string")
     m = metric_dict(overlap.shared_title_delta([a, b], [("p", 0, 1)]))
     # NULL is a shared name for the count, but NULL-named rows never pass isin
-    assert m == {"p_shared_names": 2, "p_titles_a": 1, "p_titles_b": 3, "p_title_delta": -2}
+    assert m == {"p_shared_names": 2, "p_titles_a": 1, "p_titles_b": 3, "p_title_delta": -2,
+                 "p_titles_only_a": 0}
 
 
 def test_gained_projects(spark):

@@ -87,7 +87,7 @@ def test_shared_title_delta_brute_force(spark, xs, ys):
     ta = {t for n, t in xs if n is not None and n in shared}
     tb = {t for n, t in ys if n is not None and n in shared}
     assert got == {"p_shared_names": len(shared), "p_titles_a": len(ta), "p_titles_b": len(tb),
-                   "p_title_delta": len(ta) - len(tb)}
+                   "p_title_delta": len(ta) - len(tb), "p_titles_only_a": len(ta - tb)}
 
 
 @SETTINGS
