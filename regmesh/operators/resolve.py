@@ -93,22 +93,26 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
     representative name (``min`` of its raw names, quirk a4); distinct
     (canonical URI, title) pairs are counted per representative name.
 
-    Plan: distinct (name, uri) membership feeds the canonical map (one
-    reused stage); the representative-name input is the per-(uri, title)
-    minimum name.  Per canonical URI only a count and a minimum travel,
-    never a set of names or titles.
+    Plan: the large path - distinct (uri, title) pairs, their canonical URI,
+    distinct (canonical, title), count per canonical - is hash-only (the
+    heaviest URIs salted in the join).  Names travel on the small path: one
+    minimum per URI, then per canonical URI.  Per canonical URI only a count
+    and a minimum travel, never a set of names or titles.
     """
     live = orgs.filter(F.col(uri).isNotNull())
     cmap = canonical_map(alias_members(live, name, uri), name, uri)
-    per_uri_title = min_per_key(live, [uri, title], [org_name], ["_n"], empty=None)
-    hot = hot_keys(per_uri_title.groupBy(uri).agg(F.count(F.lit(1)).alias("_t")), [uri], "_t")
-    resolved = (salted_join(per_uri_title, cmap, [uri], "inner", hot)
-                .groupBy(F.col("canonicalURI"), F.col(title))
-                .agg(F.min("_n").alias("_n")))
-    per_org = resolved.groupBy("canonicalURI").agg(
-        F.coalesce(F.min("_n"), F.lit("")).alias("orgName"),
-        F.count(F.lit(1)).alias("_titles"))
-    return (per_org.groupBy("orgName")
+    # small path: representative name per canonical URI
+    per_uri_name = min_per_key(live, [uri], [org_name], ["_n"], empty=None)
+    names = (per_uri_name.join(cmap, uri)
+             .groupBy("canonicalURI").agg(F.coalesce(F.min("_n"), F.lit("")).alias("orgName")))
+    # large path: distinct titles per canonical URI
+    pairs = live.select(uri, title).distinct()
+    hot = hot_keys(pairs.groupBy(uri).agg(F.count(F.lit(1)).alias("_t")), [uri], "_t")
+    titles = (salted_join(pairs, cmap, [uri], "inner", hot)
+              .select("canonicalURI", title).distinct()
+              .groupBy("canonicalURI").agg(F.count(F.lit(1)).alias("_titles")))
+    return (titles.join(names, "canonicalURI")
+            .groupBy("orgName")
             .agg(F.sum("_titles").cast("bigint").alias("numberOfPublications"))
             .orderBy(F.desc("numberOfPublications"), F.asc("orgName")))
 
