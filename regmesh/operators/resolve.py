@@ -100,9 +100,15 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
     and a minimum travel, never a set of names or titles.
     """
     live = orgs.filter(F.col(uri).isNotNull())
-    cmap = canonical_map(alias_members(live, name, uri), name, uri)
+    # distinct (name, uri, raw name): rows per URI are its name variants, few
+    # even for a hot URI, so partitioning by URI is safe; membership and the
+    # per-URI name minimum both read this one stage (the partitioning already
+    # satisfies both aggregations, and the repartition keeps Catalyst from
+    # folding the distinct into the minimum)
+    variants = live.select(name, uri, org_name).distinct().repartition(uri)
+    cmap = canonical_map(variants.select(name, uri).distinct(), name, uri)
     # small path: representative name per canonical URI
-    per_uri_name = min_per_key(live, [uri], [org_name], ["_n"], empty=None)
+    per_uri_name = variants.groupBy(uri).agg(F.min(org_name).alias("_n"))
     names = (per_uri_name.join(cmap, uri)
              .groupBy("canonicalURI").agg(F.coalesce(F.min("_n"), F.lit("")).alias("orgName")))
     # large path: distinct titles per canonical URI
