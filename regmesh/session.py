@@ -50,17 +50,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    try:                                   # not available on Spark Connect
+        return spark.sparkContext
+    except Exception:                      # pragma: no cover
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a local one only if it is unset."""
+    """The shared folder for checkpoints and written intermediates.
+
+    Read from the session (``spark.checkpoint.dir``, a cluster-wide setting
+    that cannot be changed at run time) or from the context's checkpoint
+    folder.  Only when neither is set - tests, local runs - a local folder is
+    created and set on the context.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not current and sc is not None:
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="regmesh-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+        if sc is not None:
+            sc.setCheckpointDir(current)
+    elif sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    # a local folder as a plain path (Spark reads both; Python file APIs only this)
+    return current[len("file:"):] if current.startswith("file:/") else current
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -133,7 +133,9 @@ def test_schema_round_trip_columns():
 
 
 def test_shared_dir_follows_session_checkpoint_dir(spark):
-    base = spark.conf.get("spark.checkpoint.dir")
+    from regmesh.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    assert base == (spark.conf.get("spark.checkpoint.dir", None) or base)
     p1, p2 = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert p1.startswith(base) and p1 != p2
 
