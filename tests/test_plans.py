@@ -16,7 +16,13 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "Window", "BatchEval
 
 
 def physical_plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as ``explain`` prints it (public API, captured)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
