@@ -102,5 +102,19 @@ def list_graphs(quads: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def write_snapshot(quads: DataFrame, path: str) -> None:
-    """Persist a snapshot partitioned by graph (to a new path)."""
-    quads.write.mode("errorifexists").partitionBy("g").parquet(path)
+    """Persist a snapshot partitioned by graph, to a new path (updates never
+    overwrite the snapshot being read).  Within a graph, rows are clustered
+    by predicate so a pattern scan's predicate filter skips row groups.  A
+    range partitioning on (g, p, s) keeps files balanced even when one
+    predicate (say ``rdf:type``) holds a third of all triples: its range is
+    split by subject instead of landing in one writer task."""
+    (quads.repartitionByRange("g", "p", "s").sortWithinPartitions("g", "p", "s")
+     .write.mode("errorifexists").partitionBy("g").parquet(path))
+
+
+def read_quads(spark, path: str, graphs: list[str] | None = None) -> DataFrame:
+    """Read a snapshot; a graph list becomes a partition filter, so only those
+    graph directories are listed and read (``clear_graph`` on disk is simply
+    not reading - or deleting - one directory)."""
+    q = spark.read.parquet(path).select(*QUAD_COLS)
+    return q.filter(F.col("g").isin(*graphs)) if graphs else q

@@ -159,3 +159,21 @@ def test_runner_writes_a_report(spark, capsys):
     assert len(parts) == 1
     lines = open(os.path.join(out, parts[0])).read().splitlines()
     assert lines[0] == "region,source,totalBudget,numberProjects" and len(lines) > 1
+
+
+def test_quad_snapshot_is_partitioned_by_graph(spark):
+    import contextlib
+    import io
+    t = Tables(spark, SMOKE_DIR)
+    quads = fx.quads(t)
+    path = shared_dir(spark, "quads")
+    triples.write_snapshot(quads, path)
+    assert sorted(p for p in os.listdir(path) if p.startswith("g=")) == [
+        "g=urn%3Ag%3Apatents", "g=urn%3Ag%3Aprojects"]
+    back = triples.read_quads(spark, path, [fx.G_PATENTS])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        back.explain()
+    assert "PartitionFilters: [isnotnull(g" in buf.getvalue()
+    assert back.count() == quads.filter(quads.g == fx.G_PATENTS).count()
+    assert rows(triples.read_quads(spark, path)) == rows(quads)
