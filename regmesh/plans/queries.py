@@ -50,8 +50,28 @@ class Ctx:
         return self.v(name).withColumn("cleanName", clean("orgName"))
 
 
+class MaterializedCtx(Ctx):
+    """Registry views written once as Parquet under a shared folder and read
+    back by every report of a run (a written table cuts the lineage and the
+    source joins are not recomputed per report).  The folder must be on the
+    cluster's shared storage - the runner puts it under spark.checkpoint.dir."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        super().__init__(spark, sf_dir)
+        self.folder = folder
+        self._done: dict[str, str] = {}
+
+    def v(self, name: str) -> DataFrame:
+        if name not in self._done:
+            path = f"{self.folder.rstrip('/')}/{name}"
+            fx.view(self.t, name).write.mode("overwrite").parquet(path)
+            self._done[name] = path
+        return self.spark.read.parquet(self._done[name])
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+BUILDERS: dict[str, Callable[[Ctx], DataFrame]] = {}   # the same queries, on a given context
 
 
 def query(fn: Callable[[Ctx], DataFrame]) -> Callable[[Ctx], DataFrame]:
@@ -60,6 +80,7 @@ def query(fn: Callable[[Ctx], DataFrame]) -> Callable[[Ctx], DataFrame]:
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     REGISTRY[fn.__name__] = run
+    BUILDERS[fn.__name__] = fn
     return fn
 
 

@@ -2,7 +2,7 @@
 
     spark-submit -m regmesh.plans.run org_budget --data DIR --out OUT [--single-file]
     python -m regmesh.plans.run --list
-    spark-submit -m regmesh.plans.run --all --data DIR --out OUT
+    spark-submit -m regmesh.plans.run --all --data DIR --out OUT [--materialize]
 
 Without ``--single-file`` the result is written by Spark in parallel; a
 report sorted with ``orderBy`` keeps its global order across the part files
@@ -17,9 +17,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_dir
 from ..sources import csv as csvio
-from .queries import REGISTRY
+from .queries import BUILDERS, REGISTRY, MaterializedCtx
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -31,14 +31,19 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--show", type=int, default=20, help="rows to print when --out is omitted")
     ap.add_argument("--list", action="store_true", help="list the registered queries")
     ap.add_argument("--all", action="store_true", help="run every query into OUT/<name>/")
+    ap.add_argument("--materialize", action="store_true",
+                    help="with --all: write each registry view once under spark.checkpoint.dir")
     args = ap.parse_args(argv)
     if args.all:
         if not (args.data and args.out):
             ap.error("--all needs --data and --out")
         spark = SparkSession.builder.appName("regmesh-all").getOrCreate()
         ensure_checkpoint_dir(spark)
+        ctx = (MaterializedCtx(spark, args.data, shared_dir(spark, "registries"))
+               if args.materialize else None)
         for name, fn in REGISTRY.items():
-            csvio.write_csv(fn(spark, args.data), f"{args.out.rstrip('/')}/{name}")
+            df = BUILDERS[name](ctx) if ctx is not None else fn(spark, args.data)
+            csvio.write_csv(df, f"{args.out.rstrip('/')}/{name}")
         return 0
     if args.list or not args.query:
         for name, fn in REGISTRY.items():

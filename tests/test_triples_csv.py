@@ -177,3 +177,11 @@ def test_quad_snapshot_is_partitioned_by_graph(spark):
     assert "PartitionFilters: [isnotnull(g" in buf.getvalue()
     assert back.count() == quads.filter(quads.g == fx.G_PATENTS).count()
     assert rows(triples.read_quads(spark, path)) == rows(quads)
+
+
+def test_materialized_registries_give_the_same_reports(spark):
+    from regmesh.plans.queries import BUILDERS, REGISTRY, MaterializedCtx
+    ctx = MaterializedCtx(spark, SMOKE_DIR, shared_dir(spark, "registries"))
+    for name in ("org_budget", "canonical_uri", "project_org_overlap", "name_intersect_3way",
+                 "shared_title_delta"):
+        assert rows(BUILDERS[name](ctx)) == rows(REGISTRY[name](spark, SMOKE_DIR))
