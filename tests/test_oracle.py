@@ -37,3 +37,23 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.columns == ["pic", "organizationName", "totalBudget", "numberProjects"]
     assert df.count() > 0
+
+
+@pytest.fixture()
+def other_partitioning(spark):
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "3"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_does_not_depend_on_partitioning(other_partitioning, duck, name):
+    """Same results with AQE off and three shuffle partitions."""
+    spark = other_partitioning
+    df = QUERIES[name](spark, SMOKE_DIR)
+    rel = duck.sql(SQL[name])
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(rel.columns, rel.fetchall())
