@@ -120,3 +120,23 @@ def test_merge_by_id_brute_force(spark, xs, ys):
     want = {v: (base[v], merged[v], merged[v] - base[v])
             for v in base if v is not None and merged[v] - base[v] > 0}
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(NAMES, st.integers(0, 3)), max_size=14),
+       st.lists(NAMES, max_size=5, unique=True),
+       st.lists(NAMES, max_size=3),
+       st.sampled_from(["inner", "left", "left_semi", "left_anti"]),
+       st.booleans())
+def test_salted_join_equals_plain_join(spark, big_rows, small_keys, hot, how, null_safe):
+    from regmesh.operators.skew import salted_join
+    big = spark.createDataFrame(big_rows, "k string, v int")
+    small = spark.createDataFrame([(k, f"x{i}") for i, k in enumerate(small_keys)], "k string, w string")
+    hot_df = spark.createDataFrame([(k,) for k in hot], "k string")
+    got = salted_join(big, small, ["k"], how, hot_df, salts=4, null_safe=null_safe)
+    cond = big["k"].eqNullSafe(small["k"]) if null_safe else big["k"] == small["k"]
+    want = big.join(small, cond, how)
+    if how in ("inner", "left"):
+        want = want.select(big["k"], "v", "w")
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
