@@ -53,7 +53,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str,
     non-key columns (as a ``USING`` join would), without helper columns.
     """
     hk = [f"_hk{i}" for i in range(len(keys))]
-    h = F.broadcast(hot.select(*[F.col(k).alias(a) for k, a in zip(keys, hk)])
+    # de-duplicated: a repeated hot key would otherwise multiply the marked rows
+    h = F.broadcast(hot.select(*[F.col(k).alias(a) for k, a in zip(keys, hk)]).distinct()
                     .withColumn("_hot", F.lit(True)))
 
     def mark(df: DataFrame) -> DataFrame:
