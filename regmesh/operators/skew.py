@@ -7,17 +7,26 @@ only handles joins whose two children are plain shuffle stages, while the
 per-key side here is an aggregate whose own shuffle already provides the
 join's distribution.  So hot keys are split explicitly:
 
-1. ``hot_keys``: the ``top_k`` keys by weight (rows of the large side per
-   key).  A ``limit`` gives the list a proven size bound, which is the only
-   reason it may be broadcast.
-2. ``salted_join``: large-side rows of a hot key get a random salt in
-   ``[0, salts)``, other rows salt 0; per-key rows of a hot key are
-   replicated once per salt.  The join runs on (key, salt): a hot key is
-   spread over ``salts`` tasks, and every large-side row still meets exactly
-   one copy of its per-key row, so results are unchanged for inner, left
-   outer, left semi and left anti joins.  The salt does not have to be
-   reproducible: any value meets exactly one copy (Spark also re-runs a
-   random-salted stage as a whole when a retry is needed).
+1. ``hot_keys``: every key whose weight (rows of the large side) exceeds
+   ``target_rows``, with its number of salts ``ceil(weight / target_rows)``.
+   At most ``total / target_rows`` keys pass, and the frame is joined by its
+   size, without a hint.
+2. ``salted_join``: a large-side row of a hot key gets a salt in ``[0, n)``,
+   other rows salt 0; the per-key row of a hot key is replicated once per
+   salt.  The join runs on (key, salt): a hot key is spread over ``n`` tasks
+   of about ``target_rows`` rows whatever the volume, and every large-side
+   row still meets exactly one copy of its per-key row, so results are those
+   of the plain join for inner, left outer, left semi and left anti joins.
+
+The salt is a hash of the row itself, never a random number: a map task that
+is run again after an executor is lost must send each row to the partition
+it was sent to before, in whatever order the rows come back.  Rows equal in
+every column share a salt; pass ``row_id`` (more columns to hash) where the
+large side holds many equal rows.
+
+Rows with a NULL key match nothing (unless ``null_safe``), so in a left or
+anti join their salt is free: they are spread by the same hash instead of
+meeting in the one partition of NULL.
 """
 
 from __future__ import annotations
@@ -27,17 +36,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32      # tasks a hot key is spread over
-TOP_K = 256     # hot keys considered (bound of the broadcast list)
-SEED = 17
+TARGET_ROWS = 1_000_000     # rows of one key that one join task should hold
+NULL_SALTS = 1 << 20        # salts of NULL-key rows (they meet no copy, so this costs nothing)
 
 
 def hot_keys(weights: DataFrame, keys: list[str], weight: Column | str,
-             top_k: int = TOP_K) -> DataFrame:
-    """The ``top_k`` heaviest keys (at most ``top_k`` rows)."""
+             target_rows: int | None = None) -> DataFrame:
+    """Keys heavier than ``target_rows`` and their number of salts ``_n``."""
+    target = target_rows or TARGET_ROWS
     w = F.col(weight) if isinstance(weight, str) else weight
-    return (weights.select(*keys, w.alias("_w")).filter(F.col("_w") > 1)
-            .orderBy(F.desc("_w")).limit(top_k).select(*keys))
+    return (weights.select(*keys, w.alias("_w")).filter(F.col("_w") > target)
+            .select(*keys, F.ceil(F.col("_w") / F.lit(target)).cast("int").alias("_n")))
 
 
 def _eq(a: Column, b: Column, null_safe: bool) -> Column:
@@ -45,31 +54,33 @@ def _eq(a: Column, b: Column, null_safe: bool) -> Column:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str,
-                hot: DataFrame, salts: int = SALTS, null_safe: bool = False) -> DataFrame:
-    """``big JOIN small USING(keys)`` with the keys in ``hot`` spread over ``salts`` tasks.
+                hot: DataFrame, null_safe: bool = False,
+                row_id: list[str] | None = None) -> DataFrame:
+    """``big JOIN small USING(keys)`` with the keys in ``hot`` spread over their ``_n`` salts.
 
     ``small`` must hold at most one row per key.  ``how``: inner, left,
     left_semi or left_anti.  The output has big's columns followed by small's
     non-key columns (as a ``USING`` join would), without helper columns.
     """
     hk = [f"_hk{i}" for i in range(len(keys))]
-    # de-duplicated: a repeated hot key would otherwise multiply the marked rows
-    h = F.broadcast(hot.select(*[F.col(k).alias(a) for k, a in zip(keys, hk)]).distinct()
-                    .withColumn("_hot", F.lit(True)))
+    # one row per hot key: a repeated one would multiply the marked rows
+    h = (hot.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, hk)])
+         .agg(F.max("_n").alias("_n")))
 
     def mark(df: DataFrame) -> DataFrame:
         cond = reduce(lambda x, y: x & y,
                       [_eq(F.col(k), F.col(a), null_safe) for k, a in zip(keys, hk)])
         return df.join(h, cond, "left").drop(*hk)
 
-    b = (mark(big)
-         .withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(SEED) * salts).cast("int"))
-                     .otherwise(F.lit(0)))
-         .drop("_hot"))
+    row_hash = F.xxhash64(*[F.col(c) for c in (row_id or big.columns)])
+    salt = F.when(F.col("_n").isNotNull(), F.pmod(row_hash, F.col("_n")))
+    if not null_safe and how in ("left", "left_anti"):
+        any_null = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+        salt = salt.when(any_null, F.pmod(row_hash, F.lit(NULL_SALTS)))
+    b = (mark(big).withColumn("_salt", salt.otherwise(F.lit(0)).cast("int")).drop("_n"))
     s = (mark(small)
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+         .drop("_n"))
     sk = [f"_sk{i}" for i in range(len(keys))]
     s = s.select(*[F.col(k).alias(a) for k, a in zip(keys, sk)],
                  *[c for c in s.columns if c not in keys])

@@ -3,19 +3,19 @@
 The library never creates a session behind the caller's back: every operator
 takes DataFrames.  ``local_session`` is for tests, the bench and the entry
 point only.  ``shared_dir`` resolves the folder used for checkpoints and
-materialised intermediates from the session's ``spark.checkpoint.dir`` - on a
-cluster that must be a shared file system, so a machine-local folder is only
-chosen when the setting is absent (tests, local runs).
+materialised intermediates from the session's ``spark.checkpoint.dir``; on a
+cluster it raises where that setting is absent.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+# Checkpoint folder of a local[...] session that names none (tests, bench).
+LOCAL_DIR = "/tmp/checkpoints"
+
 # Scale-oriented defaults.  AQE re-plans joins from runtime sizes (broadcast
 # promotion, partition coalescing, skew splitting), which is what the skewed
 # name/URI keys of registry data need.
@@ -62,27 +62,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Read from the session (``spark.checkpoint.dir``, a cluster-wide setting
     that cannot be changed at run time) or from the context's checkpoint
-    folder.  Only when neither is set - tests, local runs - a local folder is
-    created and set on the context.
+    folder, and returned as given, scheme included.  On a cluster one of the
+    two must be set: executors do not see each other's disks, so a local
+    folder in its place would lose rows, and this raises.  A ``local[...]``
+    session, whose driver and executors are one process, gets ``LOCAL_DIR``.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="regmesh-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(current)
-    elif sc is not None and not sc.getCheckpointDir():
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = LOCAL_DIR
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    # a local folder as a plain path (Spark reads both; Python file APIs only this)
-    return current[len("file:"):] if current.startswith("file:/") else current
+    return current
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the session's checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cluster_conf(input_bytes: int, total_cores: int,
@@ -100,8 +100,7 @@ def cluster_conf(input_bytes: int, total_cores: int,
       decommissioning with block migration), so a lost executor costs task
       retries, not stage recomputation.
     """
-    shuffle_parts = int(min(200_000, max(2 * total_cores,
-                                         input_bytes * shuffle_ratio // partition_bytes)))
+    shuffle_parts = int(max(2 * total_cores, input_bytes * shuffle_ratio // partition_bytes))
     conf = {k: v for k, v in SCALE_CONF.items() if not k.startswith("spark.ui")}
     conf.update({
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),

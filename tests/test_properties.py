@@ -132,8 +132,8 @@ def test_salted_join_equals_plain_join(spark, big_rows, small_keys, hot, how, nu
     from regmesh.operators.skew import salted_join
     big = spark.createDataFrame(big_rows, "k string, v int")
     small = spark.createDataFrame([(k, f"x{i}") for i, k in enumerate(small_keys)], "k string, w string")
-    hot_df = spark.createDataFrame([(k,) for k in hot], "k string")
-    got = salted_join(big, small, ["k"], how, hot_df, salts=4, null_safe=null_safe)
+    hot_df = spark.createDataFrame([(k, 4) for k in hot], "k string, _n int")
+    got = salted_join(big, small, ["k"], how, hot_df, null_safe=null_safe)
     cond = big["k"].eqNullSafe(small["k"]) if null_safe else big["k"] == small["k"]
     want = big.join(small, cond, how)
     if how in ("inner", "left"):

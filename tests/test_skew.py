@@ -9,7 +9,7 @@ force computed with DuckDB on the same rows.
 import pytest
 from pyspark.sql import functions as F
 
-from regmesh.operators import overlap, resolve
+from regmesh.operators import overlap, resolve, skew
 from regmesh.sources import fixtures as fx
 from regmesh.sources.tables import Tables
 from tests.conftest import SMOKE_DIR
@@ -28,12 +28,14 @@ def skewed(spark):
     old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
+    target, skew.TARGET_ROWS = skew.TARGET_ROWS, 200
     t = Tables(spark, SMOKE_DIR)
     orgs = fx.all_orgs(t)
     hot = F.abs(F.xxhash64("orgURI", "title")) % 3 == 0
     orgs = orgs.withColumn("cleanName", F.when(hot & (F.col("source") != "C"), F.lit(HOT))
                            .otherwise(F.col("cleanName")))
     yield orgs
+    skew.TARGET_ROWS = target
     for k, v in old.items():
         if v is None:
             spark.conf.unset(k)
@@ -105,3 +107,40 @@ def test_salting_spreads_the_hot_name_over_tasks(spark, skewed):
     assert hot / total > 0.2
     # unsalted, the task holding the hot name would carry at least its share
     assert max(per_task) / total < 0.75 * hot / total
+
+
+def test_null_and_hot_keys_spread_over_tasks(spark, skewed):
+    """30 % NULL keys and one key with a third of the rows: no task over three times the median."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 40_000
+        r = F.col("id") % 100
+        big = spark.range(n).select(
+            F.when(r < 30, F.lit(None)).when(r < 64, F.lit("hot"))
+            .otherwise(F.concat(F.lit("k"), F.col("id") % 3001)).alias("k"), "id")
+        small = big.filter(F.col("k").isNotNull()).select("k").distinct().withColumn("w", F.lit(1))
+        hot = skew.hot_keys(big.groupBy("k").agg(F.count(F.lit(1)).alias("_r")), ["k"], "_r", 200)
+        for how in ("left", "left_anti"):
+            side = small if how == "left" else small.filter(F.col("k") != "hot")
+            j = skew.salted_join(big, side, ["k"], how, hot)
+            per_task = sorted(x[1] for x in j.groupBy(F.spark_partition_id()).count().collect())
+            assert per_task[-1] <= 3 * per_task[len(per_task) // 2]
+            assert sum(per_task) == (n if how == "left" else n * 64 // 100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_salt_does_not_depend_on_row_order(spark):
+    big = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"), "id")
+    small = spark.createDataFrame([("0", "a"), ("1", "b")], "k string, w string")
+    hot = spark.createDataFrame([("0", 8)], "k string, _n int")
+
+    def plan_salts(df):
+        h = df.select("id", F.pmod(F.xxhash64(*df.columns), F.lit(8)).alias("salt"))
+        return {x["id"]: x["salt"] for x in h.collect()}
+
+    assert plan_salts(big) == plan_salts(big.orderBy(F.desc("id")))
+    a = skew.salted_join(big, small, ["k"], "left", hot)
+    b = skew.salted_join(big.orderBy(F.desc("id")).repartition(5), small, ["k"], "left", hot)
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)

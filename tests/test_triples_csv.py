@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
+
 
 from regmesh.operators import triples
 from regmesh.schemas import PROJ
-from regmesh.session import shared_dir
+from tests.util import local_dir as shared_dir
 from regmesh.sources import csv as csvio
 from regmesh.sources import fixtures as fx
 from regmesh.sources.tables import Tables
@@ -136,10 +138,31 @@ def test_shared_dir_follows_session_checkpoint_dir(spark):
     from regmesh.session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark)
     assert base == (spark.conf.get("spark.checkpoint.dir", None) or base)
-    p1, p2 = shared_dir(spark, "x"), shared_dir(spark, "x")
+    from regmesh.session import shared_dir as fresh
+    p1, p2 = fresh(spark, "x"), fresh(spark, "x")
     assert p1.startswith(base) and p1 != p2
 
 
+def test_no_checkpoint_dir_on_a_cluster_raises():
+    from regmesh.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
+
+
 def test_cluster_conf_sizes_from_input():
     from regmesh.session import cluster_conf
     big = cluster_conf(100 << 40, 8000)

@@ -20,3 +20,9 @@ def rows(df, *cols):
     cols = cols or tuple(df.columns)
     return sorted((tuple(r[c] for c in cols) for r in df.collect()),
                   key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def local_dir(spark, name):
+    """``session.shared_dir`` of a local session as a path for Python's file functions."""
+    from regmesh.session import shared_dir
+    return shared_dir(spark, name).removeprefix("file:")
