@@ -3,10 +3,15 @@
 Tokens are A-Z lower-cased words and one end per text.  The model spells
 them: a word is its bytes and a space, the end is a line feed, and each byte
 is predicted from the ``ORDER - 1`` bytes before it (line feeds before the
-first).  So unseen words get their likelihood from their spelling, and the
-number of distinct n-grams grows far slower than that of word n-grams, which
-here is over half the number of tokens.  Probabilities are interpolated with
-absolute discounting over all orders, from the counts of all training texts.
+first).  The number of distinct n-grams grows far slower than that of word
+n-grams, which here is over half the number of tokens.  Probabilities are
+interpolated with absolute discounting over all orders, from the counts of
+all training texts.
+
+As in the base score, words without training tokens are one type: the model
+mixes a token's spelling with its discounted unigram share, (c - D) / N, or
+for the unseen type the mass taken by the discount, D V / N, half and half.
+``spelling_score`` is the trie's part alone.
 
 1. Texts are read once, cut into chunks of ``CHUNK_BYTES`` and written in
    the model's spelling, compressed.
@@ -45,6 +50,7 @@ from .textvec import Block, blocks, column
 
 ORDER, FIRST = 6, 2             # bytes of an n-gram; context length of a trie's first level
 DISCOUNT = 0.75
+MIX = 0.5                       # weight of the unigram share in a token's probability
 FOLDS, HELD = 7, 2
 CHUNK_BYTES = 4 << 20
 SHARD_GRAMS, SHARD_WORDS = 400_000, 500_000
@@ -132,10 +138,10 @@ class Chunk:
             v[at] = (v[at] & keep) | pad
         return v
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """63-bit hashes of all words, and word offsets per document."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """63-bit hashes of all words, word offsets per document, and where each word starts."""
         block = Block(self.stream, np.concatenate([[0], self.ends]))
-        return block.word_hash >> np.uint64(1), block.word_off
+        return block.word_hash >> np.uint64(1), block.word_off, block.start
 
 
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -171,7 +177,7 @@ def count(chunked: DataFrame) -> DataFrame:
                                                pa.array(c.keys.view(np.int64)), pa.array(c.n)],
                                               ["kind", "key", "n"])
         for c in _each_chunk(batches):
-            h, off = c.words()
+            h, off, _ = c.words()
             words.add(h[np.repeat(~c.held, np.diff(off))])
             grams.add(c.grams()[np.repeat(~c.held, c.sizes)])
             docs += int((~c.held).sum())
@@ -243,7 +249,7 @@ class Asked:
     """The distinct words and n-grams of a chunk, dealt over the shards."""
 
     def __init__(self, c: Chunk, word_shards: int, gram_shards: int):
-        self.words, self.word_off = c.words()
+        self.words, self.word_off, self.word_start = c.words()
         self.grams = c.grams()
         u = np.unique(self.words)
         self.word = _by_shard(u, (u % np.uint64(word_shards)).astype(np.int64))
@@ -336,7 +342,7 @@ def answers(asked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.nda
 
 
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-          "base_score double, score double")
+          "base_score double, score double, spelling_score double")
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -347,7 +353,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
     (n_words, word_total), (n_grams, _), (_, n_docs) = (size.get(k, (0, 0)) for k in (WORD, GRAM, DOCS))
     train = word_total + n_docs
-    scale = train + n_words + (n_docs > 0) + 1      # N + (V + 1)
+    types = n_words + (n_docs > 0)
+    scale = train + types + 1                       # N + (V + 1)
     word_shards, gram_shards = max(1, -(-n_words // SHARD_WORDS)), max(1, -(-n_grams // SHARD_GRAMS))
     lower = pair_table(counts)
     model = written(spark, tries(counts, gram_shards, lower), "tries")
@@ -368,19 +375,23 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             return flat[order][np.searchsorted(keys[order], used)]
         n = gather(WORD, asked.word, asked.words, "<i8")
         log_p = gather(GRAM, asked.gram, asked.grams, "<f4").astype(np.float64)
-        starts = np.concatenate([[0], c.ends[:-1]])
         per_doc = np.diff(asked.word_off)
-        base = np.append(np.log10((n + 1) / scale), 0.0)
-        some = per_doc > 0
-        total = np.zeros(len(per_doc))
-        total[some] = np.add.reduceat(base[:-1], asked.word_off[:-1][some]) if some.any() else 0
-        known = np.diff(np.concatenate([[0], np.cumsum(n > 0)])[asked.word_off])
+        # every document's words and then its end, as in the stream
+        begin = np.sort(np.concatenate([asked.word_start, c.ends - 1]))
+        seen = np.insert(n, asked.word_off[1:], n_docs)
+        spelling = np.add.reduceat(log_p, begin)
+        base = np.log10((seen + 1) / scale)
+        share = np.where(seen > 0, seen - DISCOUNT, DISCOUNT * types) / train if train else np.ones(len(seen))
+        mixed = np.log10(MIX * share + (1 - MIX) * 10.0 ** spelling)
+        first = asked.word_off[:-1] + np.arange(len(per_doc))
+
+        def of_docs(x):
+            return pa.array(np.add.reduceat(x, first))
         return pa.table({
             "doc_id": pa.array(c.doc_ids, pa.int64()), "held_out": pa.array(c.held),
-            "n_tokens": pa.array(per_doc + 1), "n_known": pa.array(known + int(n_docs > 0)),
+            "n_tokens": pa.array(per_doc + 1), "n_known": of_docs((seen > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(per_doc), train, np.int64)),
-            "base_score": pa.array(total + np.log10((n_docs + 1) / scale)),
-            "score": pa.array(np.add.reduceat(log_p, starts) if len(starts) else np.zeros(0))})
+            "base_score": of_docs(base), "score": of_docs(mixed), "spelling_score": of_docs(spelling)})
 
     return chunked.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(add_up, RESULT)
 
