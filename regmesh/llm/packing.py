@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table, written
-from .textvec import Block, blocks, column
+from .textvec import Block, SpanTable, blocks, column
 
 CAPACITY = 4096
 END = 1
@@ -49,72 +49,33 @@ class WordEncoder:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its words.  Words are looked up by hash in a table of
-    fixed size (a later word takes the slot of an earlier one), and only
-    words that are not there are encoded.
+    ids are those of its words; words met before come from a ``SpanTable``.
     """
-    SLOTS, KEEP_IDS = 1 << 21, 8_000_000
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int32)
-        self.len = np.zeros(self.SLOTS, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _add(self, block: Block, words: np.ndarray) -> None:
-        """Encode the given words (positions of distinct ones) and put them into the table."""
-        texts = [block.data[s:e].tobytes().decode("utf-8", "replace")
-                 for s, e in zip(block.start[words], block.end[words])]
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.used],
-                                       np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[self.used:self.used + len(flat)] = flat
-        slot = (block.word_hash[words] % np.uint64(self.SLOTS)).astype(np.int64)
-        self.key[slot] = block.word_hash[words]
-        self.at[slot] = self.used + np.cumsum(lens) - lens
-        self.len[slot] = lens
-        self.used += len(flat)
+        self.known = SpanTable()
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a block, each followed by ``END``, and their offsets."""
-        h = block.word_hash
-        if self.used > self.KEEP_IDS:
-            self.clear()
-        slot = (h % np.uint64(self.SLOTS)).astype(np.int64)
-        at, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        pools, todo = [], np.arange(len(h))
-        while len(todo):                # words that share a slot within a block take turns
-            missing = todo[self.key[slot[todo]] != h[todo]]
-            if len(missing):
-                _, first = np.unique(h[missing], return_index=True)
-                first = missing[first]
-                _, one = np.unique(slot[first], return_index=True)
-                self._add(block, first[one])
-            hit = self.key[slot[todo]] == h[todo]
-            done = todo[hit]
-            at[done], size[done] = self.at[slot[done]], self.len[slot[done]]
-            todo = todo[~hit]
-        off = np.concatenate([[0], np.cumsum(size)])
-        per_doc = off[block.word_off]
-        ends = np.arange(1, block.n + 1)
-        out = np.full(int(off[-1]) + block.n, END, np.uint32)
+        def work(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [block.data[s:e].tobytes().decode("utf-8", "replace")
+                     for s, e in zip(block.start[words], block.end[words])]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            return lens, np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))
+
+        ids, size = self.known.look_up(block.word_hash, work)
+        per_word = np.concatenate([[0], np.cumsum(size)])
+        off = per_word[block.word_off] + np.arange(block.n + 1)
+        out = np.full(int(off[-1]), END, np.uint32)
         body = np.ones(len(out), bool)
-        doc_off = per_doc + np.arange(block.n + 1)
-        body[doc_off[1:] - 1] = False
-        src = np.arange(int(off[-1])) + np.repeat(at - off[:-1], size)
-        out[body] = self.ids[src]
-        return out, doc_off
+        body[off[1:] - 1] = False
+        out[body] = ids
+        return out, off
 
 
 _ENCODERS: dict[str, WordEncoder] = {}      # per worker process: its word table outlives a task

@@ -187,3 +187,59 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def null_mask(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return pc.is_null(column(batch, name)).to_numpy(zero_copy_only=False)
+
+
+class SpanTable:
+    """Integer arrays by span hash, in a hash table of fixed size that outlives a block.
+
+    A later span takes the slot of an earlier one, so memory stays bounded by
+    ``slots`` and ``keep`` (stored values after which the table starts anew)
+    and only spans that are not there are worked out again.
+    """
+
+    def __init__(self, slots: int = 1 << 21, keep: int = 8_000_000):
+        self.slots, self.keep = slots, keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.slots, np.uint64)
+        self.at = np.zeros(self.slots, np.int32)
+        self.len = np.zeros(self.slots, np.int32)
+        self.values = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _store(self, keys: np.ndarray, lens: np.ndarray, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values[:self.used],
+                                          np.zeros(max(len(self.values), len(values)), np.uint32)])
+        self.values[self.used:self.used + len(values)] = values
+        slot = (keys % np.uint64(self.slots)).astype(np.int64)
+        self.key[slot] = keys
+        self.at[slot] = self.used + np.cumsum(lens) - lens
+        self.len[slot] = lens
+        self.used += len(values)
+
+    def look_up(self, keys: np.ndarray, work) -> tuple[np.ndarray, np.ndarray]:
+        """All spans' values in a row and how many each has.
+
+        ``work(first)`` gives (lengths, values) of the spans at the positions ``first``."""
+        if self.used > self.keep:
+            self.clear()
+        slot = (keys % np.uint64(self.slots)).astype(np.int64)
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):                # spans of one block that share a slot take turns
+            missing = todo[self.key[slot[todo]] != keys[todo]]
+            if len(missing):
+                _, first = np.unique(keys[missing], return_index=True)
+                first = missing[first]
+                _, one = np.unique(slot[first], return_index=True)
+                first = first[one]
+                self._store(keys[first], *work(first))
+            hit = self.key[slot[todo]] == keys[todo]
+            done = todo[hit]
+            at[done], size[done] = self.at[slot[done]], self.len[slot[done]]
+            todo = todo[~hit]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.values[np.arange(total) + np.repeat(at - (ends - size), size)], size
