@@ -13,8 +13,9 @@
    bucket now spans several components, its members outside the largest of
    them are compared by signature with all its members, in blocks of bounded
    size dealt over the cluster; pairs whose estimate is within four standard
-   errors of the threshold are compared exactly as well.  Members of one
-   component need no further comparison.
+   errors of the threshold are compared exactly in the block, in the first
+   bucket they share, until the member is linked to the other's component.
+   Only links leave a block, and members of one component need no comparison.
 5. Components of all links: one class each, named by its smallest ``doc_id``.
 
 So every pair of representatives that shares a band key is either compared
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, salted_join
-from .bagminhash import BANDS, SIZE, band_keys, overlap, shingles, signatures
+from .bagminhash import BANDS, SIZE, band_keys, overlap, shingles, signatures, weigh
 from .components import components
 from .tables import SMALL_ROWS, attach_small, table, written
 from .textvec import blocks, column, hash_spans, mix
@@ -93,9 +94,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of documents whose multisets overlap by the threshold, written."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(spark, attach_small(docs, nodes, ["doc_id"], "left_semi")
-                    .groupBy("doc_id").agg(F.min("text").alias("text")), "pair-texts")
+    texts = _texts_of(spark, docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     heavy = [hot_keys(pairs.groupBy(k).agg(F.count(F.lit(1)).alias("_w")), [k], "_w", PAIR_TARGET)
              for k in ("a", "b")]
     j = salted_join(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")),
@@ -105,22 +104,51 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(spark, j.mapInArrow(_verify, "a long, b long"), "links-found")
 
 
+def _texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the given documents, written."""
+    return written(spark, attach_small(docs, nodes, ["doc_id"], "left_semi")
+                   .groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block whose signatures come near the threshold."""
+    """Links of one block: pairs of different components, near by signature, checked exactly.
+
+    A pair is looked at only in the first bucket that its two documents share,
+    and not at all once its left document is linked to the right one's component."""
     left, right = rows[rows.side == 0], rows[rows.side == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    sl, sr = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), SIZE) for x in (left, right))
-    least = (THRESHOLD_PERCENT / 100 - MARGIN) * SIZE
-    il, ir = [], []
-    for i in range(len(sl)):
-        hit = np.flatnonzero(((sr == sl[i]).sum(1) >= least)
-                             & (right.comp.to_numpy() != left.comp.to_numpy()[i]))
-        il.append(np.full(len(hit), i))
-        ir.append(hit)
-    il, ir = np.concatenate(il), np.concatenate(ir)
-    x, y = left.rep.to_numpy()[il], right.rep.to_numpy()[ir]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sl, sr = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), SIZE) for x in (left, right))
+        kl, kr = (np.stack(list(x.bands)) for x in (left, right))
+        rl, rr, cl, cr = left.rep.to_numpy(), right.rep.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
+        minor, here = right.minor.to_numpy(), rows.h.iloc[0]
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bag(rep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if rep not in sets:
+                h, _, w = weigh(*shingles(next(blocks(pa.array([text]), 1 << 62)).lower()))
+                order = np.argsort(h)
+                sets[rep] = h[order], w[order]
+            return sets[rep]
+
+        tl, tr = left.text.to_numpy(), right.text.to_numpy()
+        least = (THRESHOLD_PERCENT / 100 - MARGIN) * SIZE
+        for i in range(len(rl)):
+            near = (sr == sl[i]).sum(1)
+            hit = np.flatnonzero((near >= least) & (cr != cl[i]) & (~minor | (rr > rl[i])))
+            shared = kr[hit] == kl[i]
+            hit = hit[kl[i][shared.argmax(1)] == here]
+            linked: set[int] = set()
+            for j in hit[np.argsort(-near[hit], kind="stable")]:
+                if cr[j] in linked:
+                    continue
+                (ha, wa), (hb, wb) = bag(rl[i], tl[i]), bag(rr[j], tr[j])
+                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+                both = int(np.minimum(wa[ia], wb[ib]).sum())
+                if 100 * both >= THRESHOLD_PERCENT * (int(wa.sum() + wb.sum()) - both):
+                    linked.add(cr[j])
+                    out.append((rl[i], rr[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -141,11 +169,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = verify(spark, docs, written(spark, star, "star-pairs"))
     comp = written(spark, components(spark, links), "components")
 
-    more = remaining_pairs(spark, members, reps, comp)
+    more = remaining_links(spark, docs, members, reps, comp)
     if not more.isEmpty():
-        found = verify(spark, docs, more)
-        if not found.isEmpty():
-            comp = written(spark, components(spark, links.unionByName(found)), "components")
+        comp = written(spark, components(spark, links.unionByName(more)), "components")
     rep_class = (reps.select("k1", "k2", "rep")
                  .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                  .select("k1", "k2", F.coalesce("component", "rep").alias("class_id")))
@@ -155,9 +181,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
 
 
-def remaining_pairs(spark: SparkSession, members: DataFrame, reps: DataFrame,
+def remaining_links(spark: SparkSession, docs: DataFrame, members: DataFrame, reps: DataFrame,
                     comp: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket that the stars left uncompared (step 4)."""
+    """Links between different components of a bucket that the stars left uncompared (step 4)."""
     m = (members.filter(F.col("n") > 2)
          .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
          .select("h", "rep", F.coalesce("component", "rep").alias("comp")))
@@ -167,20 +193,21 @@ def remaining_pairs(spark: SparkSession, members: DataFrame, reps: DataFrame,
              .select("h", F.col("_top.comp").alias("major"),
                      F.ceil((F.col("n") - F.col("_top._c")) / BLOCK_MEMBERS).cast("int").alias("_minor"),
                      F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("_all"), "n"))
-    sigs = reps.select("rep", "sig")
-    rows = (salted_join(m, mixed, ["h"], "inner", hot_keys(mixed, ["h"], "n"))
-            .join(sigs, "rep")
-            .withColumn("_h", F.xxhash64("rep")))
-    left = (rows.filter(F.col("comp") != F.col("major"))
+    rows = written(spark, salted_join(m, mixed, ["h"], "inner", hot_keys(mixed, ["h"], "n")), "mixed")
+    texts = _texts_of(spark, docs, rows.select(F.col("rep").alias("doc_id")).distinct())
+    facts = (reps.select("rep", "sig", "bands")
+             .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"))
+    rows = (rows.withColumn("_h", F.xxhash64("rep")).withColumn("minor", F.col("comp") != F.col("major")))
+    left = (rows.filter("minor")
             .select("h", F.pmod("_h", "_minor").cast("int").alias("i"),
                     F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"),
-                    F.lit(0).alias("side"), "rep", "comp", "sig"))
+                    F.lit(0).alias("side"), "rep", "comp", "minor"))
     right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("_minor") - 1)).alias("i"),
                         F.pmod("_h", "_all").cast("int").alias("j"),
-                        F.lit(1).alias("side"), "rep", "comp", "sig")
-    found = (left.unionByName(right).groupBy("h", "i", "j")
+                        F.lit(1).alias("side"), "rep", "comp", "minor")
+    found = (left.unionByName(right).join(facts, "rep").groupBy("h", "i", "j")
              .applyInPandas(_compare, "a long, b long").distinct())
-    return written(spark, found, "more-pairs")
+    return written(spark, found, "more-links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
