@@ -54,7 +54,7 @@ MIX = 0.5                       # weight of the unigram share in a token's proba
 FOLDS, HELD = 7, 2
 CHUNK_BYTES = 4 << 20
 SHARD_GRAMS, SHARD_WORDS = 400_000, 500_000
-PART_BYTES = 128 << 20
+PART_BYTES = 48 << 20           # keys of one part of a shard's questions, at most about this much
 FLUSH = 1_500_000               # distinct keys a task holds before it emits them
 SPACE_, END_ = 32, 10
 PAIR_MASK = 65_535
@@ -93,7 +93,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held = column(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
-        for block in blocks(column(batch, "text"), CHUNK_BYTES):
+        for block in blocks(column(batch, "text"), CHUNK_BYTES // 4):
             rows = slice(block.first_row, block.first_row + block.n)
             held_parts.append((column(batch, "doc_id")[rows], held[rows], *_swap(spell(block.lower()))))
             size += len(held_parts[-1][3])
@@ -245,42 +245,41 @@ def _by_shard(keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[order], names, np.append(first, len(keys))
 
 
-class Asked:
-    """The distinct words and n-grams of a chunk, dealt over the shards."""
+def _ask(c: Chunk, kind: int, shards: int) -> tuple[np.ndarray, tuple]:
+    """All words or n-grams of a chunk, and the distinct ones dealt over the shards."""
+    used = c.words()[0] if kind == WORD else c.grams()
+    u = np.unique(used)
+    if kind == WORD:
+        shard = (u % np.uint64(shards)).astype(np.int64)
+    else:
+        shard = _shard_of_pair(((u >> np.uint64(8)) & np.uint64(PAIR_MASK)).astype(np.int64), shards)
+    return used, _by_shard(u, shard)
 
-    def __init__(self, c: Chunk, word_shards: int, gram_shards: int):
-        self.words, self.word_off, self.word_start = c.words()
-        self.grams = c.grams()
-        u = np.unique(self.words)
-        self.word = _by_shard(u, (u % np.uint64(word_shards)).astype(np.int64))
-        g = np.unique(self.grams)
-        pair = ((g >> np.uint64(8)) & np.uint64(PAIR_MASK)).astype(np.int64)
-        self.gram = _by_shard(g, _shard_of_pair(pair, gram_shards))
 
-
-def questions(chunked: DataFrame, word_shards: int, gram_shards: int) -> DataFrame:
+def questions(chunked: DataFrame, kind: int, shards: int) -> DataFrame:
+    """``chunk, shard, keys``: what each chunk asks each shard of one kind."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _each_chunk(batches):
-            asked = Asked(c, word_shards, gram_shards)
-            rows = [(kind, int(s), keys[a:b].tobytes())
-                    for kind, (keys, names, first) in ((WORD, asked.word), (GRAM, asked.gram))
-                    for s, a, b in zip(names, first, first[1:])]
+            keys, names, first = _ask(c, kind, shards)[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c.name] * len(rows)), pa.array([r[0] for r in rows], pa.int8()),
-                 pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                ["chunk", "kind", "shard", "keys"])
-    return chunked.mapInArrow(ask, "chunk string, kind byte, shard int, keys binary")
+                [pa.array([c.name] * len(names), pa.string()), pa.array(names.astype(np.int32)),
+                 pa.array([keys[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())],
+                ["chunk", "shard", "keys"])
+    return chunked.mapInArrow(ask, "chunk string, shard int, keys binary")
 
 
 def _answer_rows(asked: pa.Table, kind: int, answer) -> pa.Table:
-    """One row per question; distinct keys of all questions are looked up once."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in asked["keys"]]
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    got = answer(u)[inv]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"chunk": asked["chunk"], "kind": pa.array([kind] * len(keys), pa.int8()),
-                     "shard": asked["shard"],
-                     "values": pa.array([x.tobytes() for x in np.split(got, cuts)], pa.binary())})
+    """One row per question; a key that several questions share is looked up once."""
+    u, new, size = np.zeros(0, np.uint64), [], 0
+    for k, x in enumerate(asked["keys"], 1):
+        new.append(np.frombuffer(x.as_py(), np.uint64))
+        size += len(new[-1])
+        if size > FLUSH or k == asked.num_rows:
+            u, new, size = np.unique(np.concatenate([u, *new])), [], 0
+    got = answer(u)
+    values = [got[np.searchsorted(u, np.frombuffer(x.as_py(), np.uint64))].tobytes() for x in asked["keys"]]
+    return pa.table({"chunk": asked["chunk"], "kind": pa.array([kind] * len(values), pa.int8()),
+                     "shard": asked["shard"], "values": pa.array(values, pa.binary())})
 
 
 ANSWER = "chunk string, kind byte, shard int, values binary"
@@ -291,14 +290,14 @@ def _no_answer() -> pa.Table:
                      "shard": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
 
 
-def answers(asked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.ndarray, word_shards: int,
+def answers(chunked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.ndarray, word_shards: int,
             gram_shards: int, n_chunks: int) -> DataFrame:
-    """Answers to ``questions``; a shard with too many questions for a task answers in parts."""
+    """Answers to all ``questions``; a shard with too many for a task answers in parts."""
     def in_parts(df: DataFrame, parts: int) -> DataFrame:
         return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def dealt(kind: int, parts: int) -> DataFrame:
-        return (asked.filter(F.col("kind") == kind)
+    def dealt(kind: int, shards: int, parts: int) -> DataFrame:
+        return (questions(chunked, kind, shards)
                 .withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")))
 
     def count_words(known: pa.Table, ask: pa.Table) -> pa.Table:
@@ -333,10 +332,10 @@ def answers(asked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.nda
                               for s in (word_shards, gram_shards))
     words = (in_parts(counts.filter(F.col("kind") == WORD).select(
         (F.col("key") % word_shards).cast("int").alias("shard"), "key", "n"), word_parts)
-        .groupBy("shard", "part").cogroup(dealt(WORD, word_parts).groupBy("shard", "part"))
+        .groupBy("shard", "part").cogroup(dealt(WORD, word_shards, word_parts).groupBy("shard", "part"))
         .applyInArrow(count_words, ANSWER))
     grams = (in_parts(model, gram_parts).groupBy("shard", "part")
-             .cogroup(dealt(GRAM, gram_parts).groupBy("shard", "part"))
+             .cogroup(dealt(GRAM, gram_shards, gram_parts).groupBy("shard", "part"))
              .applyInArrow(score_grams, ANSWER))
     return words.unionByName(grams)
 
@@ -358,32 +357,31 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     word_shards, gram_shards = max(1, -(-n_words // SHARD_WORDS)), max(1, -(-n_grams // SHARD_GRAMS))
     lower = pair_table(counts)
     model = written(spark, tries(counts, gram_shards, lower), "tries")
-    got = answers(questions(chunked, word_shards, gram_shards), counts, model, lower, word_shards,
-                  gram_shards, chunked.count())
+    got = answers(chunked, counts, model, lower, word_shards, gram_shards, chunked.count())
 
     def add_up(own: pa.Table, got: pa.Table) -> pa.Table:
         c = Chunk({n: own[n][0].as_py() for n in own.column_names})
-        asked = Asked(c, word_shards, gram_shards)
         value = {(k.as_py(), s.as_py()): v.as_py()
                  for k, s, v in zip(got["kind"], got["shard"], got["values"])}
 
-        def gather(kind, dealt, used, dtype):
-            keys, names, _ = dealt
+        def gather(kind: int, shards: int, dtype: str) -> np.ndarray:
+            used, (keys, names, _) = _ask(c, kind, shards)
             flat = np.concatenate([np.frombuffer(value[kind, int(s)], dtype) for s in names]
                                   or [np.zeros(0, dtype)])
             order = np.argsort(keys)
             return flat[order][np.searchsorted(keys[order], used)]
-        n = gather(WORD, asked.word, asked.words, "<i8")
-        log_p = gather(GRAM, asked.gram, asked.grams, "<f4").astype(np.float64)
-        per_doc = np.diff(asked.word_off)
+        n = gather(WORD, word_shards, "<i8")
+        log_p = gather(GRAM, gram_shards, "<f4").astype(np.float64)
+        _, word_off, word_start = c.words()
+        per_doc = np.diff(word_off)
         # every document's words and then its end, as in the stream
-        begin = np.sort(np.concatenate([asked.word_start, c.ends - 1]))
-        seen = np.insert(n, asked.word_off[1:], n_docs)
+        begin = np.sort(np.concatenate([word_start, c.ends - 1]))
+        seen = np.insert(n, word_off[1:], n_docs)
         spelling = np.add.reduceat(log_p, begin)
         base = np.log10((seen + 1) / scale)
         share = np.where(seen > 0, seen - DISCOUNT, DISCOUNT * types) / train if train else np.ones(len(seen))
         mixed = np.log10(MIX * share + (1 - MIX) * 10.0 ** spelling)
-        first = asked.word_off[:-1] + np.arange(len(per_doc))
+        first = word_off[:-1] + np.arange(len(per_doc))
 
         def of_docs(x):
             return pa.array(np.add.reduceat(x, first))
