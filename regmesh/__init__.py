@@ -7,7 +7,6 @@ Spark's own joins, aggregations and set operations.  Sub-packages:
 * ``functions`` - column expressions (normalisation, sentinels, safe casts)
 * ``operators`` - overlap, resolution, merge, enrichment, triple-graph ops
 * ``plans``     - the report pipelines and the query registry
-* ``streaming`` - (empty on purpose, see its docstring)
 """
 
 __version__ = "0.1.0"

@@ -26,7 +26,7 @@ def union_all(*frames: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def min_per_key(df: DataFrame, keys: list[str], values: list[str],
                 outs: list[str] | None = None, empty: str | None = "",
-                buckets: int = 32) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Smallest value of string columns per key (A12 representative, quirk a4).
 
     Spark cannot hash-aggregate ``min`` over strings (the buffer is not
@@ -43,9 +43,12 @@ def min_per_key(df: DataFrame, keys: list[str], values: list[str],
        see raw rows);
     3. the per-bucket minima (at most ``buckets`` per key) are reduced per key.
 
+    ``buckets`` is the number of shuffle partitions unless given, so a hot
+    key's values spread over the whole cluster at any size.
     ``empty`` replaces an all-NULL group (``concat_ws`` of an empty set gives ``''``).
     """
     outs = outs or values
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = (df.select(*keys, *values).distinct()
          .withColumn("_b", F.pmod(F.xxhash64(*values), F.lit(buckets)))
          .repartition(*keys, "_b"))
@@ -97,7 +100,7 @@ def region_budget(a: DataFrame, b: DataFrame, region: str = "country") -> DataFr
     u = union_all(a, b, cols=cols).withColumnRenamed(region, "region")
     return (u.groupBy("region", "source")
             .agg(money_sum("budget").alias("totalBudget"), F.count("proj").alias("numberProjects"))
-            .orderBy(F.desc("totalBudget"), F.desc("numberProjects")))
+            .orderBy(F.desc("totalBudget"), F.desc("numberProjects"), F.asc("region"), F.asc("source")))
 
 
 def merged_titles(a: DataFrame, b: DataFrame, id_col: str = "vatID",

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def to_long(wide: DataFrame) -> DataFrame:
-    """One-row wide frame -> ``(metric, value bigint)`` rows, column order kept."""
+def to_long(wide: DataFrame, kind: str = "bigint") -> DataFrame:
+    """One-row wide frame -> ``(metric, value)`` rows of type ``kind``, column order kept."""
     cols = wide.columns
-    w = wide.select(*[F.col(c).cast("bigint").alias(c) for c in cols])
+    w = wide.select(*[F.col(c).cast(kind).alias(c) for c in cols])
     return w.unpivot([], cols, "metric", "value")

@@ -126,9 +126,11 @@ def pair_counts(a: DataFrame, b: DataFrame,
     cb = (_inline(b, [(n, kb) for n, _, kb in kinds])
           .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("nb")))
     j = ca.join(cb, ["kind", "key"])
-    wide = j.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == n, F.col("na") * F.col("nb"))),
+    # pairs of big tables outgrow 64 bits
+    product = F.col("na").cast("decimal(19,0)") * F.col("nb").cast("decimal(18,0)")
+    wide = j.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == n, product)),
                               F.lit(0)).alias(n) for n, _, _ in kinds])
-    return to_long(wide)
+    return to_long(wide, "decimal(38,0)")
 
 
 def _pairs(parts: list[tuple[DataFrame, int, Column, Column]], k: str, v: str) -> DataFrame:

@@ -184,14 +184,18 @@ def acronym_new(subjects: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def acronym_summary(base: DataFrame) -> DataFrame:
-    """Per lower(acronym) of ``base``: match count and the first org/project/title."""
+    """Per lower(acronym) of ``base``: the number of its rows and the first of them.
+
+    One ``min`` over the whole row, so organisation, project and title come
+    from the same row (rows without an organisation come last)."""
     b = _lower_acronym(base).filter(F.col("acronym").isNotNull())
     b = b.select("acronym", "orgURI", "projectURI", "title").distinct()
-    return b.groupBy("acronym").agg(
-        F.count(F.lit(1)).alias("n_matches"),
-        F.min("orgURI").alias("baseOrgURI"),
-        F.min("projectURI").alias("baseProjectURI"),
-    )
+    first = F.struct(F.col("orgURI").isNull().alias("no_org"), "orgURI", "projectURI", "title")
+    return (b.groupBy("acronym")
+            .agg(F.count(F.lit(1)).alias("n_matches"), F.min(first).alias("_first"))
+            .select("acronym", "n_matches", F.col("_first.orgURI").alias("baseOrgURI"),
+                    F.col("_first.projectURI").alias("baseProjectURI"),
+                    F.col("_first.title").alias("baseTitle")))
 
 
 def acronym_match(subjects: DataFrame, base: DataFrame) -> DataFrame:
@@ -199,7 +203,7 @@ def acronym_match(subjects: DataFrame, base: DataFrame) -> DataFrame:
 
     The reference left-joins and so emits one row per (subject, base) pair;
     with a hot acronym that is quadratic.  Here each subject row carries the
-    number of distinct base matches and the first matching org and project,
+    number of distinct base matches and the first matching row (org, project, title),
     which is what the downstream steps (E14, E16) consume.  Unmatched rows
     keep NULLs and ``n_matches = 0``.
     """

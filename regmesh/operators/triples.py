@@ -96,9 +96,10 @@ def clear_graph(quads: DataFrame, graph: str) -> DataFrame:
     return quads.filter(~F.col("g").eqNullSafe(graph))
 
 
-def list_graphs(quads: DataFrame, limit: int = 100) -> DataFrame:
-    """Distinct graph names, first ``limit`` in name order."""
-    return quads.select("g").distinct().orderBy("g").limit(limit)
+def list_graphs(quads: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct graph names in order; the first ``limit`` where one is given."""
+    names = quads.select("g").distinct().orderBy("g")
+    return names if limit is None else names.limit(limit)
 
 
 def write_snapshot(quads: DataFrame, path: str) -> None:

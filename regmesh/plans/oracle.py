@@ -13,7 +13,7 @@ from ..sources.fixtures import with_views
 
 # Keep these in step with plans.queries.
 from .queries import (DOOMED_TRIPLE, LOOKUP_VAT, NORTHERN_END, NORTHERN_START,
-                      SEARCH_LIMIT, SEARCH_TEXT)
+                      SEARCH_TEXT)
 
 CLEAN = "trim(lower({}))"
 CLEAN_TITLE = "trim(lower(replace({}, '\"', '')))"
@@ -38,8 +38,8 @@ def icount(ea: str, sa: str, eb: str, sb: str) -> str:
     return f"(SELECT count(*) FROM (SELECT {ea} FROM {sa} INTERSECT SELECT {eb} FROM {sb}) i)"
 
 
-def metric_rows(*pairs: tuple[str, str]) -> str:
-    return "\nUNION ALL ".join(f"SELECT '{n}' AS metric, CAST({v} AS BIGINT) AS value"
+def metric_rows(*pairs: tuple[str, str], kind: str = "BIGINT") -> str:
+    return "\nUNION ALL ".join(f"SELECT '{n}' AS metric, CAST({v} AS {kind}) AS value"
                                for n, v in pairs)
 
 
@@ -148,11 +148,16 @@ sql("stem_overlap", AB, metric_rows(
     ("shared_vat_ids", jcount("vatID", "proj_a", "vatID", "proj_b")),
     ("shared_titles", jcount("lower(title)", "proj_a", "lower(title)", "proj_b"))))
 
-sql("title_pair_count", AB, metric_rows(
-    ("title_pairs_clean",
-     f"(SELECT count(*) FROM (SELECT {CLEAN.format('title')} AS t FROM proj_a) x "
-     f"JOIN (SELECT {CLEAN.format('title')} AS t FROM proj_b) y ON x.t = y.t)"),
-    ("title_pairs_raw", "(SELECT count(*) FROM proj_a x JOIN proj_b y ON x.title = y.title)")))
+def _pairs_sql(other: str) -> tuple[str, str]:
+    return (f"(SELECT count(*) FROM (SELECT {CLEAN.format('title')} AS t FROM proj_a) x "
+            f"JOIN (SELECT {CLEAN.format('title')} AS t FROM {other}) y ON x.t = y.t)",
+            f"(SELECT count(*) FROM proj_a x JOIN {other} y ON x.title = y.title)")
+
+
+sql("title_pair_count", (*AB, "proj_c"), metric_rows(
+    *zip(("title_pairs_clean", "title_pairs_raw"), _pairs_sql("proj_b")),
+    *zip(("title_pairs_ac_clean", "title_pairs_ac_raw"), _pairs_sql("proj_c")),
+    kind="DECIMAL(38,0)"))
 
 sql("orgs_sharing_title", AB, f"""
 SELECT DISTINCT 'B' AS side, y.cleanName
@@ -180,12 +185,16 @@ sql("vat_overlap_upper", AB, metric_rows(
 
 _SUBJ = ("(SELECT DISTINCT lower(acronym) AS acronym, projectURI, title, orgURI, orgName, country "
          "FROM proj_b)")
-_ACR_A = ("(SELECT acronym, count(*) AS n_matches, min(orgURI) AS baseOrgURI, "
-          "min(projectURI) AS baseProjectURI FROM (SELECT DISTINCT lower(acronym) AS acronym, "
-          "orgURI, projectURI, title FROM proj_a WHERE acronym IS NOT NULL) d GROUP BY acronym)")
+_ACR_A = ("(SELECT acronym, count(*) OVER (PARTITION BY acronym) AS n_matches, orgURI AS baseOrgURI, "
+          "projectURI AS baseProjectURI, title AS baseTitle "
+          "FROM (SELECT DISTINCT lower(acronym) AS acronym, "
+          "orgURI, projectURI, title FROM proj_a WHERE acronym IS NOT NULL) d "
+          "QUALIFY row_number() OVER (PARTITION BY acronym ORDER BY orgURI NULLS LAST, "
+          "projectURI NULLS FIRST, title NULLS FIRST) = 1)")
 _MATCH = f"""
 SELECT s.acronym, s.projectURI, s.title, s.orgURI, s.orgName, s.country,
-       CAST(COALESCE(m.n_matches, 0) AS BIGINT) AS n_matches, m.baseOrgURI, m.baseProjectURI
+       CAST(COALESCE(m.n_matches, 0) AS BIGINT) AS n_matches, m.baseOrgURI, m.baseProjectURI,
+       m.baseTitle
 FROM {_SUBJ} s LEFT JOIN {_ACR_A} m ON s.acronym = m.acronym"""
 
 sql("acronym_overlap", AB, metric_rows(
@@ -333,7 +342,7 @@ SELECT cleanName, count(*) AS "count" FROM all_orgs GROUP BY cleanName ORDER BY
 sql("name_search", ("all_orgs",), f"""
 SELECT cleanName, count(*) AS n_rows FROM all_orgs
 WHERE contains(upper(cleanName), '{SEARCH_TEXT}')
-GROUP BY cleanName ORDER BY n_rows DESC, cleanName LIMIT {SEARCH_LIMIT}""")
+GROUP BY cleanName ORDER BY n_rows DESC, cleanName""")
 
 sql("vat_lookup", AB, f"""
 SELECT vatID, orgURI, orgName, projectURI, source FROM (
@@ -385,7 +394,7 @@ SELECT * FROM quads WHERE NOT (g IS NOT DISTINCT FROM '{fx.G_PROJECTS}'
                                AND p IS NOT DISTINCT FROM '{fx.HAS_FIELD}')""")
 sql("clear_graph", ("quads",), f"""
 SELECT * FROM quads WHERE g IS DISTINCT FROM '{fx.G_PATENTS}'""")
-sql("list_graphs", ("quads",), "SELECT DISTINCT g FROM quads ORDER BY g LIMIT 100")
+sql("list_graphs", ("quads",), "SELECT DISTINCT g FROM quads ORDER BY g")
 sql("category_labels", ("classification",), "SELECT DISTINCT category FROM classification")
 sql("csv_roundtrip", ("proj_a",), "SELECT * FROM proj_a")
 SQL["report_csv"] = SQL["org_budget"]     # the written-and-read-back Q1 report

@@ -27,7 +27,6 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("query", nargs="?")
     ap.add_argument("--data", help="folder holding the input parquet tables")
     ap.add_argument("--out", help="output folder (CSV with header); omit to print")
-    ap.add_argument("--single-file", action="store_true", help="one CSV part file (small reports)")
     ap.add_argument("--show", type=int, default=20, help="rows to print when --out is omitted")
     ap.add_argument("--list", action="store_true", help="list the registered queries")
     ap.add_argument("--all", action="store_true", help="run every query into OUT/<name>/")
@@ -56,8 +55,6 @@ def main(argv: list[str] | None = None) -> int:
     df = REGISTRY[args.query](spark, args.data)
     if not args.out:
         df.show(args.show, truncate=False)
-    elif args.single_file:
-        csvio.write_single_csv(df, args.out)
     else:
         csvio.write_csv(df, args.out)
     return 0

@@ -42,28 +42,10 @@ def _writer(df: DataFrame):
             .option("ignoreTrailingWhiteSpace", False))
 
 
-def write_single_csv(df: DataFrame, path: str, sort_cols: list | None = None) -> None:
-    """K1/K2: one CSV part file with a header, replacing earlier output.
-
-    With ``sort_cols`` the sort runs *after* the exchange to one partition:
-    sorting first and then repartitioning (the reference's order) gives no
-    order guarantee.  Without them an ``orderBy``-ed frame keeps its order
-    through ``coalesce(1)``, which reads the range-sorted partitions in
-    sequence (the sort itself stays parallel).  Only for final, report-sized
-    results - the write funnels into one task.
-    """
-    if sort_cols:
-        one = df.repartition(1).sortWithinPartitions(*sort_cols)
-    else:
-        one = df.coalesce(1)
-    _writer(one).csv(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
-    """Parallel CSV write (one part file per partition, header in each).
+    """K1/K2: parallel CSV write (one part file per partition, header in each).
 
-    The scalable counterpart of K1: a table-sized frame is written by all
-    tasks at once; an ``orderBy``-ed frame keeps its global order across the
+    A frame is written by all tasks at once, never through one; an ``orderBy``-ed frame keeps its global order across the
     part files (range-partitioned sort).
     """
     _writer(df).csv(path)

@@ -189,9 +189,11 @@ def test_acronym_new_keeps_null(spark):
 
 def test_acronym_match_and_org_map(spark):
     subj, base = _acr(spark)
-    m = {r["projectURI"]: (r["n_matches"], r["baseOrgURI"]) for r in
-         resolve.acronym_match(subj, base).collect()}
-    assert m == {"pb1": (2, "oa0"), "pb2": (0, None), "pb3": (0, None)}
+    m = {r["projectURI"]: (r["n_matches"], r["baseOrgURI"], r["baseProjectURI"], r["baseTitle"])
+         for r in resolve.acronym_match(subj, base).collect()}
+    # org, project and title of one row of the base
+    assert m == {"pb1": (2, "oa0", "pa2", "T two"), "pb2": (0, None, None, None),
+                 "pb3": (0, None, None, None)}
     assert dict(rows(resolve.acronym_org_map(subj, base))) == {
         "ob1": "oa0", "ob2": "ob2", "ob3": "ob3"}
 

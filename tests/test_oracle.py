@@ -9,7 +9,7 @@ from tests.util import canon
 
 SPARK_TO_DUCK = {
     "StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER",
-    "DoubleType": "DOUBLE", "DateType": "DATE", "BooleanType": "BOOLEAN",
+    "DoubleType": "DOUBLE", "DecimalType": "DECIMAL(38,0)", "DateType": "DATE", "BooleanType": "BOOLEAN",
 }
 
 QUERIES = REGISTRY

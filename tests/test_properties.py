@@ -140,3 +140,14 @@ def test_salted_join_equals_plain_join(spark, big_rows, small_keys, hot, how, nu
         want = want.select(big["k"], "v", "w")
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_pair_count_beyond_64_bits(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from regmesh.operators.metrics import to_long
+    n = F.lit(4_000_000_000).cast("decimal(19,0)") * F.lit(4_000_000_000).cast("decimal(18,0)")
+    wide = spark.range(3).agg(F.sum(n).alias("pairs"))
+    assert to_long(wide, "decimal(38,0)").first()["value"] == Decimal(48) * 10 ** 18 > 2 ** 63

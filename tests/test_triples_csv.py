@@ -98,11 +98,12 @@ def test_csv_round_trip_quotes_newlines_empty(spark):
     assert got == [(" padded ", "u4", " both "), ("Acme \"Labs\"", "u1", "line one\nline two"),
                    ("Plain", "u2", None), (None, "u3", "x, y")]
     out = os.path.join(path, "out")
-    csvio.write_single_csv(df, out, sort_cols=["orgURI"])
-    parts = [p for p in os.listdir(out) if p.endswith(".csv")]
-    assert len(parts) == 1
+    csvio.write_csv(df.repartition(4).orderBy("orgURI"), out)
+    parts = sorted(p for p in os.listdir(out) if p.endswith(".csv"))
+    in_order = [r["orgURI"] for p in parts                                # K2: sorted in part order
+                for r in csvio.read_csv(spark, os.path.join(out, p), ORG_TITLE, multiline=True).collect()]
+    assert in_order == ["u1", "u2", "u3", "u4"]
     back = csvio.read_csv(spark, out, ORG_TITLE, multiline=True)
-    assert [r["orgURI"] for r in back.collect()] == ["u1", "u2", "u3", "u4"]   # K2: sorted
     assert rows(back) == rows(df)          # white space, quotes and newlines survive
 
 
@@ -177,9 +178,8 @@ def test_runner_writes_a_report(spark, capsys):
     assert run.main(["--list"]) == 0
     assert "org_budget" in capsys.readouterr().out
     out = shared_dir(spark, "runner")
-    assert run.main(["region_budget", "--data", SMOKE_DIR, "--out", out, "--single-file"]) == 0
-    parts = [p for p in os.listdir(out) if p.endswith(".csv")]
-    assert len(parts) == 1
+    assert run.main(["region_budget", "--data", SMOKE_DIR, "--out", out]) == 0
+    parts = sorted(p for p in os.listdir(out) if p.endswith(".csv"))
     lines = open(os.path.join(out, parts[0])).read().splitlines()
     assert lines[0] == "region,source,totalBudget,numberProjects" and len(lines) > 1
 
