@@ -48,6 +48,11 @@ def _pre(prefix: str, c) -> Column:
     return F.concat(F.lit(prefix), _str(c))
 
 
+def _div(c: str, n: int) -> Column:
+    """Whole-number division: a key domain that grows with the table."""
+    return F.expr(f"{c} div {n}")
+
+
 # --------------------------------------------------------------------------
 # Spark builders
 # --------------------------------------------------------------------------
@@ -56,20 +61,26 @@ def proj_a(t: Tables) -> DataFrame:
     o, c, n = t["orders"], t["customer"], t["nation"]
     j = (o.join(c, o["o_custkey"] == c["c_custkey"])
           .join(n, c["c_nationkey"] == n["n_nationkey"]))
+    title = _pre("Project ", _div("o_orderkey", 4))
     return j.select(
         _pre("http://a.example/p/", "o_orderkey").alias("projectURI"),
-        _pre("Project ", F.col("o_orderkey") % 4000).alias("title"),
-        _pre("ACR", F.col("o_orderkey") % 3000).alias("acronym"),
+        F.when(F.col("o_orderkey") % 17 == 0, F.concat(title, F.lit("\nphase 2")))
+         .when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit('"'), title, F.lit('"')))
+         .otherwise(title).alias("title"),
+        _pre("ACR", _div("o_orderkey", 5)).alias("acronym"),
         _pre("http://a.example/o/", "c_custkey").alias("orgURI"),
-        _pre("Org ", F.col("c_custkey") % 1200).alias("orgName"),
+        F.when(F.col("o_orderkey") % 10 == 0, _pre("Solo ", "o_orderkey"))
+         .otherwise(_pre("Org ", _div("c_custkey", 2))).alias("orgName"),
         F.col("n_name").alias("country"),
         _pre("V", "c_custkey").alias("vatID"),
         _str("c_custkey").alias("pic"),
         _str("o_orderkey").alias("proj"),
         F.col("o_totalprice").alias("budget"),
         F.col("o_orderdate").cast("date").alias("sDate"),
-        F.col("o_orderdate").cast("date").alias("eDate"),
+        F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 400).cast("int"))
+         .alias("eDate"),
         F.lit("A").alias("source"),
+        _pre("I", "n_nationkey").alias("countryCode"),
     )
 
 
@@ -79,22 +90,29 @@ def proj_b(t: Tables) -> DataFrame:
     k = F.col("s_suppkey") % 7
     return j.select(
         _pre("http://b.example/p/", "l_orderkey").alias("projectURI"),
-        F.concat(F.lit("  PROJECT "), _str(F.col("l_orderkey") % 6000 + 1000),
-                 F.lit(" ")).alias("title"),
+        F.when(F.col("l_orderkey") % 5 == 0, _pre("Project ", _div("l_orderkey", 4)))
+         .when(F.col("l_orderkey") % 7 == 0, _pre("Study ", _div("l_orderkey", 4)))
+         .otherwise(F.concat(F.lit("  PROJECT "),
+                             _str(_div("l_orderkey", 4) + 500 + F.col("l_linenumber") % 2),
+                             F.lit(" "))).alias("title"),
         F.when(F.col("l_orderkey") % 11 == 0, F.lit(None).cast("string"))
-         .otherwise(_pre("acr", F.col("l_orderkey") % 5000 + 1000)).alias("acronym"),
+         .when(F.col("l_orderkey") % 5 == 0, _pre("acr", _div("l_orderkey", 5)))
+         .otherwise(_pre("acr", _div("l_orderkey", 3) + 1000)).alias("acronym"),
         _pre("http://b.example/o/", "s_suppkey").alias("orgURI"),
-        F.concat(F.lit(" ORG "), _str("s_suppkey"), F.lit(" ")).alias("orgName"),
+        F.when(F.col("s_suppkey") % 3 == 0, _pre("Org ", "s_suppkey"))
+         .otherwise(F.concat(F.lit(" ORG "), _str("s_suppkey"), F.lit(" "))).alias("orgName"),
         _pre("C", "s_nationkey").alias("country"),
         F.when(k == 0, F.lit(None).cast("string"))
          .when(k == 1, F.lit("NaN"))
          .when(k == 2, F.lit("missing"))
+         .when(k == 3, _pre("v", "s_suppkey"))
          .otherwise(_pre("V", "s_suppkey")).alias("vatID"),
         _str("s_suppkey").alias("pic"),
         _str("l_orderkey").alias("proj"),
         F.col("l_extendedprice").alias("budget"),
         F.col("l_shipdate").cast("date").alias("sDate"),
-        F.col("l_shipdate").cast("date").alias("eDate"),
+        F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 400).cast("int"))
+         .alias("eDate"),
         F.lit("B").alias("source"),
     )
 
@@ -102,9 +120,13 @@ def proj_b(t: Tables) -> DataFrame:
 def proj_c(t: Tables) -> DataFrame:
     e = t["events"]
     return e.select(
-        _pre("org ", "user_id").alias("orgName"),
+        F.when(F.col("user_id") % 4 == 0, _pre("Org ", "user_id"))
+         .otherwise(_pre("org ", "user_id")).alias("orgName"),
         _pre("http://c.example/o/", "user_id").alias("orgURI"),
-        _pre("project ", F.col("event_id") % 7000).alias("title"),
+        F.when(F.col("event_id") % 3 == 0, _pre("Project ", _div("event_id", 2)))
+         .otherwise(_pre("project ", _div("event_id", 2))).alias("title"),
+        F.when(F.col("event_id") % 2 == 0, _pre("http://b.example/p/", _div("event_id", 2)))
+         .otherwise(_pre("http://c.example/p/", _div("event_id", 3))).alias("projectURI"),
         F.lit("C").alias("source"),
     )
 
@@ -124,7 +146,7 @@ def country_ref(t: Tables) -> DataFrame:
     return n.select(
         _pre("C", "n_nationkey").alias("country"),
         F.col("n_name").alias("countryName"),
-        _pre("C", "n_nationkey").alias("iso"),
+        _pre("I", "n_nationkey").alias("iso"),
         F.when(F.col("n_regionkey") == 4, F.lit(None).cast("double"))
          .otherwise((F.col("n_nationkey") + 50).cast("double") / 100).alias("hdi"),
         F.when(F.col("n_regionkey") == 1, F.lit(None).cast("double"))
@@ -136,7 +158,7 @@ def country_ref(t: Tables) -> DataFrame:
 def country_allow(t: Tables) -> DataFrame:
     """Allow-list (country label, country code): the countries of region 3."""
     return (country_ref(t).filter(F.col("n_regionkey") == 3)
-            .select(F.col("countryName").alias("Country"), F.col("iso").alias("countryCode")))
+            .select(F.col("countryName").alias("Country"), F.col("country").alias("countryCode")))
 
 
 def results(t: Tables) -> DataFrame:
@@ -149,11 +171,13 @@ def pubs(t: Tables) -> DataFrame:
     li, o, p = t["lineitem"], t["orders"], t["part"]
     j = (li.join(o, li["l_orderkey"] == o["o_orderkey"])
            .join(p, li["l_partkey"] == p["p_partkey"]))
+    title = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), F.col("p_name"), F.lit('"')))
+             .otherwise(F.col("p_name")))
     return j.select(
         F.year("o_orderdate").cast("int").alias("year"),
         F.col("o_orderpriority").alias("projTitle"),
-        F.col("p_name").alias("title"),
-        clean_title("p_name").alias("cleanTitle"),
+        title.alias("title"),
+        clean_title(title).alias("cleanTitle"),
     )
 
 
@@ -213,43 +237,57 @@ def view(t: Tables, name: str) -> DataFrame:
 VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "proj_a": ("""
   SELECT 'http://a.example/p/' || CAST(o_orderkey AS VARCHAR) AS projectURI,
-         'Project ' || CAST(o_orderkey % 4000 AS VARCHAR) AS title,
-         'ACR' || CAST(o_orderkey % 3000 AS VARCHAR) AS acronym,
+         CASE WHEN o_orderkey % 17 = 0
+              THEN 'Project ' || CAST(o_orderkey // 4 AS VARCHAR) || chr(10) || 'phase 2'
+              WHEN o_orderkey % 13 = 0 THEN '"Project ' || CAST(o_orderkey // 4 AS VARCHAR) || '"'
+              ELSE 'Project ' || CAST(o_orderkey // 4 AS VARCHAR) END AS title,
+         'ACR' || CAST(o_orderkey // 5 AS VARCHAR) AS acronym,
          'http://a.example/o/' || CAST(c_custkey AS VARCHAR) AS orgURI,
-         'Org ' || CAST(c_custkey % 1200 AS VARCHAR) AS orgName,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'Solo ' || CAST(o_orderkey AS VARCHAR)
+              ELSE 'Org ' || CAST(c_custkey // 2 AS VARCHAR) END AS orgName,
          n_name AS country,
          'V' || CAST(c_custkey AS VARCHAR) AS vatID,
          CAST(c_custkey AS VARCHAR) AS pic,
          CAST(o_orderkey AS VARCHAR) AS proj,
          o_totalprice AS budget,
          CAST(o_orderdate AS DATE) AS sDate,
-         CAST(o_orderdate AS DATE) AS eDate,
-         'A' AS source
+         CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS eDate,
+         'A' AS source,
+         'I' || CAST(n_nationkey AS VARCHAR) AS countryCode
   FROM orders JOIN customer ON o_custkey = c_custkey
               JOIN nation ON c_nationkey = n_nationkey""", ()),
     "proj_b": ("""
   SELECT 'http://b.example/p/' || CAST(l_orderkey AS VARCHAR) AS projectURI,
-         '  PROJECT ' || CAST(l_orderkey % 6000 + 1000 AS VARCHAR) || ' ' AS title,
+         CASE WHEN l_orderkey % 5 = 0 THEN 'Project ' || CAST(l_orderkey // 4 AS VARCHAR)
+              WHEN l_orderkey % 7 = 0 THEN 'Study ' || CAST(l_orderkey // 4 AS VARCHAR)
+              ELSE '  PROJECT ' || CAST(l_orderkey // 4 + 500 + l_linenumber % 2 AS VARCHAR) || ' '
+              END AS title,
          CASE WHEN l_orderkey % 11 = 0 THEN NULL
-              ELSE 'acr' || CAST(l_orderkey % 5000 + 1000 AS VARCHAR) END AS acronym,
+              WHEN l_orderkey % 5 = 0 THEN 'acr' || CAST(l_orderkey // 5 AS VARCHAR)
+              ELSE 'acr' || CAST(l_orderkey // 3 + 1000 AS VARCHAR) END AS acronym,
          'http://b.example/o/' || CAST(s_suppkey AS VARCHAR) AS orgURI,
-         ' ORG ' || CAST(s_suppkey AS VARCHAR) || ' ' AS orgName,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'Org ' || CAST(s_suppkey AS VARCHAR)
+              ELSE ' ORG ' || CAST(s_suppkey AS VARCHAR) || ' ' END AS orgName,
          'C' || CAST(s_nationkey AS VARCHAR) AS country,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL
               WHEN s_suppkey % 7 = 1 THEN 'NaN'
               WHEN s_suppkey % 7 = 2 THEN 'missing'
+              WHEN s_suppkey % 7 = 3 THEN 'v' || CAST(s_suppkey AS VARCHAR)
               ELSE 'V' || CAST(s_suppkey AS VARCHAR) END AS vatID,
          CAST(s_suppkey AS VARCHAR) AS pic,
          CAST(l_orderkey AS VARCHAR) AS proj,
          l_extendedprice AS budget,
          CAST(l_shipdate AS DATE) AS sDate,
-         CAST(l_shipdate AS DATE) AS eDate,
+         CAST(l_shipdate AS DATE) + CAST(l_orderkey % 400 AS INTEGER) AS eDate,
          'B' AS source
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""", ()),
     "proj_c": ("""
-  SELECT 'org ' || CAST(user_id AS VARCHAR) AS orgName,
+  SELECT CASE WHEN user_id % 4 = 0 THEN 'Org ' ELSE 'org ' END || CAST(user_id AS VARCHAR) AS orgName,
          'http://c.example/o/' || CAST(user_id AS VARCHAR) AS orgURI,
-         'project ' || CAST(event_id % 7000 AS VARCHAR) AS title,
+         CASE WHEN event_id % 3 = 0 THEN 'Project ' ELSE 'project ' END
+           || CAST(event_id // 2 AS VARCHAR) AS title,
+         CASE WHEN event_id % 2 = 0 THEN 'http://b.example/p/' || CAST(event_id // 2 AS VARCHAR)
+              ELSE 'http://c.example/p/' || CAST(event_id // 3 AS VARCHAR) END AS projectURI,
          'C' AS source
   FROM events""", ()),
     "all_orgs": ("""
@@ -261,7 +299,7 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "country_ref": ("""
   SELECT 'C' || CAST(n_nationkey AS VARCHAR) AS country,
          n_name AS countryName,
-         'C' || CAST(n_nationkey AS VARCHAR) AS iso,
+         'I' || CAST(n_nationkey AS VARCHAR) AS iso,
          CASE WHEN n_regionkey = 4 THEN NULL
               ELSE CAST(n_nationkey + 50 AS DOUBLE) / 100 END AS hdi,
          CASE WHEN n_regionkey = 1 THEN NULL
@@ -269,7 +307,7 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
          n_regionkey
   FROM nation""", ()),
     "country_allow": ("""
-  SELECT countryName AS Country, iso AS countryCode FROM country_ref WHERE n_regionkey = 3""",
+  SELECT countryName AS Country, country AS countryCode FROM country_ref WHERE n_regionkey = 3""",
                       ("country_ref",)),
     "results": ("""
   SELECT CAST(user_id AS VARCHAR) AS orgURI, CAST(event_id AS VARCHAR) AS resultURI,
@@ -277,7 +315,8 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
   FROM events""", ()),
     "pubs": ("""
   SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS projTitle,
-         p_name AS title, trim(lower(replace(p_name, '"', ''))) AS cleanTitle
+         CASE WHEN p_partkey % 3 = 0 THEN '"' || p_name || '"' ELSE p_name END AS title,
+         trim(lower(replace(p_name, '"', ''))) AS cleanTitle
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
                 JOIN part ON l_partkey = p_partkey""", ()),
     "classification": ("""
