@@ -29,7 +29,8 @@ def projects_by_org(code_src: DataFrame, label_src: DataFrame, dim: DataFrame,
     code_src  : country holds the dimension's code -> J3 ``USING(country)``
     label_src : country holds the label            -> J3 ``USING(countryName)``
                 (label_join="using") or J4 ``country = countryName``
-                (label_join="on", both columns kept)
+                (label_join="on", both columns kept), or the dimension's
+                ISO code -> ``country = iso`` (label_join="iso")
     Then UNION ALL, keep rows with a known measure (F1; Catalyst pushes it
     below the union and turns the outer joins into inner ones), count
     projects per (org, measure, countryName), attach one name per org.
@@ -40,6 +41,9 @@ def projects_by_org(code_src: DataFrame, label_src: DataFrame, dim: DataFrame,
     if label_join == "using":
         c2 = (org_projects(label_src).withColumnRenamed("country", "countryName")
               .join(dim.select(measure, "countryName"), "countryName", "left"))
+    elif label_join == "iso":
+        c2 = org_projects(label_src).join(dim.select(F.col("iso").alias("country"), measure,
+                                                     "countryName"), "country", "left")
     else:
         d = dim.select(F.col("countryName").alias("_cn"), measure)
         c2 = (org_projects(label_src)
@@ -54,25 +58,28 @@ def projects_by_org(code_src: DataFrame, label_src: DataFrame, dim: DataFrame,
                         ["orgURI"], ["orgName"])
     return (result.join(names, "orgURI").drop("orgURI")
             .select(measure, "countryName", "count", "orgName")
-            .orderBy(F.desc("count"), F.asc("orgName"), F.asc("countryName")))
+            .orderBy(F.desc("count"), F.asc("orgName"), F.asc("countryName"), F.asc(measure)))
 
 
 def projects_by_vat(code_src: DataFrame, label_src: DataFrame, dim: DataFrame,
-                    measure: str = "gdp") -> DataFrame:
+                    measure: str = "gdp", label_key: str = "countryName") -> DataFrame:
     """Q7: projects per (vatID, measure), vatID descending.
 
+    The country of ``label_src`` is matched with the dimension's ``label_key``
+    (its label, or ``iso``).
+
     The reference drops ``vatID`` from its column list and fails analysis
     (quirk f); here the id is part of the input schema.
     """
     o1 = (code_src.select("vatID", "country", "projectURI").distinct()
           .join(dim.select("country", measure), "country", "left"))
-    d = dim.select(F.col("countryName").alias("_cn"), measure)
+    d = dim.select(F.col(label_key).alias("_cn"), measure)
     c2 = (label_src.select("vatID", "country", "projectURI").distinct()
           .join(d, F.col("country") == F.col("_cn"), "left"))
     u = o1.select("vatID", "projectURI", measure).unionByName(c2.select("vatID", "projectURI", measure))
     return (u.filter(F.col(measure).isNotNull())
             .groupBy("vatID", measure).count()
-            .orderBy(F.desc_nulls_last("vatID"), F.desc("count")))
+            .orderBy(F.desc_nulls_last("vatID"), F.desc("count"), F.asc(measure)))
 
 
 def in_date_range(df: DataFrame, start: str, end: str,

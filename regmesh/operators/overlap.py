@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .metrics import to_long
 from .skew import hot_keys, salted_join
 
@@ -41,6 +42,7 @@ class Count:
     kind: str
     sides: tuple[int, ...]
     null_counts: bool
+    any_side: bool = False
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,8 @@ def count_expr(c: Count | Rows) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == F.lit(c.kind), F.col("n"))),
                           F.lit(0)).alias(c.name)
     req = sum(1 << s for s in c.sides)
-    cond = (F.col("kind") == F.lit(c.kind)) & ((F.col("mask").bitwiseAND(F.lit(req))) == F.lit(req))
+    held = F.col("mask").bitwiseAND(F.lit(req))
+    cond = (F.col("kind") == F.lit(c.kind)) & ((held > 0) if c.any_side else (held == F.lit(req)))
     if not c.null_counts:
         cond = cond & F.col("key").isNotNull()
     return F.count_if(cond).alias(c.name)
@@ -96,6 +99,11 @@ def distinct(name: str, kind: str, side: int) -> Count:
     return Count(name, kind, (side,), True)
 
 
+def either(name: str, kind: str, *sides: int) -> Count:
+    """Distinct values of the union of the sides, NULL counted as a value."""
+    return Count(name, kind, sides, True, any_side=True)
+
+
 def joined(name: str, kind: str, a: int, b: int) -> Count:
     """Keys present on both sides, NULL never matches."""
     return Count(name, kind, (a, b), False)
@@ -134,11 +142,13 @@ def pair_counts(a: DataFrame, b: DataFrame,
 
 
 def _pairs(parts: list[tuple[DataFrame, int, Column, Column]], k: str, v: str) -> DataFrame:
-    """Distinct ``(k, v)`` pairs over several sources with the bit mask of their sources."""
+    """Distinct ``(k, v)`` pairs over several sources with the bit mask of their sources.
+
+    Written once: every step of a report reads this frame, not the sources."""
     u = reduce(DataFrame.unionByName, [
         df.select(kc.alias(k), vc.alias(v), F.lit(1 << side).alias("bit"))
         for df, side, kc, vc in parts])
-    return u.groupBy(k, v).agg(F.bit_or("bit").alias("m"))
+    return written(u.groupBy(k, v).agg(F.bit_or("bit").alias("m")), "pairs")
 
 
 def _not_null_and(col: str, cond: Column) -> Column:

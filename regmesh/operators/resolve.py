@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .merge import min_per_key
 from .skew import hot_keys, salted_join
 
@@ -100,19 +101,17 @@ def merged_publications(orgs: DataFrame, name: str = "cleanName", uri: str = "or
     and a minimum travel, never a set of names or titles.
     """
     live = orgs.filter(F.col(uri).isNotNull())
-    # distinct (name, uri, raw name): rows per URI are its name variants, few
-    # even for a hot URI, so partitioning by URI is safe; membership and the
-    # per-URI name minimum both read this one stage (the partitioning already
-    # satisfies both aggregations, and the repartition keeps Catalyst from
-    # folding the distinct into the minimum)
-    variants = live.select(name, uri, org_name).distinct().repartition(uri)
-    cmap = canonical_map(variants.select(name, uri).distinct(), name, uri)
+    # the distinct rows and the map are written once, so membership, names,
+    # titles and hot lists read them instead of the registries; no step needs
+    # all name variants of a URI in one task
+    base = written(live.select(name, uri, org_name, title).distinct(), "org-titles")
+    cmap = written(canonical_map(base.select(name, uri).distinct(), name, uri), "canonical-map")
     # small path: representative name per canonical URI
-    per_uri_name = variants.groupBy(uri).agg(F.min(org_name).alias("_n"))
+    per_uri_name = min_per_key(base, [uri], [org_name], ["_n"], empty=None)
     names = (per_uri_name.join(cmap, uri)
              .groupBy("canonicalURI").agg(F.coalesce(F.min("_n"), F.lit("")).alias("orgName")))
     # large path: distinct titles per canonical URI
-    pairs = live.select(uri, title).distinct()
+    pairs = base.select(uri, title).distinct()
     hot = hot_keys(pairs.groupBy(uri).agg(F.count(F.lit(1)).alias("_t")), [uri], "_t")
     titles = (salted_join(pairs, cmap, [uri], "inner", hot)
               .select("canonicalURI", title).distinct()
@@ -243,3 +242,28 @@ def rewrite_on_title_match(subjects: DataFrame, base: DataFrame, title_key) -> D
     return (j.withColumn("modify", F.when(F.col("_p").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
             .withColumn("projectURI", F.coalesce(F.col("_p"), F.col("projectURI")))
             .drop("_tk", "_p"))
+
+
+def rewrite_uris(subjects: DataFrame, base: DataFrame, title_key) -> DataFrame:
+    """E16 in full: the project URI as ``rewrite_on_title_match``, and the org URI
+    through the acronym map (E14); an org the map does not know keeps its URI."""
+    rows = rewrite_on_title_match(subjects, base, title_key)
+    orgs = acronym_org_map(subjects, base)
+    hot = hot_keys(rows.groupBy("orgURI").agg(F.count(F.lit(1)).alias("_r")), ["orgURI"], "_r")
+    return (salted_join(rows, orgs, ["orgURI"], "left", hot)
+            .withColumn("orgURI", F.coalesce("newOrgURI", "orgURI")).drop("newOrgURI"))
+
+
+def rewrite_counts(rewritten: DataFrame, base_org: str, own_project: str) -> DataFrame:
+    """E16 counts: rewritten projects, rows whose org only was rewritten, and their projects."""
+    org_only = F.col("orgURI").contains(base_org) & F.col("projectURI").contains(own_project)
+    projects = F.count_distinct(F.when(org_only, F.col("projectURI")))
+    return rewritten.agg(F.count_if(F.col("modify") == 1).alias("modified"),
+                         F.count_if(org_only).alias("org_only"),
+                         projects.alias("org_only_projects"))
+
+
+def values_per_key(df: DataFrame, keys: list[str], attr: str, out: str) -> DataFrame:
+    """Distinct ``attr`` values per key group, most first."""
+    return (df.groupBy(*keys).agg(F.count_distinct(attr).alias(out))
+            .orderBy(F.desc(out), *[F.asc(k) for k in keys]))

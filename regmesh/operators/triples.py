@@ -23,14 +23,18 @@ def _pat(quads: DataFrame, graph: str, pred: str) -> DataFrame:
 
 
 def identifier_index(quads: DataFrame, graph: str, *, type_pred: str, type_obj: str,
-                     has_id: str, id_name: str, id_value: str, scheme: str) -> DataFrame:
+                     has_id: str, id_name: str, id_value: str, scheme: str,
+                     wanted: DataFrame | None = None) -> DataFrame:
     """``(value, project)`` for the pattern::
 
         ?x type_pred type_obj . ?x has_id ?i . ?i id_name "scheme" . ?i id_value ?v
 
     Four filtered scans of the same graph joined on subject/object, with the
     literal constraints applied before the joins; ``min(project)`` per value
-    stands for the reference's "first solution".
+    stands for the reference's "first solution".  ``wanted(value)`` limits the
+    index to the values of a lookup, before any other join.  An identifier
+    node is reduced to its smallest project before it meets its values, so m
+    projects and n values of one node give n rows, never m x n.
     """
     typed = (_pat(quads, graph, type_pred).filter(F.col("o") == type_obj)
              .select(F.col("s").alias("x")).distinct())
@@ -39,12 +43,20 @@ def identifier_index(quads: DataFrame, graph: str, *, type_pred: str, type_obj:
              .filter((F.col("o") == scheme) & (F.col("o_type") == "string"))
              .select(F.col("s").alias("i")).distinct())
     valued = (_pat(quads, graph, id_value).filter(F.col("o_type") == "string")
-              .select(F.col("s").alias("i"), F.col("o").alias("value")))
-    ids = has.join(named, "i", "left_semi").join(valued, "i")
-    return (ids.join(typed, "x", "left_semi")
+              .select(F.col("s").alias("i"), F.col("o").alias("value")).distinct())
+    if wanted is not None:
+        valued = valued.join(wanted.select("value").distinct(), "value", "left_semi")
+    per_node = (salted_join(has, typed, ["x"], "left_semi", _heavy(has, "x"))
+                .groupBy("i").agg(F.min("x").alias("x"))
+                .join(named, "i", "left_semi"))
+    return (salted_join(valued, per_node, ["i"], "inner", _heavy(valued, "i"))
             .groupBy("value").agg(F.min("x").alias("projectURI")))
 
 
+def _heavy(df: DataFrame, key: str) -> DataFrame:
+    return hot_keys(df.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), [key], "_r")
+
+
 def resolve_identifier(items: DataFrame, index: DataFrame, value_col: str) -> DataFrame:
     """T1 for a whole table at once: attach ``projectURI`` (``''`` when absent).
 

@@ -159,6 +159,18 @@ sql("title_pair_count", (*AB, "proj_c"), metric_rows(
     *zip(("title_pairs_ac_clean", "title_pairs_ac_raw"), _pairs_sql("proj_c")),
     kind="DECIMAL(38,0)"))
 
+
+def _union(expr: str) -> str:
+    return (f"(SELECT count(*) FROM (SELECT {expr} FROM proj_c "
+            f"UNION SELECT {expr} FROM proj_b) u)")
+
+
+sql("titles_projects_bc", ("proj_b", "proj_c"), metric_rows(
+    ("titles_bc", _union("title")), ("titles_b", dcount("title", "proj_b")),
+    ("titles_c", dcount("title", "proj_c")),
+    ("projects_bc", _union("projectURI")), ("projects_b", dcount("projectURI", "proj_b")),
+    ("projects_c", dcount("projectURI", "proj_c"))))
+
 sql("orgs_sharing_title", AB, f"""
 SELECT DISTINCT 'B' AS side, y.cleanName
 FROM (SELECT DISTINCT {CLEAN.format('title')} AS t FROM proj_a) x
@@ -211,17 +223,40 @@ sql("acronym_org_map", AB, f"""
 SELECT orgURI, COALESCE(min(baseOrgURI), orgURI) AS newOrgURI
 FROM ({_MATCH}) m WHERE orgURI IS NOT NULL GROUP BY orgURI""")
 
-sql("rewrite_on_title_match", AB, f"""
+_REWRITE = f"""
 , b AS (SELECT lower(acronym) AS acronym, {CLEAN.format('title')} AS tk, min(projectURI) AS p
         FROM proj_a WHERE acronym IS NOT NULL AND {CLEAN.format('title')} IS NOT NULL
         GROUP BY lower(acronym), {CLEAN.format('title')})
 SELECT s.acronym, COALESCE(b.p, s.projectURI) AS projectURI, s.title, s.orgURI, s.orgName,
        s.country, CASE WHEN b.p IS NOT NULL THEN 1 ELSE 0 END AS modify
-FROM {_SUBJ} s LEFT JOIN b ON s.acronym = b.acronym AND {CLEAN.format('s.title')} = b.tk""")
-
-
-def _by_org(measure: str, dim: str, label_on: bool) -> str:
-    if label_on:
+FROM {_SUBJ} s LEFT JOIN b ON s.acronym = b.acronym AND {CLEAN.format('s.title')} = b.tk"""
+sql("rewrite_on_title_match", AB, _REWRITE)
+
+_HEAD, _ROWS = _REWRITE.split("\nSELECT s.acronym", 1)
+_REWRITE_URIS = f"""{_HEAD},
+rewritten AS (SELECT s.acronym{_ROWS}),
+orgs AS (SELECT s.orgURI, min(a.orgURI) AS newOrgURI FROM {_SUBJ} s
+         JOIN proj_a a ON lower(a.acronym) = s.acronym
+         JOIN (SELECT lower(acronym) AS k, min(orgURI) AS first FROM proj_a GROUP BY lower(acronym)) f
+           ON f.k = s.acronym AND f.first = a.orgURI
+         GROUP BY s.orgURI),
+uris AS (SELECT r.acronym, r.projectURI, r.title, COALESCE(o.newOrgURI, r.orgURI) AS orgURI,
+                r.orgName, r.country, r.modify
+         FROM rewritten r LEFT JOIN orgs o ON r.orgURI = o.orgURI)"""
+sql("rewrite_uris", AB, _REWRITE_URIS + "\nSELECT * FROM uris")
+_ORG_ONLY = "contains(orgURI, 'a.example') AND contains(projectURI, 'b.example')"
+sql("rewrite_counts", AB, _REWRITE_URIS + "\n" + metric_rows(
+    ("modified", "(SELECT count(*) FROM uris WHERE modify = 1)"),
+    ("org_only", f"(SELECT count(*) FROM uris WHERE {_ORG_ONLY})"),
+    ("org_only_projects", f"(SELECT count(DISTINCT projectURI) FROM uris WHERE {_ORG_ONLY})")))
+
+
+def _by_org(measure: str, dim: str, label_on: bool, iso: bool = False) -> str:
+    if iso:
+        c2 = (f"SELECT d.orgURI, d.projectURI, c.{measure}, c.countryName "
+              f"FROM (SELECT DISTINCT orgURI, countryCode, projectURI FROM proj_a) d "
+              f"LEFT JOIN {dim} c ON d.countryCode = c.iso")
+    elif label_on:
         c2 = (f"SELECT d.orgURI, d.projectURI, c.{measure}, c.cn AS countryName "
               f"FROM (SELECT DISTINCT orgURI, country, projectURI FROM proj_a) d "
               f"LEFT JOIN (SELECT countryName AS cn, {measure} FROM {dim}) c ON d.country = c.cn")
@@ -248,6 +283,23 @@ _GDP_DIM = "(SELECT * FROM country_ref WHERE gdp IS NOT NULL)"
 sql("projects_by_org_hdi", AB + ("country_ref",), _by_org("hdi", "country_ref", False))
 sql("projects_by_org_gdp", AB + ("country_ref",), _by_org("gdp", _GDP_DIM, True))
 
+sql("projects_by_org_gdp_iso", AB + ("country_ref",), _by_org("gdp", _GDP_DIM, False, iso=True))
+
+
+def _by_vat_iso(measure: str) -> str:
+    return f"""
+SELECT vatID, {measure}, count(*) AS "count" FROM (
+  SELECT d.vatID, c.{measure} FROM (SELECT DISTINCT vatID, country, projectURI FROM proj_b) d
+  JOIN country_ref c ON d.country = c.country
+  UNION ALL
+  SELECT d.vatID, c.{measure} FROM (SELECT DISTINCT vatID, countryCode, projectURI FROM proj_a) d
+  JOIN country_ref c ON d.countryCode = c.iso) u
+WHERE {measure} IS NOT NULL GROUP BY vatID, {measure}"""
+
+
+sql("projects_by_vat_gdp_iso", AB + ("country_ref",), _by_vat_iso("gdp"))
+sql("projects_by_vat_hdi", AB + ("country_ref",), _by_vat_iso("hdi"))
+
 sql("projects_by_vat_gdp", AB + ("country_ref",), f"""
 SELECT vatID, gdp, count(*) AS "count" FROM (
   SELECT d.vatID, d.projectURI, c.gdp
@@ -333,6 +385,10 @@ SELECT proj, count(DISTINCT title) AS n_titles
 FROM (SELECT proj, title FROM proj_a UNION ALL SELECT proj, title FROM proj_b) u
 GROUP BY proj HAVING count(DISTINCT title) > 1""")
 
+sql("titles_per_vat_project", ("proj_b",), """
+SELECT vatID, projectURI, count(DISTINCT title) AS n_titles
+FROM proj_b GROUP BY vatID, projectURI""")
+
 sql("rows_per_project", ("proj_b",), """
 SELECT projectURI, count(*) AS "count" FROM proj_b GROUP BY projectURI ORDER BY "count" DESC""")
 
@@ -396,5 +452,6 @@ sql("clear_graph", ("quads",), f"""
 SELECT * FROM quads WHERE g IS DISTINCT FROM '{fx.G_PATENTS}'""")
 sql("list_graphs", ("quads",), "SELECT DISTINCT g FROM quads ORDER BY g")
 sql("category_labels", ("classification",), "SELECT DISTINCT category FROM classification")
-sql("csv_roundtrip", ("proj_a",), "SELECT * FROM proj_a")
+sql("csv_roundtrip", ("proj_a",), "SELECT * EXCLUDE (countryCode) FROM proj_a")
+sql("orgs_from_files", ("all_orgs",), "SELECT orgName, orgURI, title FROM all_orgs")
 SQL["report_csv"] = SQL["org_budget"]     # the written-and-read-back Q1 report

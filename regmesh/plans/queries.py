@@ -18,8 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.normalize import clean, clean_title, fallback_id, to_double, try_date
 from ..operators import enrich, merge, overlap, resolve, triples
 from ..operators.metrics import to_long
-from ..operators.overlap import ROWS, Rows, Source, distinct, intersected, joined
-from ..schemas import PROJ
+from ..operators.overlap import ROWS, Rows, Source, distinct, either, intersected, joined
+from ..schemas import ORG_TITLE, PROJ
 from ..session import shared_dir
 from ..sources import csv as csvio
 from ..sources import fixtures as fx
@@ -40,6 +40,7 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
+        self._snapshot: str | None = None
 
     def v(self, name: str) -> DataFrame:
         return fx.view(self.t, name)
@@ -48,6 +49,13 @@ class Ctx:
         """A registry view with ``cleanName`` added."""
         return self.v(name).withColumn("cleanName", clean("orgName"))
 
+    def stored_quads(self, *graphs: str) -> DataFrame:
+        """The quads as a stored snapshot, written at first use; only the given graphs are read."""
+        if self._snapshot is None:
+            self._snapshot = shared_dir(self.spark, "quads")
+            triples.write_snapshot(self.v("quads"), self._snapshot)
+        return triples.read_quads(self.spark, self._snapshot, list(graphs))
+
 
 class MaterializedCtx(Ctx):
     """Registry views written once as Parquet under a shared folder and read
@@ -223,6 +231,18 @@ def title_pair_count(c: Ctx) -> DataFrame:
     return pairs(b, "title_pairs").unionByName(pairs(other, "title_pairs_ac"))
 
 
+@query
+def titles_projects_bc(c: Ctx) -> DataFrame:
+    """Distinct titles and projects over the union of C and B, next to each side's."""
+    b, other = c.v("proj_b"), c.v("proj_c")
+    keys = (("title", F.col("title")), ("proj", F.col("projectURI")))
+    return overlap.overlap_metrics([Source(b, B, keys), Source(other, C, keys)], [
+        either("titles_bc", "title", B, C), distinct("titles_b", "title", B),
+        distinct("titles_c", "title", C),
+        either("projects_bc", "proj", B, C), distinct("projects_b", "proj", B),
+        distinct("projects_c", "proj", C)])
+
+
 @query
 def orgs_sharing_title(c: Ctx) -> DataFrame:
     """Clean names on one side whose clean titles also occur on the other."""
@@ -285,6 +305,22 @@ def rewrite_on_title_match(c: Ctx) -> DataFrame:
     return resolve.rewrite_on_title_match(_subjects(c), c.v("proj_a"), clean)
 
 
+def _rewritten(c: Ctx) -> DataFrame:
+    return resolve.rewrite_uris(_subjects(c), c.v("proj_a"), clean)
+
+
+@query
+def rewrite_uris(c: Ctx) -> DataFrame:
+    """Subject rows with A's project URI (acronym and title agree) and A's org URI (acronym)."""
+    return _rewritten(c)
+
+
+@query
+def rewrite_counts(c: Ctx) -> DataFrame:
+    """Rewritten projects, and rows whose organisation alone became A's."""
+    return to_long(resolve.rewrite_counts(_rewritten(c), "a.example", "b.example"))
+
+
 # --- enrichment (Q5-Q7, Q13) ------------------------------------------------
 
 @query
@@ -309,6 +345,29 @@ def projects_by_vat_gdp(c: Ctx) -> DataFrame:
     return enrich.projects_by_vat(c.v("proj_b"), c.v("proj_a"), _gdp_dim(c), "gdp")
 
 
+def _coded(c: Ctx) -> DataFrame:
+    """A with the country's ISO code in ``country``."""
+    return c.v("proj_a").withColumn("country", F.col("countryCode"))
+
+
+@query
+def projects_by_org_gdp_iso(c: Ctx) -> DataFrame:
+    """Q6: as projects_by_org_gdp, the second source joined on the ISO code."""
+    return enrich.projects_by_org(c.v("proj_b"), _coded(c), _gdp_dim(c), "gdp", "iso")
+
+
+@query
+def projects_by_vat_gdp_iso(c: Ctx) -> DataFrame:
+    """Q7: as projects_by_vat_gdp, the second source joined on the ISO code."""
+    return enrich.projects_by_vat(c.v("proj_b"), _coded(c), _gdp_dim(c), "gdp", "iso")
+
+
+@query
+def projects_by_vat_hdi(c: Ctx) -> DataFrame:
+    """Q7: (vatID, hdi, count), the second source joined on the ISO code."""
+    return enrich.projects_by_vat(c.v("proj_b"), _coded(c), c.v("country_ref"), "hdi", "iso")
+
+
 @query
 def northern_projects(c: Ctx) -> DataFrame:
     """Q13: (LegalName, Country, ProjectTitle) for allow-listed countries."""
@@ -381,6 +440,12 @@ def multi_title_projects(c: Ctx) -> DataFrame:
     return resolve.multi_valued(u, "proj", "title", "n_titles")
 
 
+@query
+def titles_per_vat_project(c: Ctx) -> DataFrame:
+    """Distinct titles per (vatID, project) in B, most first."""
+    return resolve.values_per_key(c.v("proj_b"), ["vatID", "projectURI"], "title", "n_titles")
+
+
 @query
 def rows_per_project(c: Ctx) -> DataFrame:
     """Rows per project in B."""
@@ -412,11 +477,11 @@ def vat_lookup(c: Ctx) -> DataFrame:
 # --- triple graph (T1-T7, Q17, Q18) -----------------------------------------
 
 def _resolved(c: Ctx) -> DataFrame:
-    q = c.v("quads")
-    idx = triples.identifier_index(
-        q, fx.G_PROJECTS, type_pred=fx.RDF_TYPE, type_obj=fx.CLS_PROJECT,
-        has_id=fx.HAS_IDENTIFIER, id_name=fx.ID_NAME, id_value=fx.ID_VALUE, scheme="rcn")
     items = c.v("classification").select("project_id", "rcn", "category").distinct()
+    idx = triples.identifier_index(
+        c.stored_quads(fx.G_PROJECTS), fx.G_PROJECTS, type_pred=fx.RDF_TYPE, type_obj=fx.CLS_PROJECT,
+        has_id=fx.HAS_IDENTIFIER, id_name=fx.ID_NAME, id_value=fx.ID_VALUE, scheme="rcn",
+        wanted=items.select(F.col("rcn").cast("string").alias("value")))
     return triples.resolve_identifier(items, idx, "rcn")
 
 
@@ -430,14 +495,14 @@ def resolve_identifier(c: Ctx) -> DataFrame:
 def annotate_fields(c: Ctx) -> DataFrame:
     """hasFieldOfScience quads that the annotation adds (set semantics)."""
     new = triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
-    return triples.new_only(c.v("quads"), new)
+    return triples.new_only(c.stored_quads(fx.G_PROJECTS), new)
 
 
 @query
 def annotated_graph(c: Ctx) -> DataFrame:
     """The graph snapshot after the annotation (old quads + new ones)."""
     new = triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
-    return triples.insert_triples(c.v("quads"), new)
+    return triples.insert_triples(c.stored_quads(), new)
 
 
 @query
@@ -449,29 +514,27 @@ def annotate_counts(c: Ctx) -> DataFrame:
 @query
 def delete_triple(c: Ctx) -> DataFrame:
     """T4: the graph without one exact triple."""
-    g, s, p, o, ot = DOOMED_TRIPLE
-    q = c.v("quads")
-    hit = ((F.col("g") == g) & (F.col("s") == s) & (F.col("p") == p)
-           & (F.col("o") == o) & (F.col("o_type") == ot))
-    return q.filter(~F.coalesce(hit, F.lit(False)))
+    doomed = c.spark.range(1).select(*[F.lit(v).alias(n)
+                                       for n, v in zip(triples.QUAD_COLS, DOOMED_TRIPLE)])
+    return triples.delete_triples(c.stored_quads(), doomed)
 
 
 @query
 def delete_predicate(c: Ctx) -> DataFrame:
     """T5: the graph without any hasFieldOfScience triple of the project graph."""
-    return triples.delete_predicate(c.v("quads"), fx.G_PROJECTS, fx.HAS_FIELD)
+    return triples.delete_predicate(c.stored_quads(), fx.G_PROJECTS, fx.HAS_FIELD)
 
 
 @query
 def clear_graph(c: Ctx) -> DataFrame:
     """The quads without the patents graph."""
-    return triples.clear_graph(c.v("quads"), fx.G_PATENTS)
+    return triples.clear_graph(c.stored_quads(), fx.G_PATENTS)
 
 
 @query
 def list_graphs(c: Ctx) -> DataFrame:
-    """Distinct graphs, at most 100."""
-    return triples.list_graphs(c.v("quads"))
+    """Distinct graphs, in order."""
+    return triples.list_graphs(c.stored_quads())
 
 
 @query
@@ -486,7 +549,7 @@ def category_labels(c: Ctx) -> DataFrame:
 def csv_roundtrip(c: Ctx) -> DataFrame:
     """Registry A written as header CSV (in parallel) and read back typed."""
     path = shared_dir(c.spark, "csv-roundtrip")
-    csvio.write_csv(c.v("proj_a"), path)
+    csvio.write_csv(c.v("proj_a").select(*PROJ.names), path)
     raw = csvio.read_csv(c.spark, path, PROJ, multiline=True)
     return raw.select(
         *[F.col(n) for n in ("projectURI", "title", "acronym", "orgURI", "orgName", "country",
@@ -496,6 +559,16 @@ def csv_roundtrip(c: Ctx) -> DataFrame:
         F.col("source"))
 
 
+@query
+def orgs_from_files(c: Ctx) -> DataFrame:
+    """The (org, title) extracts of the three registries, several files read as one source."""
+    paths = []
+    for name in ("proj_a", "proj_b", "proj_c"):
+        paths.append(shared_dir(c.spark, f"extract-{name}"))
+        csvio.write_csv(c.v(name).select(*ORG_TITLE.names), paths[-1])
+    return csvio.read_csv(c.spark, paths, ORG_TITLE, multiline=True)
+
+
 @query
 def report_csv(c: Ctx) -> DataFrame:
     """K1/K2: the Q1 report written as CSV part files in its order, header in each, read back."""

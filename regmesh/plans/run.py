@@ -1,13 +1,13 @@
 """Run one registered report and write it as CSV (the reference's programs do this).
 
-    spark-submit -m regmesh.plans.run org_budget --data DIR --out OUT [--single-file]
+    spark-submit -m regmesh.plans.run org_budget --data DIR --out OUT [--input-bytes N --cores N]
     python -m regmesh.plans.run --list
     spark-submit -m regmesh.plans.run --all --data DIR --out OUT [--materialize]
 
-Without ``--single-file`` the result is written by Spark in parallel; a
-report sorted with ``orderBy`` keeps its global order across the part files
-(range-partitioned sort).  ``--single-file`` funnels the result through one
-task (K1) and is meant for report-sized outputs only.
+The result is written by Spark in parallel; a report sorted with ``orderBy``
+keeps its global order across the part files (range-partitioned sort).
+``--input-bytes`` and ``--cores`` apply ``session.cluster_conf``, sized for
+that input on that many cores.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ..session import ensure_checkpoint_dir, shared_dir
+from ..session import cluster_conf, ensure_checkpoint_dir, shared_dir
 from ..sources import csv as csvio
 from .queries import BUILDERS, REGISTRY, MaterializedCtx
 
@@ -32,11 +32,22 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--all", action="store_true", help="run every query into OUT/<name>/")
     ap.add_argument("--materialize", action="store_true",
                     help="with --all: write each registry view once under spark.checkpoint.dir")
+    ap.add_argument("--input-bytes", type=int, help="bytes of the input, for cluster settings")
+    ap.add_argument("--cores", type=int, help="cores of the cluster, for cluster settings")
     args = ap.parse_args(argv)
+    if (args.input_bytes is None) != (args.cores is None):
+        ap.error("--input-bytes and --cores go together")
+
+    def session(app: str) -> SparkSession:
+        builder = SparkSession.builder.appName(app)
+        if args.cores is not None:
+            builder = builder.config(map=cluster_conf(args.input_bytes, args.cores))
+        return builder.getOrCreate()
+
     if args.all:
         if not (args.data and args.out):
             ap.error("--all needs --data and --out")
-        spark = SparkSession.builder.appName("regmesh-all").getOrCreate()
+        spark = session("regmesh-all")
         ensure_checkpoint_dir(spark)
         ctx = (MaterializedCtx(spark, args.data, shared_dir(spark, "registries"))
                if args.materialize else None)
@@ -50,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.query not in REGISTRY or not args.data:
         ap.error("a registered query and --data are required")
-    spark = SparkSession.builder.appName(f"regmesh-{args.query}").getOrCreate()
+    spark = session(f"regmesh-{args.query}")
     ensure_checkpoint_dir(spark)
     df = REGISTRY[args.query](spark, args.data)
     if not args.out:

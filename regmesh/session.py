@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Checkpoint folder of a local[...] session that names none (tests, bench).
 LOCAL_DIR = "/tmp/checkpoints"
@@ -85,6 +85,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back (cuts its lineage)."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(input_bytes: int, total_cores: int,
                  partition_bytes: int = 256 << 20, shuffle_ratio: float = 0.25) -> dict[str, str]:
     """Settings for a cluster run, sized from the input volume.
