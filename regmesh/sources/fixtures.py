@@ -95,11 +95,13 @@ def proj_b(t: Tables) -> DataFrame:
          .otherwise(F.concat(F.lit("  PROJECT "),
                              _str(_div("l_orderkey", 4) + 500 + F.col("l_linenumber") % 2),
                              F.lit(" "))).alias("title"),
-        F.when(F.col("l_orderkey") % 11 == 0, F.lit(None).cast("string"))
+        F.when((F.col("l_orderkey") % 11 == 0) | (F.col("s_suppkey") % 10 == 0),
+               F.lit(None).cast("string"))
          .when(F.col("l_orderkey") % 5 == 0, _pre("acr", _div("l_orderkey", 5)))
          .otherwise(_pre("acr", _div("l_orderkey", 3) + 1000)).alias("acronym"),
         _pre("http://b.example/o/", "s_suppkey").alias("orgURI"),
-        F.when(F.col("s_suppkey") % 3 == 0, _pre("Org ", "s_suppkey"))
+        F.when(F.col("s_suppkey") % 10 == 9, _pre("Lab ", "s_suppkey"))
+         .when(F.col("s_suppkey") % 3 == 0, _pre("Org ", "s_suppkey"))
          .otherwise(F.concat(F.lit(" ORG "), _str("s_suppkey"), F.lit(" "))).alias("orgName"),
         _pre("C", "s_nationkey").alias("country"),
         F.when(k == 0, F.lit(None).cast("string"))
@@ -262,11 +264,12 @@ VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
               WHEN l_orderkey % 7 = 0 THEN 'Study ' || CAST(l_orderkey // 4 AS VARCHAR)
               ELSE '  PROJECT ' || CAST(l_orderkey // 4 + 500 + l_linenumber % 2 AS VARCHAR) || ' '
               END AS title,
-         CASE WHEN l_orderkey % 11 = 0 THEN NULL
+         CASE WHEN l_orderkey % 11 = 0 OR s_suppkey % 10 = 0 THEN NULL
               WHEN l_orderkey % 5 = 0 THEN 'acr' || CAST(l_orderkey // 5 AS VARCHAR)
               ELSE 'acr' || CAST(l_orderkey // 3 + 1000 AS VARCHAR) END AS acronym,
          'http://b.example/o/' || CAST(s_suppkey AS VARCHAR) AS orgURI,
-         CASE WHEN s_suppkey % 3 = 0 THEN 'Org ' || CAST(s_suppkey AS VARCHAR)
+         CASE WHEN s_suppkey % 10 = 9 THEN 'Lab ' || CAST(s_suppkey AS VARCHAR)
+              WHEN s_suppkey % 3 = 0 THEN 'Org ' || CAST(s_suppkey AS VARCHAR)
               ELSE ' ORG ' || CAST(s_suppkey AS VARCHAR) || ' ' END AS orgName,
          'C' || CAST(s_nationkey AS VARCHAR) AS country,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL
