@@ -514,8 +514,10 @@ def annotate_counts(c: Ctx) -> DataFrame:
 @query
 def delete_triple(c: Ctx) -> DataFrame:
     """T4: the graph without one exact triple."""
-    doomed = c.spark.range(1).select(*[F.lit(v).alias(n)
-                                       for n, v in zip(triples.QUAD_COLS, DOOMED_TRIPLE)])
+    # an inline table: literals in a projection would be folded into the join condition,
+    # which leaves it no key
+    doomed = c.spark.sql("SELECT * FROM VALUES (:g, :s, :p, :o, :o_type) AS t(g, s, p, o, o_type)",
+                         args=dict(zip(triples.QUAD_COLS, DOOMED_TRIPLE)))
     return triples.delete_triples(c.stored_quads(), doomed)
 
 
