@@ -8,10 +8,14 @@ n-grams, which here is over half the number of tokens.  Probabilities are
 interpolated with absolute discounting over all orders, from the counts of
 all training texts.
 
-As in the base score, words without training tokens are one type: the model
-mixes a token's spelling with its discounted unigram share, (c - D) / N, or
-for the unseen type the mass taken by the discount, D V / N, half and half.
-``spelling_score`` is the trie's part alone.
+The score is a probability of the text.  A token's unigram part is its
+discounted share, max(c - D, 0) / N, and of the mass that the discount takes,
+D V / N, what the trie gives its spelling; it is mixed half and half with the
+trie's probability of the spelling.  Both parts, and so their mix, sum to one
+over all tokens (but for the 8-bit codes and the little that the trie gives to
+white space which no token holds), so an unseen word costs its spelling.
+``base_score`` counts all unseen words as one type and is no such probability;
+it is kept apart.  ``spelling_score`` is the trie's part alone.
 
 1. Texts are read once, cut into chunks of ``CHUNK_BYTES`` and written in
    the model's spelling, compressed.
@@ -50,7 +54,7 @@ from .textvec import Block, blocks, column
 
 ORDER, FIRST = 6, 2             # bytes of an n-gram; context length of a trie's first level
 DISCOUNT = 0.75
-MIX = 0.5                       # weight of the unigram share in a token's probability
+MIX = 0.5                       # weight of the unigram part in a token's probability
 FOLDS, HELD = 7, 2
 CHUNK_BYTES = 4 << 20
 SHARD_GRAMS, SHARD_WORDS = 400_000, 500_000
@@ -344,6 +348,17 @@ RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double, spelling_score double")
 
 
+def token_log10(n: np.ndarray, spelling: np.ndarray, total: int, types: int) -> np.ndarray:
+    """log10 probability of tokens seen ``n`` times whose spelling has log10 probability ``spelling``."""
+    if not total:
+        return spelling
+    taken = DISCOUNT * types / total
+    with np.errstate(divide="ignore"):          # unseen tokens have no share
+        share = np.log(MIX * np.maximum(n - DISCOUNT, 0) / total)
+    # in logarithms: the spelling of a long word is below the smallest float
+    return np.logaddexp(share, np.log(MIX * taken + 1 - MIX) + spelling * np.log(10)) / np.log(10)
+
+
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document's token counts, unigram base score and model score (log10)."""
     chunked = written(spark, chunks(docs), "chunks")
@@ -379,8 +394,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         seen = np.insert(n, word_off[1:], n_docs)
         spelling = np.add.reduceat(log_p, begin)
         base = np.log10((seen + 1) / scale)
-        share = np.where(seen > 0, seen - DISCOUNT, DISCOUNT * types) / train if train else np.ones(len(seen))
-        mixed = np.log10(MIX * share + (1 - MIX) * 10.0 ** spelling)
+        mixed = token_log10(seen, spelling, train, types)
         first = word_off[:-1] + np.arange(len(per_doc))
 
         def of_docs(x):

@@ -247,6 +247,30 @@ def test_lm_on_odd_rows_small_chunks_and_shards(spark, odd, empty, monkeypatch):
     assert lm_scoring.score(spark, empty).count() == 0
 
 
+def test_lm_score_is_a_probability_and_garbled_text_costs_more(spark):
+    ids = range(1, 200)
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    text = " ".join(f"the judge packed {n} boxes" for n in ("seven", "twelve", "twenty"))
+    rows = [(i, text) for i in ids if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows += [(held[0], text), (held[1], "".join(c if c == " " else chr(97 + ord(c) * 7 % 26) for c in text)),
+             (held[2], ""), (held[3], "zq" * 2000)]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+           .collect()}
+    clean, garbled, end, long = (got[i] for i in held)
+    assert garbled["n_known"] == 1 and garbled["n_tokens"] == clean["n_tokens"]
+    assert garbled["score"] < clean["score"] and garbled["score"] < -2 * garbled["n_tokens"]
+    assert np.isfinite(long["score"]) and long["score"] < -4000       # 4,000 bytes never seen in this order
+    n, types, docs = end["train_tokens"], 1 + len(set(text.split())), len(rows) - 4
+    spelt = 10 ** end["spelling_score"]
+    unigram = (docs - 0.75) / n + 0.75 * types / n * spelt
+    assert 10 ** end["score"] == pytest.approx(0.5 * unigram + 0.5 * spelt, rel=1e-9)
+
+
+def test_lm_token_probabilities_sum_to_one():
+    n, spelling = np.array([5, 2, 1, 0, 0]), np.log10([0.4, 0.1, 0.2, 0.25, 0.05])
+    assert (10 ** lm_scoring.token_log10(n, spelling, 8, 3)).sum() == pytest.approx(1)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
