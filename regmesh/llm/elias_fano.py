@@ -46,14 +46,20 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = np.zeros(0, np.uint8)
+        low = np.zeros(n * low_bits // 64 + 2, np.uint64)
         if low_bits:
-            low = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & _ONE).astype(np.uint8).ravel()
+            part = values & np.uint64((1 << low_bits) - 1)
+            bit = np.arange(n) * low_bits
+            at, shift = bit >> 6, (bit & 63).astype(np.uint64)
+            word, first = np.unique(at, return_index=True)
+            low[word] = np.add.reduceat(part << shift, first)       # no two share a bit
+            spill = np.flatnonzero(shift + np.uint64(low_bits) > 64)
+            low[at[spill] + 1] += part[spill] >> (np.uint64(64) - shift[spill])
         high = np.zeros(n + (top >> low_bits) + 1, np.uint8)
         high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
         words = _pack(high)
         ones = np.bitwise_count(words).astype(np.int64)
-        return cls(n, low_bits, _pack(low), words, np.cumsum(ones) - ones)
+        return cls(n, low_bits, low, words, np.cumsum(ones) - ones)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
@@ -247,3 +253,39 @@ class Trie:
             out[alive[~seen]] += level.backoff_values[level.backoff[node[~seen]]]
             out[alive[seen]] = level.prob_values[level.prob[hit[seen]]]
         return out
+
+
+@dataclass
+class Counts:
+    """Two counts by 63-bit key: the keys are an Elias-Fano sequence, the counts of the smallest width."""
+    keys: EliasFano
+    n: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def build(cls, key: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> "Counts":
+        """From rows whose counts add up by key."""
+        u, inv = np.unique(key, return_inverse=True)
+        sums = []
+        for x in (n, kinds):
+            total = np.zeros(len(u), np.int64)
+            np.add.at(total, inv, x)
+            sums.append(total.astype(np.min_scalar_type(int(total.max(initial=0)))))
+        return cls(EliasFano.build(u), *sums)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The two counts of each key; 0 where there are none."""
+        zero = np.zeros(len(key), np.int64)
+        at = self.keys.find(zero, zero + self.keys.n, key.astype(np.int64))
+        out = np.zeros((len(key), 2), np.int64)
+        hit = at >= 0
+        out[hit, 0], out[hit, 1] = self.n[at[hit]], self.kinds[at[hit]]
+        return out
+
+    def to_bytes(self) -> bytes:
+        return save([*self.keys.arrays(), self.n, self.kinds])
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> "Counts":
+        a = load(blob)
+        return cls(EliasFano.of(a[:4]), a[4], a[5])

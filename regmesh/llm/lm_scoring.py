@@ -1,31 +1,37 @@
-"""Language-model scoring with an Elias-Fano n-gram trie that Spark shards.
+"""Language-model scoring with Elias-Fano n-gram levels that Spark shards.
 
-Tokens are A-Z lower-cased words and one end per text.  The model spells
-them: a word is its bytes and a space, the end is a line feed, and each byte
-is predicted from the ``ORDER - 1`` bytes before it (line feeds before the
-first).  The number of distinct n-grams grows far slower than that of word
-n-grams, which here is over half the number of tokens.  Probabilities are
-interpolated with absolute discounting over all orders, from the counts of
-all training texts.
+Tokens are A-Z lower-cased words and one end per text.  Word unigrams, bigrams
+and trigrams of the training texts are kept as hashed keys in Elias-Fano
+levels (``elias_fano.Counts``); contexts start anew with each text.  Each order
+is interpolated with the one below by absolute discounting: of a context seen
+c times with k different tokens after it, a token has max(n - D, 0) / c, and
+the mass that the discount takes, D k / c, goes to the order below.
 
-The score is a probability of the text.  A token's unigram part is its
+The score is a probability of the text.  The lowest order is a token's
 discounted share, max(c - D, 0) / N, and of the mass that the discount takes,
-D V / N, what the trie gives its spelling; it is mixed half and half with the
-trie's probability of the spelling.  Both parts, and so their mix, sum to one
-over all tokens (but for the 8-bit codes and the little that the trie gives to
+D V / N, what a byte trie gives its spelling, mixed half and half with the
+trie's probability of the spelling.  Every order sums to one over all tokens
+(but for the 8-bit codes of the byte trie and the little that it gives to
 white space which no token holds), so an unseen word costs its spelling.
+The byte trie (``elias_fano.Trie``): a word is its bytes and a space, the end
+is a line feed, and each byte is predicted from the ``ORDER - 1`` bytes before
+it (line feeds before the first).
+
 ``base_score`` counts all unseen words as one type and is no such probability;
-it is kept apart.  ``spelling_score`` is the trie's part alone.
+it is kept apart.  ``spelling_score`` is the byte trie alone, ``unigram_score``
+the lowest order alone.
 
 1. Texts are read once, cut into chunks of ``CHUNK_BYTES`` and written in
    the model's spelling, compressed.
-2. Words and n-grams of the training documents are counted by Spark.
-3. The n-grams are sharded by the last two bytes of their context; each
-   shard becomes a trie (``elias_fano.Trie``), a row of a written table.
-4. Each chunk asks once for each distinct n-gram and word it has, a packed
-   array per shard; shards answer with log probabilities and counts, and each
-   chunk adds up the answers per document.  Shards asked by many chunks
-   answer in parts of bounded size.
+2. Words, word pairs, word triples and byte n-grams of the training documents
+   are counted by Spark, and how many tokens follow each word and pair.
+3. Word n-grams are sharded by their hash, so no word's n-grams meet in one
+   shard; byte n-grams by the last two bytes of their context.  Each shard is
+   a row of a written table.
+4. Each chunk asks once for each distinct n-gram it has, a packed array per
+   shard; shards answer with counts or log probabilities, and each chunk adds
+   up the answers per document.  Shards asked by many chunks answer in parts
+   of bounded size.
 
 Nothing but the 256 x 256 table of byte pairs reaches the driver, and no
 task holds more than a chunk, a shard or a part.
@@ -48,9 +54,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .elias_fano import Trie
+from .elias_fano import Counts, Trie
 from .tables import fold, table, written
-from .textvec import Block, blocks, column
+from .textvec import Block, blocks, column, mix
 
 ORDER, FIRST = 6, 2             # bytes of an n-gram; context length of a trie's first level
 DISCOUNT = 0.75
@@ -64,6 +70,14 @@ SPACE_, END_ = 32, 10
 PAIR_MASK = 65_535
 PAIR_STEP = 40_503              # deals byte pairs over shards
 
+END_KEY, START_KEY = np.uint64(2 ** 63 - 2), np.uint64(2 ** 63 - 1)
+
+
+def join_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """63-bit keys of n-grams."""
+    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) ^ token) >> np.uint64(1)
+
+
 CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, ends array<long>, stream binary"
 
 
@@ -147,6 +161,27 @@ class Chunk:
         block = Block(self.stream, np.concatenate([[0], self.ends]))
         return block.word_hash >> np.uint64(1), block.word_off, block.start
 
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all words and ends, where each document begins, and the keys of the tokens before."""
+        h, off, _ = self.words()
+        t = np.insert(h, off[1:], END_KEY)
+        first = off[:-1] + np.arange(len(off) - 1)
+        before = np.concatenate([[START_KEY], t[:-1]])
+        before[first] = START_KEY
+        return t, first, before
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each token with the one before it, and of that one."""
+        t, _, before = self.tokens()
+        return join_keys(before, t), before
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each token but a document's first with the two before it, and of those two."""
+        t, first, _ = self.tokens()
+        pair = np.concatenate([[END_KEY], self.pairs()[0][:-1]])
+        later = np.delete(np.arange(len(t)), first)
+        return join_keys(pair[later], t[later]), pair[later]
+
 
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
@@ -167,24 +202,32 @@ class Counter:
         self.keys = both
 
 
-WORD, GRAM, DOCS = 0, 1, 2
+WORD, GRAM, DOCS, PAIR, TRIPLE = range(5)
 
 
 def count(chunked: DataFrame) -> DataFrame:
-    """``kind, key, n``: words, n-grams and the number of documents not held out."""
+    """``kind, key, context, n``: words, byte n-grams, pairs and triples with the key of their
+    context, and the number of documents not held out."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, docs = Counter(), Counter(), 0
 
+        def rows(kind: int, keys: np.ndarray, context: np.ndarray, n: np.ndarray):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)),
+                 pa.array(context.view(np.int64)), pa.array(n)], ["kind", "key", "context", "n"])
+
         def emit(kind: int, c: Counter):
-            n = len(c.keys)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)),
-                                               pa.array(c.keys.view(np.int64)), pa.array(c.n)],
-                                              ["kind", "key", "n"])
+            return rows(kind, c.keys, np.zeros(len(c.keys), np.uint64), c.n)
         for c in _each_chunk(batches):
             h, off, _ = c.words()
             words.add(h[np.repeat(~c.held, np.diff(off))])
             grams.add(c.grams()[np.repeat(~c.held, c.sizes)])
             docs += int((~c.held).sum())
+            per_doc = np.diff(off)                      # triples of each document; pairs are one more
+            for kind, (keys, context), per in ((PAIR, c.pairs(), per_doc + 1), (TRIPLE, c.triples(), per_doc)):
+                mine = np.repeat(~c.held, per)          # few occur again in later chunks
+                u, at, n = np.unique(keys[mine], return_index=True, return_counts=True)
+                yield rows(kind, u, context[mine][at], n)
             if len(words.keys) > FLUSH:
                 yield emit(WORD, words)
                 words = Counter()
@@ -194,11 +237,36 @@ def count(chunked: DataFrame) -> DataFrame:
         yield emit(WORD, words)
         yield emit(GRAM, grams)
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([DOCS], np.int8)),
-                                              pa.array(np.zeros(1, np.int64)),
-                                              pa.array(np.array([docs], np.int64))], ["kind", "key", "n"])
-    return (chunked.mapInArrow(counted, "kind byte, key long, n long")
-            .groupBy("kind", "key").agg(F.sum("n").alias("n")))
+            yield rows(DOCS, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([docs], np.int64))
+    return (chunked.mapInArrow(counted, "kind byte, key long, context long, n long")
+            .groupBy("kind", "key", "context").agg(F.sum("n").alias("n")))
+
+
+def _shard_of_key(kind, key, shards: dict[int, int]):
+    out = F.lit(0)
+    for k in (WORD, PAIR, TRIPLE):
+        out = F.when(kind == k, (key % shards[k]).cast("int")).otherwise(out)
+    return out
+
+
+def levels(counts: DataFrame, shards: dict[int, int]) -> DataFrame:
+    """``kind, shard, blob``: count of each word, pair and triple, and of the tokens that follow it."""
+    def build(t: pa.Table) -> pa.Table:
+        blob = Counts.build(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy(),
+                            t["kinds"].to_numpy()).to_bytes()
+        return pa.table({"kind": pa.array([t["kind"][0].as_py()], pa.int8()),
+                         "shard": pa.array([t["shard"][0].as_py()], pa.int32()),
+                         "blob": pa.array([blob], pa.binary())})
+    zero = F.lit(0).cast("long")
+    own = (counts.filter(F.col("kind").isin(WORD, PAIR, TRIPLE))
+           .select("kind", "key", "n", zero.alias("kinds")))
+    follow = (counts.filter(F.col("kind").isin(PAIR, TRIPLE))
+              .select(F.when(F.col("kind") == PAIR, WORD).otherwise(PAIR).cast("byte").alias("kind"),
+                      F.col("context").alias("key"))
+              .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("kinds"))
+              .select("kind", "key", zero.alias("n"), "kinds"))
+    return (own.unionByName(follow).withColumn("shard", _shard_of_key(F.col("kind"), F.col("key"), shards))
+            .groupBy("kind", "shard").applyInArrow(build, "kind byte, shard int, blob binary"))
 
 
 def pair_table(counts: DataFrame) -> np.ndarray:
@@ -250,10 +318,12 @@ def _by_shard(keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _ask(c: Chunk, kind: int, shards: int) -> tuple[np.ndarray, tuple]:
-    """All words or n-grams of a chunk, and the distinct ones dealt over the shards."""
-    used = c.words()[0] if kind == WORD else c.grams()
+    """All n-grams of a kind of a chunk (of the words, the start of a text comes last), and the
+    distinct ones dealt over the shards."""
+    used = (np.append(c.words()[0], START_KEY) if kind == WORD else c.pairs()[0] if kind == PAIR
+            else c.triples()[0] if kind == TRIPLE else c.grams())
     u = np.unique(used)
-    if kind == WORD:
+    if kind != GRAM:
         shard = (u % np.uint64(shards)).astype(np.int64)
     else:
         shard = _shard_of_pair(((u >> np.uint64(8)) & np.uint64(PAIR_MASK)).astype(np.int64), shards)
@@ -294,27 +364,25 @@ def _no_answer() -> pa.Table:
                      "shard": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
 
 
-def answers(chunked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.ndarray, word_shards: int,
-            gram_shards: int, n_chunks: int) -> DataFrame:
+def answers(chunked: DataFrame, stored: DataFrame, model: DataFrame, lower: np.ndarray,
+            shards: dict[int, int], n_chunks: int) -> DataFrame:
     """Answers to all ``questions``; a shard with too many for a task answers in parts."""
     def in_parts(df: DataFrame, parts: int) -> DataFrame:
         return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def dealt(kind: int, shards: int, parts: int) -> DataFrame:
-        return (questions(chunked, kind, shards)
+    def dealt(kind: int, parts: int) -> DataFrame:
+        return (questions(chunked, kind, shards[kind])
                 .withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")))
 
-    def count_words(known: pa.Table, ask: pa.Table) -> pa.Table:
-        if not ask.num_rows:
-            return _no_answer()
-        key, n = known["key"].to_numpy().view(np.uint64), known["n"].to_numpy()
-        order = np.argsort(key)
-        key, n = np.append(key[order], np.uint64(2 ** 64 - 1)), np.append(n[order], 0)
-
-        def look(u):
-            at = np.searchsorted(key, u)
-            return np.where(key[at] == u, n[at], 0).astype("<i8")
-        return _answer_rows(ask, WORD, look)
+    def counts_of(kind: int):
+        def look_up(known: pa.Table, ask: pa.Table) -> pa.Table:
+            if not ask.num_rows:
+                return _no_answer()
+            if known.num_rows:
+                level = Counts.from_bytes(known["blob"][0].as_py())
+                return _answer_rows(ask, kind, lambda u: level.get(u).astype("<i8"))
+            return _answer_rows(ask, kind, lambda u: np.zeros((len(u), 2), "<i8"))
+        return look_up
 
     def score_grams(known: pa.Table, ask: pa.Table) -> pa.Table:
         if not ask.num_rows:
@@ -332,20 +400,19 @@ def answers(chunked: DataFrame, counts: DataFrame, model: DataFrame, lower: np.n
         return _answer_rows(ask, GRAM, look)
 
     # a chunk has at most CHUNK_BYTES / 2 words and in practice fewer n-grams than that
-    word_parts, gram_parts = (max(1, -(-n_chunks * CHUNK_BYTES // s // PART_BYTES))
-                              for s in (word_shards, gram_shards))
-    words = (in_parts(counts.filter(F.col("kind") == WORD).select(
-        (F.col("key") % word_shards).cast("int").alias("shard"), "key", "n"), word_parts)
-        .groupBy("shard", "part").cogroup(dealt(WORD, word_shards, word_parts).groupBy("shard", "part"))
-        .applyInArrow(count_words, ANSWER))
-    grams = (in_parts(model, gram_parts).groupBy("shard", "part")
-             .cogroup(dealt(GRAM, gram_shards, gram_parts).groupBy("shard", "part"))
-             .applyInArrow(score_grams, ANSWER))
-    return words.unionByName(grams)
+    parts = {k: max(1, -(-n_chunks * CHUNK_BYTES // n // PART_BYTES)) for k, n in shards.items()}
+    out = (in_parts(model, parts[GRAM]).groupBy("shard", "part")
+           .cogroup(dealt(GRAM, parts[GRAM]).groupBy("shard", "part")).applyInArrow(score_grams, ANSWER))
+    for kind in (WORD, PAIR, TRIPLE):
+        out = out.unionByName(
+            in_parts(stored.filter(F.col("kind") == kind).select("shard", "blob"), parts[kind])
+            .groupBy("shard", "part").cogroup(dealt(kind, parts[kind]).groupBy("shard", "part"))
+            .applyInArrow(counts_of(kind), ANSWER))
+    return out
 
 
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-          "base_score double, score double, spelling_score double")
+          "base_score double, score double, spelling_score double, unigram_score double")
 
 
 def token_log10(n: np.ndarray, spelling: np.ndarray, total: int, types: int) -> np.ndarray:
@@ -359,34 +426,49 @@ def token_log10(n: np.ndarray, spelling: np.ndarray, total: int, types: int) ->
     return np.logaddexp(share, np.log(MIX * taken + 1 - MIX) + spelling * np.log(10)) / np.log(10)
 
 
+def interpolate(lower: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log10 probability of tokens seen ``n`` times after a context that was seen ``total`` times
+    with ``kinds`` different tokens; ``lower`` is that of the order below."""
+    known = np.flatnonzero(total > 0)
+    out = lower.copy()
+    n, total, kinds = n[known], total[known], kinds[known]
+    with np.errstate(divide="ignore"):
+        share = np.log(np.maximum(n - DISCOUNT, 0) / total)
+    out[known] = np.logaddexp(share, np.log(DISCOUNT * kinds / total) + lower[known] * np.log(10)) / np.log(10)
+    return out
+
+
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document's token counts, unigram base score and model score (log10)."""
     chunked = written(spark, chunks(docs), "chunks")
     counts = written(spark, count(chunked), "counts")
     size = {r["kind"]: (r["rows"], r["n"]) for r in
             counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
-    (n_words, word_total), (n_grams, _), (_, n_docs) = (size.get(k, (0, 0)) for k in (WORD, GRAM, DOCS))
+    (n_words, word_total), (_, n_docs) = (size.get(k, (0, 0)) for k in (WORD, DOCS))
     train = word_total + n_docs
     types = n_words + (n_docs > 0)
     scale = train + types + 1                       # N + (V + 1)
-    word_shards, gram_shards = max(1, -(-n_words // SHARD_WORDS)), max(1, -(-n_grams // SHARD_GRAMS))
+    shards = {k: max(1, -(-size.get(k, (0, 0))[0] // (SHARD_GRAMS if k == GRAM else SHARD_WORDS)))
+              for k in (WORD, PAIR, TRIPLE, GRAM)}
     lower = pair_table(counts)
-    model = written(spark, tries(counts, gram_shards, lower), "tries")
-    got = answers(chunked, counts, model, lower, word_shards, gram_shards, chunked.count())
+    model = written(spark, tries(counts, shards[GRAM], lower), "tries")
+    stored = written(spark, levels(counts, shards), "levels")
+    got = answers(chunked, stored, model, lower, shards, chunked.count())
 
     def add_up(own: pa.Table, got: pa.Table) -> pa.Table:
         c = Chunk({n: own[n][0].as_py() for n in own.column_names})
         value = {(k.as_py(), s.as_py()): v.as_py()
                  for k, s, v in zip(got["kind"], got["shard"], got["values"])}
 
-        def gather(kind: int, shards: int, dtype: str) -> np.ndarray:
-            used, (keys, names, _) = _ask(c, kind, shards)
+        def gather(kind: int, dtype: str, wide: int = 1) -> np.ndarray:
+            used, (keys, names, _) = _ask(c, kind, shards[kind])
             flat = np.concatenate([np.frombuffer(value[kind, int(s)], dtype) for s in names]
-                                  or [np.zeros(0, dtype)])
+                                  or [np.zeros(0, dtype)]).reshape(-1, wide)
             order = np.argsort(keys)
             return flat[order][np.searchsorted(keys[order], used)]
-        n = gather(WORD, word_shards, "<i8")
-        log_p = gather(GRAM, gram_shards, "<f4").astype(np.float64)
+        words = gather(WORD, "<i8", 2)
+        n, n_follow, start_follow = words[:-1, 0], words[:-1, 1], words[-1, 1]
+        log_p = gather(GRAM, "<f4")[:, 0].astype(np.float64)
         _, word_off, word_start = c.words()
         per_doc = np.diff(word_off)
         # every document's words and then its end, as in the stream
@@ -394,8 +476,16 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         seen = np.insert(n, word_off[1:], n_docs)
         spelling = np.add.reduceat(log_p, begin)
         base = np.log10((seen + 1) / scale)
-        mixed = token_log10(seen, spelling, train, types)
+        unigram = token_log10(seen, spelling, train, types)
         first = word_off[:-1] + np.arange(len(per_doc))
+        later = np.delete(np.arange(len(seen)), first)
+        pair_n, pair_follow = gather(PAIR, "<i8", 2).T
+        total, kinds = np.full(len(seen), n_docs), np.full(len(seen), start_follow)
+        total[later] = seen[later - 1]
+        kinds[later] = np.insert(n_follow, word_off[1:], 0)[later - 1]
+        full = interpolate(unigram, pair_n, total, kinds)
+        full[later] = interpolate(full[later], gather(TRIPLE, "<i8", 2)[:, 0], pair_n[later - 1],
+                                  pair_follow[later - 1])
 
         def of_docs(x):
             return pa.array(np.add.reduceat(x, first))
@@ -403,7 +493,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             "doc_id": pa.array(c.doc_ids, pa.int64()), "held_out": pa.array(c.held),
             "n_tokens": pa.array(per_doc + 1), "n_known": of_docs((seen > 0).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(per_doc), train, np.int64)),
-            "base_score": of_docs(base), "score": of_docs(mixed), "spelling_score": of_docs(spelling)})
+            "base_score": of_docs(base), "score": of_docs(full), "spelling_score": of_docs(spelling),
+            "unigram_score": of_docs(unigram)})
 
     return chunked.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(add_up, RESULT)
 

@@ -263,7 +263,10 @@ def test_lm_score_is_a_probability_and_garbled_text_costs_more(spark):
     n, types, docs = end["train_tokens"], 1 + len(set(text.split())), len(rows) - 4
     spelt = 10 ** end["spelling_score"]
     unigram = (docs - 0.75) / n + 0.75 * types / n * spelt
-    assert 10 ** end["score"] == pytest.approx(0.5 * unigram + 0.5 * spelt, rel=1e-9)
+    lowest = 0.5 * unigram + 0.5 * spelt
+    assert 10 ** end["unigram_score"] == pytest.approx(lowest, rel=1e-9)
+    # no text is empty and all begin alike: one token follows the start
+    assert 10 ** end["score"] == pytest.approx(0.75 / docs * lowest, rel=1e-9)
 
 
 def test_lm_token_probabilities_sum_to_one():
@@ -271,6 +274,61 @@ def test_lm_token_probabilities_sum_to_one():
     assert (10 ** lm_scoring.token_log10(n, spelling, 8, 3)).sum() == pytest.approx(1)
 
 
+def test_lm_word_order_counts_beyond_a_few_bytes(spark):
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}ation" for a in "bcdfg" for b in "aeiou" for c in "klmn"]
+    order = rng.permutation(len(words))
+    follows = {words[a]: words[b] for a, b in zip(order, np.roll(order, 1))}
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+
+    def run(w, n):
+        out = [w]
+        while len(out) < n:
+            out.append(follows[out[-1]])
+        return out
+    rows = [(i, " ".join(run(words[i % len(words)], 12))) for i in ids]
+    text = run(words[5], 12)
+    rows += [(held[0], " ".join(text)), (held[1], " ".join(text[::-1]))]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+           .collect()}
+    forth, back = got[held[0]], got[held[1]]
+    assert forth["base_score"] == pytest.approx(back["base_score"])
+    assert forth["score"] > back["score"] + 10        # reordering costs orders of magnitude
+    # brute force between the bounds that the lowest order cannot leave
+    seqs = [["<s>", *t.split(), "</s>"] for i, t in rows if i not in held]
+    pair = Counter(p for q in seqs for p in zip(q, q[1:]))
+    triple = Counter(p for q in seqs for p in zip(q, q[1:], q[2:]))
+
+    def bounds(q):
+        lo = hi = 0.0
+        for i in range(1, len(q)):
+            p = [0.0, 1.0]
+            for counts, k in ((pair, 1), (triple, 2)):
+                c = tuple(q[max(i - k, 0):i])
+                after = {g: n for g, n in counts.items() if g[:-1] == c} if len(c) == k else {}
+                if after:
+                    total, mine = sum(after.values()), after.get((*c, q[i]), 0)
+                    p = [max(mine - 0.75, 0) / total + 0.75 * len(after) / total * x for x in p]
+            lo, hi = lo + np.log10(max(p[0], 1e-300)), hi + np.log10(p[1])
+        return lo, hi
+    lo, hi = bounds(["<s>", *text, "</s>"])
+    assert lo < forth["score"] < hi and hi - lo < 2
+
+
+def test_elias_fano_counts_equal_plain_lookups():
+    rng = np.random.default_rng(1)
+    key = rng.integers(0, 2 ** 63 - 1, 3000).astype(np.uint64)
+    n = rng.integers(0, 70_000, 3000)
+    twice = np.concatenate([key, key[:500]])
+    level = elias_fano.Counts.from_bytes(elias_fano.Counts.build(
+        twice, np.concatenate([n, np.zeros(500, np.int64)]),
+        np.concatenate([np.zeros(3000, np.int64), n[:500] + 1])).to_bytes())
+    got = level.get(np.concatenate([key, key + np.uint64(1)]))
+    assert (got[:3000, 0] == n).all() and (got[:500, 1] == n[:500] + 1).all()
+    assert not got[500:3000, 1].any() and not got[3000:].any()
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
