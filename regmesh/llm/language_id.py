@@ -13,9 +13,13 @@ language is the share of its n-grams with that bit, less what false positives
 of that filter would give by chance; the highest share decides, then the
 language with more training text, then the name.
 
-The table has ``ROWS`` rows whatever the corpus, so collecting it and sending
-it to the tasks is bounded; beyond 63 languages it has further columns of
-masks.  Texts are read twice and never shuffled.
+The table has the power of two of rows, ``ROWS`` to ``MAX_ROWS``, that keeps the
+filter of the language with most n-grams at ``FALSE_RATE`` false positives, so
+collecting it and sending it to the tasks is bounded; beyond 63 languages it
+has further columns of masks.  ``MAX_ROWS`` holds 1.3 million n-grams in a
+language at that rate; a corpus for which a filter still passes
+``FALSE_LIMIT`` (5.5 million) is an error.  Texts are read twice and never
+shuffled.
 
 Defined results: ``und`` with score 0 for a null text or one without a
 letter, and for every text if nothing can be learned; a text without a known
@@ -26,6 +30,7 @@ table gives no rows.  Columns other than ``doc_id, text, lang`` are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +46,9 @@ from .textvec import Block, as_text, blocks, column, mix
 GRAM = 4
 FOLDS, HELD = 4, 2
 SHARE = 0.3
-ROWS = 1 << 20
+ROWS, MAX_ROWS = 1 << 20, 1 << 24
 HASHES = 3
+FALSE_RATE, FALSE_LIMIT = 0.01, 0.25
 MASK_BITS = 63
 BLOCK_BYTES = 1 << 20
 FLUSH_GRAMS = 2_000_000     # distinct (language, n-gram) counts a task holds before it emits them
@@ -156,8 +162,14 @@ class Filters:
         return out
 
 
+def rows_for(n: int, least: int) -> int:
+    """Rows of a table whose fullest filter holds ``n`` n-grams; ``MAX_ROWS`` at most."""
+    need = -HASHES * n / math.log(1 - FALSE_RATE ** (1 / HASHES))
+    return max(least, min(MAX_ROWS, 1 << max(0, math.ceil(need) - 1).bit_length()))
+
+
 def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
-    """Learn from every row of ``docs(lang, text)`` with a non-null ``lang``."""
+    """Learn from every row of ``docs(lang, text)`` with a non-null ``lang``; ``rows`` at least."""
     spark = docs.sparkSession
     counted = written(spark, count_grams(docs.filter(F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text")), "gram-counts")
@@ -171,10 +183,13 @@ def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
         [(x, i // MASK_BITS, 1 << i % MASK_BITS, t) for i, (x, t) in enumerate(order)],
         "lang string, w int, mask long, total long")
     rate = F.col("n") / F.col("total")
-    found = (counted.join(F.broadcast(numbered), "lang").withColumn("rate", rate)
-             .withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-             .filter(F.col("rate") >= share * F.col("top"))
-             .groupBy("gram", "w").agg(F.bit_or("mask").alias("mask")))
+    kept = (counted.join(F.broadcast(numbered), "lang").withColumn("rate", rate)
+            .withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
+            .filter(F.col("rate") >= share * F.col("top")).select("gram", "w", "mask"))
+    kept = written(spark, kept, "kept-grams")
+    most = kept.groupBy("w", "mask").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    rows = rows_for(most or 0, rows)
+    found = kept.groupBy("gram", "w").agg(F.bit_or("mask").alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +205,11 @@ def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
     w, row, mask = (sliced[c].to_numpy() for c in ("w", "row", "mask"))
     for k, m in enumerate(masks):
         m[row[w == k]] = mask[w == k]
-    return Filters(langs, [m.astype(np.uint8) if len(langs) <= 7 else m for m in masks])
+    model = Filters(langs, [m.astype(np.uint8) if len(langs) <= 7 else m for m in masks])
+    if (model.false_rate() > FALSE_LIMIT).any():
+        full = {x: round(float(r), 2) for x, r in zip(langs, model.false_rate()) if r > FALSE_LIMIT}
+        raise ValueError(f"too many n-grams for {rows} rows; false positives by language: {full}")
+    return model
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

@@ -122,6 +122,22 @@ def test_language_held_out_accuracy_and_odd_texts(spark, odd, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_language_filters_grow_with_the_n_grams(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(lang, " ".join("".join(chr(a + x) for x in rng.integers(0, 26, 8)) for _ in range(600)))
+            for lang, a in (("low", 97), ("greek", 0x3B1))]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(docs, rows=1 << 10)
+    size = len(model.masks[0])
+    assert size > 1 << 10 and size & (size - 1) == 0
+    assert model.false_rate().max() < 1.5 * language_id.FALSE_RATE
+    assert language_id.rows_for(20_000, language_id.ROWS) == language_id.ROWS
+    assert language_id.rows_for(10 ** 9, language_id.ROWS) == language_id.MAX_ROWS
+    monkeypatch.setattr(language_id, "MAX_ROWS", 1 << 10)
+    with pytest.raises(ValueError, match="low"):
+        language_id.fit(docs, rows=1 << 10)
+
+
 def test_language_masks_equal_brute_force():
     g = np.arange(500, dtype=np.uint64) * np.uint64(7919)
     rows = 1 << 12
