@@ -12,7 +12,7 @@ Template of a conversation: ``<s>``, then per turn
 texts and roles get a backslash after their first character and backslashes
 are doubled, so no text can look like a marker, and dropping the escape
 characters gives the text back.  ``read_back`` does so from the formatted
-string alone (and, for the loss, the mask).
+string alone; ``read_loss`` cuts the texts under the mask out of it.
 
 The loss mask holds per turn where its content lies in the formatted string
 (code points) and whether it counts: assistant contents do, markers do not.
@@ -140,6 +140,13 @@ def read_back(formatted: Column) -> Column:
         unescape(F.substring_index(x, BODY, -1)).alias("text")))
 
 
+def read_loss(formatted: Column, mask: Column) -> Column:
+    """The texts under the spans of a mask that count for the loss, cut out of ``formatted``."""
+    return F.concat_ws("", F.transform(
+        F.filter(mask, lambda m: m["loss"]),
+        lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -155,9 +162,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chats.withColumn("turns", read_back(F.col("formatted")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"],
                                                                    F.lit("\n"))))
-    learnt = F.concat_ws("", F.transform(
-        F.filter(F.arrays_zip(F.col("turns"), F.col("loss_mask")), lambda z: z["loss_mask"]["loss"]),
-        lambda z: z["turns"]["text"]))
+    learnt = read_loss(F.col("formatted"), F.col("loss_mask"))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),

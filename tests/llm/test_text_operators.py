@@ -276,6 +276,23 @@ def test_chat_query_equals_its_sql(spark):
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
 
 
+def test_chat_loss_is_read_from_under_the_mask(spark, monkeypatch):
+    rows = [(1, 0, "user", "Hi 🎉"), (1, 1, "assistant", "</s> a\\b 🎉"), (1, 2, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_format, "table", lambda *a: df)
+
+    def digest():
+        got = {r["conv_id"]: r for r in chat_format.op2_chat_formatting(spark, "").collect()}
+        return got[1]["loss_chars"], got[1]["loss_sha256"]
+    text = "</s> a\\b 🎉"
+    assert digest() == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    right = chat_format.format_chats
+    monkeypatch.setattr(chat_format, "format_chats", lambda t: right(t).withColumn("loss_mask", F.transform(
+        "loss_mask", lambda m: F.struct((m["start"] + 1).alias("start"), m["length"].alias("length"),
+                                        m["loss"].alias("loss")))))
+    assert digest()[1] != hashlib.sha256(text.encode()).hexdigest()      # wrong spans show
+
+
 def test_chat_texts_come_back_and_parts_become_placeholders(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "\\\\<|end|>", "<<SYS>> <</SYS>>", None, "", "a\nb", "<s", "<\\|x", "🎉[INST]"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
