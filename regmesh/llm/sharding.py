@@ -9,7 +9,9 @@ hash of its key modulo the size; the table, whose size is a parameter, is
 broadcast, so placement is one lookup without a shuffle.
 
 ``write_shards`` writes one folder per shard; a shard's rows are dealt over
-as many tasks as its size asks for, so a hot shard is not one task.
+as many tasks as its size asks for, so a hot shard is not one task.  The query
+places and writes whole documents and returns what it reads back from the
+shard folders.
 
 Defined results: a null key goes to the slot of the key's hash like any
 other value, repeated rows to the same shard, an empty table gives no rows.
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import shared_dir, table
 
 SLOTS = 65_537          # a prime
 SHARDS = 64
+DOCS_PER_FILE = 10_000      # whole texts: some 35 MB of them in the given tables
 
 
 def _is_prime(n: int) -> bool:
@@ -86,5 +89,7 @@ def shard_names(n: int = SHARDS) -> list[str]:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return place(spark, docs, ["doc_id"], shard_names())
+    placed = place(spark, table(spark, sf_dir, "documents"), ["doc_id"], shard_names())
+    path = shared_dir(spark, "shards")
+    write_shards(placed, path, DOCS_PER_FILE)
+    return spark.read.schema(placed.schema).parquet(path).select("doc_id", "slot", "shard")

@@ -266,6 +266,23 @@ def test_written_shards_hold_every_row(spark, odd):
     assert spark.read.parquet(path).count() == len(ODD)
 
 
+def test_sharding_query_writes_whole_rows_and_reads_them_back(spark, odd, empty, monkeypatch):
+    from pathlib import Path
+    monkeypatch.setattr(sharding, "table", lambda *a: odd)
+    monkeypatch.setattr(sharding, "DOCS_PER_FILE", 4, raising=False)
+    got = sharding.op4_sharding(spark, "")
+    files = got.inputFiles()
+    assert files and all("/shard=shard-" in f for f in files)
+    path = str(Path(files[0].removeprefix("file://")).parent.parent)
+    key = lambda r: tuple(map(str, r))
+    placed = sharding.place(spark, odd, ["doc_id"], sharding.shard_names())
+    assert sorted(map(key, spark.read.parquet(path).select(placed.columns).collect())) == sorted(
+        map(key, placed.collect()))
+    assert sorted(map(key, got.collect())) == sorted(map(key, placed.select("doc_id", "slot", "shard").collect()))
+    monkeypatch.setattr(sharding, "table", lambda *a: empty)
+    assert sharding.op4_sharding(spark, "").count() == 0
+
+
 def test_chat_query_equals_its_sql(spark):
     import duckdb
     d = "/root/testdata/sf0.01"
