@@ -25,8 +25,9 @@ the driver.
 
 Defined results: null and white-space texts and rows with a null ``doc_id``
 match nothing and are kept; a text of one to four words matches only equal
-word sequences; A-Z match a-z; rows that repeat a ``doc_id`` are one document,
-its text for the exact check the smallest; an empty table gives no rows.
+word sequences; A-Z match a-z; rows that repeat a ``doc_id`` and its text are
+one document; rows of one ``doc_id`` with different texts are documents of
+their own, numbered in order of ``doc_id``; an empty table gives no rows.
 Only ``doc_id`` and ``text`` are read.
 """
 
@@ -210,8 +211,27 @@ def remaining_links(spark: SparkSession, docs: DataFrame, members: DataFrame, re
     return written(spark, found, "more-links")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, kept`` for every row of ``docs``; one document of each class is kept."""
+def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, differ`` of each ``doc_id`` with several rows, and whether their texts differ."""
+    h = F.xxhash64("text", F.col("text").isNull())
+    return written(spark, docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+                   .agg(F.count(F.lit(1)).alias("_n"), (F.min(h) != F.max(h)).alias("differ"))
+                   .filter(F.col("_n") > 1).select("doc_id", "differ"), "repeated")
+
+
+def number_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_doc_id``, and for ``doc_id`` a number of each (doc_id, text), rising with doc_id."""
+    keyed = docs.withColumn("_doc_id", F.col("doc_id")).withColumn(
+        "_text", F.coalesce(F.sha2("text", 256), F.lit("")))
+    numbers = written(spark, keyed.filter(F.col("doc_id").isNotNull())
+                      .select(F.col("doc_id").cast("long").alias("doc_id"), "_doc_id", "_text").distinct()
+                      .orderBy("doc_id", "_text").select(
+                          "_doc_id", "_text", F.monotonically_increasing_id().alias("_number")), "numbers")
+    return written(spark, keyed.join(numbers, ["_doc_id", "_text"], "left")
+                   .withColumn("doc_id", F.col("_number")).select(*docs.columns, "_doc_id"), "numbered")
+
+
+def _marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = classes(spark, docs)
     return (ids.join(found, "doc_id", "left")
@@ -219,14 +239,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, kept`` for every row of ``docs``; one document of each class is kept."""
+    if repeated(spark, docs).filter("differ").isEmpty():
+        return _marked(spark, docs)
+    docs = number_texts(spark, docs.select("doc_id", "text"))
+    names = docs.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col("_doc_id").cast("long").alias("_name")).distinct()
+    return (_marked(spark, docs).join(names, "doc_id", "left")
+            .join(names.select(F.col("doc_id").alias("class_id"), F.col("_name").alias("_class")),
+                  "class_id", "left")
+            .select(F.col("_name").alias("doc_id"), F.col("_class").alias("class_id"), "kept"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns; repeated rows of a ``doc_id`` once."""
+    """One document of each class, with all its columns; rows that repeat a ``doc_id`` and its text once."""
+    again = repeated(spark, docs)
+    if again.filter("differ").isEmpty():
+        return _keep_one(spark, docs, again.select("doc_id"))
+    numbered = number_texts(spark, docs)
+    kept = _keep_one(spark, numbered, repeated(spark, numbered).select("doc_id"))
+    return kept.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
+
+
+def _keep_one(spark: SparkSession, docs: DataFrame, twice: DataFrame) -> DataFrame:
     found = classes(spark, docs)
     gone = written(spark, found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id"), "copies")
     kept = attach_small(docs, gone, ["doc_id"], "left_anti")
-    twice = (docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("doc_id").isNotNull() & (F.col("_n") > 1)).select("doc_id"))
-    twice = written(spark, twice, "repeated")
     if twice.isEmpty():
         return kept
     return attach_small(kept, twice, ["doc_id"], "left_anti").unionByName(

@@ -121,6 +121,21 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert minhash_dedup.keep_one(spark, empty).count() == 0
 
 
+def test_different_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    near, far = chain(2), " ".join(f"z{i}" for i in range(60))
+    rows = [(7, near[0]), (7, far), (7, far), (7, None), (3, far + " end"), (9, near[1]), (None, far)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash_dedup.keep_one(spark, df)
+    assert kept.columns == df.columns
+    # 9 is near 7's first text, 7's second text is near 3's
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(
+        [(7, near[0]), (7, None), (3, far + " end"), (None, far)], df.schema).collect()))
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"])
+                 for r in minhash_dedup.near_duplicates(spark, df).collect())
+    assert got == sorted([("7", "7", True), ("7", "3", False), ("7", "3", False), ("7", "7", True),
+                          ("3", "3", True), ("9", "7", False), ("None", "None", True)])
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(0)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (500, 400)]
