@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_formatting
+from .decontamination import OP13_SQL, op13_decontamination
 from .embedding_dedup import op7_embedding_dedup
 from .language_id import op5_language_id
 from .lm_scoring import op10_lm_scoring
@@ -16,6 +17,6 @@ from .sharding import op4_sharding
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_chat_formatting, op3_quality_rules, op4_sharding, op5_language_id,
     op6_best_fit_packing, op7_embedding_dedup, op8_sentence_pieces, op9_quality_classifier,
-    op10_lm_scoring)}
+    op10_lm_scoring, op13_decontamination)}
 
-SQL = {"op2_chat_formatting": OP2_SQL}
+SQL = {"op2_chat_formatting": OP2_SQL, "op13_decontamination": OP13_SQL}
