@@ -13,10 +13,11 @@ from .quality_classifier import op9_quality_classifier
 from .quality_rules import op3_quality_rules
 from .sentence_pieces import op8_sentence_pieces
 from .sharding import op4_sharding
+from .token_alignment import op12_token_alignment
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_chat_formatting, op3_quality_rules, op4_sharding, op5_language_id,
     op6_best_fit_packing, op7_embedding_dedup, op8_sentence_pieces, op9_quality_classifier,
-    op10_lm_scoring, op13_decontamination)}
+    op10_lm_scoring, op12_token_alignment, op13_decontamination)}
 
 SQL = {"op2_chat_formatting": OP2_SQL, "op13_decontamination": OP13_SQL}
