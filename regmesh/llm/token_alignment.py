@@ -24,9 +24,11 @@ All columns of ``docs`` are kept; ones called like a column of the result are re
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -75,58 +77,97 @@ class Aligner:
         self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for entry, i in vocabulary.items():
             self.a_bytes[i] = bytes(value[c] for c in entry) if all(c in value for c in entry) else b""
+        self.fast = self._ranked(a_path)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i)
                                 else piece.replace("▁", " ").encode())
-        self.a_lens = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_lens = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_lens = [len(x) for x in self.a_bytes]
+        self.b_lens = [len(x) for x in self.b_bytes]
+        self.b_from = 2 * len(self.a_bytes)
+        self.written = np.array([f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
+                                 for i in range(n) for end in ends], object)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides, none where a side does not give the bytes of blank + text back."""
         full = [x or "" for x in texts]
-        left = self.a.encode_batch_fast([" " + x for x in full], add_special_tokens=False)
+        left = [self.fast.encode_ordinary(" " + x) if self.fast and _latin(x) else None for x in full]
+        rest = [i for i, ids in enumerate(left) if ids is None]
+        for i, found in zip(rest, self.a.encode_batch_fast([" " + full[i] for i in rest],
+                                                           add_special_tokens=False)):
+            left[i] = found.ids
         right = self.b.encode(full, num_threads=1)
         for text, a, b in zip(full, left, right):
-            ids = a.ids
             want = b" " + text.encode()
-            if (text and b"".join([self.a_bytes[i] for i in ids]) == want
+            if (text and b"".join([self.a_bytes[i] for i in a]) == want
                     and b"".join([self.b_bytes[i] for i in b]) == want):
-                yield ids, b
+                yield a, b
             else:
                 yield [], []
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, list[int], list[int], str]:
+    def _ranked(self, a_path: str):
+        """A's vocabulary as an encoder by ranks, about four times as fast as by its merges, where
+        its file allows: no normaliser, plain byte-level words, and ids in the order of merges."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, words = spec["model"], spec["pre_tokenizer"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        ids = [model["vocab"]["".join(m)] for m in merges]
+        if (spec.get("normalizer") or not words or words.get("type") != "ByteLevel"
+                or not words.get("use_regex", True) or not merges or ids != sorted(set(ids))):
+            return None
+        value = byte_values()
+        special = {t["content"] for t in spec.get("added_tokens", ())}
+        ranks = {self.a_bytes[i]: i for entry, i in model["vocab"].items() if entry not in special}
+        if len(ranks) != len(value) + len(ids):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={})
+
+    def align(self, a: list[int], b: list[int]) -> tuple[int, np.ndarray, np.ndarray, str]:
         """Number of groups, the A and B ids of all links, and the digest of the groups."""
         if not a:
-            return 0, [], [], ""
-        a_end = np.cumsum(self.a_lens[a]).tolist()
-        b_end = np.cumsum(self.b_lens[b]).tolist()
-        a_at, b_at = dict(zip(a_end, range(len(a)))), dict(zip(b_end, range(len(b))))
+            return 0, np.zeros(0, np.int64), np.zeros(0, np.int64), ""
+        a_end = list(accumulate(map(self.a_lens.__getitem__, a)))
+        b_end = list(accumulate(map(self.b_lens.__getitem__, b)))
+        a_at, b_at = dict(zip(a_end, count())), dict(zip(b_end, count()))     # last token of an end
         common = sorted(a_at.keys() & b_at.keys())
-        link_a, link_b, groups = [], [], []
-        i = j = 0
-        for end in common:
-            i2, j2 = a_at[end] + 1, b_at[end] + 1
-            if i2 - i == 1 and j2 - j == 1:
-                link_a.append(a[i])
-                link_b.append(b[j])
-                groups.append(f"{a[i]}|{b[j]}")
-            else:
-                # the last token of each side, and those without bytes before or after it
-                i1, j1 = i2 - 1, j2 - 1
-                while i1 > i and a_end[i1 - 1] == end:
-                    i1 -= 1
-                while j1 > j and b_end[j1 - 1] == end:
-                    j1 -= 1
-                for x in a[i1:i2]:
-                    for y in b[j1:j2]:
-                        link_a.append(x)
-                        link_b.append(y)
-                groups.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
-            i, j = i2, j2
-        return len(common), link_a, link_b, sha256(";".join(groups).encode()).hexdigest()
+        a_last = np.fromiter(map(a_at.__getitem__, common), np.int64, len(common))
+        b_last = np.fromiter(map(b_at.__getitem__, common), np.int64, len(common))
+        ids_a, ids_b = np.array(a), np.array(b)
+        if len(a_at) == len(a) and len(b_at) == len(b):
+            link_a, link_b = ids_a[a_last], ids_b[b_last]
+        else:                                   # tokens without bytes end together with others
+            pairs = [(x, y) for end, i, j in zip(common, a_last.tolist(), b_last.tolist())
+                     for x in a[bisect_left(a_end, end, 0, i):i + 1]
+                     for y in b[bisect_left(b_end, end, 0, j):j + 1]]
+            link_a, link_b = np.array(pairs, np.int64).T
+        return len(common), link_a, link_b, self._digest(ids_a, ids_b, a_last, b_last)
+
+    def _digest(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> str:
+        """sha256 of ``a1,a2|b1;...``: each id is a ready string with its separator, and its place
+        is its own index plus the ids of the other side that come before it."""
+        text = np.empty(len(a) + len(b), np.int64)
+        a_code, b_code = a * 2, b * 2 + self.b_from
+        a_code[a_last] += 1
+        b_code[b_last] += 1
+        text[np.arange(len(a)) + np.repeat(np.append(0, b_last[:-1] + 1), np.diff(a_last, prepend=-1))] = a_code
+        text[np.arange(len(b)) + np.repeat(a_last + 1, np.diff(b_last, prepend=-1))] = b_code
+        return sha256("".join(self.written[text].tolist())[:-1].encode()).hexdigest()
+
+
+def _latin(text: str) -> bool:
+    """Whether both encoders class all characters alike: Latin-1 is the same in all Unicode versions."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
@@ -134,9 +175,9 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _packed(a: list[int], b: list[int]) -> bytes:
+def _packed(a: np.ndarray, b: np.ndarray) -> bytes:
     """The different links in order, each with its number."""
-    key, n = np.unique(np.array(a, np.int64) << 32 | np.array(b, np.int64), return_counts=True)
+    key, n = np.unique(a << 32 | b, return_counts=True)
     out = np.empty(len(key), LINK)
     out["a"], out["b"], out["n"] = key >> 32, key & 0xFFFFFFFF, n
     return out.tobytes()
