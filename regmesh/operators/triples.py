@@ -2,10 +2,9 @@
 
 The reference sends one SPARQL request per input row to an external store.
 Here a graph is data: a pattern is a chain of self-joins, updates are set
-operations producing a new snapshot (never overwrite the path being read -
-write the snapshot elsewhere and swap).  On disk, quads are Parquet
-partitioned by ``g`` so ``clear_graph`` and graph filters prune whole
-directories.
+operations producing a new frame.  ``graph_store`` keeps a graph on disk and
+changes only the folders that an update touches; the functions here are the
+set semantics on any frame of quads.
 """
 
 from __future__ import annotations
@@ -60,12 +59,15 @@ def _heavy(df: DataFrame, key: str) -> DataFrame:
 def resolve_identifier(items: DataFrame, index: DataFrame, value_col: str) -> DataFrame:
     """T1 for a whole table at once: attach ``projectURI`` (``''`` when absent).
 
-    The index holds one row per value; values carried by very many items are
-    salted across tasks (``skew.salted_join``).
+    Each different value is looked up once: the values, counted map-side, meet the index (one row
+    per value), which a bucketed table of ``graph_store`` joins where it lies.  The answers go
+    back to the items, values carried by very many items salted across tasks
+    (``skew.salted_join``).
     """
     it = items.withColumn("value", F.col(value_col).cast("string"))
-    hot = hot_keys(it.groupBy("value").agg(F.count(F.lit(1)).alias("_r")), ["value"], "_r")
-    j = salted_join(it, index, ["value"], "left", hot).drop("value")
+    wanted = it.groupBy("value").agg(F.count(F.lit(1)).alias("_r"))
+    found = wanted.join(index, "value").select("value", "projectURI")
+    j = salted_join(it, found, ["value"], "left", hot_keys(wanted, ["value"], "_r")).drop("value")
     return j.withColumn("projectURI", F.coalesce(F.col("projectURI"), F.lit("")))
 
 
@@ -114,15 +116,15 @@ def list_graphs(quads: DataFrame, limit: int | None = None) -> DataFrame:
     return names if limit is None else names.limit(limit)
 
 
-def write_snapshot(quads: DataFrame, path: str) -> None:
-    """Persist a snapshot partitioned by graph, to a new path (updates never
-    overwrite the snapshot being read).  Within a graph, rows are clustered
+def write_snapshot(quads: DataFrame, path: str, by: tuple[str, ...] = ("g",)) -> None:
+    """Persist quads partitioned by graph (or by ``by``), to a new path (updates never
+    overwrite the folders being read).  Within a graph, rows are clustered
     by predicate so a pattern scan's predicate filter skips row groups.  A
     range partitioning on (g, p, s) keeps files balanced even when one
     predicate (say ``rdf:type``) holds a third of all triples: its range is
     split by subject instead of landing in one writer task."""
     (quads.repartitionByRange("g", "p", "s").sortWithinPartitions("g", "p", "s")
-     .write.mode("errorifexists").partitionBy("g").parquet(path))
+     .write.mode("errorifexists").partitionBy(*by).parquet(path))
 
 
 def read_quads(spark, path: str, graphs: list[str] | None = None) -> DataFrame:

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.normalize import clean, clean_title, fallback_id, to_double, try_date
-from ..operators import enrich, merge, overlap, resolve, triples
+from ..operators import enrich, graph_store, merge, overlap, resolve, triples
 from ..operators.metrics import to_long
 from ..operators.overlap import ROWS, Rows, Source, distinct, either, intersected, joined
 from ..schemas import ORG_TITLE, PROJ
 from ..session import shared_dir
 from ..sources import csv as csvio
 from ..sources import fixtures as fx
+from ..sources import ingest
 from ..sources.tables import Tables
 
 A, B, C = 0, 1, 2
@@ -40,7 +41,6 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
-        self._snapshot: str | None = None
 
     def v(self, name: str) -> DataFrame:
         return fx.view(self.t, name)
@@ -49,12 +49,9 @@ class Ctx:
         """A registry view with ``cleanName`` added."""
         return self.v(name).withColumn("cleanName", clean("orgName"))
 
-    def stored_quads(self, *graphs: str) -> DataFrame:
-        """The quads as a stored snapshot, written at first use; only the given graphs are read."""
-        if self._snapshot is None:
-            self._snapshot = shared_dir(self.spark, "quads")
-            triples.write_snapshot(self.v("quads"), self._snapshot)
-        return triples.read_quads(self.spark, self._snapshot, list(graphs))
+    def graph(self) -> graph_store.Snapshot:
+        """The quads as a stored graph: loaded once per application, then shared by all queries."""
+        return graph_store.session_graph(self.spark, self.t.sf_dir, self.v("quads"))
 
 
 class MaterializedCtx(Ctx):
@@ -478,13 +475,16 @@ def vat_lookup(c: Ctx) -> DataFrame:
 
 def _resolved(c: Ctx) -> DataFrame:
     items = c.v("classification").select("project_id", "rcn", "category").distinct()
-    idx = triples.identifier_index(
-        c.stored_quads(fx.G_PROJECTS), fx.G_PROJECTS, type_pred=fx.RDF_TYPE, type_obj=fx.CLS_PROJECT,
-        has_id=fx.HAS_IDENTIFIER, id_name=fx.ID_NAME, id_value=fx.ID_VALUE, scheme="rcn",
-        wanted=items.select(F.col("rcn").cast("string").alias("value")))
+    idx = c.graph().identifier_index(
+        fx.G_PROJECTS, type_pred=fx.RDF_TYPE, type_obj=fx.CLS_PROJECT, has_id=fx.HAS_IDENTIFIER,
+        id_name=fx.ID_NAME, id_value=fx.ID_VALUE, scheme="rcn")
     return triples.resolve_identifier(items, idx, "rcn")
 
 
+def _field_triples(c: Ctx) -> DataFrame:
+    return triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
+
+
 @query
 def resolve_identifier(c: Ctx) -> DataFrame:
     """(project_id, rcn, category, projectURI); '' when not in the graph."""
@@ -493,16 +493,15 @@ def resolve_identifier(c: Ctx) -> DataFrame:
 
 @query
 def annotate_fields(c: Ctx) -> DataFrame:
-    """hasFieldOfScience quads that the annotation adds (set semantics)."""
-    new = triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
-    return triples.new_only(c.stored_quads(fx.G_PROJECTS), new)
+    """The hasFieldOfScience quads that the annotation appends (set semantics)."""
+    after, batch = c.graph().insert(_field_triples(c))
+    return after.batch(batch)
 
 
 @query
 def annotated_graph(c: Ctx) -> DataFrame:
-    """The graph snapshot after the annotation (old quads + new ones)."""
-    new = triples.field_triples(_resolved(c), fx.G_PROJECTS, fx.HAS_FIELD, "category")
-    return triples.insert_triples(c.stored_quads(), new)
+    """The graph after the annotation (the old folders and the appended batch)."""
+    return c.graph().insert(_field_triples(c))[0].quads()
 
 
 @query
@@ -518,25 +517,25 @@ def delete_triple(c: Ctx) -> DataFrame:
     # which leaves it no key
     doomed = c.spark.sql("SELECT * FROM VALUES (:g, :s, :p, :o, :o_type) AS t(g, s, p, o, o_type)",
                          args=dict(zip(triples.QUAD_COLS, DOOMED_TRIPLE)))
-    return triples.delete_triples(c.stored_quads(), doomed)
+    return c.graph().delete(doomed).quads()
 
 
 @query
 def delete_predicate(c: Ctx) -> DataFrame:
     """T5: the graph without any hasFieldOfScience triple of the project graph."""
-    return triples.delete_predicate(c.stored_quads(), fx.G_PROJECTS, fx.HAS_FIELD)
+    return c.graph().delete_predicate(fx.G_PROJECTS, fx.HAS_FIELD).quads()
 
 
 @query
 def clear_graph(c: Ctx) -> DataFrame:
     """The quads without the patents graph."""
-    return triples.clear_graph(c.stored_quads(), fx.G_PATENTS)
+    return c.graph().clear_graph(fx.G_PATENTS).quads()
 
 
 @query
 def list_graphs(c: Ctx) -> DataFrame:
     """Distinct graphs, in order."""
-    return triples.list_graphs(c.stored_quads())
+    return c.graph().graphs()
 
 
 @query

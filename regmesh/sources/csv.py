@@ -13,15 +13,20 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool = False, header: bool = True, corrupt: str | None = None) -> DataFrame:
     """Header row, RFC 4180 quoting (``"`` is quote and escape).
 
     A list of paths is one source (the reference's ``a.union(b).union(c)``
     of identical part files).  ``multiline`` makes each file one unsplittable
-    task - convert such inputs to Parquet once and read that afterwards.
+    task - ``ingest.ingest_csv`` converts such inputs to Parquet once.  ``corrupt``
+    names a string column of ``schema`` that takes the text of a record which
+    does not fit; without it such a record is a row of nulls.
     """
-    return (spark.read.schema(schema)
-            .option("header", True)
+    reader = spark.read.schema(schema)
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return (reader
+            .option("header", header)
             .option("quote", '"')
             .option("escape", '"')
             .option("multiLine", multiline)
@@ -49,11 +54,3 @@ def write_csv(df: DataFrame, path: str) -> None:
     part files (range-partitioned sort).
     """
     _writer(df).csv(path)
-
-
-def to_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Convert an ingested (e.g. multi-line CSV) source to Parquet once."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

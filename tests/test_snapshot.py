@@ -22,13 +22,26 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", ["resolve_identifier", "annotate_fields", "annotate_counts",
-                                  "clear_graph"])
-def test_graph_filters_prune_the_snapshot(spark, name):
-    """(``delete_predicate`` keeps rows of every graph, so it has no directory to skip.)"""
+@pytest.mark.parametrize("name", ["resolve_identifier", "annotate_counts"])
+def test_lookups_read_the_stored_index_and_no_quads(spark, name):
     plan = _plan(REGISTRY[name](spark, SMOKE_DIR))
-    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
-    assert filters and all("g#" in line for line in filters)
+    assert "regmesh_ids_" in plan and "regmesh_quads_" not in plan and "regmesh_graph_" not in plan
+
+
+def test_cleared_graph_has_no_folder_to_read(spark):
+    df = REGISTRY["clear_graph"](spark, SMOKE_DIR)
+    assert df.inputFiles() and not any("patents" in f for f in df.inputFiles())
+
+
+def test_graph_queries_do_not_copy_the_graph(spark):
+    """Only the first query of an application loads it."""
+    from regmesh.plans.queries import Ctx
+    c = Ctx(spark, SMOKE_DIR)
+    root, folders = c.graph().root, c.graph().folders()
+    for name in ("annotated_graph", "delete_triple", "delete_predicate", "clear_graph"):
+        new = {f.split("/g=")[0] for f in REGISTRY[name](spark, SMOKE_DIR).inputFiles()}
+        assert f"{root}/{folders[0].batch}".split(":")[-1] in {f.replace("file://", "") for f in new}
+    assert c.graph().root == root and c.graph().folders() == folders
 
 
 def _quads(spark):
