@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import fallback_id
-from .merge import merged_titles, min_per_key, union_all
+from ..session import written
+from .merge import min_per_key, union_all
 from .skew import hot_keys, salted_join
 
 
@@ -114,16 +115,18 @@ def northern_projects(src1: DataFrame, src2: DataFrame, allowed: DataFrame,
     src1 country = label, src2 country = code and src2 is limited to the date
     range.  Tax ids fall back to the org URI when missing (E10); merge by id
     (E9); one country and one legal name per id (E11, ``min``) - both taken in
-    a single aggregation over the union, then one left join (J12).
+    a single aggregation over the union, then one left join (J12).  The narrow
+    union is written once, so each source is read once.
     """
     s1 = allow_list(src1, allowed, "country", "Country")
     s2 = allow_list(in_date_range(src2, start, end), allowed, "country", "countryCode",
                     label_col="Country")
     s1 = s1.withColumn("vatID", fallback_id("vatID", "orgURI"))
     s2 = s2.withColumn("vatID", fallback_id("vatID", "orgURI"))
-    merged = merged_titles(s1, s2)
-    info = min_per_key(union_all(s1, s2, cols=["vatID", "country", "orgName"]),
-                       ["vatID"], ["country", "orgName"], ["Country", "LegalName"])
+    rows = written(union_all(s1, s2, cols=["vatID", "title", "country", "orgName"]).distinct(),
+                   "northern-rows")
+    merged = rows.select("vatID", F.lower("title").alias("ProjectTitle")).distinct()
+    info = min_per_key(rows, ["vatID"], ["country", "orgName"], ["Country", "LegalName"])
     hot = hot_keys(merged.groupBy("vatID").agg(F.count(F.lit(1)).alias("_t")), ["vatID"], "_t")
     return (salted_join(merged, info, ["vatID"], "left", hot)
             .select("LegalName", "Country", "ProjectTitle"))

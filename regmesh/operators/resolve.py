@@ -17,6 +17,8 @@ from ..session import written
 from .merge import min_per_key
 from .skew import hot_keys, salted_join
 
+CHUNK = 1000        # members in one chunk of an alias group
+
 
 def alias_members(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
     """Distinct ``(name, uri)`` membership, NULL URIs dropped (``collect_set`` skips them)."""
@@ -35,6 +37,35 @@ def alias_groups(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI")
             .agg(F.count(F.lit(1)).alias("n_uris"), F.min(uri).alias("canonicalURI")))
 
 
+def alias_membership(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI",
+                     chunk: int = CHUNK) -> DataFrame:
+    """E5: every ``(name, uri)`` member of the groups with several URIs, with the group's size and
+    the number of its chunk: a group is cut, in URI order, into chunks of ``chunk`` members, so a
+    caller that wants sets builds them per ``(name, chunk)`` and never holds a hot group whole.
+
+    A member's rank needs no window over its group: members are range-partitioned and sorted by
+    (name, uri) and written with their place in the partition.  A group is then a run in each
+    partition that it touches; the runs before a member's own (one row per group and partition)
+    give its rank.  NULL names and URIs are no members.
+    """
+    members = written(alias_members(orgs, name, uri).filter(F.col(name).isNotNull()), "alias-members")
+    sizes = members.groupBy(name).agg(F.count(F.lit(1)).alias("n_uris")).filter(F.col("n_uris") > 1)
+    multi = salted_join(members, sizes, [name], "inner", hot_keys(sizes, [name], "n_uris"))
+    placed = written(multi.repartitionByRange(name, uri).sortWithinPartitions(name, uri)
+                     .withColumn("_at", F.monotonically_increasing_id())
+                     # the partition's number is in the upper bits of the id
+                     .withColumn("_part", F.shiftright("_at", 33)), "alias-ranks")
+    runs = placed.groupBy(name, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    run = F.struct("_part", "_first", "_n")
+    before = F.aggregate(F.slice("_runs", 1, F.col("_i")), F.lit(0).cast("bigint"), lambda s, r: s + r["_n"])
+    starts = (runs.groupBy(name).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
+              .select(name, "_runs", F.posexplode("_runs").alias("_i", "_r"))
+              .select(name, "_r._part", "_r._first", before.alias("_before")))
+    rank = F.col("_at") - F.col("_first") + F.col("_before")
+    return (placed.join(starts, [name, "_part"])
+            .select(name, uri, "n_uris", F.floor(rank / F.lit(chunk)).cast("bigint").alias("chunk")))
+
+
 def canonical_map(members: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
     """E6 on distinct ``(name, uri)`` pairs: ``(uri, canonicalURI)``.
 
@@ -61,8 +92,10 @@ def canonical_map(members: DataFrame, name: str = "cleanName", uri: str = "orgUR
 
 
 def canonical_uri(orgs: DataFrame, name: str = "cleanName", uri: str = "orgURI") -> DataFrame:
-    """``(orgURI, canonicalURI)`` for every distinct non-NULL URI."""
-    return (canonical_map(alias_members(orgs, name, uri), name, uri)
+    """``(orgURI, canonicalURI)`` for every distinct non-NULL URI; the pairs are written
+    once, so the map, its minima and its hot list read them and not the registries."""
+    members = written(alias_members(orgs, name, uri), "alias-members")
+    return (canonical_map(members, name, uri)
             .select(F.col(uri).alias("orgURI"), "canonicalURI"))
 
 
@@ -73,11 +106,12 @@ def flag_multi_row_names(orgs: DataFrame, name: str = "cleanName",
     Quirk c: rows are (org, title), so an org with two titles is flagged.
     A NULL name gives NULL, as ``isin`` does.  Aggregate + join instead of a
     window (a window would put a hot name in one task); the heaviest names
-    are salted across tasks in the join.
+    are salted across tasks in the join.  The repeated names, one row each, are
+    written once, so the sources are read twice: to count and to flag.
     """
-    dup = (orgs.filter(F.col(name).isNotNull())
-           .groupBy(source, name).agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") > 1))
+    dup = written(orgs.filter(F.col(name).isNotNull())
+                  .groupBy(source, name).agg(F.count(F.lit(1)).alias("_rows"))
+                  .filter(F.col("_rows") > 1), "multi-row-names")
     hot = hot_keys(dup, [source, name], "_rows")
     j = salted_join(orgs, dup.select(source, name, F.lit(True).alias("_dup")), [source, name],
                     "left", hot)
@@ -216,10 +250,19 @@ def acronym_org_map(subjects: DataFrame, base: DataFrame) -> DataFrame:
     """Subject org URI -> base org URI through shared acronyms.
 
     ``min`` over all matches replaces the reference's "last write wins" map;
-    orgs without a match map to themselves.
+    orgs without a match map to themselves.  Only the distinct (acronym, org)
+    pairs of the subjects take part, written once.
     """
-    m = acronym_match(subjects, base).filter(F.col("orgURI").isNotNull())
-    return (min_per_key(m, ["orgURI"], ["baseOrgURI"], ["_m"], empty=None)
+    pairs = written(_lower_acronym(subjects).select("acronym", "orgURI")
+                    .filter(F.col("orgURI").isNotNull()).distinct(), "acronym-orgs")
+    hot = hot_keys(pairs.groupBy("acronym").agg(F.count(F.lit(1)).alias("_r")), ["acronym"], "_r")
+    matched = salted_join(pairs, acronym_summary(base).select("acronym", "baseOrgURI"), ["acronym"],
+                          "left", hot)
+    return _org_map(matched)
+
+
+def _org_map(matched: DataFrame) -> DataFrame:
+    return (min_per_key(matched, ["orgURI"], ["baseOrgURI"], ["_m"], empty=None)
             .select("orgURI", F.coalesce(F.col("_m"), F.col("orgURI")).alias("newOrgURI")))
 
 
@@ -244,13 +287,47 @@ def rewrite_on_title_match(subjects: DataFrame, base: DataFrame, title_key) -> D
             .drop("_tk", "_p"))
 
 
+def title_matches(keys: DataFrame, base: DataFrame, title_key) -> DataFrame:
+    """One row per (acronym, title key) of either side: ``_p``, the smallest base project of that
+    key, and ``baseOrgURI``, the base org of the acronym (E14's choice).
+
+    The subjects' ``keys`` (``acronym, _tk``) and the base rows are one tagged union, aggregated
+    once per key and from there once per acronym; a subject row then finds both answers in one
+    join.  NULL acronyms match nothing, NULL title keys no project.
+    """
+    first = F.struct(F.col("orgURI").isNull().alias("no_org"), "orgURI", "projectURI", "title")
+    b = (_lower_acronym(base).filter(F.col("acronym").isNotNull())
+         .withColumn("_tk", title_key(F.col("title")))
+         .select("acronym", "_tk", F.when(F.col("_tk").isNotNull(), F.col("projectURI")).alias("_p"),
+                 first.alias("_f")))
+    none = [F.lit(None).cast(b.schema[c].dataType).alias(c) for c in ("_p", "_f")]
+    per_key = written(keys.select("acronym", "_tk", *none).unionByName(b)
+                      .groupBy("acronym", "_tk").agg(F.min("_p").alias("_p"), F.min("_f").alias("_f")),
+                      "acronym-titles")
+    per_acronym = per_key.groupBy("acronym").agg(F.min("_f").alias("_f"), F.count(F.lit(1)).alias("_keys"))
+    return (salted_join(per_key.drop("_f"), per_acronym.select("acronym", F.col("_f.orgURI").alias("baseOrgURI")),
+                        ["acronym"], "left", hot_keys(per_acronym, ["acronym"], "_keys")))
+
+
 def rewrite_uris(subjects: DataFrame, base: DataFrame, title_key) -> DataFrame:
     """E16 in full: the project URI as ``rewrite_on_title_match``, and the org URI
-    through the acronym map (E14); an org the map does not know keeps its URI."""
-    rows = rewrite_on_title_match(subjects, base, title_key)
-    orgs = acronym_org_map(subjects, base)
+    through the acronym map (E14); an org the map does not know keeps its URI.
+
+    Each side is read once: the distinct subject rows, the answers per (acronym, title key) and
+    the matched rows are written, and every later step reads those.
+    """
+    s = written(_lower_acronym(subjects).distinct().withColumn("_tk", title_key(F.col("title"))),
+                "acronym-subjects")
+    keys = s.groupBy("acronym", "_tk").agg(F.count(F.lit(1)).alias("_r"))
+    answers = title_matches(keys, base, title_key)
+    rows = written(salted_join(s, answers, ["acronym", "_tk"], "left", hot_keys(keys, ["acronym", "_tk"], "_r"),
+                               null_safe=True)
+                   .withColumn("modify", F.when(F.col("_p").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
+                   .withColumn("projectURI", F.coalesce(F.col("_p"), F.col("projectURI")))
+                   .drop("_tk", "_p"), "rewritten-projects")
+    orgs = _org_map(rows.select("orgURI", "baseOrgURI").filter(F.col("orgURI").isNotNull()))
     hot = hot_keys(rows.groupBy("orgURI").agg(F.count(F.lit(1)).alias("_r")), ["orgURI"], "_r")
-    return (salted_join(rows, orgs, ["orgURI"], "left", hot)
+    return (salted_join(rows.drop("baseOrgURI"), orgs, ["orgURI"], "left", hot)
             .withColumn("orgURI", F.coalesce("newOrgURI", "orgURI")).drop("newOrgURI"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .skew import hot_keys, salted_join
 
 QUAD_COLS = ("g", "s", "p", "o", "o_type")
@@ -59,13 +60,13 @@ def _heavy(df: DataFrame, key: str) -> DataFrame:
 def resolve_identifier(items: DataFrame, index: DataFrame, value_col: str) -> DataFrame:
     """T1 for a whole table at once: attach ``projectURI`` (``''`` when absent).
 
-    Each different value is looked up once: the values, counted map-side, meet the index (one row
-    per value), which a bucketed table of ``graph_store`` joins where it lies.  The answers go
-    back to the items, values carried by very many items salted across tasks
+    Each different value is looked up once: the values, counted map-side and written, meet the
+    index (one row per value), which a bucketed table of ``graph_store`` joins where it lies.
+    The answers go back to the items, values carried by very many items salted across tasks
     (``skew.salted_join``).
     """
     it = items.withColumn("value", F.col(value_col).cast("string"))
-    wanted = it.groupBy("value").agg(F.count(F.lit(1)).alias("_r"))
+    wanted = written(it.groupBy("value").agg(F.count(F.lit(1)).alias("_r")), "lookup-values")
     found = wanted.join(index, "value").select("value", "projectURI")
     j = salted_join(it, found, ["value"], "left", hot_keys(wanted, ["value"], "_r")).drop("value")
     return j.withColumn("projectURI", F.coalesce(F.col("projectURI"), F.lit("")))

@@ -12,7 +12,8 @@ from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
 
 # Keep these in step with plans.queries.
-from .queries import (DOOMED_TRIPLE, LOOKUP_VAT, NORTHERN_END, NORTHERN_START,
+from ..operators.resolve import CHUNK
+from .queries import (DIRT_STEP, DOOMED_TRIPLE, LOOKUP_VAT, NORTHERN_END, NORTHERN_START,
                       SEARCH_TEXT)
 
 CLEAN = "trim(lower({}))"
@@ -347,6 +348,13 @@ FROM all_orgs WHERE orgURI IS NOT NULL GROUP BY cleanName"""
 sql("alias_groups", ("all_orgs",), _GROUPS)
 sql("names_over_two_uris", ("all_orgs",), f"SELECT * FROM ({_GROUPS}) g WHERE n_uris > 2")
 
+sql("alias_members", ("all_orgs",), f"""
+, m AS (SELECT DISTINCT cleanName, orgURI FROM all_orgs
+        WHERE cleanName IS NOT NULL AND orgURI IS NOT NULL),
+r AS (SELECT cleanName, orgURI, count(*) OVER (PARTITION BY cleanName) AS n_uris,
+             row_number() OVER (PARTITION BY cleanName ORDER BY orgURI) - 1 AS k FROM m)
+SELECT cleanName, orgURI, n_uris, CAST(k // {CHUNK} AS BIGINT) AS chunk FROM r WHERE n_uris > 1""")
+
 _CMAP = """
 , m AS (SELECT DISTINCT cleanName, orgURI FROM all_orgs WHERE orgURI IS NOT NULL),
 g AS (SELECT cleanName, min(orgURI) AS gmin FROM m WHERE cleanName IS NOT NULL GROUP BY cleanName),
@@ -455,3 +463,19 @@ sql("category_labels", ("classification",), "SELECT DISTINCT category FROM class
 sql("csv_roundtrip", ("proj_a",), "SELECT * EXCLUDE (countryCode) FROM proj_a")
 sql("orgs_from_files", ("all_orgs",), "SELECT orgName, orgURI, title FROM all_orgs")
 SQL["report_csv"] = SQL["org_budget"]     # the written-and-read-back Q1 report
+
+_DIRTY = f"""
+, e AS (SELECT orgName, orgURI, title, no, no % {DIRT_STEP} AS k
+        FROM (SELECT *, CAST(regexp_extract(orgURI, '([0-9]+)$', 1) AS BIGINT) AS no FROM proj_c) x)"""
+sql("csv_rejects", ("proj_c",), _DIRTY + """
+SELECT status, count(k) AS n_records
+FROM (SELECT unnest(['good', 'quote', 'short', 'long', 'type']) AS status) s
+LEFT JOIN (SELECT k, CASE k WHEN 2 THEN 'type' WHEN 3 THEN 'short' WHEN 5 THEN 'long'
+                     WHEN 7 THEN 'quote' ELSE 'good' END AS status FROM e) t USING (status)
+GROUP BY status""")
+sql("csv_accepted", ("proj_c",), _DIRTY + """
+SELECT orgName, orgURI, title, no FROM e WHERE k NOT IN (2, 3, 5, 7)""")
+sql("multiline_report", ("proj_a",), """
+SELECT country, count(*) AS n_projects,
+       count(CASE WHEN contains(title, chr(10)) THEN 1 END) AS n_broken_titles
+FROM proj_a GROUP BY country""")

@@ -19,7 +19,7 @@ from ..functions.normalize import clean, clean_title, fallback_id, to_double, tr
 from ..operators import enrich, graph_store, merge, overlap, resolve, triples
 from ..operators.metrics import to_long
 from ..operators.overlap import ROWS, Rows, Source, distinct, either, intersected, joined
-from ..schemas import ORG_TITLE, PROJ
+from ..schemas import NUMBERED, ORG_TITLE, PROJ
 from ..session import shared_dir
 from ..sources import csv as csvio
 from ..sources import fixtures as fx
@@ -33,6 +33,7 @@ NORTHERN_START = "1996-01-01"
 NORTHERN_END = "1999-12-31"
 SEARCH_TEXT = "ORG 1"
 LOOKUP_VAT = "V7"
+DIRT_STEP = 11
 DOOMED_TRIPLE = (fx.G_PROJECTS, "p/1", fx.HAS_FIELD, "physics", "string")
 SUBJECT_COLS = ["acronym", "projectURI", "title", "orgURI", "orgName", "country"]
 
@@ -400,6 +401,12 @@ def alias_groups(c: Ctx) -> DataFrame:
     return resolve.alias_groups(c.v("all_orgs"))
 
 
+@query
+def alias_members(c: Ctx) -> DataFrame:
+    """E5: (cleanName, orgURI, n_uris, chunk) of the groups with several URIs."""
+    return resolve.alias_membership(c.v("all_orgs"))
+
+
 @query
 def names_over_two_uris(c: Ctx) -> DataFrame:
     """Alias groups with more than two URIs."""
@@ -580,3 +587,45 @@ def report_csv(c: Ctx) -> DataFrame:
     raw = csvio.read_csv(c.spark, path, schema)
     return raw.select("pic", "organizationName", to_double("totalBudget").alias("totalBudget"),
                       F.col("numberProjects").try_cast("bigint").alias("numberProjects"))
+
+
+# --- ingest with rejects (S1-S3) ----------------------------------------------
+
+def _dirty_extract(c: Ctx) -> ingest.Ingested:
+    """Registry C as a hand-made CSV extract, one record a line, in which records of some users
+    lack a field, have one too many, a quote that is never closed, or no number where one belongs."""
+    o = c.v("proj_c").select("orgName", "orgURI", "title",
+                             F.regexp_extract("orgURI", "([0-9]+)$", 1).alias("no"))
+    kind = F.col("no").cast("bigint") % DIRT_STEP
+    line = F.concat_ws(",", "orgName", "orgURI", "title", "no")
+    dirty = (F.when(kind == 2, F.concat_ws(",", "orgName", "orgURI", "title", F.lit("n/a")))
+             .when(kind == 3, F.concat_ws(",", "orgName", "orgURI"))
+             .when(kind == 5, F.concat(line, F.lit(",extra")))
+             .when(kind == 7, F.concat(F.lit('"'), line)).otherwise(line))
+    path = shared_dir(c.spark, "dirty-extract")
+    o.select(dirty.alias("value")).write.text(path)
+    return ingest.ingest_csv(c.spark, path, NUMBERED, header=False)
+
+
+@query
+def csv_rejects(c: Ctx) -> DataFrame:
+    """Records of a dirty extract by what became of them (good, or the reject's reason)."""
+    return _dirty_extract(c).counts()
+
+
+@query
+def csv_accepted(c: Ctx) -> DataFrame:
+    """The good rows of a dirty extract, typed."""
+    return _dirty_extract(c).good
+
+
+@query
+def multiline_report(c: Ctx) -> DataFrame:
+    """Registry A as multi-line CSV, ingested into Parquet once; projects and titles with a
+    line break per country, from the Parquet table."""
+    path = shared_dir(c.spark, "multiline-extract")
+    csvio.write_csv(c.v("proj_a").select(*PROJ.names), path)
+    done = ingest.ingest_csv(c.spark, path, PROJ, multiline=True)
+    return (done.good.groupBy("country")
+            .agg(F.count(F.lit(1)).alias("n_projects"),
+                 F.count_if(F.col("title").contains("\n")).alias("n_broken_titles")))

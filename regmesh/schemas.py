@@ -4,36 +4,19 @@ Numbers and dates are declared as strings: extracts are dirty, so they are
 converted afterwards with ``try_cast``/``try_to_date`` (see functions.normalize).
 """
 
-from pyspark.sql.types import StructField, StructType, StringType, IntegerType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
-# registry participation, shape A (org-project)
-PARTICIPATION = _strings("projectURI", "title", "orgURI", "orgName", "country", "acronym")
 # org-title, shape B
 ORG_TITLE = _strings("orgName", "orgURI", "title")
-# org-project with tax id and dates, shape C
-STEM = _strings("orgURI", "LegalName", "vatID", "Country", "projURI", "ProjectTitle",
-                "sDate", "eDate")
-# beneficiary-project with budget
-BENEFICIARY = _strings("pic", "beneficiaryName", "proj", "projName", "budget")
-# region-project with budget
-REGION = _strings("pic", "orgName", "region", "proj", "projTitle", "budget")
+# the same with a number, for typed reading
+NUMBERED = StructType([*ORG_TITLE.fields, StructField("no", LongType(), True)])
 # publication by organisation type
 RESULTS = _strings("orgURI", "resultURI", "catLabel")
-# country dimension
-COUNTRY = _strings("country", "countryName", "iso", "hdi", "gdp")
-# country allow-list
-COUNTRY_ALLOW = _strings("Country", "countryCode")
-# classification (the reference reads RCN as an integer)
-CLASSIFICATION = StructType([
-    StructField("Project Id", StringType(), True),
-    StructField("RCN", IntegerType(), True),
-    StructField("Category label", StringType(), True),
-])
 # full projected registry row used by the fixture round trip
 PROJ = _strings("projectURI", "title", "acronym", "orgURI", "orgName", "country", "vatID",
                 "pic", "proj", "budget", "sDate", "eDate", "source")

@@ -43,3 +43,17 @@ def test_library_has_no_unbounded_broadcast_or_collect():
     # no broadcast by hint, no random salt, no fixed number of salts or rows
     for bad in ("F.broadcast(", "F.rand(", ".limit(top_k)", "coalesce(1)", "mkdtemp"):
         assert bad not in text, bad
+
+
+@pytest.mark.parametrize("name", ["rewrite_uris", "rewrite_counts", "northern_projects", "multi_row_names",
+                                  "canonical_uri", "acronym_org_map", "alias_members", "resolve_identifier"])
+def test_base_tables_are_planned_at_most_twice(spark, name):
+    """Later steps read what the first one wrote, not the registries again."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(QUERIES[name](spark, SMOKE_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for table in ("orders", "customer", "nation", "lineitem", "supplier", "events", "part", "documents"):
+        assert plan.count(f"/{table}.parquet]") <= 2, table
