@@ -18,9 +18,12 @@ against brute force in the tests.
 
 Equal vectors are one representative with a count.  Representatives meet by
 filter; large buckets are cut into blocks whose pairs are dealt over the
-cluster.  A block verifies cosines in double precision and counts a pair
-only in the smallest filter its two vectors share, so each link is counted
-once; it emits one count per vector and a spanning forest, never the pairs.
+cluster.  Rows travel with 16-bit vectors; a block decides the pairs that the
+rounding cannot move across the threshold, and vectors with a pair too close
+to call meet again with their exact components, in double precision.  A pair
+counts only in the smallest filter its two vectors share, so each link is
+counted once; a block emits one count per vector and a spanning forest, never
+the pairs.
 
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component, and rows with a null ``vec_id``, link with nothing and
@@ -44,11 +47,14 @@ from .components import components
 from .tables import table, written
 
 THRESHOLD = 0.95
-BUCKET, SHARED = 64, 24
+BUCKET, SHARED = 64, 10
 TURNS = 6               # independent product codes
 BLOCK = 512
 SEED = 7
 DEAL = 16               # buckets of one block size that one call compares
+FULL = 32767            # of a rounded vector's largest component
+COUNT, LINK, OPEN = 0, 1, 2
+FOUND = ("a", "b", "kind", "n", "g", "i", "j", "f")
 
 
 @dataclass(frozen=True)
@@ -119,22 +125,41 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _block_links(keys: np.ndarray, unit: np.ndarray, filters: list, here: int, half: np.ndarray,
-                 weight: np.ndarray, threshold: float) -> pd.DataFrame:
+def _rounded(unit: np.ndarray) -> np.ndarray:
+    """Unit vectors as 16-bit integers, the largest component at full scale."""
+    return np.rint(unit / np.abs(unit).max(1, keepdims=True) * FULL).astype("<i2")
+
+
+def _block_links(keys: np.ndarray, filters: list, here: int, half: np.ndarray, weight: np.ndarray,
+                 threshold: float, short: np.ndarray, unit: np.ndarray | None = None) -> pd.DataFrame:
     """Counts and a spanning forest of the links of one block.
 
-    ``half``: 0 or 1 for the block's two chunks; -1 where it is one chunk against itself."""
+    ``half``: 0 or 1 for the block's two chunks; -1 where it is one chunk against itself.
+    ``short``: the rounded vectors.  Without ``unit`` a pair links where its rounded cosine is above
+    the threshold by more than the rounding can move it, and the vectors of pairs too close to call
+    are returned as ``open``; with the exact ``unit`` vectors just those pairs are decided."""
     smaller = [f[f < here] for f in filters]
     names, at = np.unique(np.concatenate(smaller), return_inverse=True)
     share = np.zeros((len(keys), max(len(names), 1)), np.float32)
     share[np.repeat(np.arange(len(keys)), [len(f) for f in smaller]), at] = 1
-    hit = unit @ unit.T >= threshold
+    near = short.astype(np.float64)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    moved = math.sqrt(near.shape[1]) * np.abs(near).max(1) / FULL * 1.01
+    cosine = near @ near.T
+    slack = moved[:, None] + moved[None, :] + moved[:, None] * moved[None, :] + 1e-12
+    maybe = np.abs(cosine - threshold) <= slack
+    mine = share @ share.T < 0.5                            # no smaller filter in common
+    np.fill_diagonal(mine, False)
     if (half >= 0).any():
-        hit &= half[:, None] != half[None, :]
-    np.fill_diagonal(hit, False)
-    hit &= share @ share.T < 0.5                            # no smaller filter in common
-    if not hit.any():
-        return pd.DataFrame({"a": [], "b": [], "n": []})
+        mine &= half[:, None] != half[None, :]
+    open_ = np.zeros(0, np.int64)
+    if unit is None:
+        hit = (cosine >= threshold) & ~maybe & mine
+        open_ = np.flatnonzero((maybe & mine).any(1))
+    else:
+        hit = maybe & mine & (unit @ unit.T >= threshold)
+    if not hit.any() and not len(open_):
+        return pd.DataFrame({"a": [], "b": [], "kind": [], "n": []})
     label = np.arange(len(keys))
     while True:
         least = np.minimum(label, np.where(hit, label[None, :], len(keys)).min(1))
@@ -144,15 +169,23 @@ def _block_links(keys: np.ndarray, unit: np.ndarray, filters: list, here: int, h
     n = hit @ weight
     linked = np.flatnonzero(n > 0)
     tree = linked[label[linked] != linked]
-    return pd.DataFrame({"a": np.concatenate([keys[linked], keys[tree]]),
-                         "b": np.concatenate([np.full(len(linked), -1), keys[label[tree]]]),
-                         "is_link": np.repeat([False, True], [len(linked), len(tree)]),
-                         "n": np.concatenate([n[linked], np.zeros(len(tree))])})
+    return pd.DataFrame({"a": np.concatenate([keys[linked], keys[tree], keys[open_]]),
+                         "b": np.concatenate([np.full(len(linked), -1), keys[label[tree]],
+                                              np.full(len(open_), -1)]),
+                         "kind": np.repeat([COUNT, LINK, OPEN], [len(linked), len(tree), len(open_)]),
+                         "n": np.concatenate([n[linked], np.zeros(len(tree) + len(open_))])})
 
 
 def link_rows(spark: SparkSession, reps: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """Counts ``(a, n)`` and forest links ``(a, b)`` of representatives ``(rep, weight, v)`` of one length."""
+    """Counts ``(a, n)`` and forest links ``(a, b)``, told apart by ``kind``, of representatives
+    ``(rep, weight, v)`` of one length.
+
+    The rows that meet by filter are wide and many, so they move once: a vector as 16-bit integers
+    with its filters below the row's, in one binary.  Only filters above one block are listed by
+    size (a short table, joined by its size).  Pairs whose rounded cosine is too close to call
+    are decided in a second round from the exact vectors, which only their vectors take part in."""
     code = plan_filters(reps.count(), dim, threshold)
+    vector = reps.schema["v"].dataType.simpleString()
 
     def decode(frames):
         for pdf in frames:
@@ -160,13 +193,25 @@ def link_rows(spark: SparkSession, reps: DataFrame, dim: int, threshold: float)
                 pdf["filters"] = code.decode(_unit(list(pdf["v"])))
                 yield pdf
 
+    def spread(frames):
+        for pdf in frames:
+            if len(pdf):
+                short = _rounded(_unit(list(pdf["v"])))
+                lens = pdf["filters"].map(len).to_numpy()
+                yield pd.DataFrame({
+                    "f": np.concatenate(list(pdf["filters"])), "rep": np.repeat(pdf["rep"].to_numpy(), lens),
+                    "weight": np.repeat(pdf["weight"].to_numpy(), lens),
+                    "packed": [head + f[:k].astype("<i4").tobytes()
+                               for head, f in zip((x.tobytes() for x in short), pdf["filters"])
+                               for k in range(len(f))]})
+
     coded = written(spark, reps.mapInPandas(
-        decode, "rep long, weight long, v array<float>, filters array<int>"), "filters")
-    keyed = coded.select(F.explode("filters").alias("f"), "rep", "weight", "v", "filters")
-    sizes = (coded.select(F.explode("filters").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > 1)
-             .select("f", F.ceil(F.col("_n") / BLOCK).cast("int").alias("chunks"), F.col("_n").alias("size")))
-    rows = salted_join(keyed, sizes, ["f"], "inner", hot_keys(sizes, ["f"], "size"), row_id=["f", "rep"])
+        decode, f"rep long, weight long, v {vector}, filters array<int>"), "filters")
+    large = written(spark, coded.select(F.explode("filters").alias("f")).groupBy("f")
+                    .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK)
+                    .select("f", F.ceil(F.col("_n") / BLOCK).cast("int").alias("chunks")), "large-filters")
+    rows = (coded.mapInPandas(spread, "f int, rep long, weight long, packed binary")
+            .join(large, "f", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))))
     chunk = F.pmod(F.xxhash64("rep"), "chunks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     rows = (rows.withColumn("c", chunk).withColumn("o", other)
@@ -175,22 +220,44 @@ def link_rows(spark: SparkSession, reps: DataFrame, dim: int, threshold: float)
             .withColumn("g", F.when(F.col("chunks") == 1, F.floor(F.col("f") / DEAL))
                         .otherwise(-1 - F.col("f"))))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def blocks(pdf: pd.DataFrame, links) -> pd.DataFrame:
         parts = []
         for f, one in pdf.groupby("f", sort=True):
-            single = one["i"].iloc[0] == one["j"].iloc[0]
-            half = np.full(len(one), -1) if single else (one["c"] == one["j"]).to_numpy().astype(int)
-            got = _block_links(one["rep"].to_numpy(), _unit(list(one["v"])), list(one["filters"]), f, half,
-                               one["weight"].to_numpy(np.float64), threshold)
+            i, j = int(one["i"].iloc[0]), int(one["j"].iloc[0])
+            half = np.full(len(one), -1) if i == j else (one["c"] == j).to_numpy().astype(int)
+            got = links(f, one, half)
             if len(got):
-                parts.append(got)
+                parts.append(got.assign(g=one["g"].iloc[0], i=i, j=j, f=f))
         if not parts:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"),
-                                 "is_link": pd.Series(dtype="bool"), "n": pd.Series(dtype="int64")})
-        return pd.concat(parts).astype({"a": "int64", "b": "int64", "is_link": "bool", "n": "int64"})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in FOUND}).astype({"n": "int64"})
+        return pd.concat(parts)[list(FOUND)].astype("int64")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        def links(f, one, half):
+            short = np.frombuffer(b"".join(p[:2 * dim] for p in one["packed"]), "<i2").reshape(-1, dim)
+            below = [np.frombuffer(p, "<i4", offset=2 * dim) for p in one["packed"]]
+            got = _block_links(one["rep"].to_numpy(), below, f, half, one["weight"].to_numpy(np.float64),
+                               threshold, short)
+            return got
+        return blocks(pdf, links)
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        def links(f, one, half):
+            unit = _unit(list(one["v"]))
+            return _block_links(one["rep"].to_numpy(), list(one["filters"]), f, half,
+                                one["weight"].to_numpy(np.float64), threshold, _rounded(unit), unit)
+        return blocks(pdf, links)
 
-    return (rows.select("g", "i", "j", "f", "c", "rep", "weight", "v", "filters")
-            .groupBy("g", "i", "j").applyInPandas(compare, "a long, b long, is_link boolean, n long"))
+    schema = ", ".join(f"{c} long" for c in FOUND)
+    first = written(spark, rows.select("g", "i", "j", "f", "c", "rep", "weight", "packed")
+                    .groupBy("g", "i", "j").applyInPandas(compare, schema), "clear-links")
+    chunks = F.coalesce("chunks", F.lit(1))
+    open_ = (first.filter(F.col("kind") == OPEN)
+             .select("g", F.col("i").cast("int"), F.col("j").cast("int"), F.col("f").cast("int"), F.col("a").alias("rep"))
+             .join(large, "f", "left").withColumn("c", F.pmod(F.xxhash64("rep"), chunks).cast("int")))
+    second = (open_.join(coded, "rep").select("g", "i", "j", "f", "c", "rep", "weight", "v", "filters")
+              .groupBy("g", "i", "j").applyInPandas(decide, schema))
+    return first.filter(F.col("kind") != OPEN).unionByName(second).select("a", "b", "kind", "n")
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,8 +265,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
+    wide = vectors.select("embedding").schema[0].dataType.simpleString() == "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
-                          F.col("embedding").cast("array<float>").alias("v"))
+                          F.col("embedding").cast("array<double>" if wide else "array<float>").alias("v"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & v.isNotNull() & finite & some, F.lit(False))
     # two 64-bit hashes name equal vectors
     rows = written(spark, rows.withColumn("ok", usable)
@@ -216,8 +284,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"),
                            F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = written(spark, found, "links")
-    linked = found.filter(~F.col("is_link")).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comp = components(spark, found.filter("is_link").select("a", "b")).withColumnRenamed("node", "rep")
+    linked = found.filter(F.col("kind") == COUNT).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    comp = components(spark, found.filter(F.col("kind") == LINK).select("a", "b")).withColumnRenamed("node", "rep")
     # a representative stands for its copies, the smallest vec_id of which is itself
     facts = (reps.select("k1", "k2", "rep", "weight").join(linked, "rep", "left").join(comp, "rep", "left")
              .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
