@@ -184,6 +184,30 @@ def test_packing_equals_library_ids_and_fills_sequences(spark, smoke, odd, empty
     assert packing.pack(spark, empty).count() == 0
 
 
+def test_new_words_equal_the_library():
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in [*range(33, 127), *range(161, 256), 0, 1, 0x85, 0xA0, 0x130, 0x3A3, 0x1F600, 0x301]]
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(4000)]
+    words += ["".join(rng.choice(list("abst'SrRe1dl²ª"), rng.integers(1, 9))) for _ in range(4000)]
+    words += ["a" * 3000, "<|endoftext|>x", "x<|startoftext|>", "don't", "DON'T", "it's1'Ll", "é", "\x00"]
+    lens, ids = encoder.new_words(words)
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert encoder.ranked is not None
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    assert [x.tolist() for x in encoder.new_words([])] == [[], []]
+
+
+def test_null_ids_are_ranked_in_groups_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_TARGET", 500)
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    placed = packing.pack(spark, docs).cache()
+    assert placed.count() == 6000 and placed.select("sequence_id", "offset").distinct().count() == 6000
+    cut = packing.written(spark, packing.pieces(docs).withColumn("place", F.monotonically_increasing_id()), "cut")
+    groups = cut.groupBy(F.pmod(F.xxhash64("place"), F.lit(12))).count().agg(F.max("count")).first()[0]
+    assert groups < 650
+
+
 def test_plan_places_every_piece_once():
     rng = np.random.default_rng(3)
     for _ in range(20):
