@@ -1,18 +1,19 @@
-"""Elias-Fano sequences and the n-gram trie built from them, on memory-mapped arrays.
+"""Elias-Fano sequences and the word n-gram trie built from them, on memory-mapped arrays.
 
 ``EliasFano`` keeps a non-decreasing sequence in about 2 + log2(u / n) bits a
 value: the low bits packed, the high bits in unary.  All access is
-vectorised.
-
-``Trie`` holds byte n-grams by reversed context: a node of depth ``d`` is a
-context of the last ``d`` bytes, its children are the contexts one byte
-longer, its successors the bytes seen after it.  Child symbols and successor
-symbols are stored relative to their context (256 * node + symbol, which is
-increasing), pointers into the next level are the running counts of children
-or successors; both are Elias-Fano sequences.  Each successor carries a code
-of its smoothed log probability and each node one of its back-off weight,
-both quantised to 256 values per level.  ``log10`` descends all queries at
-once, finding a symbol by successor search within its context's range.
+vectorised.  ``find`` is a successor search within a given range: the unary
+bits give the few elements that share the value's high part, halving decides
+among those that lie in the range.
+
+``Trie`` holds n-grams of word ids by their context, first word on top.  A
+node's symbol is stored relative to its parent (ids * parent + word, which is
+increasing), pointers are the running counts of children; both are
+Elias-Fano sequences.  Each last node carries a code of its discounted share
+of the context, log10 (n - D) / total, and each context one of the weight
+that it leaves to the order below, log10 D kinds / total, both quantised to
+256 values.  ``look_up`` descends all queries at once, finding a word by
+successor search within its context's range.
 """
 
 from __future__ import annotations
@@ -32,6 +33,18 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes() + b"\0" * (16 - len(raw) % 8), np.uint64)
 
 
+def _select(word: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Position of the ``rest``-th one in each 64-bit word."""
+    rest, pos = rest.astype(np.int64), np.zeros(len(word), np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        ones = np.bitwise_count(word & np.uint64((1 << step) - 1)).astype(np.int64)
+        go = rest >= ones
+        rest = np.where(go, rest - ones, rest)
+        word = np.where(go, word >> np.uint64(step), word)
+        pos += np.where(go, step, 0)
+    return pos
+
+
 @dataclass
 class EliasFano:
     n: int
@@ -39,6 +52,7 @@ class EliasFano:
     low: np.ndarray         # packed low bits
     high: np.ndarray        # unary high parts
     before: np.ndarray      # ones before each word of high
+    top: int                # high part of the last value
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -59,21 +73,13 @@ class EliasFano:
         high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
         words = _pack(high)
         ones = np.bitwise_count(words).astype(np.int64)
-        return cls(n, low_bits, low, words, np.cumsum(ones) - ones)
+        return cls(n, low_bits, low, words, np.cumsum(ones) - ones, top >> low_bits)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
         i = np.asarray(i, np.int64)
         w = np.searchsorted(self.before, i, "right") - 1      # the word that holds the i-th one
-        rest = (i - self.before[w]).astype(np.int64)
-        word = np.asarray(self.high[w])
-        pos = np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):                     # select within the word
-            ones = np.bitwise_count(word & np.uint64((1 << step) - 1)).astype(np.int64)
-            go = rest >= ones
-            rest -= np.where(go, ones, 0)
-            word = np.where(go, word >> np.uint64(step), word)
-            pos += np.where(go, step, 0)
+        pos = _select(np.asarray(self.high[w]), i - self.before[w])
         value = (w * 64 + pos - i).astype(np.uint64)
         if self.low_bits:
             bit = i * self.low_bits
@@ -84,9 +90,23 @@ class EliasFano:
             value = (value << np.uint64(self.low_bits)) | (low & np.uint64((1 << self.low_bits) - 1))
         return value.astype(np.int64)
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Ones of ``high`` before its ``k``-th zero: elements whose high part is at most ``k``."""
+        zeros = np.arange(len(self.before)) * 64 - self.before
+        w = np.searchsorted(zeros, k, "right") - 1
+        return w * 64 + _select(~np.asarray(self.high[w]), k - zeros[w]) - k
+
     def find(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Position of ``value`` within the range ``lo:hi``, or -1: successor search by halving."""
-        lo, end = lo.copy(), hi.copy()
+        """Position of ``value`` within the range ``lo:hi``, or -1: successor search."""
+        out = np.full(len(lo), -1, np.int64)
+        if not self.n:
+            return out
+        part = value >> self.low_bits
+        hi = np.where(part <= self.top, hi, lo)             # beyond the last value
+        part = np.minimum(part, self.top)
+        lo = np.maximum(lo, np.where(part > 0, self._zero(np.maximum(part - 1, 0)), 0))
+        hi = np.minimum(hi, self._zero(part))
+        end = hi
         hi = hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
@@ -96,27 +116,29 @@ class EliasFano:
             less = self.get(mid) < value[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        out = np.full(len(lo), -1, np.int64)
         there = np.flatnonzero(lo < end)
         hit = there[self.get(lo[there]) == value[there]] if len(there) else there
         out[hit] = lo[hit]
         return out
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.before]
+        return [np.array([self.n, self.low_bits, self.top], np.int64), self.low, self.high, self.before]
 
     @classmethod
     def of(cls, arrays: list[np.ndarray]) -> "EliasFano":
         head, low, high, before = arrays
-        return cls(int(head[0]), int(head[1]), low, high, before)
+        return cls(int(head[0]), int(head[1]), low, high, before, int(head[2]))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and their 256 values (means of equally filled bins)."""
+    """One-byte codes and their 256 values: all values if there are no more, or the means of bins
+    of equal width, so no value is off by more than a 256th of their range."""
     if not len(x):
         return np.zeros(0, np.uint8), np.zeros(256, np.float32)
-    edges = np.quantile(x, np.linspace(0, 1, 257)[1:-1])
-    code = np.searchsorted(edges, x, "right").astype(np.uint8)
+    u = np.unique(x)
+    if len(u) <= 256:
+        return np.searchsorted(u, x).astype(np.uint8), np.resize(u, 256).astype(np.float32)
+    code = np.minimum((x - u[0]) * (256 / (u[-1] - u[0])), 255).astype(np.uint8)
     n = np.bincount(code, minlength=256)
     return code, (np.bincount(code, x, 256) / np.maximum(n, 1)).astype(np.float32)
 
@@ -132,12 +154,15 @@ def save(arrays: list[np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def load(blob: bytes) -> list[np.ndarray]:
-    """The arrays of ``save``, mapped from an unnamed file in the task's temporary folder."""
-    with tempfile.TemporaryFile() as f:
-        f.write(blob)
-        f.flush()
-        raw = np.memmap(f, np.uint8, "r")
+def load(blob: bytes, mapped: bool = True) -> list[np.ndarray]:
+    """The arrays of ``save``; if ``mapped``, from an unnamed file in the task's temporary folder."""
+    if mapped:
+        with tempfile.TemporaryFile() as f:
+            f.write(blob)
+            f.flush()
+            raw = np.memmap(f, np.uint8, "r")
+    else:
+        raw = np.frombuffer(blob, np.uint8)
     out, at = [], 8
     for _ in range(int(raw[:8].view(np.int64)[0])):
         kind = np.dtype(raw[at:at + 8].tobytes().decode().strip())
@@ -149,143 +174,75 @@ def load(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-@dataclass
-class Level:
-    """Contexts of one depth."""
-    symbols: EliasFano          # 256 * parent + symbol of each node (the whole key at the first depth)
-    children: EliasFano         # nodes of the next depth before each node
-    starts: EliasFano           # successors before each node
-    successors: EliasFano       # 256 * node + symbol
-    prob: np.ndarray
-    prob_values: np.ndarray
-    backoff: np.ndarray
-    backoff_values: np.ndarray
-
-    def arrays(self) -> list[np.ndarray]:
-        parts = [a for ef in (self.symbols, self.children, self.starts, self.successors) for a in ef.arrays()]
-        return [*parts, self.prob, self.prob_values, self.backoff, self.backoff_values]
-
-    @classmethod
-    def of(cls, a: list[np.ndarray]) -> "Level":
-        return cls(*[EliasFano.of(a[4 * i:4 * i + 4]) for i in range(4)], *a[16:20])
-
-
-LEVEL_ARRAYS = 20
+MISSING = 256               # code of an n-gram or context that is not there
 
 
 @dataclass
 class Trie:
-    first: int                  # context length of the first level
-    levels: list[Level]
+    ids: int                    # word ids are below this
+    symbols: list[EliasFano]    # of each depth: ids * parent + word of its nodes
+    starts: list[EliasFano]     # of each depth but the last: children before each node
+    share: np.ndarray           # code of each last node
+    share_values: np.ndarray
+    weight: np.ndarray          # code of each context
+    weight_values: np.ndarray
 
     @classmethod
-    def build(cls, context: np.ndarray, symbol: np.ndarray, count: np.ndarray, order: int, first: int,
-              lower: np.ndarray, discount: float) -> "Trie":
-        """From n-grams with contexts of ``order - 1`` bytes.
-
-        ``context``: the reversed context as a number, its last byte on top;
-        ``lower[256 * last byte + symbol]``: probability after one byte.
-        Interpolated absolute discounting, one level on the other."""
-        deepest = order - 1
-        levels, keys, p_before = [], None, None
-        for d in range(first, deepest + 1):
-            node_key = context >> np.uint64(8 * (deepest - d))
-            pair, inv = np.unique((node_key << np.uint64(8)) | symbol.astype(np.uint64), return_inverse=True)
-            n = np.bincount(inv, count).astype(np.float64)
-            nodes, node_of = np.unique(pair >> np.uint64(8), return_inverse=True)
-            total = np.bincount(node_of, n)
-            kinds = np.bincount(node_of)
-            sym = (pair & np.uint64(255)).astype(np.int64)
-            if d == first:
-                last = (pair >> np.uint64(8 * d)) & np.uint64(255)     # the byte next to the symbol
-                p_low = lower[last.astype(np.int64) * 256 + sym]
-                parent = np.zeros(len(nodes), np.int64)
-                values = nodes
-            else:
-                up = ((pair >> np.uint64(16)) << np.uint64(8)) | (pair & np.uint64(255))
-                p_low = p_before[np.searchsorted(keys[1], up)]
-                parent = np.searchsorted(keys[0], nodes >> np.uint64(8))
-                values = parent.astype(np.uint64) * np.uint64(256) + (nodes & np.uint64(255))
-                kids = np.bincount(parent, minlength=len(keys[0]))
-                levels[-1].children = EliasFano.build(np.concatenate([[0], np.cumsum(kids)]))
-            weight = discount * kinds / total
-            p = np.maximum(n - discount, 0) / total[node_of] + weight[node_of] * p_low
-            prob, prob_values = quantise(np.log10(p))
-            back, back_values = quantise(np.log10(weight))
-            levels.append(Level(
-                EliasFano.build(values), EliasFano.build(np.zeros(1, np.int64)),
-                EliasFano.build(np.concatenate([[0], np.cumsum(kinds)])),
-                EliasFano.build(node_of.astype(np.uint64) * np.uint64(256) + sym.astype(np.uint64)),
-                prob, prob_values, back, back_values))
-            keys, p_before = (nodes, pair), p
-        return cls(first, levels)
+    def build(cls, words: list[np.ndarray], count: np.ndarray, ids: int, discount: float) -> "Trie":
+        """From distinct n-grams in order, a column of ids per place, and how often each occurs."""
+        n = len(count)
+        symbols, starts = [], []
+        new, parent, above = np.arange(n) == 0, np.zeros(n, np.int64), 1
+        for d, w in enumerate(words):
+            new = new | (np.diff(w, prepend=-1) != 0)
+            at = np.flatnonzero(new)
+            if d:
+                kids = np.bincount(parent[at], minlength=above)
+                starts.append(EliasFano.build(np.concatenate([[0], np.cumsum(kids)])))
+            symbols.append(EliasFano.build(parent[at] * ids + w[at]))
+            if d == len(words) - 2:
+                context = np.cumsum(new) - 1
+            parent, above = np.cumsum(new) - 1, len(at)
+        total, kinds = np.bincount(context, count), np.bincount(context)
+        share = quantise(np.log10((count - discount) / total[context]))
+        weight = quantise(np.log10(discount * kinds / total))
+        return cls(ids, symbols, starts, *share, *weight)
 
     def to_bytes(self) -> bytes:
-        return save([np.array([self.first], np.int64), *[a for x in self.levels for a in x.arrays()]])
+        head = np.array([self.ids, len(self.symbols)], np.int64)
+        return save([head, *[a for ef in self.symbols + self.starts for a in ef.arrays()],
+                     self.share, self.share_values, self.weight, self.weight_values])
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> "Trie":
         a = load(blob)
-        return cls(int(a[0][0]), [Level.of(a[i:i + LEVEL_ARRAYS]) for i in range(1, len(a), LEVEL_ARRAYS)])
-
-    def log10(self, context: np.ndarray, symbol: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 p(symbol | context); contexts as in ``build``."""
-        deepest = self.first + len(self.levels) - 1
-        top = (context >> np.uint64(8 * (deepest - 1))).astype(np.int64)      # last byte of the context
-        out = np.log10(lower[top * 256 + symbol])
-        alive, node = np.arange(len(context)), None
-        for d, level in enumerate(self.levels, self.first):
-            if not len(alive):
-                break
-            key = (context[alive] >> np.uint64(8 * (deepest - d))).astype(np.int64)
-            if node is None:
-                zero = np.zeros(len(alive), np.int64)
-                at = level.symbols.find(zero, zero + level.symbols.n, key)
-            else:
-                above = self.levels[d - self.first - 1].children
-                at = level.symbols.find(above.get(node), above.get(node + 1), node * 256 + (key & 255))
-            alive, node = alive[at >= 0], at[at >= 0]
-            if not len(alive):
-                break
-            hit = level.successors.find(level.starts.get(node), level.starts.get(node + 1),
-                                        node * 256 + symbol[alive])
-            seen = hit >= 0
-            out[alive[~seen]] += level.backoff_values[level.backoff[node[~seen]]]
-            out[alive[seen]] = level.prob_values[level.prob[hit[seen]]]
-        return out
-
-
-@dataclass
-class Counts:
-    """Two counts by 63-bit key: the keys are an Elias-Fano sequence, the counts of the smallest width."""
-    keys: EliasFano
-    n: np.ndarray
-    kinds: np.ndarray
-
-    @classmethod
-    def build(cls, key: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> "Counts":
-        """From rows whose counts add up by key."""
-        u, inv = np.unique(key, return_inverse=True)
-        sums = []
-        for x in (n, kinds):
-            total = np.zeros(len(u), np.int64)
-            np.add.at(total, inv, x)
-            sums.append(total.astype(np.min_scalar_type(int(total.max(initial=0)))))
-        return cls(EliasFano.build(u), *sums)
-
-    def get(self, key: np.ndarray) -> np.ndarray:
-        """The two counts of each key; 0 where there are none."""
-        zero = np.zeros(len(key), np.int64)
-        at = self.keys.find(zero, zero + self.keys.n, key.astype(np.int64))
-        out = np.zeros((len(key), 2), np.int64)
-        hit = at >= 0
-        out[hit, 0], out[hit, 1] = self.n[at[hit]], self.kinds[at[hit]]
-        return out
-
-    def to_bytes(self) -> bytes:
-        return save([*self.keys.arrays(), self.n, self.kinds])
-
-    @classmethod
-    def from_bytes(cls, blob: bytes) -> "Counts":
-        a = load(blob)
-        return cls(EliasFano.of(a[:4]), a[4], a[5])
+        ids, depth = int(a[0][0]), int(a[0][1])
+        ef = [EliasFano.of(a[1 + 4 * k:5 + 4 * k]) for k in range(2 * depth - 1)]
+        return cls(ids, ef[:depth], ef[depth:], *a[-4:])
+
+    def look_up(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the shares of n-grams (sorted, a column per place) and of their contexts' weights."""
+        n = len(words[0])
+        weight = np.full(n, MISSING, np.uint16)
+        new, at = np.arange(n) == 0, np.zeros(1, np.int64)
+        up = np.zeros(n, np.int64)              # which distinct prefix each n-gram has
+        for d, w in enumerate(words):
+            new = new | (np.diff(w, prepend=-1) != 0)
+            first = np.flatnonzero(new)         # each prefix is looked for once
+            node = at[up[first]]
+            known = np.flatnonzero(node >= 0)
+            node, word = node[known], w[first][known]
+            lo, hi = ((self.starts[d - 1].get(node), self.starts[d - 1].get(node + 1)) if d else
+                      (np.zeros(len(node), np.int64), np.full(len(node), self.symbols[0].n)))
+            at = np.full(len(first), -1, np.int64)
+            at[known] = self.symbols[d].find(lo, hi, node * self.ids + word)
+            up = np.cumsum(new) - 1
+            if d == len(words) - 2:
+                weight = _codes(self.weight, at)[up]
+        return _codes(self.share, at)[up], weight
+
+
+def _codes(stored: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.full(len(at), MISSING, np.uint16)
+    out[at >= 0] = stored[at[at >= 0]]
+    return out

@@ -1,40 +1,43 @@
-"""Language-model scoring with Elias-Fano n-gram levels that Spark shards.
+"""Language-model scoring with Elias-Fano tries of word n-grams that Spark shards.
 
-Tokens are A-Z lower-cased words and one end per text.  Word unigrams, bigrams
-and trigrams of the training texts are kept as hashed keys in Elias-Fano
-levels (``elias_fano.Counts``); contexts start anew with each text.  Each order
-is interpolated with the one below by absolute discounting: of a context seen
-c times with k different tokens after it, a token has max(n - D, 0) / c, and
-the mass that the discount takes, D k / c, goes to the order below.
+Tokens are A-Z lower-cased words and one end per text.  Words, word pairs and
+word triples of the training texts are all kept; contexts start anew with each
+text.  Each order is interpolated with the one below by absolute discounting:
+of a context seen c times with k different tokens after it, a token has
+max(n - D, 0) / c, and the mass that the discount takes, D k / c, goes to the
+order below.
 
 The score is a probability of the text.  The lowest order is a token's
 discounted share, max(c - D, 0) / N, and of the mass that the discount takes,
-D V / N, what a byte trie gives its spelling, mixed half and half with the
-trie's probability of the spelling.  Every order sums to one over all tokens
-(but for the 8-bit codes of the byte trie and the little that it gives to
-white space which no token holds), so an unseen word costs its spelling.
-The byte trie (``elias_fano.Trie``): a word is its bytes and a space, the end
-is a line feed, and each byte is predicted from the ``ORDER - 1`` bytes before
-it (line feeds before the first).
+D V / N, what its spelling gets: a word is its bytes and a space, the end is a
+line feed, and each byte is predicted from the two before it within the word,
+by counts over the training vocabulary.  So an unseen word costs its spelling,
+and every order sums to one over all tokens (but for the 8-bit codes of pairs
+and triples and the little that spelling gives to white space).
 
 ``base_score`` counts all unseen words as one type and is no such probability;
-it is kept apart.  ``spelling_score`` is the byte trie alone, ``unigram_score``
+it is kept apart.  ``spelling_score`` is the spelling alone, ``unigram_score``
 the lowest order alone.
 
-1. Texts are read once, cut into chunks of ``CHUNK_BYTES`` and written in
-   the model's spelling, compressed.
-2. Words, word pairs, word triples and byte n-grams of the training documents
-   are counted by Spark, and how many tokens follow each word and pair.
-3. Word n-grams are sharded by their hash, so no word's n-grams meet in one
-   shard; byte n-grams by the last two bytes of their context.  Each shard is
-   a row of a written table.
-4. Each chunk asks once for each distinct n-gram it has, a packed array per
-   shard; shards answer with counts or log probabilities, and each chunk adds
-   up the answers per document.  Shards asked by many chunks answer in parts
-   of bounded size.
-
-Nothing but the 256 x 256 table of byte pairs reaches the driver, and no
-task holds more than a chunk, a shard or a part.
+1. Texts are read once and cut into chunks of ``CHUNK_BYTES``: each chunk
+   keeps its tokens as numbers into its list of distinct words and deals that
+   list, with counts, over the shards of the vocabulary.
+2. A vocabulary shard merges its lists.  Training words get dense ids, more
+   frequent ones smaller, and answer every list with id, count, and log10
+   probability of spelling and unigram.
+3. Each chunk, now in ids, lists its distinct pairs and triples with counts as
+   packed sorted columns, one row per shard of their contexts.  A shard merges
+   them into a trie (``elias_fano.Trie``): levels with pointers, quantised
+   shares and weights, one row of a written table.
+4. The same lists are the questions: the trie answers each with two codes, and
+   each chunk adds up its documents.
+
+A list is written once and read for merging and for answering.  Where a shard
+has more than ``PART_GRAMS`` listed n-grams, parts of it merge first, so a
+task holds a part or the distinct n-grams of a shard; questions are answered
+in the same parts.  All n-grams of one context are in one shard: at most one
+for each different word, however often the context occurs.  The driver holds
+the spelling's byte triples, at most 2^24 of them, and a few sums.
 
 Defined results: a null text is empty (its one token is the end); a null
 ``doc_id`` is not held out and is learnt from; repeated rows are learnt from
@@ -46,7 +49,8 @@ and ``text`` are read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,449 +58,553 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .elias_fano import Counts, Trie
+from .elias_fano import MISSING, Trie, load, save
 from .tables import fold, table, written
 from .textvec import Block, blocks, column, mix
 
-ORDER, FIRST = 6, 2             # bytes of an n-gram; context length of a trie's first level
 DISCOUNT = 0.75
-MIX = 0.5                       # weight of the unigram part in a token's probability
 FOLDS, HELD = 7, 2
-CHUNK_BYTES = 4 << 20
-SHARD_GRAMS, SHARD_WORDS = 400_000, 500_000
-PART_BYTES = 48 << 20           # keys of one part of a shard's questions, at most about this much
-FLUSH = 1_500_000               # distinct keys a task holds before it emits them
+CHUNK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
+WORD_SHARD, GRAM_SHARD = 32 << 20, 12 << 20     # bytes of text for each shard of words and of pairs or triples
+PART_GRAMS = 8_000_000                          # listed n-grams that a task merges or answers
+END, START, UNSEEN, FIRST_ID = 0, 1, 2, 3       # ids that are no words
 SPACE_, END_ = 32, 10
-PAIR_MASK = 65_535
-PAIR_STEP = 40_503              # deals byte pairs over shards
+WORD, PAIR, TRIPLE = 0, 1, 2
 
-END_KEY, START_KEY = np.uint64(2 ** 63 - 2), np.uint64(2 ** 63 - 1)
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, each as the bytes of its least width, plane by plane, compressed."""
+    out = []
+    for c in columns:
+        c = c.astype(np.min_scalar_type(int(c.max(initial=0))))
+        out.append(c.view(np.uint8).reshape(-1, c.itemsize).T.ravel())
+        out.append(np.array([c.itemsize]))
+    return zstandard.ZstdCompressor(level=1).compress(save(out))
 
-def join_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """63-bit keys of n-grams."""
-    return mix(mix(context + np.uint64(0x9E3779B97F4A7C15)) ^ token) >> np.uint64(1)
 
+def unpack(blob: bytes) -> list[np.ndarray]:
+    a = load(zstandard.ZstdDecompressor().decompress(blob), mapped=False)
+    out = []
+    for planes, width in zip(a[::2], a[1::2]):
+        w = int(width[0])
+        out.append(np.ascontiguousarray(planes.reshape(w, -1).T).view(f"u{w}").ravel().astype(np.int64))
+    return out
 
-CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, ends array<long>, stream binary"
 
+def squeeze(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
-def spell(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The model's spelling of a (lower-cased) block and where each document ends in it."""
-    sizes = block.end - block.start
-    per_doc = np.diff(np.concatenate([[0], np.cumsum(sizes + 1)])[block.word_off]) + 1
-    ends = np.cumsum(per_doc)
-    stream = np.full(int(ends[-1]) if block.n else 0, SPACE_, np.uint8)
-    stream[ends - 1] = END_
-    shift = np.arange(len(sizes)) + block.word_doc
-    stream[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)] = block.word_bytes
-    return stream, ends
 
+def stretch(blob: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
-def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
-    held_parts: list = []
-    size = 0
 
-    def emit():
-        ids, held, ends, streams = zip(*held_parts)
-        at = np.cumsum([0] + [len(s) for s in streams[:-1]])
-        ends = np.concatenate([e + a for e, a in zip(ends, at)])
-        row = {"chunk": [uuid.uuid4().hex], "doc_ids": [sum((x.to_pylist() for x in ids), [])],
-               "held": [np.concatenate(held).tolist()], "ends": [ends.tolist()],
-               "stream": [squeeze.compress(np.concatenate(streams).tobytes())]}
-        return pa.RecordBatch.from_pydict(row, pa.schema([
-            ("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-            ("ends", pa.list_(pa.int64())), ("stream", pa.binary())]))
+def grouped(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The shards of a sorted column and their rows."""
+    names, first = np.unique(shard, return_index=True)
+    for s, a, b in zip(names, first, [*first[1:], len(shard)]):
+        yield int(s), slice(int(a), int(b))
+
+
+# ---- 1. chunks and their word lists
+
+CHUNKS = ("chunk string, shard int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, "
+          "tokens binary, words binary, counts binary")
+_CHUNK_TYPES = pa.schema([
+    ("chunk", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()),
+    ("words", pa.binary()), ("counts", pa.binary())])
 
-    for batch in batches:
-        held = column(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
-        for block in blocks(column(batch, "text"), CHUNK_BYTES // 4):
-            rows = slice(block.first_row, block.first_row + block.n)
-            held_parts.append((column(batch, "doc_id")[rows], held[rows], *_swap(spell(block.lower()))))
-            size += len(held_parts[-1][3])
-            if size >= CHUNK_BYTES:
-                yield emit()
-                held_parts, size = [], 0
-    if held_parts:
-        yield emit()
 
+def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
 
-def _swap(pair):
-    return pair[1], pair[0]
+
+def spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.arange(total) + np.repeat(start - (ends - size), size)]
+
+
+def spaced(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Consecutive words, each followed by a space."""
+    out = np.full(len(data) + len(size), SPACE_, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+    return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, shards: int) -> DataFrame:
+    """One row per chunk (``shard`` null): its documents and tokens; and one per chunk and shard:
+    the distinct words in order of their hash and how often training documents have them."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        size = 0
+
+        def emit():
+            ids, held, per_doc, hashes, lens, data = zip(*parts)
+            held, per_doc = np.concatenate(held), np.concatenate(per_doc)
+            hashes, lens, data = np.concatenate(hashes), np.concatenate(lens), np.concatenate(data)
+            u, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+            order = np.lexsort((u, u % np.uint64(shards)))
+            place = np.empty(len(u), np.int64)
+            place[order] = np.arange(len(u))
+            n = np.bincount(at[np.repeat(~held, per_doc)], minlength=len(u))[order]
+            first = first[order]
+            start = np.cumsum(lens) - lens
+            name, nothing = uuid.uuid4().hex, dict.fromkeys(_CHUNK_TYPES.names)
+            out = [nothing | {"chunk": name, "n": int((~held).sum()), "doc_ids": sum(ids, []),
+                              "held": held.tolist(), "sizes": per_doc.tolist(), "tokens": pack(place[at])}]
+            for s, rows in grouped((u[order] % np.uint64(shards)).astype(np.int64)):
+                f = first[rows]
+                words = spaced(spans(data, start[f], lens[f]), lens[f])
+                out.append(nothing | {"chunk": name, "shard": s, "n": len(f), "words": squeeze(words),
+                                      "counts": pack(n[rows])})
+            return _rows(_CHUNK_TYPES, out)
+
+        for batch in batches:
+            held = column(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
+            ids = column(batch, "doc_id")
+            for raw in blocks(column(batch, "text"), BLOCK_BYTES):
+                block = raw.lower()
+                rows = slice(block.first_row, block.first_row + block.n)
+                parts.append((ids[rows].to_pylist(), held[rows], block.n_words, block.word_hash,
+                              block.end - block.start, block.word_bytes))
+                size += len(block.data) + 1
+                if size >= CHUNK_BYTES:
+                    yield emit()
+                    parts, size = [], 0
+        if parts:
+            yield emit()
     held = F.coalesce(fold(FOLDS) == HELD, F.lit(False))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held", held)
-            .mapInArrow(_pack_chunks, CHUNKS))
+            .mapInArrow(cut, CHUNKS))
+
+
+# ---- lists by shard: merged in parts, answered in parts
+
+def in_parts(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lists(kind, shard, chunk, n, ...)`` with ``part``, and ``kind, shard, parts``."""
+    parts = (lists.groupBy("kind", "shard")
+             .agg(F.ceil(F.sum("n") / PART_GRAMS).cast("int").alias("parts")))
+    dealt = (lists.join(parts, ["kind", "shard"])
+             .withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")))
+    return dealt, parts
+
+
+def merged(dealt: DataFrame, merge: Callable[[pa.Table], dict], build: Callable[[pa.Table], dict],
+           merged_schema: str, built_schema: str) -> DataFrame:
+    """Lists merged by shard; those of a shard in several parts by part first."""
+    names = [f.split()[0] for f in merged_schema.split(", ")]
+
+    def one(f: Callable, schema: str):
+        def run(t: pa.Table) -> pa.Table:
+            keys = {k: t[k][0].as_py() for k in ("kind", "shard")}
+            return pa.Table.from_pylist([keys | f(t)], _arrow(schema))
+        return run
+    many = (dealt.filter("parts > 1").groupBy("kind", "shard", "part")
+            .applyInArrow(one(merge, merged_schema), merged_schema))
+    return (dealt.filter("parts <= 1").select(*names).unionByName(many)
+            .groupBy("kind", "shard").applyInArrow(one(build, built_schema), built_schema))
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
+
+
+def answered(dealt: DataFrame, parts: DataFrame, model: DataFrame, answer: Callable, schema: str) -> DataFrame:
+    """``answer(model row, lists)`` for every part of every shard."""
+    copies = (model.join(parts, ["kind", "shard"])
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    keys = ["kind", "shard", "part"]
+
+    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:                          # no chunk falls into this part
+            return _arrow(schema).empty_table()
+        return answer({n: known[n][0].as_py() for n in known.column_names}, asked)
+    return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, schema)
+
+
+# ---- 2. vocabulary
+
+@dataclass
+class Words:
+    """Distinct words in order of their hash."""
+    data: np.ndarray            # bytes, one word after the other
+    size: np.ndarray
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, blobs: list[bytes]) -> tuple["Words", list[np.ndarray]]:
+        """The distinct words of lists, and each list's places among them."""
+        raws = [stretch(b, "u1") for b in blobs]
+        raw = np.concatenate(raws)
+        block = Block(raw, np.array([0, len(raw)]))
+        u, first, at = np.unique(block.word_hash, return_index=True, return_inverse=True)
+        size = block.end - block.start
+        ends = np.cumsum([0] + [int((r == SPACE_).sum()) for r in raws])
+        return (cls(spans(raw, block.start[first], size[first]), size[first], u),
+                [at[a:b] for a, b in zip(ends, ends[1:])])
+
+
+def _merge_words(t: pa.Table) -> dict:
+    words, at = Words.of(t["words"].to_pylist())
+    n = np.zeros(len(words.hash), np.int64)
+    for a, counts in zip(at, t["counts"]):
+        n[a] += unpack(counts.as_py())[0]               # a list has each word once
+    return {"n": len(n), "words": squeeze(spaced(words.data, words.size)), "counts": pack(n)}
+
+
+def vocabulary(dealt: DataFrame, shards: int) -> DataFrame:
+    """``kind, shard, n, total, words, counts, ids``: training words, their counts and dense ids,
+    which rise as counts fall."""
+    def build(t: pa.Table) -> dict:
+        row = _merge_words(t)
+        n, raw = unpack(row["counts"])[0], stretch(row["words"], "u1")
+        block, seen = Block(raw, np.array([0, len(raw)])), n > 0
+        size = (block.end - block.start)[seen]
+        ids = np.empty(len(size), np.int64)
+        ids[np.lexsort((block.word_hash[seen], -n[seen]))] = np.arange(len(size))
+        return {"n": len(size), "total": int(n.sum()),
+                "words": squeeze(spaced(spans(raw, block.start[seen], size), size)), "counts": pack(n[seen]),
+                "ids": pack(ids * shards + t["shard"][0].as_py() + FIRST_ID)}
+    return merged(dealt, _merge_words, build, "kind int, shard int, n long, words binary, counts binary",
+                  "kind int, shard int, n long, total long, words binary, counts binary, ids binary")
+
+
+def letters(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each byte of words followed by a space as 2^16 * two bytes before + byte; line feeds before the first."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    stream = spaced(data, size).astype(np.int64)
+    first = np.cumsum(size + 1) - (size + 1)
+    before, two = np.concatenate([[END_], stream[:-1]]), np.concatenate([[END_, END_], stream[:-2]])
+    before[first], two[first] = END_, END_
+    two[first + 1] = END_                               # a word has at least two places
+    return (two << 16) | (before << 8) | stream
+
+
+END_LETTER = np.array([(END_ << 16) | (END_ << 8) | END_])
+
+
+@dataclass
+class Spelling:
+    """Byte triples of the vocabulary's words, interpolated with byte pairs and single bytes."""
+    triple: np.ndarray          # those that occur, in order
+    share: np.ndarray
+    weight: np.ndarray          # of each byte pair as a context
+    pair: np.ndarray            # probability after one byte
+
+    @classmethod
+    def fit(cls, triple: np.ndarray, n: np.ndarray) -> "Spelling":
+        order = np.argsort(triple)
+        triple, n = triple[order], n[order].astype(float)
+        two = np.bincount(triple & 0xFFFF, n, 1 << 16).reshape(256, 256)
+        single = (two.sum(0) + 1) / (two.sum() + 256)
+        total, kinds = two.sum(1, keepdims=True), (two > 0).sum(1, keepdims=True)
+        pair = (np.maximum(two - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(total, 1)
+        pair = np.where(total > 0, pair, single).ravel()
+        total, kinds = np.bincount(triple >> 8, n, 1 << 16), np.bincount(triple >> 8, minlength=1 << 16)
+        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        return cls(triple, (n - DISCOUNT) / total[triple >> 8], weight, pair)
+
+    def log10(self, at: np.ndarray) -> np.ndarray:
+        p = self.weight[at >> 8] * self.pair[at & 0xFFFF]
+        if len(self.triple):
+            k = np.minimum(np.searchsorted(self.triple, at), len(self.triple) - 1)
+            p = p + np.where(self.triple[k] == at, self.share[k], 0.0)
+        return np.log10(p)
+
+    def words(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """log10 probability of each word."""
+        if not len(size):
+            return np.zeros(0)
+        return np.add.reduceat(self.log10(letters(data, size)), np.cumsum(size + 1) - (size + 1))
+
+
+def spelling(vocab: DataFrame, docs: int) -> Spelling:
+    """Of every training word once, and the end."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in column(batch, "words"):
+                raw = stretch(blob.as_py(), "u1")
+                block = Block(raw, np.array([0, len(raw)]))
+                u, n = np.unique(letters(block.word_bytes, block.end - block.start), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["letter", "n"])
+    got = (vocab.select("words").mapInArrow(count, "letter long, n long")
+           .groupBy("letter").agg(F.sum("n").alias("n")).toArrow())
+    u, n = got["letter"].to_numpy(), got["n"].to_numpy()
+    if docs:
+        u, n = np.append(u, END_LETTER), np.append(n, 1)
+    return Spelling.fit(u.astype(np.int64), n)
+
+
+def token_log10(n: np.ndarray, spelt: np.ndarray, total: int, types: int) -> np.ndarray:
+    """log10 probability of tokens seen ``n`` times whose spelling has log10 probability ``spelt``."""
+    if not total:
+        return spelt
+    with np.errstate(divide="ignore"):          # unseen tokens have no share
+        share = np.log10(np.maximum(n - DISCOUNT, 0) / total)
+    return add10(share, np.log10(DISCOUNT * types / total) + spelt)
+
+
+def add10(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of a sum; the spelling of a long word is below the smallest float."""
+    return np.logaddexp(a * np.log(10), b * np.log(10)) / np.log(10)
+
 
+WORD_ANSWER = "chunk string, shard int, ids binary, seen binary, spelt binary, unigram binary"
+
+
+def word_answers(dealt: DataFrame, parts: DataFrame, vocab: DataFrame, model: Spelling, total: int,
+                 types: int) -> DataFrame:
+    """Id, training count, log10 of spelling and unigram of every listed word."""
+    shared = dealt.sparkSession.sparkContext.broadcast(model)
+
+    def answer(known: dict, asked: pa.Table) -> pa.Table:
+        words, at = Words.of(asked["words"].to_pylist())
+        ids, seen = np.full(len(words.hash), UNSEEN), np.zeros(len(words.hash), np.int64)
+        mine = Words.of([known["words"]])[0].hash       # in order, as the counts are
+        hit = np.flatnonzero(np.isin(words.hash, mine, assume_unique=True))
+        k = np.searchsorted(mine, words.hash[hit])
+        ids[hit], seen[hit] = unpack(known["ids"])[0][k], unpack(known["counts"])[0][k]
+        spelt = shared.value.words(words.data, words.size)
+        unigram = token_log10(seen, spelt, total, types)
+        return pa.table({
+            "chunk": asked["chunk"], "shard": asked["shard"].cast(pa.int32()),
+            "ids": pa.array([pack(ids[a]) for a in at], pa.binary()),
+            "seen": pa.array([pack(seen[a]) for a in at], pa.binary()),
+            "spelt": pa.array([squeeze(spelt[a].astype("<f4")) for a in at], pa.binary()),
+            "unigram": pa.array([squeeze(unigram[a].astype("<f4")) for a in at], pa.binary())})
+    return answered(dealt, parts, vocab, answer, WORD_ANSWER)
+
+
+CODED = ("chunk string, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, "
+         "ids binary, seen binary, spelt binary, unigram binary")
+
+
+def coded(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each chunk with what its words were answered, in the order of its list."""
+    def join(own: pa.Table, got: pa.Table) -> pa.Table:
+        order = np.argsort(got["shard"].to_numpy())
+        cols = {n: got[n].take(pa.array(order)).to_pylist() for n in ("ids", "seen", "spelt", "unigram")}
+        none = [np.zeros(0, np.int64)]
+        ids, seen = (np.concatenate([unpack(x)[0] for x in cols[n]] or none) for n in ("ids", "seen"))
+        logs = {n: np.concatenate([stretch(x, "<f4") for x in cols[n]] or [np.zeros(0, "<f4")])
+                for n in ("spelt", "unigram")}
+        added = {"ids": pack(ids), "seen": pack(seen)} | {n: squeeze(x) for n, x in logs.items()}
+        for n, x in added.items():
+            own = own.append_column(n, pa.array([x], pa.binary()))
+        return own
+    return chunk_rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, CODED)
+
+
+# ---- 3. pairs and triples
 
 class Chunk:
-    """One row of ``CHUNKS``."""
+    """One row of ``CODED``."""
 
     def __init__(self, row: dict):
         self.name, self.doc_ids = row["chunk"], row["doc_ids"]
-        self.held = np.array(row["held"], bool)
-        self.ends = np.array(row["ends"], np.int64)
-        self.stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["stream"]), np.uint8)
-        self.sizes = np.diff(self.ends, prepend=0)
-
-    def grams(self) -> np.ndarray:
-        """For each byte of the stream, its context's bytes and itself as a number."""
-        v = np.zeros(len(self.stream), np.uint64)
-        padded = np.concatenate([np.full(ORDER - 1, END_, np.uint8), self.stream])
-        for i in range(ORDER):
-            v = (v << np.uint64(8)) | padded[i:i + len(v)]
-        first = np.concatenate([[0], self.ends[:-1]])
-        for k in range(ORDER - 1):              # contexts do not reach into the document before
-            at = first[self.sizes > k] + k
-            keep = np.uint64((1 << 8 * (k + 1)) - 1)
-            pad = np.uint64(int.from_bytes(bytes([END_]) * (ORDER - 1 - k) + bytes(k + 1), "big"))
-            v[at] = (v[at] & keep) | pad
-        return v
-
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """63-bit hashes of all words, word offsets per document, and where each word starts."""
-        block = Block(self.stream, np.concatenate([[0], self.ends]))
-        return block.word_hash >> np.uint64(1), block.word_off, block.start
-
-    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of all words and ends, where each document begins, and the keys of the tokens before."""
-        h, off, _ = self.words()
-        t = np.insert(h, off[1:], END_KEY)
-        first = off[:-1] + np.arange(len(off) - 1)
-        before = np.concatenate([[START_KEY], t[:-1]])
-        before[first] = START_KEY
-        return t, first, before
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Key of each token with the one before it, and of that one."""
-        t, _, before = self.tokens()
-        return join_keys(before, t), before
-
-    def triples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Key of each token but a document's first with the two before it, and of those two."""
-        t, first, _ = self.tokens()
-        pair = np.concatenate([[END_KEY], self.pairs()[0][:-1]])
-        later = np.delete(np.arange(len(t)), first)
-        return join_keys(pair[later], t[later]), pair[later]
-
-
-def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+        self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+        at, word_end = unpack(row["tokens"])[0], np.cumsum(self.sizes)
+        table_ = [unpack(row[n])[0] for n in ("ids", "seen")] + [stretch(row[n], "<f4") for n in ("spelt", "unigram")]
+        self.ids, self.seen, self.spelt, self.unigram = (
+            np.insert(x[at], word_end, END) if len(x) else np.zeros(len(word_end), x.dtype) for x in table_)
+        self.end = word_end + np.arange(len(word_end))          # where each document's end is
+        self.first = self.end - self.sizes
+        self.before = np.concatenate([[START], self.ids[:-1]])
+        self.before[self.first] = START
+
+    def grams(self, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Columns of the pairs or triples whose context has no unseen word, and their tokens' places.
+
+        A triple needs two words or a start and a word before it."""
+        known = self.before != UNSEEN
+        if kind == PAIR:
+            at = np.flatnonzero(known)
+            return [self.before[at], self.ids[at]], at
+        known[1:] &= known[:-1]
+        known[self.first] = False
+        at = np.flatnonzero(known)
+        return [self.before[at - 1], self.before[at], self.ids[at]], at
+
+    def distinct(self, kind: int, ids: int, shards: int):
+        """Distinct n-grams by (shard of their context, n-gram), their shards and training counts,
+        and each token's place in that order with its token."""
+        cols, at = self.grams(kind)
+        context = cols[0]
+        if kind == TRIPLE:
+            _, context = np.unique(cols[0] * ids + cols[1], return_inverse=True)
+        _, first, inv = np.unique(context * ids + cols[-1], return_index=True, return_inverse=True)
+        cols = [c[first] for c in cols]
+        train = np.repeat(~self.held, self.sizes + 1)[at]
+        n = np.bincount(inv[train], minlength=len(first))
+        key = mix(cols[0].astype(np.uint64) + np.uint64(1))
+        if kind == TRIPLE:
+            key = mix(key ^ cols[1].astype(np.uint64))
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")            # first was in order of the n-grams
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return [c[order] for c in cols], shard[order], n[order], place[inv], at
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield Chunk({n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)})
-
-
-class Counter:
-    """Sums of counts by key, in sorted arrays."""
-
-    def __init__(self):
-        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys, return_counts=True)
-        both, inv = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
-        self.n = np.bincount(inv, np.concatenate([self.n, n])).astype(np.int64)
-        self.keys = both
-
-
-WORD, GRAM, DOCS, PAIR, TRIPLE = range(5)
-
-
-def count(chunked: DataFrame) -> DataFrame:
-    """``kind, key, context, n``: words, byte n-grams, pairs and triples with the key of their
-    context, and the number of documents not held out."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, docs = Counter(), Counter(), 0
-
-        def rows(kind: int, keys: np.ndarray, context: np.ndarray, n: np.ndarray):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)),
-                 pa.array(context.view(np.int64)), pa.array(n)], ["kind", "key", "context", "n"])
-
-        def emit(kind: int, c: Counter):
-            return rows(kind, c.keys, np.zeros(len(c.keys), np.uint64), c.n)
-        for c in _each_chunk(batches):
-            h, off, _ = c.words()
-            words.add(h[np.repeat(~c.held, np.diff(off))])
-            grams.add(c.grams()[np.repeat(~c.held, c.sizes)])
-            docs += int((~c.held).sum())
-            per_doc = np.diff(off)                      # triples of each document; pairs are one more
-            for kind, (keys, context), per in ((PAIR, c.pairs(), per_doc + 1), (TRIPLE, c.triples(), per_doc)):
-                mine = np.repeat(~c.held, per)          # few occur again in later chunks
-                u, at, n = np.unique(keys[mine], return_index=True, return_counts=True)
-                yield rows(kind, u, context[mine][at], n)
-            if len(words.keys) > FLUSH:
-                yield emit(WORD, words)
-                words = Counter()
-            if len(grams.keys) > FLUSH:
-                yield emit(GRAM, grams)
-                grams = Counter()
-        yield emit(WORD, words)
-        yield emit(GRAM, grams)
-        if docs:
-            yield rows(DOCS, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([docs], np.int64))
-    return (chunked.mapInArrow(counted, "kind byte, key long, context long, n long")
-            .groupBy("kind", "key", "context").agg(F.sum("n").alias("n")))
-
-
-def _shard_of_key(kind, key, shards: dict[int, int]):
-    out = F.lit(0)
-    for k in (WORD, PAIR, TRIPLE):
-        out = F.when(kind == k, (key % shards[k]).cast("int")).otherwise(out)
-    return out
-
-
-def levels(counts: DataFrame, shards: dict[int, int]) -> DataFrame:
-    """``kind, shard, blob``: count of each word, pair and triple, and of the tokens that follow it."""
-    def build(t: pa.Table) -> pa.Table:
-        blob = Counts.build(t["key"].to_numpy().view(np.uint64), t["n"].to_numpy(),
-                            t["kinds"].to_numpy()).to_bytes()
-        return pa.table({"kind": pa.array([t["kind"][0].as_py()], pa.int8()),
-                         "shard": pa.array([t["shard"][0].as_py()], pa.int32()),
-                         "blob": pa.array([blob], pa.binary())})
-    zero = F.lit(0).cast("long")
-    own = (counts.filter(F.col("kind").isin(WORD, PAIR, TRIPLE))
-           .select("kind", "key", "n", zero.alias("kinds")))
-    follow = (counts.filter(F.col("kind").isin(PAIR, TRIPLE))
-              .select(F.when(F.col("kind") == PAIR, WORD).otherwise(PAIR).cast("byte").alias("kind"),
-                      F.col("context").alias("key"))
-              .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("kinds"))
-              .select("kind", "key", zero.alias("n"), "kinds"))
-    return (own.unionByName(follow).withColumn("shard", _shard_of_key(F.col("kind"), F.col("key"), shards))
-            .groupBy("kind", "shard").applyInArrow(build, "kind byte, shard int, blob binary"))
-
-
-def pair_table(counts: DataFrame) -> np.ndarray:
-    """p(symbol | last byte) for all byte pairs; 65,536 rows at most reach the driver."""
-    got = (counts.filter(F.col("kind") == GRAM)
-           .groupBy(F.col("key").bitwiseAND(PAIR_MASK).cast("int").alias("pair"))
-           .agg(F.sum("n").alias("n")).toArrow())
-    n = np.zeros(1 << 16)
-    n[got["pair"].to_numpy()] = got["n"].to_numpy()
-    n = n.reshape(256, 256)
-    single = (n.sum(0) + 1) / (n.sum() + 256)
-    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(total, 1)
-    return np.where(total > 0, p, single).ravel()
-
-
-def _shard_of_pair(pair, shards: int):
-    """Shard of a context by its last two bytes: the same formula for columns and arrays."""
-    return (pair * PAIR_STEP) % (PAIR_MASK + 1) % shards
-
-
-def _reverse(v: np.ndarray) -> np.ndarray:
-    """The context of an n-gram number, last byte on top."""
-    out = np.zeros(len(v), np.uint64)
-    for i in range(1, ORDER):
-        out = (out << np.uint64(8)) | ((v >> np.uint64(8 * i)) & np.uint64(255))
-    return out
-
+        for row in batch.to_pylist():
+            yield Chunk(row)
+
+
+def pack_grams(cols: list[np.ndarray]) -> bytes:
+    """Sorted n-grams: the first words as steps."""
+    return pack(np.diff(cols[0], prepend=0), *cols[1:])
+
+
+def unpack_grams(blob: bytes) -> list[np.ndarray]:
+    steps, *rest = unpack(blob)
+    return [np.cumsum(steps), *rest]
+
+
+LISTS = "kind int, shard int, chunk string, n long, grams binary, counts binary"
+
+
+def gram_lists(code: DataFrame, ids: int, shards: int) -> DataFrame:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.string()),
+                           ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+        for c in _each(batches):
+            for kind in (PAIR, TRIPLE):
+                cols, shard, n, _, _ = c.distinct(kind, ids, shards)
+                yield _rows(types, [
+                    {"kind": kind, "shard": s, "chunk": c.name, "n": r.stop - r.start,
+                     "grams": pack_grams([x[r] for x in cols]), "counts": pack(n[r])}
+                    for s, r in grouped(shard)])
+    return code.mapInArrow(listed, LISTS)
+
+
+def union(lists: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams of sorted lists, in order, and each list's places among them."""
+    cols = [np.concatenate(c) for c in zip(*lists)]
+    order = np.lexsort(cols[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in cols:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    ends = np.cumsum([0] + [len(x[0]) for x in lists])
+    keep = order[new]
+    return [c[keep] for c in cols], [at[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _merge_grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    cols, at = union([unpack_grams(x.as_py()) for x in t["grams"]])
+    n = np.zeros(len(cols[0]), np.int64)
+    for a, counts in zip(at, t["counts"]):
+        n[a] += unpack(counts.as_py())[0]
+    seen = n > 0
+    return [c[seen] for c in cols], n[seen]
+
+
+def tries(dealt: DataFrame, ids: int) -> DataFrame:
+    """``kind, shard, blob``: the trie of each shard; none where no n-gram is from training."""
+    def merge(t: pa.Table) -> dict:
+        cols, n = _merge_grams(t)
+        return {"grams": pack_grams(cols), "counts": pack(n)}
+
+    def build(t: pa.Table) -> dict:
+        cols, n = _merge_grams(t)
+        return {"blob": Trie.build(cols, n, ids, DISCOUNT).to_bytes() if len(n) else b""}
+    return merged(dealt, merge, build, "kind int, shard int, grams binary, counts binary",
+                  "kind int, shard int, blob binary")
+
+
+GRAM_ANSWER = "chunk string, kind int, shard int, codes binary, share_values binary, weight_values binary"
+
+
+def gram_answers(dealt: DataFrame, parts: DataFrame, model: DataFrame) -> DataFrame:
+    """Codes of share and weight of every listed n-gram, and what the codes stand for."""
+    def answer(known: dict, asked: pa.Table) -> pa.Table:
+        cols, at = union([unpack_grams(x.as_py()) for x in asked["grams"]])
+        values = [np.zeros(256, np.float32)] * 2
+        share = weight = np.full(len(cols[0]), MISSING, np.uint16)
+        if known["blob"]:
+            trie = Trie.from_bytes(known["blob"])
+            share, weight = trie.look_up(cols)
+            values = [trie.share_values, trie.weight_values]
+        return pa.table({
+            "chunk": asked["chunk"], "kind": asked["kind"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()),
+            "codes": pa.array([pack(share[a], weight[a]) for a in at], pa.binary()),
+            "share_values": pa.array([squeeze(values[0])] * len(at), pa.binary()),
+            "weight_values": pa.array([squeeze(values[1])] * len(at), pa.binary())})
+    return answered(dealt, parts, model, answer, GRAM_ANSWER)
 
-def tries(counts: DataFrame, shards: int, lower: np.ndarray) -> DataFrame:
-    """``shard, blob``: one trie per shard."""
-    def build(t: pa.Table) -> pa.Table:
-        v = t["key"].to_numpy().view(np.uint64)
-        trie = Trie.build(_reverse(v), (v & np.uint64(255)).astype(np.int64), t["n"].to_numpy(),
-                          ORDER, FIRST, lower, DISCOUNT)
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()),
-                         "blob": pa.array([trie.to_bytes()], pa.binary())})
-    pair = F.shiftright("key", 8).bitwiseAND(PAIR_MASK)
-    return (counts.filter(F.col("kind") == GRAM)
-            .select(_shard_of_pair(pair, shards).cast("int").alias("shard"), "key", "n")
-            .groupBy("shard").applyInArrow(build, "shard int, blob binary"))
-
-
-def _by_shard(keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by (shard, key), the shards that occur, and where each begins."""
-    order = np.lexsort((keys, shard))
-    names, first = np.unique(shard[order], return_index=True)
-    return keys[order], names, np.append(first, len(keys))
-
-
-def _ask(c: Chunk, kind: int, shards: int) -> tuple[np.ndarray, tuple]:
-    """All n-grams of a kind of a chunk (of the words, the start of a text comes last), and the
-    distinct ones dealt over the shards."""
-    used = (np.append(c.words()[0], START_KEY) if kind == WORD else c.pairs()[0] if kind == PAIR
-            else c.triples()[0] if kind == TRIPLE else c.grams())
-    u = np.unique(used)
-    if kind != GRAM:
-        shard = (u % np.uint64(shards)).astype(np.int64)
-    else:
-        shard = _shard_of_pair(((u >> np.uint64(8)) & np.uint64(PAIR_MASK)).astype(np.int64), shards)
-    return used, _by_shard(u, shard)
-
-
-def questions(chunked: DataFrame, kind: int, shards: int) -> DataFrame:
-    """``chunk, shard, keys``: what each chunk asks each shard of one kind."""
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _each_chunk(batches):
-            keys, names, first = _ask(c, kind, shards)[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c.name] * len(names), pa.string()), pa.array(names.astype(np.int32)),
-                 pa.array([keys[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())],
-                ["chunk", "shard", "keys"])
-    return chunked.mapInArrow(ask, "chunk string, shard int, keys binary")
-
-
-def _answer_rows(asked: pa.Table, kind: int, answer) -> pa.Table:
-    """One row per question; a key that several questions share is looked up once."""
-    u, new, size = np.zeros(0, np.uint64), [], 0
-    for k, x in enumerate(asked["keys"], 1):
-        new.append(np.frombuffer(x.as_py(), np.uint64))
-        size += len(new[-1])
-        if size > FLUSH or k == asked.num_rows:
-            u, new, size = np.unique(np.concatenate([u, *new])), [], 0
-    got = answer(u)
-    values = [got[np.searchsorted(u, np.frombuffer(x.as_py(), np.uint64))].tobytes() for x in asked["keys"]]
-    return pa.table({"chunk": asked["chunk"], "kind": pa.array([kind] * len(values), pa.int8()),
-                     "shard": asked["shard"], "values": pa.array(values, pa.binary())})
-
-
-ANSWER = "chunk string, kind byte, shard int, values binary"
-
-
-def _no_answer() -> pa.Table:
-    return pa.table({"chunk": pa.array([], pa.string()), "kind": pa.array([], pa.int8()),
-                     "shard": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-
-
-def answers(chunked: DataFrame, stored: DataFrame, model: DataFrame, lower: np.ndarray,
-            shards: dict[int, int], n_chunks: int) -> DataFrame:
-    """Answers to all ``questions``; a shard with too many for a task answers in parts."""
-    def in_parts(df: DataFrame, parts: int) -> DataFrame:
-        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def dealt(kind: int, parts: int) -> DataFrame:
-        return (questions(chunked, kind, shards[kind])
-                .withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")))
-
-    def counts_of(kind: int):
-        def look_up(known: pa.Table, ask: pa.Table) -> pa.Table:
-            if not ask.num_rows:
-                return _no_answer()
-            if known.num_rows:
-                level = Counts.from_bytes(known["blob"][0].as_py())
-                return _answer_rows(ask, kind, lambda u: level.get(u).astype("<i8"))
-            return _answer_rows(ask, kind, lambda u: np.zeros((len(u), 2), "<i8"))
-        return look_up
-
-    def score_grams(known: pa.Table, ask: pa.Table) -> pa.Table:
-        if not ask.num_rows:
-            return _no_answer()
-        if known.num_rows:
-            trie = Trie.from_bytes(known["blob"][0].as_py())
-        else:                                   # a shard without training n-grams
-            trie = Trie(ORDER - 1, [])
-
-        def look(u):
-            symbol = (u & np.uint64(255)).astype(np.int64)
-            if not trie.levels:
-                return np.log10(lower[(u & np.uint64(PAIR_MASK)).astype(np.int64)]).astype("<f4")
-            return trie.log10(_reverse(u), symbol, lower).astype("<f4")
-        return _answer_rows(ask, GRAM, look)
-
-    # a chunk has at most CHUNK_BYTES / 2 words and in practice fewer n-grams than that
-    parts = {k: max(1, -(-n_chunks * CHUNK_BYTES // n // PART_BYTES)) for k, n in shards.items()}
-    out = (in_parts(model, parts[GRAM]).groupBy("shard", "part")
-           .cogroup(dealt(GRAM, parts[GRAM]).groupBy("shard", "part")).applyInArrow(score_grams, ANSWER))
-    for kind in (WORD, PAIR, TRIPLE):
-        out = out.unionByName(
-            in_parts(stored.filter(F.col("kind") == kind).select("shard", "blob"), parts[kind])
-            .groupBy("shard", "part").cogroup(dealt(kind, parts[kind]).groupBy("shard", "part"))
-            .applyInArrow(counts_of(kind), ANSWER))
-    return out
 
+# ---- 4. scores
 
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double, spelling_score double, unigram_score double")
 
 
-def token_log10(n: np.ndarray, spelling: np.ndarray, total: int, types: int) -> np.ndarray:
-    """log10 probability of tokens seen ``n`` times whose spelling has log10 probability ``spelling``."""
-    if not total:
-        return spelling
-    taken = DISCOUNT * types / total
-    with np.errstate(divide="ignore"):          # unseen tokens have no share
-        share = np.log(MIX * np.maximum(n - DISCOUNT, 0) / total)
-    # in logarithms: the spelling of a long word is below the smallest float
-    return np.logaddexp(share, np.log(MIX * taken + 1 - MIX) + spelling * np.log(10)) / np.log(10)
-
-
-def interpolate(lower: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """log10 probability of tokens seen ``n`` times after a context that was seen ``total`` times
-    with ``kinds`` different tokens; ``lower`` is that of the order below."""
-    known = np.flatnonzero(total > 0)
-    out = lower.copy()
-    n, total, kinds = n[known], total[known], kinds[known]
-    with np.errstate(divide="ignore"):
-        share = np.log(np.maximum(n - DISCOUNT, 0) / total)
-    out[known] = np.logaddexp(share, np.log(DISCOUNT * kinds / total) + lower[known] * np.log(10)) / np.log(10)
-    return out
+def decode(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 share and weight of a chunk's n-grams; what is not there leaves all to the order below."""
+    out: tuple[list, list] = ([], [])
+    for a in answers:
+        for k, (codes, name, none) in enumerate(zip(unpack(a["codes"]), ("share_values", "weight_values"),
+                                                    (-np.inf, 0.0))):
+            out[k].append(np.append(stretch(a[name], "<f4"), np.float32(none))[codes])
+    return tuple(np.concatenate(x or [np.zeros(0)]).astype(np.float64) for x in out)
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document's token counts, unigram base score and model score (log10)."""
-    chunked = written(spark, chunks(docs), "chunks")
-    counts = written(spark, count(chunked), "counts")
-    size = {r["kind"]: (r["rows"], r["n"]) for r in
-            counts.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}
-    (n_words, word_total), (_, n_docs) = (size.get(k, (0, 0)) for k in (WORD, DOCS))
-    train = word_total + n_docs
-    types = n_words + (n_docs > 0)
-    scale = train + types + 1                       # N + (V + 1)
-    shards = {k: max(1, -(-size.get(k, (0, 0))[0] // (SHARD_GRAMS if k == GRAM else SHARD_WORDS)))
-              for k in (WORD, PAIR, TRIPLE, GRAM)}
-    lower = pair_table(counts)
-    model = written(spark, tries(counts, shards[GRAM], lower), "tries")
-    stored = written(spark, levels(counts, shards), "levels")
-    got = answers(chunked, stored, model, lower, shards, chunked.count())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_shards, gram_shards = (max(1, -(-size // s)) for s in (WORD_SHARD, GRAM_SHARD))
+    rows = written(spark, chunks(docs, word_shards), "chunks")
+    chunk_rows = rows.filter(F.col("shard").isNull()).select("chunk", "n", "doc_ids", "held", "sizes", "tokens")
+    lists = (rows.filter(F.col("shard").isNotNull())
+             .select(F.lit(WORD).alias("kind"), "shard", "chunk", "n", "words", "counts"))
+    n_docs = chunk_rows.agg(F.sum("n")).first()[0] or 0
+    dealt, parts = in_parts(lists)
+    vocab = written(spark, vocabulary(dealt, word_shards), "vocabulary")
+    found = vocab.agg(F.sum("n"), F.sum("total"), F.max("n")).first()
+    types, train, longest = (x or 0 for x in found)
+    train, types = train + n_docs, types + (n_docs > 0)
+    ids = longest * word_shards + FIRST_ID + word_shards        # above every id
+    model = spelling(vocab, n_docs)
+    end_spelt = float(model.log10(END_LETTER)[0])
+    end_unigram = float(token_log10(np.array([n_docs]), np.array([end_spelt]), train, types)[0])
+    code = written(spark, coded(chunk_rows.drop("n"), word_answers(dealt, parts, vocab, model, train, types)),
+                   "coded")
+    dealt, parts = in_parts(written(spark, gram_lists(code, ids, gram_shards), "n-grams"))
+    levels = written(spark, tries(dealt, ids), "tries")
+    got = gram_answers(dealt, parts, levels)
+    scale = train + types + 1                                   # N + (V + 1)
 
     def add_up(own: pa.Table, got: pa.Table) -> pa.Table:
-        c = Chunk({n: own[n][0].as_py() for n in own.column_names})
-        value = {(k.as_py(), s.as_py()): v.as_py()
-                 for k, s, v in zip(got["kind"], got["shard"], got["values"])}
-
-        def gather(kind: int, dtype: str, wide: int = 1) -> np.ndarray:
-            used, (keys, names, _) = _ask(c, kind, shards[kind])
-            flat = np.concatenate([np.frombuffer(value[kind, int(s)], dtype) for s in names]
-                                  or [np.zeros(0, dtype)]).reshape(-1, wide)
-            order = np.argsort(keys)
-            return flat[order][np.searchsorted(keys[order], used)]
-        words = gather(WORD, "<i8", 2)
-        n, n_follow, start_follow = words[:-1, 0], words[:-1, 1], words[-1, 1]
-        log_p = gather(GRAM, "<f4")[:, 0].astype(np.float64)
-        _, word_off, word_start = c.words()
-        per_doc = np.diff(word_off)
-        # every document's words and then its end, as in the stream
-        begin = np.sort(np.concatenate([word_start, c.ends - 1]))
-        seen = np.insert(n, word_off[1:], n_docs)
-        spelling = np.add.reduceat(log_p, begin)
-        base = np.log10((seen + 1) / scale)
-        unigram = token_log10(seen, spelling, train, types)
-        first = word_off[:-1] + np.arange(len(per_doc))
-        later = np.delete(np.arange(len(seen)), first)
-        pair_n, pair_follow = gather(PAIR, "<i8", 2).T
-        total, kinds = np.full(len(seen), n_docs), np.full(len(seen), start_follow)
-        total[later] = seen[later - 1]
-        kinds[later] = np.insert(n_follow, word_off[1:], 0)[later - 1]
-        full = interpolate(unigram, pair_n, total, kinds)
-        full[later] = interpolate(full[later], gather(TRIPLE, "<i8", 2)[:, 0], pair_n[later - 1],
-                                  pair_follow[later - 1])
+        c = Chunk(own.to_pylist()[0])
+        seen, spelt, unigram = c.seen, c.spelt.astype(np.float64), c.unigram.astype(np.float64)
+        seen[c.end], spelt[c.end], unigram[c.end] = n_docs, end_spelt, end_unigram
+        answers = sorted(got.to_pylist(), key=lambda a: (a["kind"], a["shard"]))
+        full = unigram.copy()
+        for kind in (PAIR, TRIPLE):
+            share, weight = decode([a for a in answers if a["kind"] == kind])
+            _, _, _, place, at = c.distinct(kind, ids, gram_shards)
+            full[at] = add10(share[place], weight[place] + full[at])
 
         def of_docs(x):
-            return pa.array(np.add.reduceat(x, first))
+            return pa.array(np.add.reduceat(x, c.first))
         return pa.table({
             "doc_id": pa.array(c.doc_ids, pa.int64()), "held_out": pa.array(c.held),
-            "n_tokens": pa.array(per_doc + 1), "n_known": of_docs((seen > 0).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(per_doc), train, np.int64)),
-            "base_score": of_docs(base), "score": of_docs(full), "spelling_score": of_docs(spelling),
-            "unigram_score": of_docs(unigram)})
-
-    return chunked.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(add_up, RESULT)
+            "n_tokens": pa.array(c.sizes + 1), "n_known": of_docs((seen > 0).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(c.sizes), train, np.int64)),
+            "base_score": of_docs(np.log10((seen + 1) / scale)), "score": of_docs(full),
+            "spelling_score": of_docs(spelt), "unigram_score": of_docs(unigram)})
+    return code.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(add_up, RESULT)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
