@@ -23,19 +23,18 @@ the lowest order alone.
    keeps its tokens as numbers into its list of distinct words and deals that
    list, with counts, over the shards of the vocabulary.
 2. A vocabulary shard merges its lists.  Training words get dense ids, more
-   frequent ones smaller, and answer every list with id, count, and log10
-   probability of spelling and unigram.
+   frequent ones smaller, and answer every list with id, count and log10
+   probability of the spelling.
 3. Each chunk, now in ids, lists its distinct pairs and triples with counts as
    packed sorted columns, one row per shard of their contexts.  A shard merges
    them into a trie (``elias_fano.Trie``): levels with pointers, quantised
-   shares and weights, one row of a written table.
+   shares and weights.
 4. The same lists are the questions: the trie answers each with two codes, and
    each chunk adds up its documents.
 
-A list is written once and read for merging and for answering.  Where a shard
-has more than ``PART_GRAMS`` listed n-grams, parts of it merge first, so a
-task holds a part or the distinct n-grams of a shard; questions are answered
-in the same parts.  All n-grams of one context are in one shard: at most one
+A list is shuffled once.  Where a shard may have more than ``PART_GRAMS``
+listed n-grams, parts of it merge first, so a task holds a part or the
+distinct n-grams of a shard, and each part answers its own.  All n-grams of one context are in one shard: at most one
 for each different word, however often the context occurs.  The driver holds
 the spelling's byte triples, at most 2^24 of them, and a few sums.
 
@@ -59,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import MISSING, Trie, load, save
-from .tables import fold, table, written
+from .tables import attach_small, fold, table, written
 from .textvec import Block, blocks, column, mix
 
 DISCOUNT = 0.75
@@ -110,11 +109,11 @@ def grouped(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
 # ---- 1. chunks and their word lists
 
 CHUNKS = ("chunk string, shard int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, "
-          "tokens binary, words binary, counts binary")
+          "tokens binary, shards binary, words binary, counts binary")
 _CHUNK_TYPES = pa.schema([
     ("chunk", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()),
-    ("words", pa.binary()), ("counts", pa.binary())])
+    ("shards", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -137,7 +136,7 @@ def spaced(data: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def chunks(docs: DataFrame, shards: int) -> DataFrame:
     """One row per chunk (``shard`` null): its documents and tokens; and one per chunk and shard:
-    the distinct words in order of their hash and how often training documents have them."""
+    the distinct words, frequent ones first, and how often training documents have them."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         size = 0
@@ -146,17 +145,19 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
             ids, held, per_doc, hashes, lens, data = zip(*parts)
             held, per_doc = np.concatenate(held), np.concatenate(per_doc)
             hashes, lens, data = np.concatenate(hashes), np.concatenate(lens), np.concatenate(data)
-            u, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-            order = np.lexsort((u, u % np.uint64(shards)))
+            u, first, at, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            rank = np.argsort(-often, kind="stable")
             place = np.empty(len(u), np.int64)
-            place[order] = np.arange(len(u))
-            n = np.bincount(at[np.repeat(~held, per_doc)], minlength=len(u))[order]
-            first = first[order]
+            place[rank] = np.arange(len(u))
+            shard = (u[rank] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            n = np.bincount(at[np.repeat(~held, per_doc)], minlength=len(u))[rank][order]
+            first = first[rank][order]
             start = np.cumsum(lens) - lens
             name, nothing = uuid.uuid4().hex, dict.fromkeys(_CHUNK_TYPES.names)
             out = [nothing | {"chunk": name, "n": int((~held).sum()), "doc_ids": sum(ids, []),
-                              "held": held.tolist(), "sizes": per_doc.tolist(), "tokens": pack(place[at])}]
-            for s, rows in grouped((u[order] % np.uint64(shards)).astype(np.int64)):
+                              "held": held.tolist(), "sizes": per_doc.tolist(), "tokens": pack(place[at]), "shards": pack(shard)}]
+            for s, rows in grouped(shard[order]):
                 f = first[rows]
                 words = spaced(spans(data, start[f], lens[f]), lens[f])
                 out.append(nothing | {"chunk": name, "shard": s, "n": len(f), "words": squeeze(words),
@@ -184,47 +185,35 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
 
 # ---- lists by shard: merged in parts, answered in parts
 
-def in_parts(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``lists(kind, shard, chunk, n, ...)`` with ``part``, and ``kind, shard, parts``."""
-    parts = (lists.groupBy("kind", "shard")
-             .agg(F.ceil(F.sum("n") / PART_GRAMS).cast("int").alias("parts")))
-    dealt = (lists.join(parts, ["kind", "shard"])
-             .withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")))
-    return dealt, parts
+def heavy_shards(load: DataFrame) -> DataFrame:
+    """``kind, shard, parts`` of the shards of ``load(kind, shard, n)`` that need several parts."""
+    return (load.groupBy("kind", "shard").agg(F.ceil(F.sum("n") / PART_GRAMS).cast("int").alias("parts"))
+            .filter("parts > 1"))
 
 
-def merged(dealt: DataFrame, merge: Callable[[pa.Table], dict], build: Callable[[pa.Table], dict],
-           merged_schema: str, built_schema: str) -> DataFrame:
-    """Lists merged by shard; those of a shard in several parts by part first."""
-    names = [f.split()[0] for f in merged_schema.split(", ")]
+def in_parts(lists: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``lists(kind, shard, chunk, ...)`` with ``parts`` and ``part``."""
+    return (attach_small(lists, heavy, ["kind", "shard"], "left")
+            .withColumn("parts", F.coalesce("parts", F.lit(1)))
+            .withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")))
 
-    def one(f: Callable, schema: str):
-        def run(t: pa.Table) -> pa.Table:
-            keys = {k: t[k][0].as_py() for k in ("kind", "shard")}
-            return pa.Table.from_pylist([keys | f(t)], _arrow(schema))
-        return run
-    many = (dealt.filter("parts > 1").groupBy("kind", "shard", "part")
-            .applyInArrow(one(merge, merged_schema), merged_schema))
-    return (dealt.filter("parts <= 1").select(*names).unionByName(many)
-            .groupBy("kind", "shard").applyInArrow(one(build, built_schema), built_schema))
 
+def for_parts(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows(kind, shard, ...)`` once for each part of their shard."""
+    return (attach_small(rows, heavy, ["kind", "shard"], "left")
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"))
 
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
 
+def merged(dealt: DataFrame, keys: list[str], merge: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """One row for the lists of each group."""
+    def run(t: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([{k: t[k][0].as_py() for k in ("kind", "shard")} | merge(t)], _arrow(schema))
+    return dealt.groupBy(*keys).applyInArrow(run, schema)
 
-def answered(dealt: DataFrame, parts: DataFrame, model: DataFrame, answer: Callable, schema: str) -> DataFrame:
-    """``answer(model row, lists)`` for every part of every shard."""
-    copies = (model.join(parts, ["kind", "shard"])
-              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
-    keys = ["kind", "shard", "part"]
 
-    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:                          # no chunk falls into this part
-            return _arrow(schema).empty_table()
-        return answer({n: known[n][0].as_py() for n in known.column_names}, asked)
-    return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, schema)
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
 
 
 # ---- 2. vocabulary
@@ -254,7 +243,7 @@ def _merge_words(t: pa.Table) -> dict:
     n = np.zeros(len(words.hash), np.int64)
     for a, counts in zip(at, t["counts"]):
         n[a] += unpack(counts.as_py())[0]               # a list has each word once
-    return {"n": len(n), "words": squeeze(spaced(words.data, words.size)), "counts": pack(n)}
+    return {"words": squeeze(spaced(words.data, words.size)), "counts": pack(n)}
 
 
 def vocabulary(dealt: DataFrame, shards: int) -> DataFrame:
@@ -270,7 +259,10 @@ def vocabulary(dealt: DataFrame, shards: int) -> DataFrame:
         return {"n": len(size), "total": int(n.sum()),
                 "words": squeeze(spaced(spans(raw, block.start[seen], size), size)), "counts": pack(n[seen]),
                 "ids": pack(ids * shards + t["shard"][0].as_py() + FIRST_ID)}
-    return merged(dealt, _merge_words, build, "kind int, shard int, n long, words binary, counts binary",
+    lists = "kind int, shard int, words binary, counts binary"
+    many = merged(dealt.filter("parts > 1"), ["kind", "shard", "part"], _merge_words, lists)
+    one = dealt.filter("parts = 1").select("kind", "shard", "words", "counts").unionByName(many)
+    return merged(one, ["kind", "shard"], build,
                   "kind int, shard int, n long, total long, words binary, counts binary, ids binary")
 
 
@@ -355,15 +347,19 @@ def add10(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a * np.log(10), b * np.log(10)) / np.log(10)
 
 
-WORD_ANSWER = "chunk string, shard int, ids binary, seen binary, spelt binary, unigram binary"
+WORD_ANSWER = "chunk string, shard int, ids binary, seen binary, spelt binary"
+SPELT = 1024                # a spelling's log10 is kept in steps of 1 / SPELT
 
 
-def word_answers(dealt: DataFrame, parts: DataFrame, vocab: DataFrame, model: Spelling, total: int,
-                 types: int) -> DataFrame:
-    """Id, training count, log10 of spelling and unigram of every listed word."""
+def word_answers(dealt: DataFrame, heavy: DataFrame, vocab: DataFrame, model: Spelling) -> DataFrame:
+    """Id, training count and log10 of the spelling of every listed word."""
     shared = dealt.sparkSession.sparkContext.broadcast(model)
+    keys = ["kind", "shard", "part"]
 
-    def answer(known: dict, asked: pa.Table) -> pa.Table:
+    def answer(vocab: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:                          # no chunk falls into this part
+            return _arrow(WORD_ANSWER).empty_table()
+        known = vocab.to_pylist()[0]
         words, at = Words.of(asked["words"].to_pylist())
         ids, seen = np.full(len(words.hash), UNSEEN), np.zeros(len(words.hash), np.int64)
         mine = Words.of([known["words"]])[0].hash       # in order, as the counts are
@@ -371,32 +367,30 @@ def word_answers(dealt: DataFrame, parts: DataFrame, vocab: DataFrame, model: Sp
         k = np.searchsorted(mine, words.hash[hit])
         ids[hit], seen[hit] = unpack(known["ids"])[0][k], unpack(known["counts"])[0][k]
         spelt = shared.value.words(words.data, words.size)
-        unigram = token_log10(seen, spelt, total, types)
+        steps = np.rint(-SPELT * spelt).astype(np.int64)
         return pa.table({
-            "chunk": asked["chunk"], "shard": asked["shard"].cast(pa.int32()),
+            "chunk": asked["chunk"], "shard": asked["shard"],
             "ids": pa.array([pack(ids[a]) for a in at], pa.binary()),
             "seen": pa.array([pack(seen[a]) for a in at], pa.binary()),
-            "spelt": pa.array([squeeze(spelt[a].astype("<f4")) for a in at], pa.binary()),
-            "unigram": pa.array([squeeze(unigram[a].astype("<f4")) for a in at], pa.binary())})
-    return answered(dealt, parts, vocab, answer, WORD_ANSWER)
+            "spelt": pa.array([pack(steps[a]) for a in at], pa.binary())})
+    return (for_parts(vocab, heavy).groupBy(*keys).cogroup(dealt.groupBy(*keys))
+            .applyInArrow(answer, WORD_ANSWER))
 
 
 CODED = ("chunk string, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, "
-         "ids binary, seen binary, spelt binary, unigram binary")
+         "ids binary, seen binary, spelt binary")
 
 
 def coded(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk with what its words were answered, in the order of its list."""
+    """Each chunk with what its words were answered, in the order of its tokens' numbers."""
     def join(own: pa.Table, got: pa.Table) -> pa.Table:
-        order = np.argsort(got["shard"].to_numpy())
-        cols = {n: got[n].take(pa.array(order)).to_pylist() for n in ("ids", "seen", "spelt", "unigram")}
-        none = [np.zeros(0, np.int64)]
-        ids, seen = (np.concatenate([unpack(x)[0] for x in cols[n]] or none) for n in ("ids", "seen"))
-        logs = {n: np.concatenate([stretch(x, "<f4") for x in cols[n]] or [np.zeros(0, "<f4")])
-                for n in ("spelt", "unigram")}
-        added = {"ids": pack(ids), "seen": pack(seen)} | {n: squeeze(x) for n, x in logs.items()}
-        for n, x in added.items():
-            own = own.append_column(n, pa.array([x], pa.binary()))
+        lists = got.take(np.argsort(got["shard"].to_numpy())).to_pylist()
+        order = np.argsort(unpack(own["shards"][0].as_py())[0], kind="stable")
+        own = own.drop_columns("shards")
+        for n in ("ids", "seen", "spelt"):
+            values = np.zeros(len(order), np.int64)
+            values[order] = np.concatenate([unpack(x[n])[0] for x in lists] or [values])
+            own = own.append_column(n, pa.array([pack(values)], pa.binary()))
         return own
     return chunk_rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, CODED)
 
@@ -410,9 +404,9 @@ class Chunk:
         self.name, self.doc_ids = row["chunk"], row["doc_ids"]
         self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
         at, word_end = unpack(row["tokens"])[0], np.cumsum(self.sizes)
-        table_ = [unpack(row[n])[0] for n in ("ids", "seen")] + [stretch(row[n], "<f4") for n in ("spelt", "unigram")]
-        self.ids, self.seen, self.spelt, self.unigram = (
-            np.insert(x[at], word_end, END) if len(x) else np.zeros(len(word_end), x.dtype) for x in table_)
+        self.ids, self.seen, spelt = (np.insert(unpack(row[n])[0][at], word_end, END)
+                                      for n in ("ids", "seen", "spelt"))
+        self.spelt = spelt / -SPELT
         self.end = word_end + np.arange(len(word_end))          # where each document's end is
         self.first = self.end - self.sizes
         self.before = np.concatenate([[START], self.ids[:-1]])
@@ -442,22 +436,39 @@ class Chunk:
         cols = [c[first] for c in cols]
         train = np.repeat(~self.held, self.sizes + 1)[at]
         n = np.bincount(inv[train], minlength=len(first))
-        key = mix(cols[0].astype(np.uint64) + np.uint64(1))
-        if kind == TRIPLE:
-            key = mix(key ^ cols[1].astype(np.uint64))
-        shard = (key % np.uint64(shards)).astype(np.int64)
+        shard = shard_of(cols, shards)
         order = np.argsort(shard, kind="stable")            # first was in order of the n-grams
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return [c[order] for c in cols], shard[order], n[order], place[inv], at
 
 
+def shard_of(cols: list[np.ndarray], shards: int) -> np.ndarray:
+    """Shards of n-grams, by context."""
+    key = np.zeros(len(cols[0]), np.uint64)
+    for c in cols[:-1]:
+        key = mix(key ^ (c.astype(np.uint64) + np.uint64(1)))
+    return (key % np.uint64(shards)).astype(np.int64)
+
+
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
         for row in batch.to_pylist():
             yield Chunk(row)
 
 
+def load_of(code: DataFrame, shards: int) -> DataFrame:
+    """``kind, shard, n``: at least as many as the n-grams that chunks list for a shard."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _each(batches):
+            for kind in (PAIR, TRIPLE):
+                s, n = np.unique(shard_of(c.grams(kind)[0], shards), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), kind, np.int32)), pa.array(s.astype(np.int32)), pa.array(n)],
+                    ["kind", "shard", "n"])
+    return code.mapInArrow(weigh, "kind int, shard int, n long")
+
+
 def pack_grams(cols: list[np.ndarray]) -> bytes:
     """Sorted n-grams: the first words as steps."""
     return pack(np.diff(cols[0], prepend=0), *cols[1:])
@@ -468,18 +479,18 @@ def unpack_grams(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(steps), *rest]
 
 
-LISTS = "kind int, shard int, chunk string, n long, grams binary, counts binary"
+LISTS = "kind int, shard int, chunk string, grams binary, counts binary"
 
 
 def gram_lists(code: DataFrame, ids: int, shards: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.string()),
-                           ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+                           ("grams", pa.binary()), ("counts", pa.binary())])
         for c in _each(batches):
             for kind in (PAIR, TRIPLE):
                 cols, shard, n, _, _ = c.distinct(kind, ids, shards)
                 yield _rows(types, [
-                    {"kind": kind, "shard": s, "chunk": c.name, "n": r.stop - r.start,
+                    {"kind": kind, "shard": s, "chunk": c.name,
                      "grams": pack_grams([x[r] for x in cols]), "counts": pack(n[r])}
                     for s, r in grouped(shard)])
     return code.mapInArrow(listed, LISTS)
@@ -501,47 +512,60 @@ def union(lists: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndar
     return [c[keep] for c in cols], [at[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _merge_grams(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    cols, at = union([unpack_grams(x.as_py()) for x in t["grams"]])
+def counted(lists: list[dict]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams of lists, their summed counts, and each list's places among them."""
+    cols, at = union([unpack_grams(x["grams"]) for x in lists])
     n = np.zeros(len(cols[0]), np.int64)
-    for a, counts in zip(at, t["counts"]):
-        n[a] += unpack(counts.as_py())[0]
-    seen = n > 0
-    return [c[seen] for c in cols], n[seen]
+    for a, x in zip(at, lists):
+        n[a] += unpack(x["counts"])[0]                  # a list has each n-gram once
+    return cols, n, at
 
 
-def tries(dealt: DataFrame, ids: int) -> DataFrame:
-    """``kind, shard, blob``: the trie of each shard; none where no n-gram is from training."""
-    def merge(t: pa.Table) -> dict:
-        cols, n = _merge_grams(t)
-        return {"grams": pack_grams(cols), "counts": pack(n)}
-
-    def build(t: pa.Table) -> dict:
-        cols, n = _merge_grams(t)
-        return {"blob": Trie.build(cols, n, ids, DISCOUNT).to_bytes() if len(n) else b""}
-    return merged(dealt, merge, build, "kind int, shard int, grams binary, counts binary",
-                  "kind int, shard int, blob binary")
+def _merge_grams(t: pa.Table) -> dict:
+    cols, n, _ = counted(t.select(["grams", "counts"]).to_pylist())
+    return {"grams": pack_grams([c[n > 0] for c in cols]), "counts": pack(n[n > 0])}
 
 
 GRAM_ANSWER = "chunk string, kind int, shard int, codes binary, share_values binary, weight_values binary"
 
 
-def gram_answers(dealt: DataFrame, parts: DataFrame, model: DataFrame) -> DataFrame:
-    """Codes of share and weight of every listed n-gram, and what the codes stand for."""
-    def answer(known: dict, asked: pa.Table) -> pa.Table:
-        cols, at = union([unpack_grams(x.as_py()) for x in asked["grams"]])
+def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
+    """Codes of share and weight of every listed n-gram, and what the codes stand for.
+
+    A shard's lists are merged into its trie, which answers them.  The lists of a heavy shard are
+    written and merged by part first, and each part answers its own from the trie of all."""
+    spark = code.sparkSession
+    heavy = written(spark, heavy_shards(load_of(code, shards)), "heavy-shards")
+    lists = gram_lists(code, ids, shards)
+    if heavy.isEmpty():
+        rows = lists.withColumn("part", F.lit(0))
+    else:
+        dealt = in_parts(written(spark, lists, "n-grams"), heavy)
+        sums = written(spark, merged(dealt.filter("parts > 1"), ["kind", "shard", "part"], _merge_grams,
+                                     "kind int, shard int, grams binary, counts binary"), "n-gram-parts")
+        rows = dealt.drop("parts").unionByName(
+            for_parts(sums, heavy).withColumn("chunk", F.lit(None).cast("string")))
+
+    def answer(t: pa.Table) -> pa.Table:
+        kind, shard = t["kind"][0].as_py(), t["shard"][0].as_py()
+        lists = t.select(["chunk", "grams", "counts"]).to_pylist()
+        asked, sums = ([x for x in lists if (x["chunk"] is None) == none] for none in (False, True))
+        if not asked:                                   # no chunk falls into this part
+            return _arrow(GRAM_ANSWER).empty_table()
+        cols, n, at = counted(asked)
+        known, times = (cols, n) if not sums else counted(sums)[:2]
+        known, times = [c[times > 0] for c in known], times[times > 0]
         values = [np.zeros(256, np.float32)] * 2
-        share = weight = np.full(len(cols[0]), MISSING, np.uint16)
-        if known["blob"]:
-            trie = Trie.from_bytes(known["blob"])
+        share = weight = np.full(len(n), MISSING, np.uint16)
+        if len(times):
+            trie = Trie.from_bytes(Trie.build(known, times, ids, DISCOUNT).to_bytes())
             share, weight = trie.look_up(cols)
             values = [trie.share_values, trie.weight_values]
-        return pa.table({
-            "chunk": asked["chunk"], "kind": asked["kind"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()),
-            "codes": pa.array([pack(share[a], weight[a]) for a in at], pa.binary()),
-            "share_values": pa.array([squeeze(values[0])] * len(at), pa.binary()),
-            "weight_values": pa.array([squeeze(values[1])] * len(at), pa.binary())})
-    return answered(dealt, parts, model, answer, GRAM_ANSWER)
+        return pa.Table.from_pylist(
+            [{"chunk": x["chunk"], "kind": kind, "shard": shard, "codes": pack(share[a], weight[a]),
+              "share_values": squeeze(values[0]), "weight_values": squeeze(values[1])}
+             for x, a in zip(asked, at)], _arrow(GRAM_ANSWER))
+    return rows.groupBy("kind", "shard", "part").applyInArrow(answer, GRAM_ANSWER)
 
 
 # ---- 4. scores
@@ -565,11 +589,13 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards, gram_shards = (max(1, -(-size // s)) for s in (WORD_SHARD, GRAM_SHARD))
     rows = written(spark, chunks(docs, word_shards), "chunks")
-    chunk_rows = rows.filter(F.col("shard").isNull()).select("chunk", "n", "doc_ids", "held", "sizes", "tokens")
+    chunk_rows = rows.filter(F.col("shard").isNull()).select("chunk", "n", "doc_ids", "held", "sizes", "tokens",
+                                                           "shards")
     lists = (rows.filter(F.col("shard").isNotNull())
              .select(F.lit(WORD).alias("kind"), "shard", "chunk", "n", "words", "counts"))
     n_docs = chunk_rows.agg(F.sum("n")).first()[0] or 0
-    dealt, parts = in_parts(lists)
+    heavy = written(spark, heavy_shards(lists), "heavy-lists")
+    dealt = in_parts(lists.drop("n"), heavy)
     vocab = written(spark, vocabulary(dealt, word_shards), "vocabulary")
     found = vocab.agg(F.sum("n"), F.sum("total"), F.max("n")).first()
     types, train, longest = (x or 0 for x in found)
@@ -577,18 +603,15 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = longest * word_shards + FIRST_ID + word_shards        # above every id
     model = spelling(vocab, n_docs)
     end_spelt = float(model.log10(END_LETTER)[0])
-    end_unigram = float(token_log10(np.array([n_docs]), np.array([end_spelt]), train, types)[0])
-    code = written(spark, coded(chunk_rows.drop("n"), word_answers(dealt, parts, vocab, model, train, types)),
-                   "coded")
-    dealt, parts = in_parts(written(spark, gram_lists(code, ids, gram_shards), "n-grams"))
-    levels = written(spark, tries(dealt, ids), "tries")
-    got = gram_answers(dealt, parts, levels)
+    code = written(spark, coded(chunk_rows.drop("n"), word_answers(dealt, heavy, vocab, model)), "coded")
+    got = gram_answers(code, ids, gram_shards)
     scale = train + types + 1                                   # N + (V + 1)
 
     def add_up(own: pa.Table, got: pa.Table) -> pa.Table:
         c = Chunk(own.to_pylist()[0])
-        seen, spelt, unigram = c.seen, c.spelt.astype(np.float64), c.unigram.astype(np.float64)
-        seen[c.end], spelt[c.end], unigram[c.end] = n_docs, end_spelt, end_unigram
+        seen, spelt = c.seen, c.spelt
+        seen[c.end], spelt[c.end] = n_docs, end_spelt
+        unigram = token_log10(seen, spelt, train, types)
         answers = sorted(got.to_pylist(), key=lambda a: (a["kind"], a["shard"]))
         full = unigram.copy()
         for kind in (PAIR, TRIPLE):
