@@ -2,9 +2,9 @@
 
 Training counts the byte ``GRAM``-grams of all training texts per language
 (lower-cased words, one space between and around them).  A language contains
-an n-gram if its rate there is at least ``SHARE`` of the rate in the language
-where it is most common; n-grams that languages share at like rates thus
-belong to all of them.
+an n-gram if its rate there is at least ``LEAST_RATE``, one in a million, and
+at least ``SHARE`` of the rate in the language where it is most common;
+n-grams that languages share at like rates thus belong to all of them.
 
 All languages' Bloom filters are one table: row = bit position, column =
 language.  The rows at an n-gram's ``HASHES`` positions, and-ed, give at once
@@ -13,13 +13,12 @@ language is the share of its n-grams with that bit, less what false positives
 of that filter would give by chance; the highest share decides, then the
 language with more training text, then the name.
 
-The table has the power of two of rows, ``ROWS`` to ``MAX_ROWS``, that keeps the
-filter of the language with most n-grams at ``FALSE_RATE`` false positives, so
-collecting it and sending it to the tasks is bounded; beyond 63 languages it
-has further columns of masks.  ``MAX_ROWS`` holds 1.3 million n-grams in a
-language at that rate; a corpus for which a filter still passes
-``FALSE_LIMIT`` (5.5 million) is an error.  Texts are read twice and never
-shuffled.
+The rates of a language add up to one, so no corpus of any size gives it more
+than ``1 / LEAST_RATE`` n-grams.  The table has the power of two of rows, at
+least ``ROWS``, that keeps the filter of the language with most n-grams at
+``FALSE_RATE`` false positives: at most 2^24 by that bound, which bounds what
+is collected and sent to the tasks; beyond 63 languages it has further columns
+of masks.  Texts are read twice and never shuffled.
 
 Defined results: ``und`` with score 0 for a null text or one without a
 letter, and for every text if nothing can be learned; a text without a known
@@ -46,9 +45,10 @@ from .textvec import Block, as_text, blocks, column, mix
 GRAM = 4
 FOLDS, HELD = 4, 2
 SHARE = 0.3
-ROWS, MAX_ROWS = 1 << 20, 1 << 24
+LEAST_RATE = 1e-6
+ROWS = 1 << 20
 HASHES = 3
-FALSE_RATE, FALSE_LIMIT = 0.01, 0.25
+FALSE_RATE = 0.01
 MASK_BITS = 63
 BLOCK_BYTES = 1 << 20
 FLUSH_GRAMS = 2_000_000     # distinct (language, n-gram) counts a task holds before it emits them
@@ -163,12 +163,12 @@ class Filters:
 
 
 def rows_for(n: int, least: int) -> int:
-    """Rows of a table whose fullest filter holds ``n`` n-grams; ``MAX_ROWS`` at most."""
+    """Rows of a table whose fullest filter holds ``n`` n-grams; a power of two."""
     need = -HASHES * n / math.log(1 - FALSE_RATE ** (1 / HASHES))
-    return max(least, min(MAX_ROWS, 1 << max(0, math.ceil(need) - 1).bit_length()))
+    return max(least, 1 << max(0, math.ceil(need) - 1).bit_length())
 
 
-def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
+def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS, least_rate: float = LEAST_RATE) -> Filters:
     """Learn from every row of ``docs(lang, text)`` with a non-null ``lang``; ``rows`` at least."""
     spark = docs.sparkSession
     counted = written(spark, count_grams(docs.filter(F.col("lang").isNotNull()).select(
@@ -184,6 +184,7 @@ def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
         "lang string, w int, mask long, total long")
     rate = F.col("n") / F.col("total")
     kept = (counted.join(F.broadcast(numbered), "lang").withColumn("rate", rate)
+            .filter(F.col("rate") >= least_rate)
             .withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
             .filter(F.col("rate") >= share * F.col("top")).select("gram", "w", "mask"))
     kept = written(spark, kept, "kept-grams")
@@ -205,11 +206,7 @@ def fit(docs: DataFrame, share: float = SHARE, rows: int = ROWS) -> Filters:
     w, row, mask = (sliced[c].to_numpy() for c in ("w", "row", "mask"))
     for k, m in enumerate(masks):
         m[row[w == k]] = mask[w == k]
-    model = Filters(langs, [m.astype(np.uint8) if len(langs) <= 7 else m for m in masks])
-    if (model.false_rate() > FALSE_LIMIT).any():
-        full = {x: round(float(r), 2) for x, r in zip(langs, model.false_rate()) if r > FALSE_LIMIT}
-        raise ValueError(f"too many n-grams for {rows} rows; false positives by language: {full}")
-    return model
+    return Filters(langs, [m.astype(np.uint8) if len(langs) <= 7 else m for m in masks])
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

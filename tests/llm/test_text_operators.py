@@ -122,7 +122,7 @@ def test_language_held_out_accuracy_and_odd_texts(spark, odd, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
-def test_language_filters_grow_with_the_n_grams(spark, monkeypatch):
+def test_language_filters_grow_with_the_n_grams(spark):
     rng = np.random.default_rng(0)
     rows = [(lang, " ".join("".join(chr(a + x) for x in rng.integers(0, 26, 8)) for _ in range(600)))
             for lang, a in (("low", 97), ("greek", 0x3B1))]
@@ -132,10 +132,51 @@ def test_language_filters_grow_with_the_n_grams(spark, monkeypatch):
     assert size > 1 << 10 and size & (size - 1) == 0
     assert model.false_rate().max() < 1.5 * language_id.FALSE_RATE
     assert language_id.rows_for(20_000, language_id.ROWS) == language_id.ROWS
-    assert language_id.rows_for(10 ** 9, language_id.ROWS) == language_id.MAX_ROWS
-    monkeypatch.setattr(language_id, "MAX_ROWS", 1 << 10)
-    with pytest.raises(ValueError, match="low"):
-        language_id.fit(docs, rows=1 << 10)
+    # no corpus gives a language more n-grams than its least rate allows, and their table is bounded
+    assert language_id.rows_for(round(1 / language_id.LEAST_RATE), language_id.ROWS) == 1 << 24
+    # at a least rate of 1/1000 no random n-gram is frequent enough, the spaced common word still is
+    common = spark.createDataFrame([("low", rows[0][1] + " zzz" * 600)], "lang string, text string")
+    few = language_id.fit(common, rows=1 << 10, least_rate=1e-3)
+    assert len(few.masks[0]) == 1 << 10 and 0 < few.masks[0].astype(bool).sum() <= 3 * 8
+
+
+def plain_languages(train, texts, share, least):
+    """Shares of n-grams that each language contains, by sets in place of filters."""
+    def spaced(t):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").lower().encode())
+        s = b" " + b"".join(w + b" " for w in words) if words else b""
+        return [s[i:i + 4] for i in range(len(s) - 3)]
+    counts = {}
+    for lang, t in train:
+        counts.setdefault(lang, Counter()).update(spaced(t))
+    total = {x: c.total() for x, c in counts.items()}
+    rate = {x: {g: n / total[x] for g, n in c.items()} for x, c in counts.items()}
+    top = {}
+    for r in rate.values():
+        for g, v in r.items():
+            top[g] = max(v, top.get(g, 0))
+    has = {x: {g for g, v in r.items() if v >= share * top[g] and v >= least} for x, r in rate.items()}
+    langs = sorted(total, key=lambda x: (-total[x], x))
+    return langs, [[sum(g in has[x] for g in gs) / max(len(gs), 1) for x in langs] for gs in map(spaced, texts)]
+
+
+@pytest.mark.parametrize("least", [language_id.LEAST_RATE, 2e-4])
+def test_language_counts_and_predictions_equal_a_plain_version(spark, smoke, least):
+    d, pdf = smoke
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = language_id.fit(docs.select("lang", "text"), least_rate=least)
+    train = [(x, t) for x, t in zip(pdf.lang, pdf.text) if x is not None]
+    langs, want = plain_languages(train, list(pdf.text), language_id.SHARE, least)
+    assert model.langs == langs
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for i, t, shares in zip(pdf.doc_id, pdf.text, want):
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        first, second = sorted(shares)[-1], sorted(shares)[-2]
+        assert got[i]["score"] == pytest.approx(first / max(sum(shares), 1e-12), abs=0.02)
+        if first - second > 0.01:
+            assert got[i]["lang_pred"] == langs[int(np.argmax(shares))]
 
 
 def test_language_masks_equal_brute_force():
