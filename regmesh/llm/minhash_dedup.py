@@ -12,10 +12,12 @@
 4. Members whose star pair failed may still match another member.  Where a
    bucket now spans several components, its members outside the largest of
    them are compared by signature with all its members, in blocks of bounded
-   size dealt over the cluster; pairs whose estimate is within four standard
-   errors of the threshold are compared exactly in the block, in the first
-   bucket they share, until the member is linked to the other's component.
-   Only links leave a block, and members of one component need no comparison.
+   size dealt over the cluster, in the first bucket that a pair shares.  These
+   rows are signatures and band keys, no texts; what leaves a block are the
+   members with an estimate within four standard errors of the threshold, cut
+   into parts.  Only those fetch their texts and are compared exactly, until
+   the member is linked to the other's component.  Members of one component
+   need no comparison.
 5. Components of all links: one class each, named by its smallest ``doc_id``.
 
 So every pair of representatives that shares a band key is either compared
@@ -33,6 +35,7 @@ Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +53,12 @@ from .textvec import blocks, column, hash_spans, mix
 THRESHOLD_PERCENT = 80
 MARGIN = 0.14                   # four standard errors of an estimate of 0.8 from SIZE components
 SKETCH_BYTES = 1 << 20          # text sketched at a time
-PAIR_TARGET, BLOCK_MEMBERS = 2_000, 512
+PAIR_TARGET = 2_000
+BLOCK_MEMBERS, PART_MEMBERS = 4096, 512     # of a side: compared by signature, by text
 
 SKETCH = "doc_id long, k1 long, k2 long, bands array<long>, sig binary"
+CANDIDATE = "h long, i int, j int, part int, side int, rep long, comp long, minor boolean"
+CANDIDATE_COLUMNS = [c.split()[0] for c in CANDIDATE.split(", ")]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,48 +113,73 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc_id, text`` of the given documents, written."""
-    return written(spark, attach_small(docs, nodes, ["doc_id"], "left_semi")
+    return written(spark, attach_small(docs, written(spark, nodes, "nodes"), ["doc_id"], "left_semi")
                    .groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
 
+def _near(left: pd.DataFrame, right: pd.DataFrame, here: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``left``, the rows of ``right`` in another component that are near by
+    signature and share no bucket before ``here``, nearest first."""
+    if not len(left) or not len(right):
+        return
+    sl, sr = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), SIZE) for x in (left, right))
+    kl, kr = (np.stack(list(x.bands)) for x in (left, right))
+    rl, rr, cl, cr = left.rep.to_numpy(), right.rep.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
+    minor = right.minor.to_numpy()
+    least = (THRESHOLD_PERCENT / 100 - MARGIN) * SIZE
+    for i in range(len(rl)):
+        near = (sr == sl[i]).sum(1)
+        hit = np.flatnonzero((near >= least) & (cr != cl[i]) & (~minor | (rr > rl[i])))
+        shared = kr[hit] == kl[i]
+        hit = hit[kl[i][shared.argmax(1)] == here]
+        if len(hit):
+            yield i, hit[np.argsort(-near[hit], kind="stable")]
+
+
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of a block that are near another, once for each part in which they are."""
+    left, right = rows[rows.side == 0], rows[rows.side == 1]
+    parts = -(-len(right) // PART_MEMBERS)
+    found: defaultdict[int, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+    for i, hit in _near(left, right, rows.h.iloc[0]):
+        of = hit // PART_MEMBERS
+        for p in np.unique(of):
+            mine, others = found[i // PART_MEMBERS * parts + int(p)]
+            mine.add(i)
+            others.update(hit[of == p].tolist())
+    picked = [frame.iloc[sorted(at)].assign(part=part) for part, sides in found.items()
+              for frame, at in zip((left, right), sides)]
+    return pd.concat(picked or [rows.iloc[:0].assign(part=0)])[CANDIDATE_COLUMNS]
+
+
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of one block: pairs of different components, near by signature, checked exactly.
+    """Links of one part of a block: pairs near by signature, checked exactly.
 
-    A pair is looked at only in the first bucket that its two documents share,
-    and not at all once its left document is linked to the right one's component."""
+    A pair is not looked at once its left document is linked to the right one's component."""
     left, right = rows[rows.side == 0], rows[rows.side == 1]
+    rl, rr, cr = left.rep.to_numpy(), right.rep.to_numpy(), right.comp.to_numpy()
+    tl, tr = left.text.to_numpy(), right.text.to_numpy()
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bag(rep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if rep not in sets:
+            h, _, w = weigh(*shingles(next(blocks(pa.array([text]), 1 << 62)).lower()))
+            order = np.argsort(h)
+            sets[rep] = h[order], w[order]
+        return sets[rep]
+
     out: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        sl, sr = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), SIZE) for x in (left, right))
-        kl, kr = (np.stack(list(x.bands)) for x in (left, right))
-        rl, rr, cl, cr = left.rep.to_numpy(), right.rep.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
-        minor, here = right.minor.to_numpy(), rows.h.iloc[0]
-        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def bag(rep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if rep not in sets:
-                h, _, w = weigh(*shingles(next(blocks(pa.array([text]), 1 << 62)).lower()))
-                order = np.argsort(h)
-                sets[rep] = h[order], w[order]
-            return sets[rep]
-
-        tl, tr = left.text.to_numpy(), right.text.to_numpy()
-        least = (THRESHOLD_PERCENT / 100 - MARGIN) * SIZE
-        for i in range(len(rl)):
-            near = (sr == sl[i]).sum(1)
-            hit = np.flatnonzero((near >= least) & (cr != cl[i]) & (~minor | (rr > rl[i])))
-            shared = kr[hit] == kl[i]
-            hit = hit[kl[i][shared.argmax(1)] == here]
-            linked: set[int] = set()
-            for j in hit[np.argsort(-near[hit], kind="stable")]:
-                if cr[j] in linked:
-                    continue
-                (ha, wa), (hb, wb) = bag(rl[i], tl[i]), bag(rr[j], tr[j])
-                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                both = int(np.minimum(wa[ia], wb[ib]).sum())
-                if 100 * both >= THRESHOLD_PERCENT * (int(wa.sum() + wb.sum()) - both):
-                    linked.add(cr[j])
-                    out.append((rl[i], rr[j]))
+    for i, hit in _near(left, right, rows.h.iloc[0]):
+        linked: set[int] = set()
+        for j in hit:
+            if cr[j] in linked:
+                continue
+            (ha, wa), (hb, wb) = bag(rl[i], tl[i]), bag(rr[j], tr[j])
+            _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+            both = int(np.minimum(wa[ia], wb[ib]).sum())
+            if 100 * both >= THRESHOLD_PERCENT * (int(wa.sum() + wb.sum()) - both):
+                linked.add(cr[j])
+                out.append((rl[i], rr[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -182,9 +213,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
 
 
-def remaining_links(spark: SparkSession, docs: DataFrame, members: DataFrame, reps: DataFrame,
-                    comp: DataFrame) -> DataFrame:
-    """Links between different components of a bucket that the stars left uncompared (step 4)."""
+def candidates(spark: SparkSession, members: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members that a bucket's stars left uncompared and that are near one of another component
+    of it by signature, by block and part, written.  No text is read."""
     m = (members.filter(F.col("n") > 2)
          .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
          .select("h", "rep", F.coalesce("component", "rep").alias("comp")))
@@ -195,19 +226,30 @@ def remaining_links(spark: SparkSession, docs: DataFrame, members: DataFrame, re
                      F.ceil((F.col("n") - F.col("_top._c")) / BLOCK_MEMBERS).cast("int").alias("_minor"),
                      F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("_all"), "n"))
     rows = written(spark, salted_join(m, mixed, ["h"], "inner", hot_keys(mixed, ["h"], "n")), "mixed")
-    texts = _texts_of(spark, docs, rows.select(F.col("rep").alias("doc_id")).distinct())
-    facts = (reps.select("rep", "sig", "bands")
-             .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"))
-    rows = (rows.withColumn("_h", F.xxhash64("rep")).withColumn("minor", F.col("comp") != F.col("major")))
+    # one row per member and bucket gets its signature; the blocks then repeat these narrow rows
+    rows = (rows.join(reps.select("rep", "sig", "bands"), "rep")
+            .withColumn("_h", F.xxhash64("rep")).withColumn("minor", F.col("comp") != F.col("major")))
+    facts = ["rep", "comp", "minor", "sig", "bands"]
     left = (rows.filter("minor")
             .select("h", F.pmod("_h", "_minor").cast("int").alias("i"),
                     F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"),
-                    F.lit(0).alias("side"), "rep", "comp", "minor"))
+                    F.lit(0).alias("side"), *facts))
     right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("_minor") - 1)).alias("i"),
-                        F.pmod("_h", "_all").cast("int").alias("j"),
-                        F.lit(1).alias("side"), "rep", "comp", "minor")
-    found = (left.unionByName(right).join(facts, "rep").groupBy("h", "i", "j")
-             .applyInPandas(_compare, "a long, b long").distinct())
+                        F.pmod("_h", "_all").cast("int").alias("j"), F.lit(1).alias("side"), *facts)
+    return written(spark, left.unionByName(right).groupBy("h", "i", "j")
+                   .applyInPandas(_candidates, CANDIDATE), "candidates")
+
+
+def remaining_links(spark: SparkSession, docs: DataFrame, members: DataFrame, reps: DataFrame,
+                    comp: DataFrame) -> DataFrame:
+    """Links between different components of a bucket that the stars left uncompared (step 4)."""
+    rows = candidates(spark, members, reps, comp)
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    texts = _texts_of(spark, docs, rows.select(F.col("rep").alias("doc_id")).distinct())
+    found = (rows.join(reps.select("rep", "sig", "bands"), "rep")
+             .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+             .groupBy("h", "i", "j", "part").applyInPandas(_compare, "a long, b long").distinct())
     return written(spark, found, "more-links")
 
 
@@ -219,23 +261,37 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
                    .filter(F.col("_n") > 1).select("doc_id", "differ"), "repeated")
 
 
-def number_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_doc_id``, and for ``doc_id`` a number of each (doc_id, text), rising with doc_id."""
-    keyed = docs.withColumn("_doc_id", F.col("doc_id")).withColumn(
-        "_text", F.coalesce(F.sha2("text", 256), F.lit("")))
-    numbers = written(spark, keyed.filter(F.col("doc_id").isNotNull())
-                      .select(F.col("doc_id").cast("long").alias("doc_id"), "_doc_id", "_text").distinct()
-                      .orderBy("doc_id", "_text").select(
-                          "_doc_id", "_text", F.monotonically_increasing_id().alias("_number")), "numbers")
-    return written(spark, keyed.join(numbers, ["_doc_id", "_text"], "left")
-                   .withColumn("doc_id", F.col("_number")).select(*docs.columns, "_doc_id"), "numbered")
+def number_texts(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with, for ``doc_id``, a number of each (doc_id, text), rising with doc_id, and the
+    name of a further column that holds the ``doc_id``; rows without one keep a null."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = "_" + name
+        return name
+
+    own, digest, number = free("_doc_id"), free("_text"), free("_number")
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn(own, F.col("doc_id")).withColumn(
+        digest, F.coalesce(F.sha2("text", 256), F.lit("")))
+    numbers = written(spark, known.select(F.col("doc_id").cast("long").alias("doc_id"), own, digest).distinct()
+                      .orderBy("doc_id", digest).select(
+                          own, digest, F.monotonically_increasing_id().alias(number)), "numbers")
+    # rows without a doc_id have nothing to join and would meet in one task
+    numbered = (known.join(numbers, [own, digest]).withColumn("doc_id", F.col(number))
+                .select(*docs.columns, own)
+                .unionByName(docs.filter(F.col("doc_id").isNull())
+                             .withColumn(own, F.col("doc_id"))
+                             .withColumn("doc_id", F.lit(None).cast("long")).select(*docs.columns, own)))
+    return written(spark, numbered, "numbered"), own
 
 
 def _marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = classes(spark, docs)
-    return (ids.join(found, "doc_id", "left")
+    return (ids.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+            .unionByName(ids.filter(F.col("doc_id").isNull()).withColumn("class_id", F.col("doc_id")))
             .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))))
 
 
@@ -243,13 +299,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, kept`` for every row of ``docs``; one document of each class is kept."""
     if repeated(spark, docs).filter("differ").isEmpty():
         return _marked(spark, docs)
-    docs = number_texts(spark, docs.select("doc_id", "text"))
+    docs, own = number_texts(spark, docs.select("doc_id", "text"))
     names = docs.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.col("_doc_id").cast("long").alias("_name")).distinct()
-    return (_marked(spark, docs).join(names, "doc_id", "left")
+        "doc_id", F.col(own).cast("long").alias("_name")).distinct()
+    marked = _marked(spark, docs)
+    return (marked.filter(F.col("doc_id").isNotNull()).join(names, "doc_id")
             .join(names.select(F.col("doc_id").alias("class_id"), F.col("_name").alias("_class")),
-                  "class_id", "left")
-            .select(F.col("_name").alias("doc_id"), F.col("_class").alias("class_id"), "kept"))
+                  "class_id")
+            .select(F.col("_name").alias("doc_id"), F.col("_class").alias("class_id"), "kept")
+            .unionByName(marked.filter(F.col("doc_id").isNull())))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -257,9 +315,9 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     again = repeated(spark, docs)
     if again.filter("differ").isEmpty():
         return _keep_one(spark, docs, again.select("doc_id"))
-    numbered = number_texts(spark, docs)
+    numbered, own = number_texts(spark, docs)
     kept = _keep_one(spark, numbered, repeated(spark, numbered).select("doc_id"))
-    return kept.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
+    return kept.withColumn("doc_id", F.col(own)).select(*docs.columns)
 
 
 def _keep_one(spark: SparkSession, docs: DataFrame, twice: DataFrame) -> DataFrame:

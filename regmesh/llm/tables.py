@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,15 @@ def fold(of: int, key: str = "doc_id") -> Column:
 
 def attach_small(big: DataFrame, small: DataFrame, keys: list[str], how: str,
                  limit: int = SMALL_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` when it has at most ``limit`` rows, and shuffles beyond."""
-    n = small.limit(limit + 1).count()
-    return big.join(F.broadcast(small) if n <= limit else small, keys, how)
+    """Join that broadcasts ``small``, a written table, when it has at most ``limit`` rows, and
+    shuffles beyond; rows of ``big`` with a null key match nothing and are not shuffled then."""
+    if small.count() <= limit:
+        return big.join(F.broadcast(small), keys, how)
+    null = reduce(or_, [F.col(k).isNull() for k in keys])
+    found = big.filter(~null).join(small, keys, how)
+    if how not in ("left", "left_anti"):
+        return found
+    return found.unionByName(big.filter(null), allowMissingColumns=True)
 
 
 def labelled(labels: DataFrame, column: str) -> DataFrame:

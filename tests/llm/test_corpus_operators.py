@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -12,6 +13,7 @@ import corpus_pipeline
 from regmesh.llm import bagminhash, elias_fano, embedding_dedup, lm_scoring, minhash_dedup, packing
 from regmesh.llm import quality_classifier, quality_rules
 from regmesh.llm.components import components
+from regmesh.llm.tables import attach_small
 from regmesh.llm.textvec import blocks
 from tests.llm.conftest import ODD
 
@@ -106,6 +108,69 @@ def test_groups_that_stars_alone_would_miss(spark, monkeypatch):
     assert got == brute_classes(docs)
 
 
+def test_a_bucket_of_unlinked_documents_fetches_the_texts_of_near_ones_only(spark, monkeypatch):
+    """Thousands of documents of one band key, two of them near: their texts alone are read."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_MEMBERS", 1000)
+    n, near = 3000, chain(2)
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 16, (n, bagminhash.SIZE), dtype=np.uint16)
+    sig[2500, :120] = sig[700, :120]
+    bands = rng.integers(1, 1 << 60, (n, bagminhash.BANDS))
+    bands[:, 3] = 77
+    reps = spark.createDataFrame([(i, sig[i].tobytes(), bands[i].tolist()) for i in range(n)],
+                                 "rep long, sig binary, bands array<long>")
+    members = spark.createDataFrame([(77, i, n, 0) for i in range(n)], "h long, rep long, n long, leader long")
+    # a pair of one component, which needs no comparison, and a larger component than all others
+    comp = spark.createDataFrame([(i, 10) for i in range(10, 15)], "node long, component long")
+    docs = spark.createDataFrame([(i, near[0] if i == 700 else near[1] if i == 2500 else f"text {i} " * 9)
+                                  for i in range(n)], "doc_id long, text string")
+    read = []
+    right = minhash_dedup._texts_of
+    monkeypatch.setattr(minhash_dedup, "_texts_of",
+                        lambda s, d, nodes: read.append({r["doc_id"] for r in nodes.collect()}) or right(s, d, nodes))
+    links = minhash_dedup.remaining_links(spark, docs, members, reps, comp)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(700, 2500)}
+    assert read == [{700, 2500}]
+
+
+def test_candidates_beyond_one_part_are_all_compared():
+    """A block with several parts a side hands every near pair to one of them."""
+    n = 2 * minhash_dedup.PART_MEMBERS + 7
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 1 << 16, (n, bagminhash.SIZE), dtype=np.uint16)
+    sig[n // 2:n // 2 * 2] = sig[:n // 2]
+    bands = rng.integers(1, 1 << 60, (n, bagminhash.BANDS))
+    bands[:, 0] = 5
+    row = [dict(h=5, i=0, j=0, side=side, rep=i, comp=i, minor=True, sig=sig[i].tobytes(), bands=bands[i])
+           for side in (0, 1) for i in range(n)]
+    got = minhash_dedup._candidates(pd.DataFrame(row))
+    pairs = {(a, b) for _, g in got.groupby("part") for a in g.rep[g.side == 0] for b in g.rep[g.side == 1]
+             if (sig[a] == sig[b]).all() and b > a}
+    assert pairs == {(i, i + n // 2) for i in range(n // 2)}
+    assert got.groupby(["part", "side"]).size().max() <= minhash_dedup.PART_MEMBERS
+
+
+def test_null_and_repeated_ids_and_clashing_names_in_near_dedup(spark):
+    """Columns of the names that numbering uses itself come back as they were."""
+    near = chain(2)
+    rows = [(7, near[0], "a", "b", "c"), (7, "other words", "d", "e", "f"), (9, near[1], "g", "h", "i"),
+            (None, near[0], "j", "k", "l"), (None, near[0], "j", "k", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc_id string, _text string, _Number string")
+    kept = minhash_dedup.keep_one(spark, df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(
+        map(str, spark.createDataFrame([rows[0], rows[1], *rows[3:]], df.schema).collect()))
+
+
+def test_small_side_beyond_its_limit_keeps_null_rows(spark):
+    big = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "c")], "k long, x string")
+    small = spark.createDataFrame([(1, 5)], "k long, y int")
+    for how in ("left", "left_anti", "left_semi", "inner"):
+        rows = [sorted(map(str, attach_small(big, s, ["k"], how, limit).collect()))
+                for s, limit in ((small if how in ("left", "inner") else small.select("k"), n) for n in (0, 9))]
+        assert rows[0] == rows[1]
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, empty):
     rows = [(r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark, odd).collect()]
     assert len(rows) == len(ODD)
