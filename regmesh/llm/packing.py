@@ -36,7 +36,7 @@ from .textvec import Block, SpanTable, blocks, column
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19           # arrays over a block's bytes are a few dozen times as large
 RANK_TARGET = 20_000            # pieces of one length that one task numbers
 PLAN_ROWS = 500_000             # a plan of up to this many rows is broadcast
 
@@ -126,7 +126,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.ranked = RankEncoder.of(path)
-        self.known = SpanTable()
+        self.known = SpanTable(slots=1 << 20, keep=4_000_000)
 
     def new_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids and ids of words."""
