@@ -496,15 +496,25 @@ def gram_lists(code: DataFrame, ids: int, shards: int) -> DataFrame:
     return code.mapInArrow(listed, LISTS)
 
 
+def sort_key(cols: list[np.ndarray]) -> np.ndarray:
+    """One number per n-gram that sorts as its columns do."""
+    key = cols[0]
+    for c in cols[1:]:
+        width = int(c.max(initial=0)) + 1
+        if int(key.max(initial=0)) >= (1 << 63) // width - 1:   # too large: places among the distinct ones instead
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * width + c
+    return key
+
+
 def union(lists: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct n-grams of sorted lists, in order, and each list's places among them."""
     cols = [np.concatenate(c) for c in zip(*lists)]
-    order = np.lexsort(cols[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in cols:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
+    key = sort_key(cols)
+    order = np.argsort(key, kind="stable")              # merges the runs that the lists are
+    new = np.ones(len(order), bool)
+    key = key[order]
+    new[1:] = key[1:] != key[:-1]
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
     ends = np.cumsum([0] + [len(x[0]) for x in lists])
