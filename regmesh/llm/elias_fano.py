@@ -1,10 +1,11 @@
 """Elias-Fano sequences and the word n-gram trie built from them, on memory-mapped arrays.
 
 ``EliasFano`` keeps a non-decreasing sequence in about 2 + log2(u / n) bits a
-value: the low bits packed, the high bits in unary.  All access is
-vectorised.  ``find`` is a successor search within a given range: the unary
-bits give the few elements that share the value's high part, halving decides
-among those that lie in the range.
+value: the low bits packed, the high bits in unary.  All access is vectorised:
+the first search lays out where the ones and zeros of the unary bits are, so
+selecting one is an index.  ``find`` is a successor search within a given
+range: the unary bits give the few elements that share the value's high part,
+halving decides among those that lie in the range.
 
 ``Trie`` holds n-grams of word ids by their context, first word on top.  A
 node's symbol is stored relative to its parent (ids * parent + word, which is
@@ -21,6 +22,7 @@ from __future__ import annotations
 import io
 import tempfile
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -33,25 +35,12 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes() + b"\0" * (16 - len(raw) % 8), np.uint64)
 
 
-def _select(word: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Position of the ``rest``-th one in each 64-bit word."""
-    rest, pos = rest.astype(np.int64), np.zeros(len(word), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << step) - 1)).astype(np.int64)
-        go = rest >= ones
-        rest = np.where(go, rest - ones, rest)
-        word = np.where(go, word >> np.uint64(step), word)
-        pos += np.where(go, step, 0)
-    return pos
-
-
 @dataclass
 class EliasFano:
     n: int
     low_bits: int
     low: np.ndarray         # packed low bits
     high: np.ndarray        # unary high parts
-    before: np.ndarray      # ones before each word of high
     top: int                # high part of the last value
 
     @classmethod
@@ -71,33 +60,39 @@ class EliasFano:
             low[at[spill] + 1] += part[spill] >> (np.uint64(64) - shift[spill])
         high = np.zeros(n + (top >> low_bits) + 1, np.uint8)
         high[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        words = _pack(high)
-        ones = np.bitwise_count(words).astype(np.int64)
-        return cls(n, low_bits, low, words, np.cumsum(ones) - ones, top >> low_bits)
+        return cls(n, low_bits, low, _pack(high), top >> low_bits)
+
+    def _where(self, bit: int) -> np.ndarray:
+        """Positions of the ones or zeros of ``high``."""
+        bits = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little")
+        at = np.flatnonzero(bits == bit)
+        return at.astype(np.int32) if len(bits) < 1 << 31 else at
+
+    @cached_property
+    def _ones(self) -> np.ndarray:
+        return self._where(1)
+
+    @cached_property
+    def _zeros(self) -> np.ndarray:
+        return self._where(0)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions ``i``."""
         i = np.asarray(i, np.int64)
-        w = np.searchsorted(self.before, i, "right") - 1      # the word that holds the i-th one
-        pos = _select(np.asarray(self.high[w]), i - self.before[w])
-        value = (w * 64 + pos - i).astype(np.uint64)
+        value = (self._ones[i] - i).astype(np.uint64)
         if self.low_bits:
             bit = i * self.low_bits
             at, shift = bit >> 6, (bit & 63).astype(np.uint64)
-            low = self.low[at] >> shift
-            spill = shift > 0
-            low = np.where(spill, low | (self.low[at + 1] << np.where(spill, np.uint64(64) - shift, shift)), low)
+            low = (self.low[at] >> shift) | (self.low[at + 1] << (np.uint64(63) - shift) << _ONE)
             value = (value << np.uint64(self.low_bits)) | (low & np.uint64((1 << self.low_bits) - 1))
         return value.astype(np.int64)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Ones of ``high`` before its ``k``-th zero: elements whose high part is at most ``k``."""
-        zeros = np.arange(len(self.before)) * 64 - self.before
-        w = np.searchsorted(zeros, k, "right") - 1
-        return w * 64 + _select(~np.asarray(self.high[w]), k - zeros[w]) - k
+        return self._zeros[k] - k
 
     def find(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Position of ``value`` within the range ``lo:hi``, or -1: successor search."""
+        """A position of ``value`` within the range ``lo:hi``, or -1: successor search."""
         out = np.full(len(lo), -1, np.int64)
         if not self.n:
             return out
@@ -106,28 +101,26 @@ class EliasFano:
         part = np.minimum(part, self.top)
         lo = np.maximum(lo, np.where(part > 0, self._zero(np.maximum(part - 1, 0)), 0))
         hi = np.minimum(hi, self._zero(part))
-        end = hi
-        hi = hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.get(mid) < value[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        there = np.flatnonzero(lo < end)
-        hit = there[self.get(lo[there]) == value[there]] if len(there) else there
-        out[hit] = lo[hit]
+        todo = np.flatnonzero(lo < hi)
+        lo, hi, value = lo[todo], hi[todo], value[todo]
+        while len(todo):
+            mid = (lo + hi) >> 1
+            got = self.get(mid)
+            hit = got == value
+            out[todo[hit]] = mid[hit]
+            less = got < value
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            rest = np.flatnonzero(~hit & (lo < hi))
+            todo, lo, hi, value = todo[rest], lo[rest], hi[rest], value[rest]
         return out
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits, self.top], np.int64), self.low, self.high, self.before]
+        return [np.array([self.n, self.low_bits, self.top], np.int64), self.low, self.high]
 
     @classmethod
     def of(cls, arrays: list[np.ndarray]) -> "EliasFano":
-        head, low, high, before = arrays
-        return cls(int(head[0]), int(head[1]), low, high, before, int(head[2]))
+        head, low, high = arrays
+        return cls(int(head[0]), int(head[1]), np.asarray(low), np.asarray(high), int(head[2]))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +210,7 @@ class Trie:
     def from_bytes(cls, blob: bytes) -> "Trie":
         a = load(blob)
         ids, depth = int(a[0][0]), int(a[0][1])
-        ef = [EliasFano.of(a[1 + 4 * k:5 + 4 * k]) for k in range(2 * depth - 1)]
+        ef = [EliasFano.of(a[1 + 3 * k:4 + 3 * k]) for k in range(2 * depth - 1)]
         return cls(ids, ef[:depth], ef[depth:], *a[-4:])
 
     def look_up(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

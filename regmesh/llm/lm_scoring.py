@@ -24,13 +24,14 @@ the lowest order alone.
    list, with counts, over the shards of the vocabulary.
 2. A vocabulary shard merges its lists.  Training words get dense ids, more
    frequent ones smaller, and answer every list with id, count and log10
-   probability of the spelling.
+   probability of the spelling.  Each chunk numbers its tokens anew in the
+   order of the ids; the chunks and the vocabulary are deleted then.
 3. Each chunk, now in ids, lists its distinct pairs and triples with counts as
-   packed sorted columns, one row per shard of their contexts.  A shard merges
-   them into a trie (``elias_fano.Trie``): levels with pointers, quantised
-   shares and weights.
-4. The same lists are the questions: the trie answers each with two codes, and
-   each chunk adds up its documents.
+   packed steps of sorted columns, one row per shard of their contexts, without
+   what the shard tells of them.  A shard merges them into a trie
+   (``elias_fano.Trie``): levels with pointers, quantised shares and weights.
+4. The same lists are the questions: the trie answers each with two codes and
+   the values of those that occur, and each chunk adds up its documents.
 
 A list is shuffled once.  Where a shard may have more than ``PART_GRAMS``
 listed n-grams, parts of it merge first, so a task holds a part or the
@@ -50,6 +51,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import MISSING, Trie, load, save
-from .tables import attach_small, fold, table, written
+from .tables import attach_small, fold, kept, table, written
 from .textvec import Block, blocks, column, mix
 
 DISCOUNT = 0.75
@@ -106,6 +108,48 @@ def grouped(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(s), slice(int(a), int(b))
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the keys' order, and which of them each key is."""
+    bits = len(key).bit_length()
+    if key.dtype == np.int64 and int(key.max(initial=0)) < 1 << (63 - bits):    # one number of key and place
+        both = np.sort((key << bits) | np.arange(len(key)))
+        order, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """The order of rows by shard that keeps the order within a shard."""
+    bits = len(shard).bit_length()
+    return np.sort((shard << bits) | np.arange(len(shard))) & ((1 << bits) - 1)
+
+
+def steps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted rows, each number as the step from the one above where the numbers before it are the same."""
+    new, out = np.arange(len(columns[0])) == 0, []
+    for c in columns:
+        step = np.diff(c, prepend=0)
+        step[new] = c[new]
+        out.append(step)
+        new = new | (step != 0)
+    return out
+
+
+def unsteps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    new, out = np.arange(len(columns[0])) == 0, []
+    for step in columns:
+        total, first = np.cumsum(step), np.flatnonzero(new)
+        out.append(total - np.repeat(total[first] - step[first], np.diff(first, append=len(step))))
+        new = new | (step != 0)
+    return out
+
+
 # ---- 1. chunks and their word lists
 
 CHUNKS = ("chunk string, shard int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, "
@@ -145,13 +189,13 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
             ids, held, per_doc, hashes, lens, data = zip(*parts)
             held, per_doc = np.concatenate(held), np.concatenate(per_doc)
             hashes, lens, data = np.concatenate(hashes), np.concatenate(lens), np.concatenate(data)
-            u, first, at, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            rank = np.argsort(-often, kind="stable")
-            place = np.empty(len(u), np.int64)
-            place[rank] = np.arange(len(u))
-            shard = (u[rank] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            n = np.bincount(at[np.repeat(~held, per_doc)], minlength=len(u))[rank][order]
+            first, at = distinct(hashes)
+            rank = np.argsort(-np.bincount(at), kind="stable")
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            shard = (hashes[first[rank]] % np.uint64(shards)).astype(np.int64)
+            order = by_shard(shard)
+            n = np.bincount(at[np.repeat(~held, per_doc)], minlength=len(rank))[rank][order]
             first = first[rank][order]
             start = np.cumsum(lens) - lens
             name, nothing = uuid.uuid4().hex, dict.fromkeys(_CHUNK_TYPES.names)
@@ -231,10 +275,10 @@ class Words:
         raws = [stretch(b, "u1") for b in blobs]
         raw = np.concatenate(raws)
         block = Block(raw, np.array([0, len(raw)]))
-        u, first, at = np.unique(block.word_hash, return_index=True, return_inverse=True)
+        first, at = distinct(block.word_hash)
         size = block.end - block.start
         ends = np.cumsum([0] + [int((r == SPACE_).sum()) for r in raws])
-        return (cls(spans(raw, block.start[first], size[first]), size[first], u),
+        return (cls(spans(raw, block.start[first], size[first]), size[first], block.word_hash[first]),
                 [at[a:b] for a, b in zip(ends, ends[1:])])
 
 
@@ -382,15 +426,22 @@ CODED = ("chunk string, doc_ids array<long>, held array<boolean>, sizes array<lo
 
 
 def coded(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each chunk with what its words were answered, in the order of its tokens' numbers."""
+    """Each chunk with what its words were answered.  Its tokens' numbers are now the ranks of their ids,
+    so ids and counts are sorted or nearly so; unseen words come last and have neither."""
     def join(own: pa.Table, got: pa.Table) -> pa.Table:
         lists = got.take(np.argsort(got["shard"].to_numpy())).to_pylist()
-        order = np.argsort(unpack(own["shards"][0].as_py())[0], kind="stable")
-        own = own.drop_columns("shards")
-        for n in ("ids", "seen", "spelt"):
-            values = np.zeros(len(order), np.int64)
-            values[order] = np.concatenate([unpack(x[n])[0] for x in lists] or [values])
-            own = own.append_column(n, pa.array([pack(values)], pa.binary()))
+        order = by_shard(unpack(own["shards"][0].as_py())[0])
+        ids, seen, spelt = (np.concatenate([unpack(x[n])[0] for x in lists] or [np.zeros(0, np.int64)])
+                            for n in ("ids", "seen", "spelt"))
+        rank = np.lexsort((ids, ids == UNSEEN))
+        known = int((ids != UNSEEN).sum())
+        place = np.empty(len(order), np.int64)
+        place[order[rank]] = np.arange(len(order))
+        tokens = place[unpack(own["tokens"][0].as_py())[0]]
+        own = own.drop_columns(["shards", "tokens"])
+        for n, c in (("tokens", tokens), ("ids", steps([ids[rank[:known]]])[0]), ("seen", seen[rank[:known]]),
+                     ("spelt", spelt[rank])):
+            own = own.append_column(n, pa.array([pack(c)], pa.binary()))
         return own
     return chunk_rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, CODED)
 
@@ -403,52 +454,81 @@ class Chunk:
     def __init__(self, row: dict):
         self.name, self.doc_ids = row["chunk"], row["doc_ids"]
         self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        at, word_end = unpack(row["tokens"])[0], np.cumsum(self.sizes)
-        self.ids, self.seen, spelt = (np.insert(unpack(row[n])[0][at], word_end, END)
-                                      for n in ("ids", "seen", "spelt"))
-        self.spelt = spelt / -SPELT
+        ids, self._seen, self._spelt = unsteps(unpack(row["ids"]))[0], unpack(row["seen"])[0], unpack(row["spelt"])[0]
+        word_end, none = np.cumsum(self.sizes), len(self._spelt)
+        self._token = np.insert(unpack(row["tokens"])[0], word_end, none)     # the end has the number after all words
+        self._ids = np.concatenate([ids, np.full(none - len(ids), UNSEEN), [END]])
+        # ids in their order, as small as they can be
+        self._rank = np.concatenate([np.arange(len(ids)) + FIRST_ID, np.full(none - len(ids), UNSEEN), [END]])
+        self.ids = self._ids[self._token]
         self.end = word_end + np.arange(len(word_end))          # where each document's end is
         self.first = self.end - self.sizes
-        self.before = np.concatenate([[START], self.ids[:-1]])
-        self.before[self.first] = START
+        self.before = self._after_start(self.ids)
+
+    def _after_start(self, ids: np.ndarray) -> np.ndarray:
+        before = np.concatenate([[START], ids[:-1]])
+        before[self.first] = START
+        return before
+
+    @property
+    def seen(self) -> np.ndarray:
+        return np.append(self._seen, np.zeros(len(self._ids) - len(self._seen), np.int64))[self._token]
+
+    @property
+    def spelt(self) -> np.ndarray:
+        return np.append(self._spelt / -SPELT, 0.0)[self._token]
 
-    def grams(self, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Columns of the pairs or triples whose context has no unseen word, and their tokens' places.
+    def places(self, kind: int) -> np.ndarray:
+        """Places of the tokens of the pairs or triples whose context has no unseen word.
 
         A triple needs two words or a start and a word before it."""
         known = self.before != UNSEEN
-        if kind == PAIR:
-            at = np.flatnonzero(known)
-            return [self.before[at], self.ids[at]], at
-        known[1:] &= known[:-1]
-        known[self.first] = False
-        at = np.flatnonzero(known)
-        return [self.before[at - 1], self.before[at], self.ids[at]], at
-
-    def distinct(self, kind: int, ids: int, shards: int):
+        if kind == TRIPLE:
+            known[1:] &= known[:-1]
+            known[self.first] = False
+        return np.flatnonzero(known)
+
+    def grams(self, kind: int, at: np.ndarray) -> list[np.ndarray]:
+        """Columns of the pairs or triples of the tokens at these places."""
+        cols = [self.before[at], self.ids[at]]
+        return cols if kind == PAIR else [self.before[at - 1], *cols]
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs, a place in these of each distinct one in order, and which one each is."""
+        at, rank = self.places(PAIR), self._rank[self._token]
+        return at, *distinct(self._after_start(rank)[at] * (len(self._rank) + FIRST_ID) + rank[at])
+
+    def distinct(self, kind: int, shards: int):
         """Distinct n-grams by (shard of their context, n-gram), their shards and training counts,
         and each token's place in that order with its token."""
-        cols, at = self.grams(kind)
-        context = cols[0]
-        if kind == TRIPLE:
-            _, context = np.unique(cols[0] * ids + cols[1], return_inverse=True)
-        _, first, inv = np.unique(context * ids + cols[-1], return_index=True, return_inverse=True)
-        cols = [c[first] for c in cols]
+        at, first, inv = self._pairs
+        if kind == TRIPLE:                                  # its context is the pair one token before
+            pair = np.zeros(len(self.ids), np.int64)
+            pair[at] = inv
+            at = self.places(TRIPLE)
+            first, inv = distinct(pair[at - 1] * (len(self._rank) + FIRST_ID) + self._rank[self._token[at]])
+        cols = self.grams(kind, at[first])
         train = np.repeat(~self.held, self.sizes + 1)[at]
         n = np.bincount(inv[train], minlength=len(first))
         shard = shard_of(cols, shards)
-        order = np.argsort(shard, kind="stable")            # first was in order of the n-grams
+        order = by_shard(shard)                             # first was in order of the n-grams
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return [c[order] for c in cols], shard[order], n[order], place[inv], at
 
 
+def turn(first: list[np.ndarray], shards: int) -> np.ndarray | int:
+    """What is added to the last word of contexts, by the words before it, to get their shards."""
+    key = 0
+    for c in first:
+        key = mix(c.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)
+    return key if isinstance(key, int) else key.astype(np.int64)
+
+
 def shard_of(cols: list[np.ndarray], shards: int) -> np.ndarray:
-    """Shards of n-grams, by context."""
-    key = np.zeros(len(cols[0]), np.uint64)
-    for c in cols[:-1]:
-        key = mix(key ^ (c.astype(np.uint64) + np.uint64(1)))
-    return (key % np.uint64(shards)).astype(np.int64)
+    """Shards of n-grams, by context: the remainder of its last word, turned by the word before it."""
+    return (turn(cols[:-2], shards) + cols[-2]) % shards
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -462,36 +542,38 @@ def load_of(code: DataFrame, shards: int) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _each(batches):
             for kind in (PAIR, TRIPLE):
-                s, n = np.unique(shard_of(c.grams(kind)[0], shards), return_counts=True)
+                count = np.bincount(shard_of(c.grams(kind, c.places(kind)), shards))
+                s = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(s), kind, np.int32)), pa.array(s.astype(np.int32)), pa.array(n)],
+                    [pa.array(np.full(len(s), kind, np.int32)), pa.array(s.astype(np.int32)), pa.array(count[s])],
                     ["kind", "shard", "n"])
     return code.mapInArrow(weigh, "kind int, shard int, n long")
 
 
-def pack_grams(cols: list[np.ndarray]) -> bytes:
-    """Sorted n-grams: the first words as steps."""
-    return pack(np.diff(cols[0], prepend=0), *cols[1:])
+def pack_grams(cols: list[np.ndarray], shards: int) -> bytes:
+    """Sorted n-grams of a shard as steps; of a context's last word, what its shard does not tell."""
+    return pack(*steps([*cols[:-2], cols[-2] // shards, cols[-1]]))
 
 
-def unpack_grams(blob: bytes) -> list[np.ndarray]:
-    steps, *rest = unpack(blob)
-    return [np.cumsum(steps), *rest]
+def unpack_grams(blob: bytes, shard: int, shards: int) -> list[np.ndarray]:
+    cols = unsteps(unpack(blob))
+    cols[-2] = cols[-2] * shards + (shard - turn(cols[:-2], shards)) % shards
+    return cols
 
 
 LISTS = "kind int, shard int, chunk string, grams binary, counts binary"
 
 
-def gram_lists(code: DataFrame, ids: int, shards: int) -> DataFrame:
+def gram_lists(code: DataFrame, shards: int) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.string()),
                            ("grams", pa.binary()), ("counts", pa.binary())])
         for c in _each(batches):
             for kind in (PAIR, TRIPLE):
-                cols, shard, n, _, _ = c.distinct(kind, ids, shards)
+                cols, shard, n, _, _ = c.distinct(kind, shards)
                 yield _rows(types, [
                     {"kind": kind, "shard": s, "chunk": c.name,
-                     "grams": pack_grams([x[r] for x in cols]), "counts": pack(n[r])}
+                     "grams": pack_grams([x[r] for x in cols], shards), "counts": pack(n[r])}
                     for s, r in grouped(shard)])
     return code.mapInArrow(listed, LISTS)
 
@@ -522,18 +604,22 @@ def union(lists: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndar
     return [c[keep] for c in cols], [at[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def counted(lists: list[dict]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Distinct n-grams of lists, their summed counts, and each list's places among them."""
-    cols, at = union([unpack_grams(x["grams"]) for x in lists])
+def counted(lists: list[dict], shard: int, shards: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams of a shard's lists, their summed counts, and each list's places among them."""
+    cols, at = union([unpack_grams(x["grams"], shard, shards) for x in lists])
     n = np.zeros(len(cols[0]), np.int64)
     for a, x in zip(at, lists):
         n[a] += unpack(x["counts"])[0]                  # a list has each n-gram once
     return cols, n, at
 
 
-def _merge_grams(t: pa.Table) -> dict:
-    cols, n, _ = counted(t.select(["grams", "counts"]).to_pylist())
-    return {"grams": pack_grams([c[n > 0] for c in cols]), "counts": pack(n[n > 0])}
+def used(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes numbered anew without those that do not occur, and the values of the others: what an answer
+    takes does not exceed what was asked, however many shards answer a chunk."""
+    found = np.flatnonzero(np.bincount(codes, minlength=len(values)))
+    place = np.zeros(len(values), np.int64)
+    place[found] = np.arange(len(found))
+    return place[codes], values[found]
 
 
 GRAM_ANSWER = "chunk string, kind int, shard int, codes binary, share_values binary, weight_values binary"
@@ -546,12 +632,16 @@ def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
     written and merged by part first, and each part answers its own from the trie of all."""
     spark = code.sparkSession
     heavy = written(spark, heavy_shards(load_of(code, shards)), "heavy-shards")
-    lists = gram_lists(code, ids, shards)
+    lists = gram_lists(code, shards)
+
+    def merge(t: pa.Table) -> dict:
+        cols, n, _ = counted(t.select(["grams", "counts"]).to_pylist(), t["shard"][0].as_py(), shards)
+        return {"grams": pack_grams([c[n > 0] for c in cols], shards), "counts": pack(n[n > 0])}
     if heavy.isEmpty():
         rows = lists.withColumn("part", F.lit(0))
     else:
         dealt = in_parts(written(spark, lists, "n-grams"), heavy)
-        sums = written(spark, merged(dealt.filter("parts > 1"), ["kind", "shard", "part"], _merge_grams,
+        sums = written(spark, merged(dealt.filter("parts > 1"), ["kind", "shard", "part"], merge,
                                      "kind int, shard int, grams binary, counts binary"), "n-gram-parts")
         rows = dealt.drop("parts").unionByName(
             for_parts(sums, heavy).withColumn("chunk", F.lit(None).cast("string")))
@@ -562,8 +652,8 @@ def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
         asked, sums = ([x for x in lists if (x["chunk"] is None) == none] for none in (False, True))
         if not asked:                                   # no chunk falls into this part
             return _arrow(GRAM_ANSWER).empty_table()
-        cols, n, at = counted(asked)
-        known, times = (cols, n) if not sums else counted(sums)[:2]
+        cols, n, at = counted(asked, shard, shards)
+        known, times = (cols, n) if not sums else counted(sums, shard, shards)[:2]
         known, times = [c[times > 0] for c in known], times[times > 0]
         values = [np.zeros(256, np.float32)] * 2
         share = weight = np.full(len(n), MISSING, np.uint16)
@@ -571,10 +661,13 @@ def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
             trie = Trie.from_bytes(Trie.build(known, times, ids, DISCOUNT).to_bytes())
             share, weight = trie.look_up(cols)
             values = [trie.share_values, trie.weight_values]
-        return pa.Table.from_pylist(
-            [{"chunk": x["chunk"], "kind": kind, "shard": shard, "codes": pack(share[a], weight[a]),
-              "share_values": squeeze(values[0]), "weight_values": squeeze(values[1])}
-             for x, a in zip(asked, at)], _arrow(GRAM_ANSWER))
+        values = [np.append(v, np.float32(none)) for v, none in zip(values, (-np.inf, 0.0))]
+        out = []
+        for x, a in zip(asked, at):
+            (share_code, shares), (weight_code, weights) = used(share[a], values[0]), used(weight[a], values[1])
+            out.append({"chunk": x["chunk"], "kind": kind, "shard": shard, "codes": pack(share_code, weight_code),
+                        "share_values": squeeze(shares), "weight_values": squeeze(weights)})
+        return pa.Table.from_pylist(out, _arrow(GRAM_ANSWER))
     return rows.groupBy("kind", "shard", "part").applyInArrow(answer, GRAM_ANSWER)
 
 
@@ -588,9 +681,8 @@ def decode(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """log10 share and weight of a chunk's n-grams; what is not there leaves all to the order below."""
     out: tuple[list, list] = ([], [])
     for a in answers:
-        for k, (codes, name, none) in enumerate(zip(unpack(a["codes"]), ("share_values", "weight_values"),
-                                                    (-np.inf, 0.0))):
-            out[k].append(np.append(stretch(a[name], "<f4"), np.float32(none))[codes])
+        for k, (codes, name) in enumerate(zip(unpack(a["codes"]), ("share_values", "weight_values"))):
+            out[k].append(stretch(a[name], "<f4")[codes])
     return tuple(np.concatenate(x or [np.zeros(0)]).astype(np.float64) for x in out)
 
 
@@ -598,7 +690,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document's token counts, unigram base score and model score (log10)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards, gram_shards = (max(1, -(-size // s)) for s in (WORD_SHARD, GRAM_SHARD))
-    rows = written(spark, chunks(docs, word_shards), "chunks")
+    rows, drop_rows = kept(spark, chunks(docs, word_shards), "chunks")
     chunk_rows = rows.filter(F.col("shard").isNull()).select("chunk", "n", "doc_ids", "held", "sizes", "tokens",
                                                            "shards")
     lists = (rows.filter(F.col("shard").isNotNull())
@@ -606,7 +698,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_docs = chunk_rows.agg(F.sum("n")).first()[0] or 0
     heavy = written(spark, heavy_shards(lists), "heavy-lists")
     dealt = in_parts(lists.drop("n"), heavy)
-    vocab = written(spark, vocabulary(dealt, word_shards), "vocabulary")
+    vocab, drop_vocab = kept(spark, vocabulary(dealt, word_shards), "vocabulary")
     found = vocab.agg(F.sum("n"), F.sum("total"), F.max("n")).first()
     types, train, longest = (x or 0 for x in found)
     train, types = train + n_docs, types + (n_docs > 0)
@@ -614,6 +706,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     model = spelling(vocab, n_docs)
     end_spelt = float(model.log10(END_LETTER)[0])
     code = written(spark, coded(chunk_rows.drop("n"), word_answers(dealt, heavy, vocab, model)), "coded")
+    drop_rows()                                     # all that follows reads ``code``
+    drop_vocab()
     got = gram_answers(code, ids, gram_shards)
     scale = train + types + 1                                   # N + (V + 1)
 
@@ -626,7 +720,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         full = unigram.copy()
         for kind in (PAIR, TRIPLE):
             share, weight = decode([a for a in answers if a["kind"] == kind])
-            _, _, _, place, at = c.distinct(kind, ids, gram_shards)
+            _, _, _, place, at = c.distinct(kind, gram_shards)
             full[at] = add10(share[place], weight[place] + full[at])
 
         def of_docs(x):
