@@ -30,8 +30,9 @@ the lowest order alone.
    packed steps of sorted columns, one row per shard of their contexts, without
    what the shard tells of them.  A shard merges them into a trie
    (``elias_fano.Trie``): levels with pointers, quantised shares and weights.
-4. The same lists are the questions: the trie answers each with two codes and
-   the values of those that occur, and each chunk adds up its documents.
+4. The same lists are the questions: the trie answers each with two codes, and
+   a batch of chunks with the values of those that occur; the chunks add up
+   their documents.
 
 A list is shuffled once.  Where a shard may have more than ``PART_GRAMS``
 listed n-grams, parts of it merge first, so a task holds a part or the
@@ -69,6 +70,7 @@ CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 WORD_SHARD, GRAM_SHARD = 32 << 20, 12 << 20     # bytes of text for each shard of words and of pairs or triples
 PART_GRAMS = 8_000_000                          # listed n-grams that a task merges or answers
+BATCHES, BATCH_CHUNKS = 512, 16                 # chunks are answered and scored in so many batches, or of so many chunks
 END, START, UNSEEN, FIRST_ID = 0, 1, 2, 3       # ids that are no words
 SPACE_, END_ = 32, 10
 WORD, PAIR, TRIPLE = 0, 1, 2
@@ -622,11 +624,21 @@ def used(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place[codes], values[found]
 
 
-GRAM_ANSWER = "chunk string, kind int, shard int, codes binary, share_values binary, weight_values binary"
+GRAM_ANSWER = ("batch int, kind int, shard int, chunks array<string>, codes array<binary>, "
+               "share_values binary, weight_values binary")
+_GRAM_ANSWER_TYPES = pa.schema([
+    ("batch", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("chunks", pa.list_(pa.string())),
+    ("codes", pa.list_(pa.binary())), ("share_values", pa.binary()), ("weight_values", pa.binary())])
 
 
-def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
-    """Codes of share and weight of every listed n-gram, and what the codes stand for.
+def in_batches(rows: DataFrame, batches: int) -> DataFrame:
+    """``rows(chunk, ...)`` with the ``batch`` of their chunk."""
+    return rows.withColumn("batch", F.pmod(F.xxhash64("chunk"), F.lit(batches)).cast("int"))
+
+
+def gram_answers(code: DataFrame, ids: int, shards: int, batches: int) -> DataFrame:
+    """Codes of share and weight of every listed n-gram, a row for each batch of chunks, and what the codes
+    stand for.
 
     A shard's lists are merged into its trie, which answers them.  The lists of a heavy shard are
     written and merged by part first, and each part answers its own from the trie of all."""
@@ -648,10 +660,10 @@ def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
 
     def answer(t: pa.Table) -> pa.Table:
         kind, shard = t["kind"][0].as_py(), t["shard"][0].as_py()
-        lists = t.select(["chunk", "grams", "counts"]).to_pylist()
+        lists = t.select(["chunk", "batch", "grams", "counts"]).to_pylist()
         asked, sums = ([x for x in lists if (x["chunk"] is None) == none] for none in (False, True))
         if not asked:                                   # no chunk falls into this part
-            return _arrow(GRAM_ANSWER).empty_table()
+            return _GRAM_ANSWER_TYPES.empty_table()
         cols, n, at = counted(asked, shard, shards)
         known, times = (cols, n) if not sums else counted(sums, shard, shards)[:2]
         known, times = [c[times > 0] for c in known], times[times > 0]
@@ -662,13 +674,17 @@ def gram_answers(code: DataFrame, ids: int, shards: int) -> DataFrame:
             share, weight = trie.look_up(cols)
             values = [trie.share_values, trie.weight_values]
         values = [np.append(v, np.float32(none)) for v, none in zip(values, (-np.inf, 0.0))]
+        order = np.argsort([x["batch"] for x in asked], kind="stable")
         out = []
-        for x, a in zip(asked, at):
-            (share_code, shares), (weight_code, weights) = used(share[a], values[0]), used(weight[a], values[1])
-            out.append({"chunk": x["chunk"], "kind": kind, "shard": shard, "codes": pack(share_code, weight_code),
+        for batch, rows in grouped(np.array([asked[k]["batch"] for k in order])):
+            mine = [(asked[k]["chunk"], at[k]) for k in order[rows]]
+            every, ends = np.concatenate([a for _, a in mine]), np.cumsum([len(a) for _, a in mine])[:-1]
+            (share_code, shares), (weight_code, weights) = used(share[every], values[0]), used(weight[every], values[1])
+            out.append({"batch": batch, "kind": kind, "shard": shard, "chunks": [name for name, _ in mine],
+                        "codes": [pack(*x) for x in zip(np.split(share_code, ends), np.split(weight_code, ends))],
                         "share_values": squeeze(shares), "weight_values": squeeze(weights)})
-        return pa.Table.from_pylist(out, _arrow(GRAM_ANSWER))
-    return rows.groupBy("kind", "shard", "part").applyInArrow(answer, GRAM_ANSWER)
+        return pa.Table.from_pylist(out, _GRAM_ANSWER_TYPES)
+    return in_batches(rows, batches).groupBy("kind", "shard", "part").applyInArrow(answer, GRAM_ANSWER)
 
 
 # ---- 4. scores
@@ -708,15 +724,21 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     code = written(spark, coded(chunk_rows.drop("n"), word_answers(dealt, heavy, vocab, model)), "coded")
     drop_rows()                                     # all that follows reads ``code``
     drop_vocab()
-    got = gram_answers(code, ids, gram_shards)
+    batches = max(BATCHES, size // CHUNK_BYTES // BATCH_CHUNKS)
+    got = gram_answers(code, ids, gram_shards, batches)
     scale = train + types + 1                                   # N + (V + 1)
 
     def add_up(own: pa.Table, got: pa.Table) -> pa.Table:
-        c = Chunk(own.to_pylist()[0])
+        answers: dict[str, list[dict]] = {}
+        for a in sorted(got.to_pylist(), key=lambda a: (a["kind"], a["shard"])):
+            for chunk, codes in zip(a["chunks"], a["codes"]):
+                answers.setdefault(chunk, []).append(a | {"codes": codes})
+        return pa.concat_tables(add_up_chunk(c, answers.get(c.name, [])) for c in _each(own.to_batches()))
+
+    def add_up_chunk(c: Chunk, answers: list[dict]) -> pa.Table:
         seen, spelt = c.seen, c.spelt
         seen[c.end], spelt[c.end] = n_docs, end_spelt
         unigram = token_log10(seen, spelt, train, types)
-        answers = sorted(got.to_pylist(), key=lambda a: (a["kind"], a["shard"]))
         full = unigram.copy()
         for kind in (PAIR, TRIPLE):
             share, weight = decode([a for a in answers if a["kind"] == kind])
@@ -731,7 +753,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             "train_tokens": pa.array(np.full(len(c.sizes), train, np.int64)),
             "base_score": of_docs(np.log10((seen + 1) / scale)), "score": of_docs(full),
             "spelling_score": of_docs(spelt), "unigram_score": of_docs(unigram)})
-    return code.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(add_up, RESULT)
+    return in_batches(code, batches).groupBy("batch").cogroup(got.groupBy("batch")).applyInArrow(add_up, RESULT)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

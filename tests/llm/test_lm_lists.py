@@ -100,3 +100,27 @@ def test_chunks_and_vocabulary_are_deleted_and_the_result_can_be_read_twice(spar
     once, again = (sorted((r["doc_id"], r["score"]) for r in got.collect()) for _ in range(2))
     assert once == again and len(once) == len(rows)
     assert left() == before and {b.name for b in spark.catalog.listDatabases()} == bases
+
+
+def test_batches_of_chunks_score_as_single_chunks_do(spark, monkeypatch):
+    """However many chunks there are, a shard answers a batch of them with one list of values."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(1, 40, 60) ** 2 // 40)) for i in range(1, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for name, value in (("CHUNK_BYTES", 1500), ("BLOCK_BYTES", 500), ("GRAM_SHARD", 8000)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    answered, plain = [], lm_scoring.gram_answers
+
+    def watched(code, ids, shards, batches):
+        got = plain(code, ids, shards, batches)
+        answered.append((code.count(), shards, got.count()))
+        return got
+    monkeypatch.setattr(lm_scoring, "gram_answers", watched)
+    scores = []
+    for batches in (1 << 20, 1):
+        monkeypatch.setattr(lm_scoring, "BATCHES", batches)
+        monkeypatch.setattr(lm_scoring, "BATCH_CHUNKS", 1 << 20 if batches == 1 else 1)
+        scores.append({r["doc_id"]: r["score"] for r in lm_scoring.score(spark, docs).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12) and len(scores[0]) == len(rows)
+    (chunks, shards, single), (_, _, batched) = answered
+    assert chunks > 10 and shards > 1 and single > 5 * batched and batched <= 2 * shards
