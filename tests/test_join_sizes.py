@@ -53,3 +53,11 @@ def test_the_index_is_built_without_broadcasting_nodes(spark, store, threshold,
     assert [line for df in [*frames, index] for line in broadcasts(df)] == []
     assert index.count() == sum(i % 3 > 0 for i in range(1_000_000, 1_000_000 + N))
     assert index.filter("projectURI <> concat('p/', value)").count() == 0
+
+
+def test_a_lookup_of_many_values_broadcasts_neither_side(spark, store, threshold):
+    index = store.identifier_index("g", **PATTERN)
+    items = spark.range(1_000_000, 1_000_000 + 2 * N).withColumnRenamed("id", "rcn")
+    done = triples.resolve_identifier(items, index, "rcn")
+    assert broadcasts(done) == []
+    assert done.filter("projectURI <> ''").count() == index.count()
