@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from regmesh.operators import graph_store, triples
 from tests.test_plans import physical_plan
+from tests.util import rows
 
 N = 60_000
 PATTERN = dict(type_pred="type", type_obj="P", has_id="has", id_name="name", id_value="value", scheme="rcn")
+Q = "g string, s string, p string, o string, o_type string"
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +63,11 @@ def test_a_lookup_of_many_values_broadcasts_neither_side(spark, store, threshold
     done = triples.resolve_identifier(items, index, "rcn")
     assert broadcasts(done) == []
     assert done.filter("projectURI <> ''").count() == index.count()
+
+
+def test_an_insert_compares_without_a_join(spark, store, threshold):
+    new = spark.createDataFrame([("g", "p/1000000", "field", "physics", "string"), ("g", "p/1", "field", "bio", "string"),
+                                 ("g", "p/1", "field", "bio", "string")], Q)
+    there = store.quads().filter("p = 'field'")
+    assert "Join" not in physical_plan(triples.new_only(there, new))
+    assert rows(triples.new_only(there, new)) == [("g", "p/1", "field", "bio", "string")]
