@@ -71,3 +71,13 @@ def test_an_insert_compares_without_a_join(spark, store, threshold):
     there = store.quads().filter("p = 'field'")
     assert "Join" not in physical_plan(triples.new_only(there, new))
     assert rows(triples.new_only(there, new)) == [("g", "p/1", "field", "bio", "string")]
+
+
+def test_a_quad_with_a_null_is_inserted_once(spark):
+    """As SQL's EXCEPT has it: a NULL is the same as another."""
+    new = spark.createDataFrame([("G", "p/1", "field", None, "string")], Q)
+    store = graph_store.create(spark, spark.createDataFrame([("G", "p/1", "field", "physics", "string")], Q))
+    once, _ = store.insert(new)
+    twice, batch = once.insert(new)
+    assert once.quads().count() == 2
+    assert twice.batch(batch).count() == 0
