@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regmesh.operators import graph_store, triples
+from regmesh.session import shared_dir
 from tests.test_plans import physical_plan
 from tests.util import rows
 
@@ -65,6 +66,17 @@ def test_a_lookup_of_many_values_broadcasts_neither_side(spark, store, threshold
     assert done.filter("projectURI <> ''").count() == index.count()
 
 
+def test_found_items_are_not_broadcast(spark, store, threshold):
+    """With the rows that were not found filtered out, either side of the last join could be."""
+    path = shared_dir(spark, "items")
+    (spark.range(1_000_000, 1_000_000 + N).select(F.col("id").alias("rcn"), F.lit("a category").alias("category"))
+     .coalesce(1).write.parquet(path))
+    index = store.identifier_index("g", **PATTERN)
+    done = triples.field_triples(triples.resolve_identifier(spark.read.parquet(path), index, "rcn"), "g", "field", "category")
+    assert broadcasts(done) == []
+    assert done.count() == index.count()
+
+
 def test_an_insert_compares_without_a_join(spark, store, threshold):
     new = spark.createDataFrame([("g", "p/1000000", "field", "physics", "string"), ("g", "p/1", "field", "bio", "string"),
                                  ("g", "p/1", "field", "bio", "string")], Q)
